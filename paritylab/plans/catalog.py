@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from paritylab.plans import fairness_queries  # noqa: F401
+from paritylab.plans import profile_queries  # noqa: F401
 from paritylab.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
