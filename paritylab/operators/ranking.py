@@ -22,8 +22,6 @@ from paritylab.functions.hashing import hash_bucket, hash_key
 
 # Bits of the 60-bit hash used as the bucket: 2**16 segments per stratum.
 HASH_BUCKET_BITS = 16
-# Above this many (stratum, bucket) rows the offset table is not broadcast.
-MAX_BROADCAST_OFFSETS = 2_000_000
 
 
 def _offsets(df: DataFrame, strata: Sequence[str], bucket: str) -> DataFrame:
@@ -36,11 +34,16 @@ def _offsets(df: DataFrame, strata: Sequence[str], bucket: str) -> DataFrame:
                                                          Window.unboundedFollowing)).alias("_stratum_n"))
 
 
-def _join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], bound: int) -> DataFrame:
-    """Broadcast ``small`` only when its row count is below ``bound``."""
-    n = small.count()
-    side = F.broadcast(small) if n <= bound else small
-    return big.join(side, list(keys), "inner")
+def _join_offsets(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join of the rows with their (small) offset table.
+
+    No broadcast hint: the offset table is at most (#strata x #buckets) rows;
+    AQE measures it after its (cheap) aggregate and broadcasts it when it is
+    below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise the
+    sort-merge join's shuffle on (strata, bucket) is exactly the partitioning
+    the following window needs, so the data rows are shuffled once either way.
+    """
+    return big.join(small, list(keys), "inner")
 
 
 def bucketed_rank(df: DataFrame, strata: Sequence[str], bucket: Column,
@@ -53,10 +56,8 @@ def bucketed_rank(df: DataFrame, strata: Sequence[str], bucket: Column,
     strata = list(strata)
     b = df.withColumn("_bkt", bucket)
     offs = _offsets(b, strata, "_bkt")
-    # the offset table has at most (#strata x #buckets) rows; cache it because
-    # it is both counted (broadcast guard) and joined
-    offs = offs.fillna(0, subset=["_off"]).cache()
-    joined = _join_small(b, offs, [*strata, "_bkt"], MAX_BROADCAST_OFFSETS)
+    offs = offs.fillna(0, subset=["_off"])
+    joined = _join_offsets(b, offs, [*strata, "_bkt"])
     w = Window.partitionBy(*strata, "_bkt").orderBy(*order)
     out = joined.withColumn(rank_col, F.col("_off") + F.row_number().over(w))
     if with_stratum_size:
@@ -117,8 +118,8 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     wt = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bkt") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}")
-                                        for c in sum_cols]).cache()
-    joined = _join_small(d, offs, [*by, "_bkt"], MAX_BROADCAST_OFFSETS)
+                                        for c in sum_cols])
+    joined = _join_offsets(d, offs, [*by, "_bkt"])
     w = Window.partitionBy(*by, "_bkt").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
     out = joined.select(*[c for c in df.columns],
                         *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols])
