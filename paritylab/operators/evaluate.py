@@ -42,30 +42,39 @@ def _safe(num: Column, den: Column) -> Column:
 
 
 def metrics_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """E1-E5 (weighted precision/recall/F1 with zero for undefined terms)."""
+    """E1-E5 (weighted precision/recall/F1 with zero for undefined terms).
+
+    Computed in three narrow projections so that each intermediate (per-class
+    precision, recall, F1) is a column, not a repeated expression subtree."""
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    n = tp + tn + fp + fn
     s1, s0 = tp + fn, tn + fp          # class supports
-    prec1, prec0 = _safe(tp, tp + fp), _safe(tn, tn + fn)
-    rec1, rec0 = _safe(tp, s1), _safe(tn, s0)
+    step1 = counts.select(
+        *by, "tp", "tn", (tp + tn + fp + fn).alias("n"), s1.alias("s1"), s0.alias("s0"),
+        _safe(tp, tp + fp).alias("prec1"), _safe(tn, tn + fn).alias("prec0"),
+        _safe(tp, s1).alias("rec1"), _safe(tn, s0).alias("rec0"))
 
     def f1(p, r):
+        p, r = F.col(p), F.col(r)
         return F.when((p + r) != 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
+    step2 = step1.select(
+        "*", f1("prec0", "rec0").alias("f10"), f1("prec1", "rec1").alias("f11"),
+        ((F.col("s0") > 0).cast("int") + (F.col("s1") > 0).cast("int")).alias("present"))
+
     def weighted(x0, x1):
-        return (s0.cast("double") * x0 + s1.cast("double") * x1) / n.cast("double")
+        return (F.col("s0").cast("double") * F.col(x0) + F.col("s1").cast("double") * F.col(x1)) \
+            / F.col("n").cast("double")
 
-    present = (s0 > 0).cast("int") + (s1 > 0).cast("int")
-    bal = (F.when(s0 > 0, rec0).otherwise(F.lit(0.0)) + F.when(s1 > 0, rec1).otherwise(F.lit(0.0))) \
-        / present.cast("double")
-    return counts.select(
+    bal = (F.when(F.col("s0") > 0, F.col("rec0")).otherwise(F.lit(0.0))
+           + F.when(F.col("s1") > 0, F.col("rec1")).otherwise(F.lit(0.0))) / F.col("present").cast("double")
+    return step2.select(
         *by,
-        ratio(tp + tn, n).alias("accuracy"),
-        weighted(prec0, prec1).alias("precision"),
-        weighted(rec0, rec1).alias("recall"),
-        weighted(f1(prec0, rec0), f1(prec1, rec1)).alias("f1"),
-        F.when(present > 0, bal).alias("balanced_accuracy"),
-        n.alias("n"),
+        ratio(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
+        weighted("prec0", "prec1").alias("precision"),
+        weighted("rec0", "rec1").alias("recall"),
+        weighted("f10", "f11").alias("f1"),
+        F.when(F.col("present") > 0, bal).alias("balanced_accuracy"),
+        F.col("n"),
     )
 
 

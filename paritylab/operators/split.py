@@ -93,7 +93,9 @@ def train_val_test(df: DataFrame, target: str, test_size: float = 0.2, val_size:
                    seed: int = 42, key: str = "row_id") -> DataFrame:
     """test = test_size of all rows, then val = val_size of the rest,
     both stratified by the target (random fallback)."""
-    first = stratified_split(df, [target], test_size, seed, key, fallback=[], out="_s1")
+    # the first split feeds three consumers (counts and rank of the second
+    # split, and the test rows): persist it instead of recomputing its lineage
+    first = stratified_split(df, [target], test_size, seed, key, fallback=[], out="_s1").persist()
     rest = first.where(F.col("_s1") == "train").drop("_s1")
     test = first.where(F.col("_s1") == "test").drop("_s1").withColumn("split", F.lit("test"))
     second = stratified_split(rest, [target], val_size, f"{seed}v", key, fallback=[],

@@ -158,6 +158,8 @@ def _audit(df, target, prep, spec, strategy, cv_folds):
     binarized = spec.mode == "combined"
     processed, feats, sens, priv = preprocess(df, target, prep, spec.attrs, spec.privileged,
                                               binarize=binarized, key=spec.key)
+    # processed rows feed the split counts, the split and the export: persist once
+    processed = processed.persist()
     priv_v, unpriv = _config(processed, sens, spec, priv, binarized)
     train, test = _split(processed, target, sens, spec.seed, spec.key)
     metrics, pred = run_experiment(train, test, target, sens, priv_v, unpriv, feats, spec.model, strategy,

@@ -91,8 +91,10 @@ def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], ru
                            encoding=GRID_PREP["encoding"])
         processed, feats, sens, _ = au.preprocess(df, spec.target, prep, attrs,
                                                   {a: spec.privileged[a] for a in attrs}, binarize=True, key=key)
-        split = stratified_split(processed, [spec.target], 0.2, 42 + run, key, fallback=[])
-        split = cut_lineage(split)
+        # one reliable checkpoint per (dataset, setting, run): every config of
+        # the task reads it, and a lost executor does not replay preprocessing
+        split = cut_lineage(stratified_split(processed.persist(), [spec.target], 0.2, 42 + run, key,
+                                             fallback=[]))
         train = split.where(F.col("split") == "train").drop("split")
         test = split.where(F.col("split") == "test").drop("split")
         if not has_two_classes(train, spec.target):

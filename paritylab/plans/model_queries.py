@@ -43,7 +43,7 @@ def _rank(spark, sf):
 @register("train_logistic_customers")
 def _train(spark, sf):
     d = view(spark, sf, "audit_customers").select("row_id", "y", *_CUST_FEATURES)
-    d = d.fillna(0.0, subset=_CUST_FEATURES)
+    d = d.fillna(0.0, subset=_CUST_FEATURES).persist()
     res = md.train(d, "y", _CUST_FEATURES, "logistic")
     test = md.evaluate_model(res.model, res.test, "y")
     rows = [(k, float(v)) for k, v in res.train_metrics.items()] + [(f"Test {k}", float(v)) for k, v in test.items()]
@@ -58,20 +58,21 @@ _PREP = au.PrepSpec(missing="mean", outliers="iqr", encoding="one-hot",
 # Baseline audit (individual mode) on the customer view
 @register("baseline_audit_customers")
 def _baseline(spark, sf):
-    return au.baseline_audit(view(spark, sf, "audit_customers"), "y", _PREP, _SPEC)["metrics"]
+    return au.baseline_audit(view(spark, sf, "audit_customers").persist(), "y", _PREP, _SPEC)["metrics"]
 
 
 # T10 + M8: mitigation audit with undersampling
 @register("mitigation_audit_customers")
 def _mitig(spark, sf):
-    return au.mitigation_audit(view(spark, sf, "audit_customers"), "y", _PREP, _SPEC, "undersample")["metrics"]
+    return au.mitigation_audit(view(spark, sf, "audit_customers").persist(), "y", _PREP, _SPEC,
+                               "undersample")["metrics"]
 
 
 # Grid of the logistic model over five mitigations on the customer view
 @register("grid_customers_logistic")
 def _grid(spark, sf):
     spec = gd.DatasetSpec("customers", "y", 1, ("segment",), {"segment": "BUILDING"})
-    d = view(spark, sf, "audit_customers")
+    d = view(spark, sf, "audit_customers").persist()
     configs = [c for c in gd.grid_configs(["logistic"]) if c["strategy"] != "smote"]
     res = gd.run_grid(spark, {"customers": d}, [spec], runs=1, configs=configs, cv_folds=0)
     return res.drop("Seconds")

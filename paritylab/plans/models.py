@@ -163,6 +163,7 @@ def train(df: DataFrame, target: str, features: Sequence[str], model: str = "log
         tr = parts.where(F.col("split") == "train").drop("split")
         va = parts.where(F.col("split") == "val").drop("split")
         te = test
+    tr = tr.persist()  # read by the fit, the train metrics and every CV fold
     fitted = fit(tr, target, features, model, seed, key=key)
     metrics = {f"Train {k}": v for k, v in evaluate_model(fitted, tr, target).items()}
     if cv_folds:

@@ -84,16 +84,35 @@ def duckdb_views() -> dict[str, str]:
     return out
 
 
+# Base tables each view reads (only these are registered for it).
+VIEW_TABLES = {
+    "audit_orders": ("orders", "customer", "nation", "region"),
+    "audit_lineitem": ("lineitem",),
+    "audit_docs": ("labels", "documents"),
+    "audit_customers": ("customer", "nation", "region", "orders"),
+    "text_numbers": ("orders",),
+    "grid_results": ("orders", "customer", "nation", "region"),
+}
+
+# (session id, table) -> directory already registered; avoids re-reading
+# parquet footers for every query of a session.
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
 def register_tables(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) -> None:
     for t in tables:
+        k = (id(spark), t)
+        if _REGISTERED.get(k) == sf_dir:
+            continue
         path = os.path.join(sf_dir, f"{t}.parquet")
         if os.path.exists(path):
             spark.read.parquet(path).createOrReplaceTempView(t)
+            _REGISTERED[k] = sf_dir
 
 
 def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Register the base tables of ``sf_dir`` and return fixture view ``name``."""
-    register_tables(spark, sf_dir)
+    """Register the base tables the view needs and return fixture view ``name``."""
+    register_tables(spark, sf_dir, VIEW_TABLES.get(name, BASE_TABLES))
     for dep in DEPENDS.get(name, ()):
         spark.sql(VIEWS[dep]).createOrReplaceTempView(dep)
     df = spark.sql(VIEWS[name])
@@ -102,4 +121,5 @@ def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    register_tables(spark, sf_dir, (name,))
+    return spark.table(name)
