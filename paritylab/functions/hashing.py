@@ -24,7 +24,10 @@ def _seed_string(seed, *cols) -> Column:
 
 def hash_key(seed, *cols) -> Column:
     """60-bit non-negative integer, uniform, from md5('seed|k1|k2...')."""
-    return F.conv(F.substring(F.md5(_seed_string(seed, *cols)), 1, 15), 16, 10).cast("bigint")
+    # conv() of 15 hex digits is never NULL; the coalesce makes that visible to
+    # the optimizer so joins on derived buckets add no IS NOT NULL re-evaluation
+    h = F.conv(F.substring(F.md5(_seed_string(seed, *cols)), 1, 15), 16, 10).cast("bigint")
+    return F.coalesce(h, F.lit(0).cast("bigint"))
 
 
 def hash_unit(seed, *cols) -> Column:

@@ -94,7 +94,7 @@ def roc_auc(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int
     """Exact ROC AUC with ties counted 1/2 (Mann-Whitney in integers);
     NULL unless both classes are present."""
     sc = score_counts(df, label, score, by)
-    cum = running_sums(sc, "score", ["neg"], by=by, n_buckets=n_buckets)
+    cum = running_sums(sc, "score", ["neg"], by=by, n_buckets=n_buckets, sample_from=df, sample_col=score)
     dec = "decimal(38,0)"
     term = F.col("pos").cast(dec) * (F.lit(2).cast(dec) * (F.col("cum_neg") - F.col("neg")).cast(dec)
                                      + F.col("neg").cast(dec))
@@ -109,7 +109,8 @@ def roc_auc(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int
 def pr_curve(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
     """One point per distinct score threshold t (score >= t predicted 1)."""
     sc = score_counts(df, label, score, by)
-    cum = running_sums(sc, "score", ["pos", "neg"], by=by, descending=True, n_buckets=n_buckets)
+    cum = running_sums(sc, "score", ["pos", "neg"], by=by, descending=True, n_buckets=n_buckets,
+                       sample_from=df, sample_col=score)
     keys = list(by) or ["_k"]
     totals = sc.groupBy(*by).agg(F.sum("pos").alias("_P"))
     if not by:

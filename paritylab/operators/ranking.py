@@ -79,11 +79,23 @@ def hash_rank(df: DataFrame, strata: Sequence[str], seed, key: str = "row_id",
     return out
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    """Strictly increasing Bucketizer splits from approximate quantiles (B values
-    reach the driver, never data rows)."""
+def quantile_splits(df: DataFrame, col: str, n_buckets: int, fraction: float = 0.01,
+                    min_sample: int = 10_000) -> list[float]:
+    """Strictly increasing Bucketizer splits from approximate quantiles.
+
+    Only the balance of the buckets depends on the cut points, never the
+    result, so they come from a small random sample of the column (the full
+    column only when the sample is too small to be useful); B values reach
+    the driver, never data rows."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(col, probs, 1.0 / (10 * n_buckets)) if probs else []
+    if not probs:
+        return [float("-inf"), float("inf")]
+    vals = df.select(F.col(col).cast("double").alias("_q")).where(F.col("_q").isNotNull())
+    rel = 1.0 / (10 * n_buckets)
+    sample = vals.sample(fraction=fraction, seed=17)
+    cuts = sample.approxQuantile("_q", probs, rel)
+    if not cuts or sample.limit(min_sample).count() < min_sample:
+        cuts = vals.approxQuantile("_q", probs, rel)
     splits = [float("-inf")]
     for c in sorted(set(x for x in cuts if x is not None)):
         if c > splits[-1]:
@@ -92,9 +104,8 @@ def quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     return splits
 
 
-def value_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> DataFrame:
-    """Order-preserving bucket of a numeric column (binary search per row)."""
-    splits = quantile_splits(df.where(F.col(col).isNotNull()), col, n_buckets)
+def bucketize(df: DataFrame, col: str, out: str, splits: list[float]) -> DataFrame:
+    """Order-preserving bucket index by binary search over fixed splits (JVM side)."""
     if len(splits) <= 2:
         return df.withColumn(out, F.lit(0.0))
     src = df.withColumn("_bkt_src", F.col(col).cast("double"))
@@ -102,9 +113,24 @@ def value_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 256) -> Dat
             .transform(src).drop("_bkt_src"))
 
 
+def value_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 256,
+                 sample_from: DataFrame | None = None, sample_col: str | None = None,
+                 sign: float = 1.0) -> DataFrame:
+    """Order-preserving bucket of a numeric column; cut points are estimated
+    from ``sample_from[sample_col] * sign`` when given (e.g. the raw rows
+    before an aggregate, so the aggregate is not computed twice)."""
+    if sample_from is not None:
+        base = sample_from.select((F.col(sample_col or col).cast("double") * F.lit(sign)).alias("_sq"))
+        splits = quantile_splits(base, "_sq", n_buckets)
+    else:
+        splits = quantile_splits(df, col, n_buckets)
+    return bucketize(df, col, out, splits)
+
+
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                  by: Sequence[str] = (), descending: bool = False,
-                 n_buckets: int = 256, prefix: str = "cum_") -> DataFrame:
+                 n_buckets: int = 256, prefix: str = "cum_",
+                 sample_from: DataFrame | None = None, sample_col: str | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_col`` order within ``by``.
 
     ``order_col`` must be unique within ``by`` (aggregate ties first). Uses
@@ -113,7 +139,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     by = list(by)
     sign = -1.0 if descending else 1.0
     d = df.withColumn("_ord", F.col(order_col).cast("double") * F.lit(sign))
-    d = value_bucket(d, "_ord", "_bkt", n_buckets)
+    d = value_bucket(d, "_ord", "_bkt", n_buckets, sample_from, sample_col, sign)
     totals = d.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wt = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bkt") \
         .rowsBetween(Window.unboundedPreceding, -1)
