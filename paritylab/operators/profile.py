@@ -101,30 +101,38 @@ def missing_profile(df: DataFrame) -> DataFrame:
         for c in df.columns])).alias("kv")).select("kv.column", "kv.missing")
 
 
-def audit_stats(df: DataFrame, target: str, sens: str,
-                selected: Sequence[str] | None = None) -> DataFrame:
-    """Long table (stat, group, value): totals, column kinds, global and
-    per-group positive rate and size (null group excluded)."""
-    feats = [c for c in (selected or df.columns) if c != target]
+def audit_stats(df: DataFrame, target: str, sens: str, selected: Sequence[str] | None = None,
+                original_features: int | None = None) -> DataFrame:
+    """Long table (stat, group, value) with the report's statistic names:
+    totals, column kinds, global positive rate and, per group (null group
+    excluded), size and positive rate -- two aggregates."""
     n_num = len(numeric_columns(df))
     n_other = len(df.columns) - n_num
+    n_sel = len(selected) if selected is not None else len(df.columns) - 1
     miss = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
     y = F.col(target).cast("double")
-    totals = df.agg(F.count(F.lit(1)).cast("double").alias("rows"),
-                    miss.cast("double").alias("missing_cells"),
-                    F.avg(y).alias("positive_rate"))
+    totals = df.agg(F.count(F.lit(1)).cast("double").alias("total"),
+                    miss.cast("double").alias("missing"),
+                    F.avg(y).alias("rate"))
+    fixed_vals = [("Features Selected", n_sel), ("Numerical Features", n_num), ("Categorical Features", n_other)]
+    if original_features is not None:
+        fixed_vals.insert(0, ("Total Features", original_features))
+    none = F.lit(None).cast("string")
     fixed = totals.select(F.explode(F.array(
-        *[F.struct(F.lit(k).alias("stat"), F.lit(None).cast("string").alias("group"), F.col(k).alias("value"))
-          for k in ("rows", "missing_cells", "positive_rate")],
-        *[F.struct(F.lit(k).alias("stat"), F.lit(None).cast("string").alias("group"), F.lit(float(v)).alias("value"))
-          for k, v in (("total_features", len(df.columns) - 1), ("selected_features", len(feats)),
-                       ("numeric_columns", n_num), ("other_columns", n_other))])).alias("kv"))
+        *[F.struct(F.lit(k).alias("stat"), none.alias("group"), F.col(c).alias("value"))
+          for k, c in (("Total Samples", "total"), ("Missing Values", "missing"), ("Global Positive Rate", "rate"))],
+        *[F.struct(F.lit(k).alias("stat"), none.alias("group"), F.lit(float(v)).alias("value"))
+          for k, v in fixed_vals])).alias("kv"))
     per = (df.where(F.col(sens).isNotNull())
              .groupBy(F.col(sens).cast("string").alias("group"))
              .agg(F.count(F.lit(1)).cast("double").alias("size"), F.avg(y).alias("positive_rate")))
+
+    def label(suffix):
+        return F.concat(F.lit("Group '"), F.col("group"), F.lit(f"' {suffix}"))
+
     per_long = per.select(F.explode(F.array(
-        F.struct(F.lit("group_size").alias("stat"), F.col("group"), F.col("size").alias("value")),
-        F.struct(F.lit("group_positive_rate").alias("stat"), F.col("group"),
+        F.struct(label("Size").alias("stat"), F.col("group"), F.col("size").alias("value")),
+        F.struct(label("Pos. Rate").alias("stat"), F.col("group"),
                  F.col("positive_rate").alias("value")))).alias("kv"))
     return fixed.select("kv.*").unionByName(per_long.select("kv.*"))
 

@@ -167,7 +167,7 @@ def _audit(df, target, prep, spec, strategy, cv_folds):
     export = mt.mitigate(processed, strategy, target, sens, priv_v, unpriv, spec.seed, spec.key,
                          features=feats) if strategy else processed
     export = pp.reorder(export, df.columns)
-    stats = pf.audit_stats(export, target, sens, feats)
+    stats = pf.audit_stats(export, target, sens, feats, original_features=len(df.columns) - 1)
     return {"metrics": metrics, "predictions": pred, "table": export, "stats": stats,
             "features": feats, "sensitive": sens, "privileged": priv_v}
 
@@ -234,8 +234,7 @@ def report_tables(base: dict, mitig: dict | None = None) -> dict:
             "metric_long": metric_long(base["metrics"], mitig["metrics"]),
             "metrics_table": report_metrics(base["metrics"], mitig["metrics"]),
             "comparison": ev.compare_metrics(base["metrics"], mitig["metrics"]),
-            "stats_table": report_stats(
-                base["stats"].where(F.col("group").isNull()).select("stat", "value"),
-                mitig["stats"].where(F.col("group").isNull()).select("stat", "value")),
+            "stats_table": report_stats(base["stats"].select("stat", "value"),
+                                        mitig["stats"].select("stat", "value")),
         })
     return out

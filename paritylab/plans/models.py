@@ -43,11 +43,12 @@ def classifier(name: str, n_rows: int, seed: int = 42):
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=100, maxDepth=8,
                                       minInstancesPerNode=2, seed=seed)
     if name == "gbm":
-        return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, stepSize=0.05, maxDepth=4, maxIter=50,
-                             seed=seed, validationIndicatorCol="_is_val" if n_rows > 10000 else None)
+        gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, stepSize=0.05, maxDepth=4, maxIter=50,
+                            seed=seed)
+        return gbt.setValidationIndicatorCol("_is_val") if n_rows > 10000 else gbt
     if name in ("svm", "linear_svc"):
         return LinearSVC(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0 / (0.8 * max(n_rows, 1)),
-                         maxIter=30000, standardization=False)
+                         maxIter=30000, tol=1e-4, standardization=False)
     raise ValueError(f"Model '{name}' is not registered")
 
 
@@ -70,7 +71,7 @@ class FittedModel:
         out = self.pipeline.transform(d)
         if self.platt is not None:
             out = self.platt.transform(out.withColumn("_margin", vector_to_array("rawPrediction")[1])
-                                       .drop("probability", "prediction"))
+                                       .drop("probability", "prediction", "rawPrediction"))
         prob = vector_to_array("probability")[1]
         drop = [c for c in ("_raw", "_scaled", FEATURES, "rawPrediction", "probability", "prediction",
                             "_margin_vec", "_margin") if c in out.columns]
@@ -90,7 +91,8 @@ def fit(df: DataFrame, target: str, features: Sequence[str], model: str = "logis
     platt = None
     if model in ("svm", "linear_svc"):
         # sigmoid calibration on the margin (Platt scaling)
-        m = pipe.transform(d).withColumn("_margin", vector_to_array("rawPrediction")[1])
+        m = pipe.transform(d).withColumn("_margin", vector_to_array("rawPrediction")[1]) \
+            .drop("probability", "prediction", "rawPrediction")
         platt = Pipeline(stages=[
             VectorAssembler(inputCols=["_margin"], outputCol="_margin_vec"),
             LogisticRegression(featuresCol="_margin_vec", labelCol=LABEL, regParam=0.0)]).fit(m)

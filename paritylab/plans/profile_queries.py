@@ -75,17 +75,19 @@ def _missing(spark, sf):
 
 @_q("audit_stats_orders", ("audit_orders",), """
 c AS (SELECT 1)
-SELECT 'rows' AS stat, CAST(NULL AS VARCHAR) AS "group", CAST(COUNT(*) AS DOUBLE) AS value FROM audit_orders
-UNION ALL SELECT 'missing_cells', NULL, CAST(COUNT_IF(acctbal_n IS NULL) + COUNT_IF(segment_n IS NULL) AS DOUBLE) FROM audit_orders
-UNION ALL SELECT 'positive_rate', NULL, AVG(CAST(y AS DOUBLE)) FROM audit_orders
-UNION ALL SELECT 'total_features', NULL, 10.0
-UNION ALL SELECT 'selected_features', NULL, 10.0
-UNION ALL SELECT 'numeric_columns', NULL, 7.0
-UNION ALL SELECT 'other_columns', NULL, 4.0
-UNION ALL SELECT 'group_size', segment, CAST(COUNT(*) AS DOUBLE) FROM audit_orders WHERE segment IS NOT NULL GROUP BY segment
-UNION ALL SELECT 'group_positive_rate', segment, AVG(CAST(y AS DOUBLE)) FROM audit_orders WHERE segment IS NOT NULL GROUP BY segment""")
+SELECT 'Total Samples' AS stat, CAST(NULL AS VARCHAR) AS "group", CAST(COUNT(*) AS DOUBLE) AS value FROM audit_orders
+UNION ALL SELECT 'Missing Values', NULL, CAST(COUNT_IF(acctbal_n IS NULL) + COUNT_IF(segment_n IS NULL) AS DOUBLE) FROM audit_orders
+UNION ALL SELECT 'Global Positive Rate', NULL, AVG(CAST(y AS DOUBLE)) FROM audit_orders
+UNION ALL SELECT 'Total Features', NULL, 10.0
+UNION ALL SELECT 'Features Selected', NULL, 10.0
+UNION ALL SELECT 'Numerical Features', NULL, 7.0
+UNION ALL SELECT 'Categorical Features', NULL, 4.0
+UNION ALL SELECT 'Group ' || chr(39) || segment || chr(39) || ' Size', segment, CAST(COUNT(*) AS DOUBLE)
+          FROM audit_orders WHERE segment IS NOT NULL GROUP BY segment
+UNION ALL SELECT 'Group ' || chr(39) || segment || chr(39) || ' Pos. Rate', segment, AVG(CAST(y AS DOUBLE))
+          FROM audit_orders WHERE segment IS NOT NULL GROUP BY segment""")
 def _audit_stats(spark, sf):
-    return pf.audit_stats(view(spark, sf, "audit_orders"), "y", "segment")
+    return pf.audit_stats(view(spark, sf, "audit_orders"), "y", "segment", original_features=10)
 
 
 @_q("target_distribution_docs", ("audit_docs",), """
