@@ -91,11 +91,16 @@ def quantile_splits(df: DataFrame, col: str, n_buckets: int, fraction: float = 0
     if not probs:
         return [float("-inf"), float("inf")]
     vals = df.select(F.col(col).cast("double").alias("_q")).where(F.col("_q").isNotNull())
-    rel = 1.0 / (10 * n_buckets)
-    sample = vals.sample(fraction=fraction, seed=17)
-    cuts = sample.approxQuantile("_q", probs, rel)
-    if not cuts or sample.limit(min_sample).count() < min_sample:
-        cuts = vals.approxQuantile("_q", probs, rel)
+    accuracy = 10 * n_buckets
+
+    def cuts_of(frame):
+        row = frame.agg(F.percentile_approx("_q", probs, accuracy).alias("c"),
+                        F.count(F.lit(1)).alias("n")).first()
+        return (row["c"] or []), row["n"]
+
+    cuts, n = cuts_of(vals.sample(fraction=fraction, seed=17))   # one job over a 1 % sample
+    if n < min_sample:
+        cuts, _ = cuts_of(vals)
     splits = [float("-inf")]
     for c in sorted(set(x for x in cuts if x is not None)):
         if c > splits[-1]:

@@ -9,6 +9,7 @@ configurations (the reference redoes it for each of them).
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -80,7 +81,8 @@ def grid_tasks(specs: Sequence[DatasetSpec], runs: int = 1) -> list[tuple]:
 
 
 def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], runs: int = 1,
-             configs: Sequence[dict] | None = None, key: str = "row_id", cv_folds: int = 5) -> DataFrame:
+             configs: Sequence[dict] | None = None, key: str = "row_id", cv_folds: int = 5,
+             parallelism: int = 4) -> DataFrame:
     """One record per (dataset, setting, run, config); metrics of both
     families. Preprocessing and the split run once per (dataset, setting, run)."""
     configs = list(configs or grid_configs())
@@ -99,12 +101,12 @@ def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], ru
         test = split.where(F.col("split") == "test").drop("split")
         if not has_two_classes(train, spec.target):
             continue  # J5
-        for cfg in configs:
+        def one(cfg, spec=spec, attrs=attrs, priv=priv, run=run, train=train, test=test, sens=sens, feats=feats):
             t0 = time.time()
             metrics, _ = au.run_experiment(train, test, spec.target, sens, 1, [0], feats, cfg["model"],
                                            cfg["strategy"], "combined", "all", 42 + run, key, cv_folds)
             m = {r["metric"]: r["value"] for r in metrics.collect()}  # one row per metric
-            records.append({
+            return {
                 "Dataset": spec.name, "Model Type": cfg["model"], "Mitigation Technique": cfg["technique"],
                 "Mitigation Detail": cfg["detail"], "Run Number": run + 1,
                 "Sensitive Attributes": "_".join(attrs), "Privileged Value": str(priv),
@@ -116,7 +118,13 @@ def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], ru
                 "Equal Opportunity Difference": m.get("Equal Opportunity Difference"),
                 "Average Odds Difference": m.get("Average Odds Difference"),
                 "Seconds": time.time() - t0,
-            })
+            }
+
+        # configurations are independent Spark jobs: submit them from driver
+        # threads so the scheduler interleaves them (the reference uses a
+        # process pool over runs)
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            records.extend(pool.map(one, configs))
     schema = ("`Dataset` string, `Model Type` string, `Mitigation Technique` string, `Mitigation Detail` string, "
               "`Run Number` int, `Sensitive Attributes` string, `Privileged Value` string, "
               "`CV Mean Accuracy` double, `Accuracy` double, `Precision` double, `Recall` double, `F1` double, "
