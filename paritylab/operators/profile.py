@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paritylab.functions import quantiles as qn
 from paritylab.operators.fairness import ratio
 from paritylab.operators.prep import TEXT_TYPES, categorical_columns, numeric_columns
 
@@ -145,9 +146,11 @@ def rename_groups(stats: DataFrame, mapping: DataFrame, group: str = "group") ->
                         F.col("name").alias("_name_n")).where(F.col("_kn").isNotNull())
     mn = mn.groupBy("_kn").agg(F.min("_name_n").alias("_name_n"))
     s = stats.withColumn("_g", F.col(group).cast("string"))
-    s = s.join(F.broadcast(m), s["_g"] == m["_k"], "left")
+    # no broadcast hint: the lookup table's size is not known here; AQE
+    # broadcasts it at runtime when it is small
+    s = s.join(m, s["_g"] == m["_k"], "left")
     s = s.withColumn("_gn", F.col("_g").try_cast(T.DoubleType()))
-    s = s.join(F.broadcast(mn), s["_gn"] == mn["_kn"], "left")
+    s = s.join(mn, s["_gn"] == mn["_kn"], "left")
     named = F.coalesce(F.col("_name"), F.col("_name_n"), F.col(group).cast("string"))
     return s.select(*[named.alias(group) if c == group else F.col(c) for c in stats.columns])
 
@@ -191,7 +194,8 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv")) \
         .select(*by, "kv.column", "kv.value").where(F.col("value").isNotNull())
     keys = [*by, "column"]
-    q = long.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    exact = all(qn.exact_flags(df, cols).values())
+    q = long.groupBy(*keys).agg(qn.quantile("value", [0.25, 0.5, 0.75], exact).alias("_q"))
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1")))

@@ -27,6 +27,8 @@ GRID_MODELS = ("logistic", "random_forest", "gbm", "svm")
 GRID_MITIGATIONS = (("Baseline", "None", None), ("Resampling", "Oversample", "oversample"),
                     ("Resampling", "Undersample", "undersample"), ("Relabeling", "Relabeling", "relabel"),
                     ("Synthetic", "SMOTE", "smote"), ("Synthetic", "CDA", "cda"))
+# Up to this many sampled rows a top-n (no full shuffle) is used.
+TOP_K_LIMIT = 10_000
 GRID_PREP = {"missing": "mode", "outliers": "iqr", "encoding": "one-hot", "mode": "combined", "metrics": "all"}
 
 
@@ -57,7 +59,11 @@ def threshold_bucket(col: str, cut: float, hi: str, lo: str):
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
     """Exactly ``n`` rows without replacement, chosen by md5 order. A
     distributed rank (no single-task sort) picks them, so n may be large."""
+    from paritylab.functions.hashing import hash_key
     from paritylab.operators.ranking import hash_rank
+    if n <= TOP_K_LIMIT:
+        # bounded n: per-partition top-n then one merge of (n x partitions) rows
+        return df.orderBy(hash_key(seed, key), F.col(key)).limit(n)
     return hash_rank(df, [], seed, key, rank_col="_r").where(F.col("_r") <= n).drop("_r", "_h")
 
 
