@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.functions.hashing import hash_key
-from paritylab.functions.keys import key_string
 from paritylab.operators.ranking import bucketed_rank, hash_rank, value_bucket
 
 # Draws of one (group, label) cell are generated in chunks of this size so no
@@ -41,11 +40,6 @@ def _cell_counts(df: DataFrame, target: str, sens: str) -> list:
               .collect())
 
 
-def _quota_frame(spark, quotas: list[tuple], sens_type) -> DataFrame:
-    return spark.createDataFrame(quotas, "_g string, _y int, _q long, _avail long") \
-        .withColumn("_g", F.col("_g"))
-
-
 def resample(df: DataFrame, target: str, sens: str, strategy: str = "undersample",
              seed: int = 42, key: str = "row_id") -> DataFrame:
     """M1/M2. Every non-null group gets ``int(size * r)`` positives and the
@@ -209,6 +203,3 @@ def mitigate(df: DataFrame, strategy: str, target: str, sens: str, privileged,
         return smote(df, target, sens, features=features, seed=seed, key=key)
     raise ValueError(f"unknown mitigation strategy: {strategy}")
 
-
-def group_key(c):
-    return key_string(c)
