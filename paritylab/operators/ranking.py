@@ -155,10 +155,3 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     out = joined.select(*[c for c in df.columns],
                         *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols])
     return out
-
-
-def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
-                    rank_col: str = "rank") -> DataFrame:
-    """Rows ranked ``<= k`` per group, for small report tables (k bounded)."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)

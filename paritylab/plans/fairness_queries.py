@@ -112,7 +112,7 @@ SELECT segment,
        (CAST(s0 AS DOUBLE) * f10 + CAST(s1 AS DOUBLE) * f11) / CAST(n AS DOUBLE) AS f1,
        CASE WHEN present > 0 THEN ((CASE WHEN s0 > 0 THEN rec0 ELSE 0.0 END) + (CASE WHEN s1 > 0 THEN rec1 ELSE 0.0 END))
             / CAST(present AS DOUBLE) END AS balanced_accuracy,
-       n
+       CAST(n AS BIGINT) AS n
 FROM e
 """
 register("performance_orders_by_segment", _sql(("audit_orders",), _PERF_SQL))(
@@ -147,7 +147,7 @@ sc AS (SELECT grp, CAST(score AS DOUBLE) AS score, COUNT_IF(y = 1) AS pos, COUNT
 cum AS (SELECT *, SUM(pos) OVER (PARTITION BY grp ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
                   SUM(neg) OVER (PARTITION BY grp ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
                   SUM(pos) OVER (PARTITION BY grp) AS total_pos FROM sc)
-SELECT grp, score AS threshold, pos,
+SELECT grp, score AS threshold, CAST(pos AS BIGINT) AS pos,
        CASE WHEN cum_pos + cum_neg <> 0 THEN CAST(cum_pos AS DOUBLE) / CAST(cum_pos + cum_neg AS DOUBLE) END AS precision,
        CASE WHEN total_pos > 0 THEN CAST(cum_pos AS DOUBLE) / CAST(total_pos AS DOUBLE) ELSE 1.0 END AS recall,
        CAST(total_pos AS BIGINT) AS total_pos

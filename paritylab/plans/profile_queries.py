@@ -123,7 +123,7 @@ q AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fen
 SELECT {''.join(f'q.{by}, ' if by else '')}q."column", q.q1, q.median, q.q3,
        MIN(CASE WHEN value >= lo_fence AND value <= hi_fence THEN value END) AS whisker_low,
        MAX(CASE WHEN value >= lo_fence AND value <= hi_fence THEN value END) AS whisker_high,
-       COUNT_IF(NOT (value >= lo_fence AND value <= hi_fence)) AS n_outliers, COUNT(*) AS n
+       CAST(COUNT_IF(NOT (value >= lo_fence AND value <= hi_fence)) AS BIGINT) AS n_outliers, COUNT(*) AS n
 FROM l JOIN q ON {jk}
 GROUP BY {''.join(f'q.{by}, ' if by else '')}q."column", q.q1, q.median, q.q3, q.lo_fence, q.hi_fence"""
 
@@ -158,7 +158,7 @@ def _tcc(spark, sf):
 
 @_q("crosstab_orders", ("audit_orders",), """
 c AS (SELECT 1)
-SELECT segment, COUNT_IF(y = 0) AS "0", COUNT_IF(y = 1) AS "1" FROM audit_orders
+SELECT segment, CAST(COUNT_IF(y = 0) AS BIGINT) AS "0", CAST(COUNT_IF(y = 1) AS BIGINT) AS "1" FROM audit_orders
 WHERE segment IS NOT NULL AND y IS NOT NULL GROUP BY segment""")
 def _crosstab(spark, sf):
     return pf.crosstab(view(spark, sf, "audit_orders"), "segment", "y", values=[0, 1])

@@ -87,7 +87,7 @@ def _drop_mode(spark, sf):
 # ---------------------------------------------------------------- V11 display names from a lookup table
 @register("rename_groups_nation", """
 WITH s AS (SELECT CAST(c_nationkey AS VARCHAR) AS "group", COUNT(*) AS n,
-                  COUNT_IF(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS n_pos
+                  CAST(COUNT_IF(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS n_pos
            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey)
 SELECT COALESCE(n_name, s."group") AS "group", n, n_pos, CAST(n_pos AS DOUBLE) / CAST(n AS DOUBLE) AS positive_rate
 FROM s LEFT JOIN nation ON s."group" = CAST(n_nationkey AS VARCHAR)""")

@@ -25,3 +25,30 @@ def test_scan_is_pruned(spark):
     txt = plan_text(df)
     schema = txt[txt.index("ReadSchema"):].split("\n")[0]
     assert "l_shipdate" not in schema and "l_partkey" not in schema and "l_discount" in schema
+
+
+def test_rank_window_is_split_by_bucket(spark):
+    """The per-stratum rank runs in (stratum, bucket) segments, not one task per stratum."""
+    df = entry.queries()["stratified_split_orders"](spark, SMALL)
+    txt = plan_text(df)
+    assert "hashpartitioning(_sk" in txt and "_bkt" in txt.split("hashpartitioning(_sk", 1)[1].split(")")[0]
+
+
+def test_oracle_types_match():
+    """Column types of a few registered queries equal those of their SQL twins."""
+    import duckdb
+    import os
+    from paritylab.sources.fixtures import BASE_TABLES
+    from tests.conftest import SMOKE
+    con = duckdb.connect()
+    for t in BASE_TABLES:
+        p = os.path.join(SMOKE, f"{t}.parquet")
+        if os.path.exists(p):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    m = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    for name in ("performance_orders_by_segment", "crosstab_orders", "high_performers_grid", "fairness_individual_orders"):
+        s = {f.name: m.get(f.dataType.simpleString()) for f in entry.queries()[name](spark, SMOKE).schema.fields}
+        rel = con.sql(entry.oracle_sql()[name])
+        assert s == dict(zip(rel.columns, [str(t) for t in rel.types])), name
