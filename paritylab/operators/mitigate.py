@@ -19,6 +19,9 @@ from paritylab.operators.ranking import bucketed_rank, hash_rank, value_bucket
 # Draws of one (group, label) cell are generated in chunks of this size so no
 # single task materialises a huge quota.
 DRAW_CHUNK = 1_000_000
+# Quota tables hold one row per (group, label); they are broadcast, so their
+# size is bounded here.
+MAX_GROUPS = 100_000
 # Fixed value: helper column name carrying the audited attribute through mitigation.
 EVAL_COL = "_fairness_eval_sens_attr"
 # Fixed value: text written into non-numeric columns of synthetic rows.
@@ -32,12 +35,17 @@ def _target_rate(df: DataFrame, target: str) -> float:
 
 
 def _cell_counts(df: DataFrame, target: str, sens: str) -> list:
-    return (df.where(F.col(sens).isNotNull())
+    """Counts per sensitive group: a fitted table, at most ``MAX_GROUPS`` rows
+    reach the driver (more groups is an error, not a silent truncation)."""
+    rows = (df.where(F.col(sens).isNotNull())
               .groupBy(F.col(sens).alias("g"))
               .agg(F.count(F.lit(1)).alias("n"),
                    F.count_if(F.col(target) == 1).alias("pos"),
                    F.count_if(F.col(target) == 0).alias("neg"))
-              .collect())
+              .limit(MAX_GROUPS + 1).collect())
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} sensitive groups")
+    return rows
 
 
 def resample(df: DataFrame, target: str, sens: str, strategy: str = "undersample",

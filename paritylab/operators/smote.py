@@ -27,6 +27,7 @@ from paritylab.functions.hashing import hash_key, hash_unit
 from paritylab.functions.keys import key_string
 from paritylab.operators import prep as pp
 from paritylab.operators.ranking import bucketed_rank, value_bucket
+from paritylab.session import cut_lineage
 
 # Fixed value: text written into non-numeric columns of synthetic rows.
 SYNTHETIC_TEXT = "SYNTHETIC"
@@ -34,6 +35,8 @@ EVAL_COL = "_fairness_eval_sens_attr"
 # First half-window (positions on each side) of the neighbour search.
 START_WINDOW = 16
 DRAW_CHUNK = 1_000_000
+# Subgroup tables (counts, representatives) are broadcast: bounded here.
+MAX_SUBGROUPS = 100_000
 
 
 def smote_features(df: DataFrame, target: str, sens: str, key: str,
@@ -58,7 +61,10 @@ def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None
     df = pp.Imputer("mean", feats).fit_transform(df)
     df = df.select(*[F.col(c).cast("double").alias(c) if c in feats else F.col(c) for c in df.columns])
     g = F.concat(key_string(sens), F.lit("_"), key_string(target))
-    counts = {r["g"]: r["n"] for r in df.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = df.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SUBGROUPS + 1).collect()
+    if len(rows) > MAX_SUBGROUPS:
+        raise ValueError(f"more than {MAX_SUBGROUPS} (sensitive, target) subgroups")
+    counts = {r["g"]: r["n"] for r in rows}
     if not counts or min(counts.values()) < 2:
         return df
     kk = min(k, max(1, min(counts.values()) - 1))
@@ -151,13 +157,12 @@ def _exact_knn(bases: DataFrame, pts: DataFrame, counts: dict, feats: Sequence[s
         gap_ok = lambda edge, sign: F.col(edge).isNull() | (
             (F.lit(sign) * (F.col(edge) - F.col("_bp"))) * (F.lit(sign) * (F.col(edge) - F.col("_bp"))) > F.col("_dk"))
         ok = (F.col("_c") >= F.least(F.lit(k), F.col("_n") - 1)) & gap_ok("_hi", 1.0) & gap_ok("_lo", -1.0)
-        status = chk.select("_g", "_b", (F.lit(full) | ok).alias("_ok")).persist()
+        # reliable checkpoint per round: the loop's lineage does not grow
+        status = cut_lineage(chk.select("_g", "_b", (F.lit(full) | ok).alias("_ok")))
         good = status.where("_ok").select("_g", "_b")
-        res = top.join(good, ["_g", "_b"], "left_semi").select("_g", "_b", "_j", "_nk")
-        res = res.persist()
-        res.count()
+        res = cut_lineage(top.join(good, ["_g", "_b"], "left_semi").select("_g", "_b", "_j", "_nk"))
         done = res if done is None else done.unionByName(res)
-        pending_next = status.where("NOT _ok").select("_g", "_b").persist()
+        pending_next = status.where("NOT _ok").select("_g", "_b")
         if full or pending_next.isEmpty():
             return done
         pending = pending_next
