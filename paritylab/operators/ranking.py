@@ -79,28 +79,18 @@ def hash_rank(df: DataFrame, strata: Sequence[str], seed, key: str = "row_id",
     return out
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int, fraction: float = 0.01,
-                    min_sample: int = 10_000) -> list[float]:
+def quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     """Strictly increasing Bucketizer splits from approximate quantiles.
 
     Only the balance of the buckets depends on the cut points, never the
-    result, so they come from a small random sample of the column (the full
-    column only when the sample is too small to be useful); B values reach
-    the driver, never data rows."""
+    result. One aggregate pass over the (pruned) column with a
+    Greenwald-Khanna sketch; B values reach the driver, never data rows."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     if not probs:
         return [float("-inf"), float("inf")]
     vals = df.select(F.col(col).cast("double").alias("_q")).where(F.col("_q").isNotNull())
-    accuracy = 10 * n_buckets
-
-    def cuts_of(frame):
-        row = frame.agg(F.percentile_approx("_q", probs, accuracy).alias("c"),
-                        F.count(F.lit(1)).alias("n")).first()
-        return (row["c"] or []), row["n"]
-
-    cuts, n = cuts_of(vals.sample(fraction=fraction, seed=17))   # one job over a 1 % sample
-    if n < min_sample:
-        cuts, _ = cuts_of(vals)
+    row = vals.agg(F.percentile_approx("_q", probs, 10 * n_buckets).alias("c")).first()
+    cuts = row["c"] or []
     splits = [float("-inf")]
     for c in sorted(set(x for x in cuts if x is not None)):
         if c > splits[-1]:
