@@ -76,3 +76,12 @@ def _grid(spark, sf):
     configs = gd.grid_configs(["logistic"])
     res = gd.run_grid(spark, {"customers": d}, [spec], runs=1, configs=configs, cv_folds=0)
     return res.drop("Seconds")
+
+
+# M3 + M4: relabeling ranked by the logistic ranker, as the reference runs it
+@register("relabel_ranker_customers")
+def _relabel_ranker(spark, sf):
+    from paritylab.operators import mitigate as mt
+    d = view(spark, sf, "audit_customers").select("row_id", "segment", "y", *_CUST_FEATURES).persist()
+    out = mt.mitigate(d, "relabel", "y", "segment", "BUILDING", features=_CUST_FEATURES)
+    return out.select("row_id", "segment", "y")
