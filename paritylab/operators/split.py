@@ -89,18 +89,44 @@ def stratified_split(df: DataFrame, strata: Sequence[str], test_size: float = 0.
     return res.withColumn(out, lab).drop("_sk", "_r", "_q", "_h")
 
 
+def _accepts(counts: dict, test_size: float) -> bool:
+    n = sum(counts.values())
+    n_test = math.ceil(test_size * n)
+    return bool(counts) and min(counts.values()) >= 2 and n_test >= len(counts) and n - n_test >= len(counts)
+
+
 def train_val_test(df: DataFrame, target: str, test_size: float = 0.2, val_size: float = 0.25,
                    seed: int = 42, key: str = "row_id") -> DataFrame:
     """test = test_size of all rows, then val = val_size of the rest,
-    both stratified by the target (random fallback)."""
-    # the first split feeds three consumers (counts and rank of the second
-    # split, and the test rows): persist it instead of recomputing its lineage
-    first = stratified_split(df, [target], test_size, seed, key, fallback=[], out="_s1").persist()
-    rest = first.where(F.col("_s1") == "train").drop("_s1")
-    test = first.where(F.col("_s1") == "test").drop("_s1").withColumn("split", F.lit("test"))
-    second = stratified_split(rest, [target], val_size, f"{seed}v", key, fallback=[],
-                              labels=("train", "val"))
-    return second.unionByName(test)
+    both stratified by the target (random fallback).
+
+    One count pass and one distributed rank: both allocations are computed
+    on the small stratum-count table (the second from the first's train
+    quotas), then ``rank <= q_train`` is train, ``q_train < rank <= q_first``
+    is validation and the rest is test. When the two splits would not use the
+    same stratification, two chained splits are used instead."""
+    spark = df.sparkSession
+    cols, counts = choose_strata(df, [[target]], test_size)
+    n = sum(counts.values())
+    first_q = largest_remainder(counts, n - math.ceil(test_size * n))
+    n1 = sum(first_q.values())
+    second_ok = _accepts(first_q, val_size) if cols else True
+    if cols and not second_ok:
+        first = stratified_split(df, [target], test_size, seed, key, fallback=[], out="_s1").persist()
+        rest = first.where(F.col("_s1") == "train").drop("_s1")
+        test = first.where(F.col("_s1") == "test").drop("_s1").withColumn("split", F.lit("test"))
+        return stratified_split(rest, [target], val_size, f"{seed}v", key, fallback=[],
+                                labels=("train", "val")).unionByName(test)
+    train_q = largest_remainder(first_q, n1 - math.ceil(val_size * n1))
+    quotas = spark.createDataFrame([(k, int(train_q[k]), int(first_q[k])) for k in counts],
+                                   "_sk string, _q2 long, _q1 long")
+    keyed = df.withColumn("_sk", stratum_key(cols))
+    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r")
+    side = F.broadcast(quotas) if len(counts) <= MAX_STRATA else quotas
+    res = ranked.join(side, "_sk", "left")
+    lab = (F.when(F.col("_r") <= F.col("_q2"), F.lit("train"))
+            .when(F.col("_r") <= F.col("_q1"), F.lit("val")).otherwise(F.lit("test")))
+    return res.withColumn("split", lab).drop("_sk", "_r", "_q1", "_q2", "_h")
 
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], k: int = 5, seed: int = 42,

@@ -66,13 +66,21 @@ def _folds(spark, sf):
     return sp.stratified_folds(d, ["y"], 5, 42)
 
 
-# Train / validation / test (20 % test, then 25 % of the rest)
+# Train / validation / test (20 % test, then 25 % of the rest) in one rank pass
 def _tvt_sql() -> str:
-    first = _split_sql("audit_customers", ["y"], 0.2, "42", "row_id, y, split")
-    return f"""s1 AS (WITH {first}),
-rest AS (SELECT row_id, y FROM s1 WHERE split = 'train'),
-{_split_sql('rest', ['y'], 0.25, '42v', "row_id, y, CASE WHEN split = 'test' THEN 'val' ELSE 'train' END AS split")}
-UNION ALL SELECT row_id, y, split FROM s1 WHERE split = 'test'"""
+    return f"""k AS (SELECT *, COALESCE(CAST(y AS VARCHAR), 'nan') AS _sk FROM audit_customers),
+c AS (SELECT _sk, COUNT(*) AS n FROM k GROUP BY _sk),
+t AS (SELECT SUM(n) AS tot, SUM(n) - CAST(ceil(0.2 * SUM(n)) AS BIGINT) AS n_train FROM c),
+b AS (SELECT _sk, n, (n * n_train) // tot AS base, (n * n_train) % tot AS rem, n_train FROM c, t),
+o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, _sk) AS ord, n_train - SUM(base) OVER () AS leftover FROM b),
+q AS (SELECT _sk, base + CASE WHEN ord <= leftover THEN 1 ELSE 0 END AS q1 FROM o),
+t2 AS (SELECT SUM(q1) AS tot, SUM(q1) - CAST(ceil(0.25 * SUM(q1)) AS BIGINT) AS n_train FROM q),
+b2 AS (SELECT _sk, q1, (q1 * n_train) // tot AS base, (q1 * n_train) % tot AS rem, n_train FROM q, t2),
+o2 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, _sk) AS ord, n_train - SUM(base) OVER () AS leftover FROM b2),
+q2 AS (SELECT _sk, q1, base + CASE WHEN ord <= leftover THEN 1 ELSE 0 END AS q2 FROM o2),
+r AS (SELECT k.*, ROW_NUMBER() OVER (PARTITION BY _sk ORDER BY {h('42', 'row_id')}, row_id) AS _r FROM k)
+SELECT row_id, y, CASE WHEN _r <= q2 THEN 'train' WHEN _r <= q1 THEN 'val' ELSE 'test' END AS split
+FROM r JOIN q2 USING (_sk)"""
 
 
 register("train_val_test_customers", with_views("", "audit_customers").rstrip() + ",\n" + _tvt_sql())(
