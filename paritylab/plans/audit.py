@@ -46,24 +46,57 @@ class AuditSpec:
     extra: dict = field(default_factory=dict)
 
 
-def preprocess(df: DataFrame, target: str, prep: PrepSpec, attrs: Sequence[str], privileged,
-               binarize: bool = False, key: str = "row_id") -> tuple[DataFrame, list[str], str, object]:
-    """P25: impute -> IQR -> composite -> binarize -> encode -> target codes,
-    fitted on the whole table (reference order). Returns
-    (table, model features, sensitive column, privileged value)."""
+@dataclass
+class FittedPrep:
+    """The fitted steps of P25, replayable on other rows (e.g. test rows)."""
+
+    target: str
+    steps: list
+    features: list
+    sensitive: str
+    privileged: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = step(df)
+        return df
+
+
+def fit_preprocess(df: DataFrame, target: str, prep: PrepSpec, attrs: Sequence[str], privileged,
+                   binarize: bool = False, key: str = "row_id") -> tuple[FittedPrep, DataFrame]:
+    """Fit P25 on ``df`` step by step (each step is fitted on the output of the
+    previous one, as in the reference) and return the fitted pipeline together
+    with ``df`` transformed by it."""
     feats = list(prep.selected_features or [c for c in df.columns if c not in (target, key)])
     work = feats + [target]
+    steps = []
+
+    def run(step):
+        nonlocal df
+        steps.append(step)
+        df = step(df)
+
     strat = prep.missing
     if strat and strat not in ("none", "skip"):
-        df = pp.smart_impute(df, strat, work) if strat in ("mean", "median") else \
-            pp.Imputer(strat, work).fit_transform(df) if strat == "mode" else \
-            pp.Imputer("drop", work).transform(df)
+        cols = [c for c in work if c in df.columns]
+        if strat in ("mean", "median"):
+            num = [c for c in cols if pp.is_numeric(df, c)]
+            cat = [c for c in cols if not pp.is_numeric(df, c)]
+            if num:
+                run(pp.Imputer(strat, num).fit(df).transform)
+            if cat:
+                run(pp.Imputer("mode", cat).fit(df).transform)
+        elif strat == "mode":
+            run(pp.Imputer("mode", cols).fit(df).transform)
+        else:
+            run(pp.Imputer("drop", cols).transform)
     if prep.outliers and prep.outliers not in ("none", "skip"):
         how = "clip" if prep.outliers == "clip" else "remove"
-        df = pp.IqrTrimmer(how, work).fit_transform(df)
+        run(pp.IqrTrimmer(how, work).fit(df).transform)
     attrs = list(attrs)
     if len(attrs) > 1:
-        df, sens = pp.add_composite(df, attrs)
+        sens = "_".join(attrs)
+        run(lambda d: pp.add_composite(d, attrs)[0])
         if isinstance(privileged, dict):
             privileged = pp.composite_privileged(privileged, attrs)
     else:
@@ -71,20 +104,31 @@ def preprocess(df: DataFrame, target: str, prep: PrepSpec, attrs: Sequence[str],
         if isinstance(privileged, dict):
             privileged = privileged[sens]
     if binarize:
-        df = pp.binarize(df, sens, privileged)
+        priv_value = privileged
+        run(lambda d: pp.binarize(d, sens, priv_value))
     cats = [c for c in pp.categorical_columns(df, feats) if c not in (target, sens)]
     model_feats = list(feats)
     if prep.encoding in ("one-hot", "onehot") and cats:
         enc = pp.OneHot(cats, target).fit(df)
-        df = enc.transform(df)
+        run(enc.transform)
         expanded = []
         for f in model_feats:
             expanded += [f] if f not in enc.values else [f"{f}_{v}" for v in enc.values[f]]
         model_feats = list(dict.fromkeys(expanded))
     elif prep.encoding == "label" and cats:
-        df = pp.LabelEncode(cats, target).fit_transform(df)
-    df = pp.encode_target(df, target)
-    return df, model_feats, sens, privileged
+        run(pp.LabelEncode(cats, target).fit(df).transform)
+    if pp.is_categorical(df, target):
+        run(pp.LabelEncode([target], keep_raw=False).fit(df).transform)
+    return FittedPrep(target, steps, model_feats, sens, privileged), df
+
+
+def preprocess(df: DataFrame, target: str, prep: PrepSpec, attrs: Sequence[str], privileged,
+               binarize: bool = False, key: str = "row_id") -> tuple[DataFrame, list[str], str, object]:
+    """P25: impute -> IQR -> composite -> binarize -> encode -> target codes,
+    fitted on the whole table (reference order). Returns
+    (table, model features, sensitive column, privileged value)."""
+    fitted, out = fit_preprocess(df, target, prep, attrs, privileged, binarize, key)
+    return out, fitted.features, fitted.sensitive, fitted.privileged
 
 
 def preprocess_basic(df: DataFrame, target: str, keep: Sequence[str] | None, missing: str = "mean",
@@ -142,26 +186,46 @@ def _config(df: DataFrame, sens: str, spec: AuditSpec, privileged, binarized: bo
 
 
 def baseline_audit(df: DataFrame, target: str, prep: PrepSpec, spec: AuditSpec,
-                   cv_folds: int = 5) -> dict:
-    """Preprocess -> stratified split -> experiment -> stats -> reorder."""
-    return _audit(df, target, prep, spec, None, cv_folds)
+                   cv_folds: int = 5, leak_free: bool = False) -> dict:
+    """Preprocess -> stratified split -> experiment -> stats -> reorder.
+
+    ``leak_free=False`` fits preprocessing on the whole table before the split
+    (the reference's order, SURVEY Q4); ``True`` splits the raw rows first,
+    fits on the training rows and replays the fitted steps on the test rows."""
+    return _audit(df, target, prep, spec, None, cv_folds, leak_free)
 
 
 def mitigation_audit(df: DataFrame, target: str, prep: PrepSpec, spec: AuditSpec, strategy: str,
-                     cv_folds: int = 5) -> dict:
+                     cv_folds: int = 5, leak_free: bool = False) -> dict:
     """As T9 with the mitigation on the training rows, plus the whole
     processed table mitigated for export (M8); test rows untouched."""
-    return _audit(df, target, prep, spec, strategy, cv_folds)
+    return _audit(df, target, prep, spec, strategy, cv_folds, leak_free)
 
 
-def _audit(df, target, prep, spec, strategy, cv_folds):
+def _audit(df, target, prep, spec, strategy, cv_folds, leak_free=False):
     binarized = spec.mode == "combined"
-    processed, feats, sens, priv = preprocess(df, target, prep, spec.attrs, spec.privileged,
-                                              binarize=binarized, key=spec.key)
-    # processed rows feed the split counts, the split and the export: persist once
-    processed = processed.persist()
+    if leak_free:
+        raw_sens = "_".join(spec.attrs)
+        raw = df if len(spec.attrs) == 1 else pp.add_composite(df, list(spec.attrs))[0]
+        s = stratified_split(raw.persist(), [target, raw_sens], 0.2, spec.seed, spec.key,
+                             fallback=[[target]]).persist()
+        train_raw = s.where(F.col("split") == "train").drop("split")
+        test_raw = s.where(F.col("split") == "test").drop("split")
+        if len(spec.attrs) > 1:
+            train_raw, test_raw = train_raw.drop(raw_sens), test_raw.drop(raw_sens)
+        fitted, train = fit_preprocess(train_raw, target, prep, spec.attrs, spec.privileged,
+                                       binarize=binarized, key=spec.key)
+        test = fitted.transform(test_raw)
+        processed = train.unionByName(test, allowMissingColumns=True).persist()
+        feats, sens, priv = fitted.features, fitted.sensitive, fitted.privileged
+    else:
+        processed, feats, sens, priv = preprocess(df, target, prep, spec.attrs, spec.privileged,
+                                                  binarize=binarized, key=spec.key)
+        # processed rows feed the split counts, the split and the export: persist once
+        processed = processed.persist()
     priv_v, unpriv = _config(processed, sens, spec, priv, binarized)
-    train, test = _split(processed, target, sens, spec.seed, spec.key)
+    if not leak_free:
+        train, test = _split(processed, target, sens, spec.seed, spec.key)
     metrics, pred = run_experiment(train, test, target, sens, priv_v, unpriv, feats, spec.model, strategy,
                                    spec.mode, spec.metrics, spec.seed, spec.key, cv_folds)
     export = mt.mitigate(processed, strategy, target, sens, priv_v, unpriv, spec.seed, spec.key,

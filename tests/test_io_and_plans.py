@@ -85,3 +85,17 @@ def test_mitigation_audit_report(spark):
     assert {"Test Accuracy", "Statistical Parity Difference", "Disparate Impact"} <= names
     assert mit["table"].count() == 2 * d.count()
     assert t["tradeoff"].count() == 2
+
+
+def test_leak_free_audit_fits_on_training_rows(spark):
+    d = load_view(spark, SMOKE, "audit_customers").persist()
+    prep = au.PrepSpec(missing="mean", outliers="iqr", encoding="one-hot",
+                       selected_features=["region", "c_acctbal", "n_orders", "max_price", "segment"])
+    spec = au.AuditSpec(attrs=["segment", "region"], privileged={"segment": "BUILDING", "region": "EUROPE"},
+                        mode="individual")
+    res = au.baseline_audit(d, "y", prep, spec, cv_folds=0, leak_free=True)
+    names = {r["metric"] for r in res["metrics"].collect()}
+    assert "Test Accuracy" in names and any(n.startswith("Statistical Parity Difference (Group:") for n in names)
+    assert res["sensitive"] == "segment_region"
+    fitted, _ = au.fit_preprocess(d, "y", prep, ["segment"], "BUILDING")
+    assert fitted.transform(d).columns == au.preprocess(d, "y", prep, ["segment"], "BUILDING")[0].columns
