@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.functions.hashing import hash_key
-from paritylab.operators.ranking import bucketed_rank, hash_rank, value_bucket
+from paritylab.operators.ranking import bucket_bits, bucketed_rank, hash_rank, value_bucket
 
 # Draws of one (group, label) cell are generated in chunks of this size so no
 # single task materialises a huge quota.
@@ -72,7 +72,8 @@ def resample(df: DataFrame, target: str, sens: str, strategy: str = "undersample
     qdf = spark.createDataFrame(quotas, "_g string, _y int, _q long, _avail long")
     base = (df.where(F.col(sens).isNotNull() & F.col(target).isin(0, 1))
               .withColumn("_g", F.col(sens).cast("string")).withColumn("_y", F.col(target).cast("int")))
-    ranked = hash_rank(base, ["_g", "_y"], seed, key, rank_col="_r")
+    biggest = max(max(c["pos"], c["neg"]) for c in cells)
+    ranked = hash_rank(base, ["_g", "_y"], seed, key, rank_col="_r", bits=bucket_bits(biggest))
     if strategy == "undersample":
         kept = ranked.join(F.broadcast(qdf), ["_g", "_y"], "inner").where(F.col("_r") <= F.col("_q"))
         return kept.select(*df.columns)

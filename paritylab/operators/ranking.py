@@ -20,8 +20,20 @@ from pyspark.sql import functions as F
 
 from paritylab.functions.hashing import hash_bucket, hash_key
 
-# Bits of the 60-bit hash used as the bucket: 2**16 segments per stratum.
+# Bits of the 60-bit hash used as the bucket when stratum sizes are unknown:
+# 2**16 segments per stratum.
 HASH_BUCKET_BITS = 16
+# Target rows per (stratum, bucket) window segment when stratum sizes are known.
+SEGMENT_ROWS = 1 << 17
+
+
+def bucket_bits(max_stratum_rows: int) -> int:
+    """Fewest hash bits that keep the largest stratum's segments near
+    ``SEGMENT_ROWS`` rows (0 for small strata, at most 24)."""
+    bits = 0
+    while bits < 24 and (max_stratum_rows >> bits) > SEGMENT_ROWS:
+        bits += 1
+    return bits
 
 
 def _offsets(df: DataFrame, strata: Sequence[str], bucket: str) -> DataFrame:

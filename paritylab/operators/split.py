@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.functions.keys import key_string
-from paritylab.operators.ranking import hash_rank
+from paritylab.operators.ranking import bucket_bits, hash_rank
 
 # Above this many strata the quota table is joined without a broadcast hint.
 MAX_STRATA = 1_000_000
@@ -82,7 +82,9 @@ def stratified_split(df: DataFrame, strata: Sequence[str], test_size: float = 0.
     train_q = largest_remainder(counts, n - n_test)
     quotas = spark.createDataFrame([(k, int(v)) for k, v in train_q.items()], "_sk string, _q long")
     keyed = df.withColumn("_sk", stratum_key(cols))
-    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r")
+    # stratum sizes are known: just enough hash bits to cut the largest stratum
+    # into segments of ~131k rows (a third of 100 TB -> 2**20+ segments)
+    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r", bits=bucket_bits(max(counts.values())))
     side = F.broadcast(quotas) if len(train_q) <= MAX_STRATA else quotas
     res = ranked.join(side, "_sk", "left")
     lab = F.when(F.col("_r") <= F.coalesce(F.col("_q"), F.lit(0)), F.lit(labels[0])).otherwise(F.lit(labels[1]))
@@ -121,7 +123,7 @@ def train_val_test(df: DataFrame, target: str, test_size: float = 0.2, val_size:
     quotas = spark.createDataFrame([(k, int(train_q[k]), int(first_q[k])) for k in counts],
                                    "_sk string, _q2 long, _q1 long")
     keyed = df.withColumn("_sk", stratum_key(cols))
-    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r")
+    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r", bits=bucket_bits(max(counts.values())))
     side = F.broadcast(quotas) if len(counts) <= MAX_STRATA else quotas
     res = ranked.join(side, "_sk", "left")
     lab = (F.when(F.col("_r") <= F.col("_q2"), F.lit("train"))

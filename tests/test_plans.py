@@ -28,10 +28,15 @@ def test_scan_is_pruned(spark):
 
 
 def test_rank_window_is_split_by_bucket(spark):
-    """The per-stratum rank runs in (stratum, bucket) segments, not one task per stratum."""
-    df = entry.queries()["stratified_split_orders"](spark, SMALL)
-    txt = plan_text(df)
-    assert "hashpartitioning(_sk" in txt and "_bkt" in txt.split("hashpartitioning(_sk", 1)[1].split(")")[0]
+    """With hash bits > 0 the per-stratum rank runs in (stratum, bucket) segments."""
+    from paritylab.operators.ranking import bucket_bits, hash_rank
+    from paritylab.sources.fixtures import load_view
+    d = load_view(spark, SMALL, "audit_orders").select("row_id", "segment")
+    txt = plan_text(hash_rank(d, ["segment"], 42, bits=4))
+    part = txt.split("hashpartitioning(segment", 1)[1].split(")")[0]
+    assert "_bkt" in part
+    # a stratum holding a third of 10^12 rows is cut into ~2**21 segments of <= 131k rows
+    assert bucket_bits(10 ** 12 // 3) >= 21 and bucket_bits(1000) == 0
 
 
 def test_oracle_types_match():
