@@ -102,7 +102,7 @@ _REGISTERED: dict[tuple[int, str], str] = {}
 def register_tables(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) -> None:
     for t in tables:
         k = (id(spark), t)
-        if _REGISTERED.get(k) == sf_dir:
+        if _REGISTERED.get(k) == sf_dir and spark.catalog.tableExists(t):
             continue
         path = os.path.join(sf_dir, f"{t}.parquet")
         if os.path.exists(path):
