@@ -61,13 +61,16 @@ def feature_stages(features: Sequence[str]) -> list:
 @dataclass
 class FittedModel:
     name: str
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     platt: PipelineModel | None = None
     features: list = field(default_factory=list)
+    members: list = field(default_factory=list)   # calibrated (svc, platt) pairs, one per fold
 
     def predict(self, df: DataFrame, target: str | None = None) -> DataFrame:
         """Adds ``prediction`` (int) and ``probability`` (P(1), double)."""
         d = df if target is None or LABEL in df.columns else df.withColumn(LABEL, F.col(target).cast("double"))
+        if self.members:
+            return _predict_calibrated(self.members, d)
         out = self.pipeline.transform(d)
         if self.platt is not None:
             out = self.platt.transform(out.withColumn("_margin", vector_to_array("rawPrediction")[1])
@@ -79,10 +82,62 @@ class FittedModel:
                   .drop(*drop).withColumnRenamed("_p1", "probability").withColumnRenamed("_yhat", "prediction")
 
 
+def _member_stages(features: Sequence[str], f: int, n_rows: int) -> list:
+    return [VectorAssembler(inputCols=list(features), outputCol=f"_raw{f}", handleInvalid="keep"),
+            StandardScaler(inputCol=f"_raw{f}", outputCol=f"_scaled{f}", withMean=True, withStd=True),
+            Normalizer(inputCol=f"_scaled{f}", outputCol=f"_feat{f}", p=2.0),
+            LinearSVC(featuresCol=f"_feat{f}", labelCol=LABEL, rawPredictionCol=f"_rp{f}",
+                      predictionCol=f"_svp{f}", regParam=1.0 / (0.8 * max(n_rows, 1)), maxIter=30000,
+                      tol=1e-4, standardization=False)]
+
+
+def _platt_stages(f: int) -> list:
+    return [VectorAssembler(inputCols=[f"_m{f}"], outputCol=f"_mv{f}"),
+            LogisticRegression(featuresCol=f"_mv{f}", labelCol=LABEL, regParam=0.0,
+                               probabilityCol=f"_pp{f}", rawPredictionCol=f"_lr{f}", predictionCol=f"_lp{f}")]
+
+
+def _predict_calibrated(members: list, d: DataFrame) -> DataFrame:
+    """Average of the members' sigmoid-calibrated P(1); class 1 when it is > 0.5."""
+    out = d
+    probs = []
+    for f, (svc, platt) in enumerate(members):
+        out = svc.transform(out).withColumn(f"_m{f}", vector_to_array(f"_rp{f}")[1])
+        out = platt.transform(out).withColumn(f"_p{f}", vector_to_array(f"_pp{f}")[1])
+        out = out.drop(f"_raw{f}", f"_scaled{f}", f"_feat{f}", f"_rp{f}", f"_svp{f}", f"_m{f}", f"_mv{f}",
+                       f"_pp{f}", f"_lr{f}", f"_lp{f}")
+        probs.append(F.col(f"_p{f}"))
+    avg = sum(probs[1:], probs[0]) / F.lit(float(len(probs)))
+    out = out.withColumn("probability", avg).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    return out.drop(*[f"_p{f}" for f in range(len(members))])
+
+
+def _fit_calibrated_svm(d: DataFrame, features: Sequence[str], n: int, seed: int, key: str,
+                        k: int = 5) -> FittedModel:
+    """T4: linear SVM with sigmoid calibration by k-fold cross-validation: each
+    fold's SVM is fitted on the other folds and calibrated on its own held-out
+    margins; predictions average the k calibrated members."""
+    from concurrent.futures import ThreadPoolExecutor
+    folded = stratified_folds(d, [LABEL], k, seed, key).persist()
+
+    def member(f: int):
+        tr = folded.where(F.col("fold") != f)
+        held = folded.where(F.col("fold") == f)
+        svc = Pipeline(stages=_member_stages(features, f, n)).fit(tr)
+        margins = svc.transform(held).withColumn(f"_m{f}", vector_to_array(f"_rp{f}")[1])
+        return svc, Pipeline(stages=_platt_stages(f)).fit(margins)
+
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        members = list(pool.map(member, range(k)))
+    return FittedModel("svm", None, None, list(features), members)
+
+
 def fit(df: DataFrame, target: str, features: Sequence[str], model: str = "logistic",
         seed: int = 42, n_rows: int | None = None, key: str = "row_id") -> FittedModel:
     d = df.withColumn(LABEL, F.col(target).cast("double"))
     n = n_rows if n_rows is not None else d.count()
+    if model in ("svm", "linear_svc") and key in d.columns:
+        return _fit_calibrated_svm(d, features, n, seed, key)
     if model == "gbm" and n > 10000:
         # 10 % early-stopping holdout, drawn from the row key (stable on retry)
         d = d.withColumn("_is_val", hash_unit(f"{seed}|gbm", key) < 0.1)
@@ -90,7 +145,7 @@ def fit(df: DataFrame, target: str, features: Sequence[str], model: str = "logis
     pipe = Pipeline(stages=[*feature_stages(features), est]).fit(d)
     platt = None
     if model in ("svm", "linear_svc"):
-        # sigmoid calibration on the margin (Platt scaling)
+        # no row key to build folds from: sigmoid calibration on the in-sample margin
         m = pipe.transform(d).withColumn("_margin", vector_to_array("rawPrediction")[1]) \
             .drop("probability", "prediction", "rawPrediction")
         platt = Pipeline(stages=[
