@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritylab.functions.keys import composite_key
 from paritylab.operators.split import has_two_classes, stratified_split
 from paritylab.plans import audit as au
 from paritylab.session import cut_lineage
@@ -148,6 +147,3 @@ def write_results(df: DataFrame, directory: str, fmt: str = "csv") -> str:
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
     return path
 
-
-def composite_setting(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    return df.withColumn("_".join(attrs), composite_key(list(attrs)))
