@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from paritylab.operators.split import has_two_classes, stratified_split
 from paritylab.plans import audit as au
-from paritylab.session import cut_lineage
+from paritylab.session import cut_lineage, job_pool
 
 # The grid of the reference benchmark.
 GRID_MODELS = ("logistic", "random_forest", "gbm", "svm")
@@ -108,6 +108,7 @@ def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], ru
             continue  # J5
         def one(cfg, spec=spec, attrs=attrs, priv=priv, run=run, train=train, test=test, sens=sens, feats=feats):
             t0 = time.time()
+            job_pool(spark, "grid", f"grid {spec.name} {'_'.join(attrs)} run {run} {cfg['model']} {cfg['detail']}")
             metrics, _ = au.run_experiment(train, test, spec.target, sens, 1, [0], feats, cfg["model"],
                                            cfg["strategy"], "combined", "all", 42 + run, key, cv_folds)
             m = {r["metric"]: r["value"] for r in metrics.collect()}  # one row per metric

@@ -27,6 +27,7 @@ from paritylab.functions.hashing import hash_unit
 from paritylab.operators import evaluate as ev
 from paritylab.operators import prep as pp
 from paritylab.operators.split import stratified_folds, stratified_split, train_val_test
+from paritylab.session import job_pool
 
 # Model names accepted by the registry (svm is an alias).
 MODEL_NAMES = ("logistic", "random_forest", "gbm", "svm", "linear_svc")
@@ -124,6 +125,7 @@ def _fit_calibrated_svm(d: DataFrame, features: Sequence[str], n: int, seed: int
     folded = stratified_folds(d, [LABEL], k, seed, key).persist()
 
     def member(f: int):
+        job_pool(d.sparkSession, "calibration", f"svm calibration fold {f}")
         tr = folded.where(F.col("fold") != f)
         held = folded.where(F.col("fold") == f)
         svc = Pipeline(stages=_member_stages(features, f, n)).fit(tr)
@@ -181,6 +183,7 @@ def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: s
         folded = stratified_folds(df, [target], k, seed, key).cache()
 
         def one(f: int) -> float:
+            job_pool(df.sparkSession, "cv", f"cv fold {f}")
             tr = folded.where(F.col("fold") != f)
             te = folded.where(F.col("fold") == f)
             m = fit(tr, target, features, model, seed, key=key)

@@ -56,3 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def job_pool(spark: SparkSession, pool: str, description: str | None = None) -> None:
+    """Tag the jobs of the calling thread: a scheduler pool (used when the
+    cluster runs ``spark.scheduler.mode=FAIR``, so concurrent CV folds / grid
+    configurations share executors fairly) and a description for the event log."""
+    sc = spark.sparkContext
+    sc.setLocalProperty("spark.scheduler.pool", pool)
+    if description:
+        sc.setJobDescription(description)
