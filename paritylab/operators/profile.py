@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paritylab.functions import quantiles as qn
-from paritylab.operators.fairness import ratio
 from paritylab.operators.prep import TEXT_TYPES, categorical_columns, numeric_columns
 
 # Fixed value: share of castable non-null cells above which a text column is numeric.
