@@ -57,6 +57,7 @@ def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None
     feats = smote_features(df, target, sens, key, features)
     if not feats:
         return df
+    original = df
     # mean-impute the numeric features (originals are returned imputed too)
     df = pp.Imputer("mean", feats).fit_transform(df)
     df = df.select(*[F.col(c).cast("double").alias(c) if c in feats else F.col(c) for c in df.columns])
@@ -66,7 +67,7 @@ def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None
         raise ValueError(f"more than {MAX_SUBGROUPS} (sensitive, target) subgroups")
     counts = {r["g"]: r["n"] for r in rows}
     if not counts or min(counts.values()) < 2:
-        return df
+        return original  # a subgroup too small to interpolate: the input, unchanged
     kk = min(k, max(1, min(counts.values()) - 1))
     n_max = max(counts.values())
     need = {grp: n_max - n for grp, n in counts.items() if n < n_max}
@@ -116,8 +117,14 @@ def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None
         elif c == EVAL_COL:
             e = F.col("_s")
         elif c == key:
+            # negative keys mark synthetic rows (60-bit hash; 31-bit for INT keys)
             kh = hash_key(f"{seed}|key", "_g", "_i")
-            e = -kh if isinstance(dt, (T.LongType, T.IntegerType)) else F.concat(F.lit("synthetic-"), kh.cast("string"))
+            if isinstance(dt, T.LongType):
+                e = -kh
+            elif isinstance(dt, (T.IntegerType, T.ShortType, T.ByteType)):
+                e = -(F.pmod(kh, F.lit(2147483647)) + 1)
+            else:
+                e = F.concat(F.lit("synthetic-"), kh.cast("string"))
         elif isinstance(dt, (*pp.TEXT_TYPES,)):
             e = F.lit(SYNTHETIC_TEXT)
         else:

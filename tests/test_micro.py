@@ -150,3 +150,22 @@ def test_erf_matches_math(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erf(F.col("x")).alias("e"))
     for r in df.collect():
         assert r["e"] == pytest.approx(math.erf(r["x"]), abs=1e-12)
+
+
+def test_smote_tiny_subgroup_returns_input(spark):
+    from paritylab.operators.smote import smote
+    df = rows(spark, [(1, "a", 1, None), (2, "a", 0, 2.0), (3, "a", 0, 3.0), (4, "b", 1, 4.0), (5, "b", 1, 5.0)],
+              "row_id int, g string, y int, x double")
+    out = smote(df, "y", "g", ["x"])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_smote_balances_subgroups(spark):
+    from paritylab.operators.smote import smote
+    data = [(i, "a", 1, float(i)) for i in range(6)] + [(10 + i, "a", 0, float(i) * 2) for i in range(3)] + \
+           [(20 + i, "b", 1, float(i) + 0.5) for i in range(4)]
+    df = rows(spark, data, "row_id int, g string, y int, x double")
+    out = smote(df, "y", "g", ["x"], k=2)
+    counts = {(r["g"], r["y"]): r["count"] for r in out.groupBy("g", "y").count().collect()}
+    assert counts == {("a", 1): 6, ("a", 0): 6, ("b", 1): 6}
+    assert out.where("row_id < 0").count() == 5  # 3 + 2 synthetic rows
