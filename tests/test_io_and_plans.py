@@ -99,3 +99,12 @@ def test_leak_free_audit_fits_on_training_rows(spark):
     assert res["sensitive"] == "segment_region"
     fitted, _ = au.fit_preprocess(d, "y", prep, ["segment"], "BUILDING")
     assert fitted.transform(d).columns == au.preprocess(d, "y", prep, ["segment"], "BUILDING")[0].columns
+
+
+def test_malformed_line_is_an_error(spark):
+    lines = _orders(spark).select(F.concat_ws(",", F.col("row_id").cast("string"), "segment").alias("value"))
+    bad = spark.createDataFrame([("row_id,segment",), ("1,a,EXTRA",)], "value string")
+    path = os.path.join(tempfile.mkdtemp(prefix="paritylab-io-"), "bad.csv")
+    bad.unionByName(lines).coalesce(1).write.text(path)
+    with pytest.raises(Exception):
+        io.read_table(spark, path).collect()
