@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.operators.fairness import ratio
-from paritylab.operators.ranking import running_sums
+from paritylab.operators.ranking import broadcast_if_small, running_sums
 
 
 def _c(x) -> Column:
@@ -115,7 +115,7 @@ def pr_curve(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int
     totals = sc.groupBy(*by).agg(F.sum("pos").alias("_P"))
     if not by:
         cum, totals = cum.withColumn("_k", F.lit(0)), totals.withColumn("_k", F.lit(0))
-    cum = cum.join(totals, keys, "inner")  # one row per audit key; AQE broadcasts it
+    cum = cum.join(broadcast_if_small(totals), keys, "inner")  # one row per audit key
     return cum.select(
         *by, F.col("score").alias("threshold"), F.col("pos"),
         ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),

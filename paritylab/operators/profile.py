@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from paritylab.functions import quantiles as qn
 from paritylab.operators.prep import TEXT_TYPES, categorical_columns, numeric_columns
+from paritylab.operators.ranking import broadcast_if_small
 
 # Fixed value: share of castable non-null cells above which a text column is numeric.
 NUMERIC_SHARE = 0.8
@@ -198,7 +199,7 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1")))
-    j = long.join(q, keys)  # q has one row per (by, column): AQE broadcasts it
+    j = long.join(broadcast_if_small(q), keys)  # q: one row per (by, column)
     inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
     agg = j.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -290,7 +291,7 @@ def score_density(df: DataFrame, score: str, sens: str, grid: int = 200,
         hist = base.groupBy(F.col(sens).alias("group"),
                             F.least(F.floor(s * bins), F.lit(bins - 1)).alias("bin")) \
             .agg(F.count(F.lit(1)).alias("cnt"), F.avg(s).alias("center"))
-    h = hist.join(stats, "group")
+    h = hist.join(broadcast_if_small(stats), "group")  # stats: one row per group
     pts = F.sequence(F.lit(0), F.lit(grid - 1))
     bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     e = h.select("group", "cnt", "center", "n", bw.alias("bw"), F.explode(pts).alias("i"))

@@ -157,3 +157,20 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     out = joined.select(*[c for c in df.columns],
                         *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols])
     return out
+
+
+# Tables of per-group parameters (one row per group / audit key) joined back to
+# data rows are broadcast when their checked size is at most this many rows.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(small: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a per-group parameter table after checking its size.
+
+    Such tables are joined to data rows on a few distinct keys (a group, an
+    audit key); a shuffle join would send every row of a hot group to one
+    task, a broadcast join keeps the data rows where they are. The table is
+    persisted (it is small) so the size check does not recompute it. Above
+    ``bound`` rows it is left to the planner (AQE skew-join handling)."""
+    small = small.persist()
+    return F.broadcast(small) if small.count() <= bound else small

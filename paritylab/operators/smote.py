@@ -160,7 +160,8 @@ def _exact_knn(bases: DataFrame, pts: DataFrame, counts: dict, feats: Sequence[s
         kth = top.groupBy("_g", "_b", "_bp").agg(F.max("_d2").alias("_dk"), F.count(F.lit(1)).alias("_c"))
         edge_hi = pts.select("_g", (F.col("_pos") - (w + 1)).alias("_b"), F.col("_p").alias("_hi"))
         edge_lo = pts.select("_g", (F.col("_pos") + (w + 1)).alias("_b"), F.col("_p").alias("_lo"))
-        chk = (kth.join(sizes, "_g").join(edge_hi, ["_g", "_b"], "left").join(edge_lo, ["_g", "_b"], "left"))
+        chk = (kth.join(F.broadcast(sizes), "_g")     # one row per subgroup, bounded by MAX_SUBGROUPS
+               .join(edge_hi, ["_g", "_b"], "left").join(edge_lo, ["_g", "_b"], "left"))
         gap_ok = lambda edge, sign: F.col(edge).isNull() | (
             (F.lit(sign) * (F.col(edge) - F.col("_bp"))) * (F.lit(sign) * (F.col(edge) - F.col("_bp"))) > F.col("_dk"))
         ok = (F.col("_c") >= F.least(F.lit(k), F.col("_n") - 1)) & gap_ok("_hi", 1.0) & gap_ok("_lo", -1.0)
