@@ -8,6 +8,8 @@ that row; triggered rules are emitted as rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +22,30 @@ IDEALS = {
 }
 ACCURACY_KEY = "Test Accuracy"
 
-# Rule categories, descriptions and confidence levels.
+# Rule categories, descriptions, confidence levels and evidence
+# formats ({name} = a worst-gap value printed with 4 decimals).
 RULES = {
     "gap_remaining": ("Fairness Gap Remaining",
-                      "Mitigation improved parity, but a significant gap still exists.", "High"),
-    "low_impact": ("Low Mitigation Impact", "The current method had minimal effect on fairness.", "High"),
-    "beyond_parity": ("Beyond Parity", "Successfully achieved Demographic Parity.", "High"),
+                      "Mitigation improved parity, but a significant gap still exists.", "High",
+                      "Largest Statistical Parity Difference is {spd_a}."),
+    "low_impact": ("Low Mitigation Impact", "The current method had minimal effect on fairness.", "High",
+                   "Statistical Parity Difference remains high at {spd_a}."),
+    "beyond_parity": ("Beyond Parity", "Successfully achieved Demographic Parity.", "High",
+                      "SPD dropped to {spd_a} and DI is {di_a}."),
     "error_imbalance": ("Error Rate Imbalance",
-                        "Model accuracy is still significantly different between groups.", "High"),
-    "stubborn": ("Stubborn Error Bias", "Mitigation failed to balance error rates.", "High"),
-    "odds_achieved": ("Equalized Odds Achieved", "Successfully balanced error rates across groups.", "High"),
+                        "Model accuracy is still significantly different between groups.", "High",
+                        "Equal Opportunity Difference is {eod_a}."),
+    "stubborn": ("Stubborn Error Bias", "Mitigation failed to balance error rates.", "High",
+                 "Average Odds Difference is {aod_a}."),
+    "odds_achieved": ("Equalized Odds Achieved", "Successfully balanced error rates across groups.", "High",
+                      "EOD dropped to {eod_a}."),
     "accuracy_tradeoff": ("Significant Accuracy Trade-off",
-                          "Accuracy dropped significantly after mitigation.", "High"),
-    "missing_bias": ("Missing Data Bias", "Exclusion bias risk due to 'Drop' strategy.", "Medium"),
-    "encoding": ("Encoding Choice", "Potential ordinal bias from Label Encoding.", "Medium"),
+                          "Accuracy dropped significantly after mitigation.", "High",
+                          "Accuracy dropped by {acc_drop} ({acc_b} -> {acc_a})"),
+    "missing_bias": ("Missing Data Bias", "Exclusion bias risk due to 'Drop' strategy.", "Medium",
+                     "Rows with missing data were removed."),
+    "encoding": ("Encoding Choice", "Potential ordinal bias from Label Encoding.", "Medium",
+                 "Categorical features were mapped to integers."),
 }
 
 
@@ -61,10 +73,21 @@ def _f4(c: Column) -> Column:
     return F.format_string("%.4f", c)
 
 
-def _rec(key: str, evidence: Column) -> Column:
-    cat, desc, conf = RULES[key]
+def _evidence(template: str, values: dict) -> Column:
+    """Render an evidence format: text pieces as literals, {name} as 4-dp numbers."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            parts.append(_f4(values[piece]))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def _rec(key: str, values: dict | None = None) -> Column:
+    cat, desc, conf, template = RULES[key]
     return F.struct(F.lit(cat).alias("category"), F.lit(desc).alias("description"),
-                    evidence.alias("evidence"), F.lit(conf).alias("confidence_level"))
+                    _evidence(template, values or {}).alias("evidence"), F.lit(conf).alias("confidence_level"))
 
 
 def fairness_rules(metrics: DataFrame, audit: str = "audit_id") -> DataFrame:
@@ -79,21 +102,15 @@ def fairness_rules(metrics: DataFrame, audit: str = "audit_id") -> DataFrame:
     odds_gap_a = (F.abs(eod_a) > 0.1) | (F.abs(aod_a) > 0.1)
     odds_gap_b = (F.abs(eod_b) > 0.1) | (F.abs(aod_b) > 0.1)
     odds_better = (F.abs(eod_a) < F.abs(eod_b)) | (F.abs(aod_a) < F.abs(aod_b))
-    parity = (F.when(parity_gap_a & parity_better,
-                     _rec("gap_remaining", F.concat(F.lit("Largest Statistical Parity Difference is "), _f4(spd_a), F.lit("."))))
-               .when(parity_gap_a,
-                     _rec("low_impact", F.concat(F.lit("Statistical Parity Difference remains high at "), _f4(spd_a), F.lit("."))))
-               .when(parity_gap_b,
-                     _rec("beyond_parity", F.concat(F.lit("SPD dropped to "), _f4(spd_a), F.lit(" and DI is "), _f4(di_a), F.lit(".")))))
-    odds = (F.when(odds_gap_a & odds_better,
-                   _rec("error_imbalance", F.concat(F.lit("Equal Opportunity Difference is "), _f4(eod_a), F.lit("."))))
-             .when(odds_gap_a,
-                   _rec("stubborn", F.concat(F.lit("Average Odds Difference is "), _f4(aod_a), F.lit("."))))
-             .when(odds_gap_b,
-                   _rec("odds_achieved", F.concat(F.lit("EOD dropped to "), _f4(eod_a), F.lit(".")))))
-    accuracy = F.when((acc_b > 0) & ((acc_b - acc_a) > 0.05),
-                      _rec("accuracy_tradeoff", F.concat(F.lit("Accuracy dropped by "), _f4(acc_b - acc_a),
-                                                         F.lit(" ("), _f4(acc_b), F.lit(" -> "), _f4(acc_a), F.lit(")"))))
+    vals = {"spd_a": spd_a, "di_a": di_a, "eod_a": eod_a, "aod_a": aod_a, "acc_a": acc_a, "acc_b": acc_b,
+            "acc_drop": acc_b - acc_a}
+    parity = (F.when(parity_gap_a & parity_better, _rec("gap_remaining", vals))
+               .when(parity_gap_a, _rec("low_impact", vals))
+               .when(parity_gap_b, _rec("beyond_parity", vals)))
+    odds = (F.when(odds_gap_a & odds_better, _rec("error_imbalance", vals))
+             .when(odds_gap_a, _rec("stubborn", vals))
+             .when(odds_gap_b, _rec("odds_achieved", vals)))
+    accuracy = F.when((acc_b > 0) & ((acc_b - acc_a) > 0.05), _rec("accuracy_tradeoff", vals))
     recs = g.select(audit, F.explode(F.array(parity, odds, accuracy)).alias("r")).where(F.col("r").isNotNull())
     return recs.select(audit, "r.*")
 
@@ -101,9 +118,9 @@ def fairness_rules(metrics: DataFrame, audit: str = "audit_id") -> DataFrame:
 def methodology_rules(selections: DataFrame, audit: str = "audit_id") -> DataFrame:
     """R9/R10 from a table (audit_id, missing_values, encoding)."""
     r9 = F.when(F.coalesce(F.col("missing_values"), F.lit("")).contains("Drop"),
-                _rec("missing_bias", F.lit("Rows with missing data were removed.")))
+                _rec("missing_bias"))
     r10 = F.when(F.coalesce(F.col("encoding"), F.lit("")).contains("Label Encoding"),
-                 _rec("encoding", F.lit("Categorical features were mapped to integers.")))
+                 _rec("encoding"))
     recs = selections.select(audit, F.explode(F.array(r9, r10)).alias("r")).where(F.col("r").isNotNull())
     return recs.select(audit, "r.*")
 
