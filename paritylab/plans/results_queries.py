@@ -99,24 +99,28 @@ def _top(spark, sf):
 
 
 # ---------------------------------------------------------------- R1-R8 over one audit per region
-def _stage_metrics(df, pred: str, stage: str):
+def _stage_metrics(df, pred: str, stage: str, by: str = "region"):
     wide = fm.fairness_metrics(df, "segment", "BUILDING", label="y", pred=pred, mode="individual",
-                               by=["region"])
-    long = fm.fairness_long(wide, by=["region"], group_col="group")
-    acc = ev.performance(df, "y", pred, by=["region"]).select(
-        "region", F.lit(rl.ACCURACY_KEY).alias("metric"), F.col("accuracy").alias("value"))
+                               by=[by])
+    long = fm.fairness_long(wide, by=[by], group_col="group")
+    acc = ev.performance(df, "y", pred, by=[by]).select(
+        by, F.lit(rl.ACCURACY_KEY).alias("metric"), F.col("accuracy").alias("value"))
     return long.unionByName(acc).withColumn("stage", F.lit(stage))
 
 
-def _recs(spark, sf):
-    d = view(spark, sf, "audit_orders").withColumn("y_pred_after", (F.col("o_totalprice") >= 150000).cast("int"))
-    metrics = _stage_metrics(d, "y_pred", "before").unionByName(_stage_metrics(d, "y_pred_after", "after"))
-    return rl.fairness_rules(metrics.withColumnRenamed("region", "audit_id"))
+def _recs_for(by: str, threshold: int):
+    def run(spark, sf):
+        d = view(spark, sf, "audit_orders").withColumn("y_pred_after",
+                                                       (F.col("o_totalprice") >= threshold).cast("int"))
+        metrics = _stage_metrics(d, "y_pred", "before", by).unionByName(
+            _stage_metrics(d, "y_pred_after", "after", by))
+        return rl.fairness_rules(metrics.withColumnRenamed(by, "audit_id"))
+    return run
 
 
-def _recs_sql() -> str:
+def _recs_sql(by: str = "region", threshold: int = 150000) -> str:
     def stage(pred, name):
-        body = individual_sql("src", "segment", "'BUILDING'", "y", pred, by=["region"])
+        body = individual_sql("src", "segment", "'BUILDING'", "y", pred, by=[by])
         # rename CTEs per stage to keep them apart
         for cte in ("c", "r", "p"):
             body = re.sub(rf"\b{cte} AS \(", f"{cte}_{name} AS (", body)
@@ -129,11 +133,11 @@ def _recs_sql() -> str:
     longs = []
     for name in ("before", "after"):
         for k, v in fair.items():
-            longs.append(f"SELECT region AS audit_id, '{name}' AS stage, '{v} (Group: ' || \"group\" || ')' AS metric, "
+            longs.append(f"SELECT {by} AS audit_id, '{name}' AS stage, '{v} (Group: ' || \"group\" || ')' AS metric, "
                          f"{k} AS value FROM m_{name}")
         pred = "y_pred" if name == "before" else "y_pred_after"
-        longs.append(f"SELECT region, '{name}', 'Test Accuracy', CAST(COUNT_IF(y = {pred}) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) "
-                     f"FROM src GROUP BY region")
+        longs.append(f"SELECT {by}, '{name}', 'Test Accuracy', CAST(COUNT_IF(y = {pred}) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) "
+                     f"FROM src GROUP BY {by}")
     ideals = {"Disparate Impact": ("di", 1.0), "Statistical Parity Difference": ("spd", 0.0),
               "Equal Opportunity Difference": ("eod", 0.0), "Average Odds Difference": ("aod", 0.0)}
     picks = []
@@ -176,10 +180,12 @@ FROM g WHERE NOT (abs(eod_a) > 0.1 OR abs(aod_a) > 0.1) AND (abs(eod_b) > 0.1 OR
 UNION ALL SELECT audit_id, 'Significant Accuracy Trade-off', 'Accuracy dropped significantly after mitigation.',
        'Accuracy dropped by ' || {f4('acc_b - acc_a')} || ' (' || {f4('acc_b')} || ' -> ' || {f4('acc_a')} || ')', 'High'
 FROM g WHERE acc_b > 0 AND (acc_b - acc_a) > 0.05"""
-    src = "src AS (SELECT *, CAST(o_totalprice >= 150000 AS INTEGER) AS y_pred_after FROM audit_orders)"
+    src = f"src AS (SELECT *, CAST(o_totalprice >= {threshold} AS INTEGER) AS y_pred_after FROM audit_orders)"
     body = ",\n".join([src, stage("y_pred", "before"), stage("y_pred_after", "after"),
                        "lng AS (" + " UNION ALL ".join(longs) + ")", *picks, ids, g])
     return _sql(("audit_orders",), body + recs)
 
 
-register("recommendations_by_region", _recs_sql())(_recs)
+register("recommendations_by_region", _recs_sql("region", 150000))(_recs_for("region", 150000))
+# a second scenario: one audit per order status, a lower threshold for the "after" predictions
+register("recommendations_by_status", _recs_sql("status", 100000))(_recs_for("status", 100000))
