@@ -11,6 +11,7 @@ from paritylab.sources.fixtures import BASE_TABLES
 from tests.conftest import SMOKE
 
 ORACLE = entry.oracle_sql()
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 QUERIES = entry.queries()
 
 
@@ -42,6 +43,9 @@ def test_query_matches_duckdb(spark, con, name):
     rel = con.sql(ORACLE[name])
     dcols = rel.columns
     assert sorted(cols) == sorted(dcols)
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+                   for f in sdf.schema.fields}
+    assert spark_types == dict(zip(dcols, [str(t) for t in rel.types])), "column types differ"
     idx = [dcols.index(c) for c in sorted(cols)]
     drows = [tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()]
     assert len(srows) == len(drows)
