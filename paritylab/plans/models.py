@@ -122,7 +122,7 @@ def _fit_calibrated_svm(d: DataFrame, features: Sequence[str], n: int, seed: int
     fold's SVM is fitted on the other folds and calibrated on its own held-out
     margins; predictions average the k calibrated members."""
     from concurrent.futures import ThreadPoolExecutor
-    folded = stratified_folds(d, [LABEL], k, seed, key).persist()
+    folded = stratified_folds(d, [LABEL], k, seed, key, max_stratum_rows=n).persist()
 
     def member(f: int):
         job_pool(d.sparkSession, "calibration", f"svm calibration fold {f}")
@@ -180,7 +180,7 @@ def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: s
     the scheduler runs them side by side (the reference uses k processes)."""
     from concurrent.futures import ThreadPoolExecutor
     try:
-        folded = stratified_folds(df, [target], k, seed, key).cache()
+        folded = stratified_folds(df, [target], k, seed, key, max_stratum_rows=df.count()).cache()
 
         def one(f: int) -> float:
             job_pool(df.sparkSession, "cv", f"cv fold {f}")
