@@ -67,3 +67,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from paritylab.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
+@register
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritylab.llm.warc import round_trip
+    return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+ORACLE["op10_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT *, sha1(b) AS h, min(page_id) OVER (PARTITION BY sha1(b)) AS first_id FROM p),
+d AS (SELECT *, [CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) FOR i IN range(0, 20)] AS y FROM f)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((((y[(k * 5) // 8 + 1] * 256 + coalesce(y[(k * 5) // 8 + 2], 0)) >> CAST(11 - (k * 5) % 8 AS INTEGER)) & 31) + 1 AS BIGINT), 1)
+    FOR k IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d"""
