@@ -112,15 +112,18 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("_sha"),
                        F.octet_length(html).alias("_bytes"))
-    ids = own.where(F.col("_bytes") >= least_bytes).select("page_id", "_sha")
-    first = ids.groupBy("_sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    ids = own.select("page_id", "_sha", "_bytes")
+    first = (ids.where(F.col("_bytes") >= least_bytes).groupBy("_sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+             .where("n > 1"))
     again = (ids.join(first, "_sha").where("page_id > refers_to OR page_id IS NULL AND refers_to IS NOT NULL")
-             .select("page_id", "_sha", "refers_to").distinct()
-             .select(F.col("page_id").alias("_p"), F.col("_sha").alias("_s"), "refers_to"))
-    repeated = own.select("page_id").groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("_q"))
-    return (own.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_sha") == F.col("_s")), "left")
-            .join(repeated, F.col("page_id") == F.col("_q"), "left")
-            .select("page_id", "url", "html", "refers_to", (F.col("_q").isNull() & F.col("page_id").isNotNull()).alias("single")))
+             .select("page_id", "_sha", "refers_to", F.lit(False).alias("many")))
+    repeated = ids.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("_q"))
+    same = (ids.join(repeated, F.col("page_id").eqNullSafe(F.col("_q")))
+            .select("page_id", "_sha", F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("many")))
+    marks = (again.unionAll(same).groupBy("page_id", "_sha").agg(F.max("refers_to").alias("refers_to"), F.max("many").alias("many"))
+             .withColumnsRenamed({"page_id": "_p", "_sha": "_s"}))
+    return (own.join(marks, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_sha") == F.col("_s")), "left")
+            .select("page_id", "url", "html", "refers_to", (~F.coalesce("many", F.lit(False)) & F.col("page_id").isNotNull()).alias("single")))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, file_records: int = FILE_RECORDS, least_bytes: int = 0) -> None:
