@@ -29,6 +29,12 @@ def op1_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) AS doc_id", "text"))
 
 
+@register
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritylab.llm.repeats import removal_report
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paritylab.llm.toxicity import THRESHOLD, remainder, score_documents, train
