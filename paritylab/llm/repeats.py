@@ -5,8 +5,8 @@
    bytes up to MIN - K on either side (clipped at the document): all windows that contain the gram.
 2. Anchors meet by gram hash, as packed numpy columns. Anchors of one context are one repeat; the earliest
    stands for them. Only where a gram has several contexts their bytes are needed.
-3. Those contexts are laid out as one text with an enhanced suffix array (rank doubling; common-prefix
-   lengths from the ranks). A stack scan of the common prefixes gives the interval tree; an interval of
+3. Those contexts are laid out as one text with an enhanced suffix array (sorted suffixes and their
+   common-prefix lengths). A stack scan of the common prefixes gives the interval tree; an interval of
    depth MIN or more whose occurrences have different left neighbours is a maximal repeat, reported with
    all its occurrences. An interval with a single left neighbour is part of a longer repeat one byte to the
    left, and so are all intervals below it.
@@ -138,7 +138,7 @@ def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def anchor_blocks(docs: DataFrame, text: str, parts: int, least: int) -> DataFrame:
+def anchor_blocks(docs: DataFrame, text: str, parts: int, least: int, groups: bool) -> DataFrame:
     """(part, block, kind ...): packed anchors for each part, one of every context per slice, and the
     occurrences that the slice already knows to be later ones."""
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -161,11 +161,14 @@ def anchor_blocks(docs: DataFrame, text: str, parts: int, least: int) -> DataFra
             many[lead[later]] = True
             left, length = pos - lo, hi - lo
             if later.any():
-                own = d[doc[later]]
+                grp, who, at, size = mix64(h[later] ^ (ctx[later] << np.uint64(16))), doc[later], lo[later] - offsets[doc[later]], length[later]
+                if not groups:  # only their union is wanted
+                    who, at, end = joined_spans(who, at, at + size)
+                    grp, size = np.zeros(len(who), np.int64), end - at
+                own = d[who]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((mix64(own.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)), pa.nulls(len(own), pa.binary()),
-                     *found_batch(LATER, mix64(h[later] ^ (ctx[later] << np.uint64(16))), own, t[doc[later]],
-                                  lo[later] - offsets[doc[later]], length[later]).columns],
+                     *found_batch(LATER, grp, own, t[who], at, size).columns],
                     names=["part", "block", "kind", "grp", "_rd", "_rt", "at", "len"])
             pos, doc, h, ctx, rel, left, length, many = (x[first] for x in (pos, doc, h, ctx, rel, left, length, many))
             part = (mix64(h) % np.uint64(parts)).astype(np.int64)
@@ -223,40 +226,43 @@ def meet(blocks: DataFrame, parts: int, firsts: bool) -> DataFrame:
 
 
 class SuffixArray:
-    """Enhanced suffix array of contexts laid out one after another, over suffixes of ``least`` bytes or more."""
+    """Enhanced suffix array of contexts laid out one after another, over the suffixes that can open an interval
+    of depth ``least`` whose left neighbours differ.
+
+    Suffixes are first classed by a hash of their first ``least`` bytes. A class of one has no such interval; in
+    a class with one left neighbour every interval has one left neighbour. The rest is sorted byte by byte."""
 
     def __init__(self, contexts: list[bytes], least: int):
         size = np.array([len(c) for c in contexts])
-        self.start = np.cumsum(size + 1) - size - 1
-        data = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8)  # a byte that UTF-8 never has, above all others
-        n = len(data)
-        padded = np.concatenate([data, np.full(8, 255, np.uint8)])
-        words = np.zeros(n, np.uint64)
-        for j in range(8):
-            words = words << np.uint64(8) | padded[j:j + n]
-        levels = [(8, np.unique(words, return_inverse=True)[1].astype(np.int32))]
-        while levels[-1][0] <= size.max():
-            length, rank = levels[-1]
-            after = np.concatenate([rank[length:] + 1, np.zeros(min(length, n), np.int32)])[:n]
-            levels.append((2 * length, np.unique(rank.astype(np.int64) << 32 | after, return_inverse=True)[1].astype(np.int32)))
-        room = np.repeat(size, size + 1) - (np.arange(n) - np.repeat(self.start, size + 1))  # bytes left in the context
-        places = np.flatnonzero(room >= least)
-        self.order = places[np.argsort(levels[-1][1][places], kind="stable")]
-        i, j = self.order[:-1], self.order[1:]
-        common = np.zeros(len(i), np.int64)
-        for length, rank in levels[-2::-1]:
-            x, y = i + common, j + common
-            ok = np.maximum(x, y) < n
-            same = ok & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            common += np.where(same, length, 0)
-        for _ in range(7):
-            x, y = np.minimum(i + common, n - 1), np.minimum(j + common, n - 1)
-            common += (data[x] == data[y]) & (common % 8 < 7) & (np.maximum(i, j) + common < n)
-        self.common = np.minimum(common, np.minimum(room[i], room[j]))
-        self.context = np.searchsorted(self.start, self.order, side="right") - 1
-        self.offset = self.order - self.start[self.context]
+        start = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(contexts), np.uint8)
+        places = np.maximum(size - least + 1, 0)
+        owner = np.repeat(np.arange(len(size)), places)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places)
+        at = start[owner] + offset
+        p = prefix_hash(spread_symbols(np.arange(256))[data])
+        window = range_hash(p, at, at + least)
         # What stands left of each suffix; a context's first byte may have anything there.
-        self.left = np.where(self.offset > 0, data[np.maximum(self.order - 1, 0)].astype(np.int64), -1 - self.context)
+        left = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1 - owner)
+        order = np.argsort(window, kind="stable")
+        cut = np.flatnonzero(_first_of_runs(window[order])) if len(order) else np.zeros(0, np.int64)
+        if len(cut):
+            ordered = left[order]
+            mixed = np.minimum.reduceat(ordered, cut) != np.maximum.reduceat(ordered, cut)
+            order = order[np.repeat(mixed, np.diff(np.append(cut, len(order))))]
+        owner, offset, at = owner[order], offset[order], at[order]
+        room = size[owner] - offset
+        width = -(-int(room.max(initial=8)) // 8) * 8
+        reach = at[:, None] + np.arange(width)
+        rows = np.where(np.arange(width) < room[:, None], data[np.minimum(reach, len(data) - 1)] if len(data) else 0, 255).astype(np.uint8)
+        words = rows.view(">u8").astype(np.uint64)  # 255 ends a context: UTF-8 never has it, and it sorts last
+        order = np.lexsort(words.T[::-1]) if len(rows) else np.zeros(0, np.int64)
+        rows, room = rows[order], room[order]
+        self.context, self.offset = owner[order], offset[order]
+        differs = rows[1:] != rows[:-1]
+        common = np.where(differs.any(1), differs.argmax(1), width)
+        self.common = np.minimum(common, np.minimum(room[1:], room[:-1]))
+        self.left = np.where(self.offset > 0, data[np.maximum(start[self.context] + self.offset - 1, 0)].astype(np.int64), -1 - self.context)
 
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, int]]:
         """(length, first, last) of the intervals of depth ``least`` or more with different left neighbours."""
@@ -407,7 +413,7 @@ def occurrences(keyed: DataFrame, dealt: DataFrame, least: int = MIN, firsts: bo
     """(kind, grp, _rd, _rt, at, len): repeat groups with their occurrences; kind 1 marks the earliest (left out
     unless ``firsts``), 0 the later ones."""
     parts = partitions(keyed.sparkSession)
-    found = written(meet(anchor_blocks(keyed, "text", parts, least), parts, firsts))
+    found = written(meet(anchor_blocks(keyed, "text", parts, least, firsts), parts, firsts))
     more = compare_contexts(context_rows(dealt, found.where(F.col("kind") == ASK), "text"), parts, least, firsts)
     return found.where(F.col("kind") != ASK).unionByName(more)
 
@@ -423,15 +429,26 @@ def repeat_groups(docs: DataFrame, least: int = MIN, text: str = "text") -> Data
                         F.col("len").alias("length"), (F.col("kind") == FIRST).alias("earliest")).distinct()
 
 
-def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans (start, end) joined where they touch or overlap."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def joined_spans(row: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, start, end) joined where they touch or overlap, in order. Rows and bytes are below 2**31 and 2**32."""
+    order = np.lexsort((at, row))
+    row, at, end = row[order], at[order], end[order]
+    reach = np.maximum.accumulate((row.astype(np.int64) << 32) + end) if len(row) else row
+    new = np.ones(len(row), bool)
+    new[1:] = ((row[1:].astype(np.int64) << 32) + at[1:]) > reach[:-1]
+    new[1:] |= row[1:] != row[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], at[first], (reach[last] - (row[first].astype(np.int64) << 32) if len(first) else end)
+
+
+def merged_spans(column: pa.Array, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The joined spans of each row of a column of lists (_rt, at, len), of the row's own document only."""
+    row = pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    t, at, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_rt", "at", "len"))
+    own = t == ties[row] if len(row) else np.zeros(0, bool)
+    return joined_spans(row[own], at[own], at[own] + size[own])
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -459,14 +476,14 @@ def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text") -> Dat
                            T.StructField("kept", T.BinaryType())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in slices(batches, "text"):
-            removed, kept = [], []
-            for raw, t, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_rt").to_pylist(), b.column("_spans").to_pylist()):
-                cut = union_of([(x["at"], x["at"] + x["len"]) for x in found or () if x["_rt"] == t])
-                removed.append([{"start": x, "end": y} for x, y in cut])
-                kept.append(without(raw, cut))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(removed, kind), pa.array(kept, pa.binary())],
+            row, at, end = merged_spans(b.column("_spans"), b.column("_rt").to_numpy(zero_copy_only=False))
+            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+            kept = []
+            for raw, lo, hi in zip(b.column("text").cast(pa.binary()).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                kept.append(without(raw, list(zip(at[lo:hi].tolist(), end[lo:hi].tolist()))) if hi > lo else raw)
+            removed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(at), pa.array(end)], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), removed, pa.array(kept, pa.binary())],
                                              names=[*own, "removed", "kept"])
 
     done = dealt.join(spans, F.col("_rd") == F.col("_sd"), "left").mapInArrow(run, schema)
