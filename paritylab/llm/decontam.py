@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import gram_hashes, order_key, prefix_hash, range_hash, slices, spread_symbols, texts_of
+from paritylab.llm.common import fresh, gram_hashes, order_key, prefix_hash, range_hash, slices, spread_symbols, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -134,25 +134,25 @@ class ItemIndex:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD,
-               max_sent: int = MAX_SENT, text: str = "text") -> DataFrame:
-    """``docs`` with ``leaks``: the items (item_id, text) that each document contains; a column of that name is replaced.
+               max_sent: int = MAX_SENT, text: str = "text", into: str = "leaks") -> DataFrame:
+    """``docs`` with ``into``: the items (item_id, text) that each document contains; a column of that name is replaced.
 
     Null and wordless texts and items match nothing. Repeated rows are judged one by one; no row is lost
     or doubled. If the items' characters are measured at ``max_sent`` or fewer they go to every task and the
     documents are not shuffled; else documents and items meet in joins on the shingle hash, with the same result."""
-    base = docs.drop("leaks")
+    base = docs.drop(into)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > max_sent:
-        return _find_by_join(base, items, shingle, threshold, text)
+        return _find_by_join(base, items, shingle, threshold, text, into)
     index = ItemIndex([(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").collect()], shingle, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = T.StructType([*base.schema.fields, T.StructField("leaks", LEAKS)])
+    schema = T.StructType([*base.schema.fields, T.StructField(into, LEAKS)])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shared", pa.int32()), ("n_item", pa.int32())]))
         for b in slices(batches, text):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.leaks(texts_of(b, text)), kind)],
-                                             names=[*b.schema.names, "leaks"])
+                                             names=[*b.schema.names, into])
 
     return base.mapInArrow(run, schema)
 
@@ -176,7 +176,7 @@ def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, size int, words bigint, hash bigint")
 
 
-def _find_by_join(docs: DataFrame, items: DataFrame, shingle: int, threshold: float, text: str) -> DataFrame:
+def _find_by_join(docs: DataFrame, items: DataFrame, shingle: int, threshold: float, text: str, into: str) -> DataFrame:
     """The same search where the items are too many to send: sketch rows and document shingles meet by hash,
     candidates are counted on all shingles of the item. Documents are keyed by (doc_id, hash of the text)."""
     key = F.xxhash64(order_key("doc_id"), F.coalesce(F.col(text), F.lit("")))
@@ -191,8 +191,9 @@ def _find_by_join(docs: DataFrame, items: DataFrame, shingle: int, threshold: fl
     leaks = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(
         F.col("item_id"), (F.col("both") / F.col("n")).alias("containment"), F.col("both").cast("int").alias("n_shared"),
         F.col("n").cast("int").alias("n_item")))).alias("leaks"))
-    return (docs.withColumn("_key", key).join(leaks, F.col("_key") == F.col("doc"), "left")
-            .withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS))).select(*docs.columns, "leaks"))
+    mine, doc, got = fresh(docs, "_key"), fresh(docs, "_doc"), fresh(docs, "_leaks")
+    return (docs.withColumn(mine, key).join(leaks.select(F.col("doc").alias(doc), F.col("leaks").alias(got)), F.col(mine) == F.col(doc), "left")
+            .select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(got), F.array().cast(LEAKS)).alias(into)))
 
 
 def leak_pairs(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -203,4 +204,5 @@ def leak_pairs(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    return find_leaks(docs, items, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    found = fresh(docs, "leaks")
+    return find_leaks(docs, items, into=found, **options).where(F.size(found) == 0).select(*[f"`{c}`" for c in docs.columns])

@@ -92,3 +92,13 @@ SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d"""
+
+
+@register
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritylab.llm.licenses import scan_documents
+    return scan_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_paragraphs", F.size("licenses").cast("long").alias("n_licenses"),
+        F.size(F.filter("licenses", lambda x: x.confirmed)).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("licenses", lambda x: x.confirmed), lambda x: x.family))), ",").alias("families"),
+        F.array_max(F.transform("licenses", lambda x: x.probability)).alias("top_probability"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import (LONG_MIN, gram_hashes, mix64, order_key, partitions, prefix_hash, range_hash, slices,
+from paritylab.llm.common import (LONG_MIN, fresh, gram_hashes, mix64, order_key, partitions, prefix_hash, range_hash, slices,
                                   spread_symbols, window_minima)
 
 MIN = 100
@@ -459,13 +459,13 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text") -> DataFrame:
-    """``docs`` with ``removed`` (maximal spans of removed bytes of the UTF-8 text) and ``kept`` (the other bytes).
+def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into: tuple[str, str] = ("removed", "kept")) -> DataFrame:
+    """``docs`` with ``into``: maximal spans (start, end) of removed bytes of the UTF-8 text, and the other bytes.
 
     Null texts are empty. Rows equal in doc_id and text are one document: neither is earlier than the other.
-    Columns named removed or kept are replaced; an empty table gives no rows. Texts are shuffled once, by doc_id."""
+    Columns of these names are replaced; an empty table gives no rows. Texts are shuffled once, by doc_id."""
     parts = partitions(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("removed", "kept")]
+    names = [c for c in docs.columns if c not in into]
     docs = docs.select(*[f"`{c}`" for c in names])
     keyed, dealt = _dealt(docs, text, parts)
     spans = (occurrences(keyed, dealt, least, False).where(F.col("kind") == LATER)
@@ -487,7 +487,7 @@ def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text") -> Dat
                                              names=[*own, "removed", "kept"])
 
     done = dealt.join(spans, F.col("_rd") == F.col("_sd"), "left").mapInArrow(run, schema)
-    return done.select(*[F.col(c).alias(n) for c, n in zip(own, names)], "removed", "kept")
+    return done.select(*[F.col(c).alias(n) for c, n in zip(own, names)], F.col("removed").alias(into[0]), F.col("kept").alias(into[1]))
 
 
 def removal_report(docs: DataFrame, least: int = MIN) -> DataFrame:
@@ -505,7 +505,8 @@ def cut_repeats(docs: DataFrame, least: int = MIN) -> DataFrame:
     def decoded(kept):
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    done = remove_repeats(docs, least).withColumn("_new", F.when(F.size("removed") > 0, decoded("kept")).otherwise(F.col("text")))
-    done = done.where((F.size("removed") == 0) | (F.length("_new") > 0))
-    return done.select(*[F.col("_new").alias(c) if c == "text" else F.length("_new").cast(dict(docs.dtypes)[c]).alias(c)
-                         if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    removed, kept, new = fresh(docs, "removed"), fresh(docs, "kept"), fresh(docs, "new")
+    done = remove_repeats(docs, least, into=(removed, kept)).withColumn(new, F.when(F.size(removed) > 0, decoded(kept)).otherwise(F.col("text")))
+    done = done.where((F.size(removed) == 0) | (F.length(new) > 0))
+    return done.select(*[F.col(new).alias(c) if c == "text" else F.when(F.size(removed) > 0, F.length(new)).otherwise(F.col("n_chars"))
+                         .cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import cut_lineage, partitions, slices, texts_of
+from paritylab.llm.common import cut_lineage, fresh, partitions, slices, texts_of
 
 SHINGLE = 4
 LIMIT = 4
@@ -53,15 +53,15 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * ones > total).tolist())
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``docs`` with ``simhash`` (a long holding the 64 bits); a column of that name is replaced. Null texts are empty."""
-    base = docs.drop("simhash")
-    schema = T.StructType([*base.schema.fields, T.StructField("simhash", T.LongType())])
+def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", into: str = "simhash") -> DataFrame:
+    """``docs`` with ``into`` (a long holding the 64 bits); a column of that name is replaced. Null texts are empty."""
+    base = docs.drop(into)
+    schema = T.StructType([*base.schema.fields, T.StructField(into, T.LongType())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             got = np.array([simhash(t, shingle) for t in texts_of(b, text)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, "simhash"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, into])
 
     return base.mapInArrow(run, schema)
 
@@ -254,9 +254,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = L
     """One document of each component stays, with all its columns: the one with the smallest doc_id.
 
     Of rows with the same doc_id and fingerprint one stays."""
-    marked = fingerprint_documents(docs, shingle).withColumn("_least", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    prints = cut_lineage(marked.selectExpr("_least AS doc_id", "simhash"))
-    stay = near_duplicates(prints, limit).selectExpr("first_id AS _least", "first_simhash AS simhash").distinct()
-    parts = partitions(docs.sparkSession)
-    return (marked.repartition(parts, "_least", "simhash").join(stay, ["_least", "simhash"], "left_semi")
-            .dropDuplicates(["_least", "simhash"]).select(*docs.columns))
+    least, mark, parts = fresh(docs, "_least"), fresh(docs, "simhash"), partitions(docs.sparkSession)
+    marked = fingerprint_documents(docs, shingle, into=mark).withColumn(least, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    ids = fingerprint_documents(docs.select("doc_id", "text"), shingle).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "simhash")
+    stay = near_duplicates(cut_lineage(ids), limit).select(F.col("first_id").alias(least), F.col("first_simhash").alias(mark)).distinct()
+    return (marked.repartition(parts, least, mark).join(stay, [least, mark], "left_semi")
+            .dropDuplicates([least, mark]).select(*[f"`{c}`" for c in docs.columns]))

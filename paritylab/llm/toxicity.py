@@ -176,13 +176,13 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     return fit([r["text"] for r in got], [r["toxic"] for r in got])
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1); a column of that name is replaced. Null texts are empty, and an empty
+def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", into: str = "toxicity") -> DataFrame:
+    """``docs`` with ``into`` (0 to 1); a column of that name is replaced. Null texts are empty, and an empty
     text has the score of the bias alone. A narrow pass in bounded slices."""
     from pyspark.sql import types as T
 
-    base = docs.drop("toxicity")
-    schema = T.StructType([*base.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    base = docs.drop(into)
+    schema = T.StructType([*base.schema.fields, T.StructField(into, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
     tag = sha256_hex(model[0].tobytes() + str(model[1]).encode())
 
@@ -193,6 +193,6 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str
         for b in slices(batches, text):
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(score_texts(shared.value, store["toxicity memo"], texts_of(b, text)), pa.float64())],
-                names=[*b.schema.names, "toxicity"])
+                names=[*b.schema.names, into])
 
     return base.mapInArrow(run, schema)
