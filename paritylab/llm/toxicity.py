@@ -30,7 +30,7 @@ STEPS = 900
 BATCH = 128
 THRESHOLD = 0.7
 #: Bound of the labelled sample: rows of each class, those with the smallest hash of doc_id.
-MAX_TOXIC, MAX_CLEAN = 2500, 5000
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
 MEMO = 400_000
 MARKS = ".,;:!?\"'()[]{}<>|*%&#$@~`^_=+-/\\«»“”„‘’…–—¡¿"
 
@@ -43,8 +43,14 @@ def normal(word: str) -> str:
     return "\x02" + word.lower().strip(MARKS) + "\x03"
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, start of each word's buckets) of normalized words: n-grams of the sizes GRAMS, and the word itself."""
+    parts = [_subwords(words[lo:lo + block]) for lo in range(0, len(words), block)]
+    base = np.cumsum([0, *(len(b) for b, _ in parts)])
+    return np.concatenate([b for b, _ in parts]), np.concatenate([s + x for (_, s), x in zip(parts, base)])
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [normal(w) for w in words]
     size = np.array([len(w) for w in marked])
     start = np.cumsum(size) - size
@@ -69,6 +75,14 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def word_scores(table: np.ndarray, bucket: np.ndarray, start: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Mean of the words' bucket numbers, a block of words at a time."""
+    ends = np.append(start, len(bucket))
+    out = [np.add.reduceat(table[bucket[ends[lo]:ends[hi]]], start[lo:hi] - ends[lo]) / np.diff(ends[lo:hi + 1])
+           for lo in range(0, len(start), block) for hi in [min(len(start), lo + block)]]
+    return np.concatenate(out)
+
+
 def window_logits(scores: np.ndarray) -> np.ndarray:
     """Mean word score of every window; a short text is one window."""
     if len(scores) <= WINDOW:
@@ -88,9 +102,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray,
     flat, lens = [], []
     for t in texts:
         ws = words_of(t)
-        flat.extend(index.setdefault(w, len(index)) for w in ws)
+        flat.append(np.array([index.setdefault(w, len(index)) for w in ws], np.int32))
         lens.append(len(ws))
-    flat, lens = np.array(flat, np.int32), np.array(lens)
+    flat, lens = np.concatenate(flat), np.array(lens)
+    if not len(flat):
+        return np.zeros(BUCKETS, np.float32), prior
     first = np.cumsum(lens) - lens
     bucket, start = subwords(list(index))
     count = np.diff(np.append(start, len(bucket)))
@@ -105,8 +121,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray,
             doc = np.repeat(has, 8)
             at = (rng.random(len(doc)) * np.maximum(lens[doc] - WINDOW + 1, 1)).astype(np.int64)
         else:
-            per = (table @ (weight[1] - weight[0]))[bucket]
-            score = np.add.reduceat(per, start) / count
+            score = word_scores(table @ (weight[1] - weight[0]), bucket, start)
             top = np.array([int(np.argmax(window_logits(score[flat[first[d]:first[d] + lens[d]]]))) for d in has])
             clean = has[y[has] == 0]
             more = (rng.random(len(clean)) * np.maximum(lens[clean] - WINDOW + 1, 1)).astype(np.int64)
@@ -152,7 +167,7 @@ def score_texts(model: tuple[np.ndarray, float], memo: dict[str, float], texts:
         fresh = list({w for ws in tokens for w in ws})
     if fresh:
         bucket, start = subwords(fresh)
-        memo.update(zip(fresh, (np.add.reduceat(table[bucket], start) / np.diff(np.append(start, len(bucket)))).tolist()))
+        memo.update(zip(fresh, word_scores(table, bucket, start).tolist()))
     logits = [window_logits(np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws))).max() for ws in tokens]
     return 1.0 / (1.0 + np.exp(-np.clip(np.array(logits) + bias, -50, 50)))
 
