@@ -26,7 +26,7 @@ SPAN = 48
 MEAN_CHUNK = 1024
 PIECE = 1 << 21
 #: Bounds of what a worker remembers: words, and code points of chunks. A full memo starts anew.
-WORDS = 300_000
+WORDS = 1_000_000
 CHUNK_CHARS = 12 << 20
 WORD = re.compile("[^ \n]+")
 BLANK = " \n"
