@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paritylab.llm.common import code_points, gram_hashes, sha256_hex, slices, spread_symbols, texts_of, worker_store
+from paritylab.llm.common import (code_points, gram_hashes, lean, sha256_hex, slices, spread_symbols, texts_of,
+                                  worker_store)
 
 SPAN = 48
 MEAN_CHUNK = 1024
 PIECE = 1 << 21
 #: Bounds of what a worker remembers: words, and code points of chunks. A full memo starts anew.
-WORDS = 1_000_000
+WORDS = 700_000
 CHUNK_CHARS = 12 << 20
 WORD = re.compile("[^ \n]+")
 BLANK = " \n"
@@ -175,7 +176,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, text: str = "text", w
     def run(batches) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        store = worker_store()
+        store = worker_store("chunks")
         if ("chunks", tokenizer_file) not in store:
             store["chunks", tokenizer_file] = ChunkEncoder(tokenizer_file)
         coder = store["chunks", tokenizer_file]
@@ -190,4 +191,4 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, text: str = "text", w
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return (docs.selectExpr("cast(doc_id as bigint) AS doc_id", f"`{text}`")
-            .mapInArrow(run, schema + ", ids binary" * with_ids))
+            .mapInArrow(lean(run), schema + ", ids binary" * with_ids))

@@ -47,9 +47,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def worker_store() -> dict:
-    """Objects that a Python worker keeps from task to task (loaded vocabularies, memos)."""
-    return sys.__dict__.setdefault("_paritylab_llm_store", {})
+def lean(run):
+    """Wrap a task's generator so that the worker gives freed memory back when the task ends: idle workers
+    share the executor's memory with those of the next stage."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped
+
+
+def worker_store(owner: str) -> dict:
+    """What a Python worker keeps from task to task for an operator (a loaded vocabulary, memos). Another
+    operator's is dropped first, so that a worker holds one at a time."""
+    store = sys.__dict__.setdefault("_paritylab_llm_store", {})
+    for other in [k for k in store if k != owner]:
+        del store[other]
+    return store.setdefault(owner, {})
 
 
 def slices(batches, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -92,16 +116,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i < n, kept by the worker up to the longest yet."""
-    store = worker_store()
-    have = store.get("powers")
+    kept = sys.__dict__.setdefault("_paritylab_llm_powers", {})
+    have = kept.get("powers")
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         inverse = pow(BASE, -1, 1 << 64)
         up, down = np.full(size, BASE, np.uint64), np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 1 << 23:
-            store["powers"] = have
+        if size <= 1 << 21:
+            kept["powers"] = have
     return have[0][:n], have[1][:n]
 
 

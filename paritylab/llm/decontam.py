@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import fresh, gram_hashes, order_key, prefix_hash, range_hash, slices, spread_symbols, texts_of
+from paritylab.llm.common import (fresh, gram_hashes, lean, order_key, prefix_hash, range_hash, slices,
+                                  spread_symbols, texts_of, worker_store)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -150,11 +151,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shared", pa.int32()), ("n_item", pa.int32())]))
-        for b in slices(batches, text):
+        worker_store("decontam")
+        for b in slices(batches, text, 3 << 19):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.leaks(texts_of(b, text)), kind)],
                                              names=[*b.schema.names, into])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
@@ -173,7 +175,7 @@ def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
                         [pa.array(keys[who].tolist(), pa.int64()), pa.array(np.full(len(who), size), pa.int32()),
                          pa.array(words.count[who], pa.int64()), pa.array(pairs[:, 1].astype(np.int64))], names=["key", "size", "words", "hash"])
 
-    return texts.mapInArrow(run, "key bigint, size int, words bigint, hash bigint")
+    return texts.mapInArrow(lean(run), "key bigint, size int, words bigint, hash bigint")
 
 
 def _find_by_join(docs: DataFrame, items: DataFrame, shingle: int, threshold: float, text: str, into: str) -> DataFrame:

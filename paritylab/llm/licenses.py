@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paritylab.llm.common import gram_hashes, mix64, prefix_hash, range_hash, slices, spread_symbols, texts_of
+from paritylab.llm.common import gram_hashes, lean, mix64, prefix_hash, range_hash, slices, spread_symbols, texts_of
 
 BUCKETS = 1 << 15
 UNKNOWN = "unknown"
@@ -283,5 +283,5 @@ def scan_documents(docs: DataFrame, model: LicenseModel | None = None, text: str
                                               pa.array(scan_texts(shared.value, texts), kind)], names=["doc_id", "n_paragraphs", "licenses"])
 
     return (docs.selectExpr("cast(doc_id as bigint) AS doc_id", f"`{text}`")
-            .mapInArrow(run, "doc_id bigint, n_paragraphs bigint, licenses array<struct<paragraph: bigint, start: bigint, family: string, "
+            .mapInArrow(lean(run), "doc_id bigint, n_paragraphs bigint, licenses array<struct<paragraph: bigint, start: bigint, family: string, "
                              "probability: double, resemblance: double, confirmed: boolean>>"))

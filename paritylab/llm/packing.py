@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritylab.llm.common import slices, texts_of, worker_store
+from paritylab.llm.common import lean, slices, texts_of, worker_store
 
 ROW = 2048
 #: Tokens gathered before a pool is packed: bounds a task's memory, and the loss is below one row in 500.
@@ -99,7 +99,7 @@ def pack_documents(docs: DataFrame, rank_file: str, pattern: str, separator: int
         import tiktoken
         from pyspark import TaskContext
 
-        store = worker_store()
+        store = worker_store("packing")
         if ("ranks", rank_file) not in store:
             store["ranks", rank_file] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(rank_file), special_tokens={})
         coder = store["ranks", rank_file]
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, rank_file: str, pattern: str, separator: int
         if rest:
             yield rows([[rest[i] for i in g] for g in best_fit_decreasing([len(s[2]) for s in rest], row)])
 
-    return docs.selectExpr("cast(doc_id as bigint) AS doc_id", f"`{text}`").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) AS doc_id", f"`{text}`").mapInArrow(lean(run), SCHEMA)
 
 
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]

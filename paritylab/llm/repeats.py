@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import (LONG_MIN, fresh, gram_hashes, mix64, order_key, partitions, prefix_hash, range_hash, slices,
-                                  spread_symbols, window_minima)
+from paritylab.llm.common import (LONG_MIN, fresh, gram_hashes, lean, mix64, order_key, partitions, prefix_hash,
+                                  range_hash, slices, spread_symbols, window_minima, worker_store)
 
 MIN = 100
 K = 32
@@ -142,6 +142,7 @@ def anchor_blocks(docs: DataFrame, text: str, parts: int, least: int, groups: bo
     """(part, block, kind ...): packed anchors for each part, one of every context per slice, and the
     occurrences that the slice already knows to be later ones."""
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("repeats")
         for b in slices(batches, text, PIECE):
             data, offsets = byte_column(b.column(text))
             d, t = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_rd", "_rt"))
@@ -184,7 +185,7 @@ def anchor_blocks(docs: DataFrame, text: str, parts: int, least: int, groups: bo
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary()), *none.columns],
                                              names=["part", "block", "kind", "grp", "_rd", "_rt", "at", "len"])
 
-    return docs.select(text, "_rd", "_rt").mapInArrow(run, "part int, block binary, " + FOUND)
+    return docs.select(text, "_rd", "_rt").mapInArrow(lean(run), "part int, block binary, " + FOUND)
 
 
 def meet(blocks: DataFrame, parts: int, firsts: bool) -> DataFrame:
@@ -192,6 +193,7 @@ def meet(blocks: DataFrame, parts: int, firsts: bool) -> DataFrame:
 
     A task holds the packed anchors of its part, about the part's share of the input divided by 60."""
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("repeats")
         got = []
         for b in batches:
             packed = b.column("block").is_valid()
@@ -222,7 +224,7 @@ def meet(blocks: DataFrame, parts: int, firsts: bool) -> DataFrame:
         if ask.any():  # a context is named by its start, its length and the gram's place in it
             yield found_batch(ASK, h[ask], d[ask], t[ask], at[ask], length[ask] + 256 * left[ask].astype(np.int64))
 
-    return blocks.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
+    return blocks.repartitionById(parts, F.col("part")).mapInArrow(lean(run), FOUND)
 
 
 class SuffixArray:
@@ -301,6 +303,7 @@ def context_rows(docs: DataFrame, asks: DataFrame, text: str) -> DataFrame:
               .agg(F.collect_list(F.struct("_rt", "at", (F.col("len") % 256).alias("len"), F.floor(F.col("len") / 256).cast("int").alias("gram"), "grp")).alias("_asks")))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("repeats")
         for b in slices(batches, text):
             rows = []
             for raw, d, t, asked in zip(b.column(text).cast(pa.binary()).to_pylist(), b.column("_rd").to_pylist(), b.column("_rt").to_pylist(),
@@ -311,7 +314,7 @@ def context_rows(docs: DataFrame, asks: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
                                                  names=["grp", "_rd", "_rt", "at", "gram", "context"])
 
-    return docs.join(wanted, F.col("_rd") == F.col("_ad")).mapInArrow(run, "grp bigint, _rd bigint, _rt int, at bigint, gram int, context binary")
+    return docs.join(wanted, F.col("_rd") == F.col("_ad")).mapInArrow(lean(run), "grp bigint, _rd bigint, _rt int, at bigint, gram int, context binary")
 
 
 def repeats_of(rows: list[tuple], least: int, firsts: bool) -> pa.RecordBatch | None:
@@ -360,6 +363,7 @@ def windows_of(rows: list[tuple], least: int) -> pa.RecordBatch | None:
 
 def compare_contexts(contexts: DataFrame, parts: int, least: int, firsts: bool) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("repeats")
         rows: list[tuple] = []
         group: list[tuple] = []
 
@@ -386,7 +390,7 @@ def compare_contexts(contexts: DataFrame, parts: int, least: int, firsts: bool)
         if rows and (got := repeats_of(rows, least, firsts)) is not None:
             yield got
 
-    return contexts.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(run, FOUND)
+    return contexts.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(lean(run), FOUND)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -459,8 +463,10 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into: tuple[str, str] = ("removed", "kept")) -> DataFrame:
-    """``docs`` with ``into``: maximal spans (start, end) of removed bytes of the UTF-8 text, and the other bytes.
+def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into: tuple[str, str] = ("removed", "kept"),
+                   as_text: bool = False) -> DataFrame:
+    """``docs`` with ``into``: maximal spans (start, end) of removed bytes of the UTF-8 text, and the other bytes
+    (or, ``as_text``, their characters; those that lose a byte go whole).
 
     Null texts are empty. Rows equal in doc_id and text are one document: neither is earlier than the other.
     Columns of these names are replaced; an empty table gives no rows. Texts are shuffled once, by doc_id."""
@@ -473,20 +479,22 @@ def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into:
     own = keyed.columns[:len(names)]
     schema = T.StructType([*keyed.schema.fields[:len(names)],
                            T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-                           T.StructField("kept", T.BinaryType())])
+                           T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("repeats")
         for b in slices(batches, "text"):
             row, at, end = merged_spans(b.column("_spans"), b.column("_rt").to_numpy(zero_copy_only=False))
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
             kept = []
             for raw, lo, hi in zip(b.column("text").cast(pa.binary()).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                kept.append(without(raw, list(zip(at[lo:hi].tolist(), end[lo:hi].tolist()))) if hi > lo else raw)
+                left = without(raw, list(zip(at[lo:hi].tolist(), end[lo:hi].tolist()))) if hi > lo else raw
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
             removed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(at), pa.array(end)], ["start", "end"]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), removed, pa.array(kept, pa.binary())],
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), removed, pa.array(kept, pa.string() if as_text else pa.binary())],
                                              names=[*own, "removed", "kept"])
 
-    done = dealt.join(spans, F.col("_rd") == F.col("_sd"), "left").mapInArrow(run, schema)
+    done = dealt.join(spans, F.col("_rd") == F.col("_sd"), "left").mapInArrow(lean(run), schema)
     return done.select(*[F.col(c).alias(n) for c, n in zip(own, names)], F.col("removed").alias(into[0]), F.col("kept").alias(into[1]))
 
 
@@ -501,12 +509,8 @@ def removal_report(docs: DataFrame, least: int = MIN) -> DataFrame:
 def cut_repeats(docs: DataFrame, least: int = MIN) -> DataFrame:
     """``docs`` with later occurrences cut out of ``text`` (characters that lose a byte go whole) and ``n_chars``
     brought up to date where there is such a column. Documents of which nothing is left go; all others stay."""
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    removed, kept, new = fresh(docs, "removed"), fresh(docs, "kept"), fresh(docs, "new")
-    done = remove_repeats(docs, least, into=(removed, kept)).withColumn(new, F.when(F.size(removed) > 0, decoded(kept)).otherwise(F.col("text")))
+    removed, new = fresh(docs, "removed"), fresh(docs, "kept")
+    done = remove_repeats(docs, least, into=(removed, new), as_text=True)
     done = done.where((F.size(removed) == 0) | (F.length(new) > 0))
     return done.select(*[F.col(new).alias(c) if c == "text" else F.when(F.size(removed) > 0, F.length(new)).otherwise(F.col("n_chars"))
                          .cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import cut_lineage, fresh, partitions, slices, texts_of
+from paritylab.llm.common import cut_lineage, fresh, lean, partitions, slices, texts_of, worker_store
 
 SHINGLE = 4
 LIMIT = 4
@@ -59,11 +59,12 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, text: str = "
     schema = T.StructType([*base.schema.fields, T.StructField(into, T.LongType())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("simhash")
         for b in slices(batches, text):
             got = np.array([simhash(t, shingle) for t in texts_of(b, text)], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, into])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def block_masks(limit: int, blocks: int) -> list[int]:
@@ -152,6 +153,7 @@ def link_forest(prints: DataFrame, limit: int = LIMIT, blocks: int = 6) -> DataF
     parts = partitions(prints.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("simhash")
         table, forest = PivotTable(limit), Forest()
 
         def add(a: np.ndarray, b: np.ndarray):
@@ -198,7 +200,7 @@ def link_forest(prints: DataFrame, limit: int = LIMIT, blocks: int = 6) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return (dealt.repartition(parts, "key").sortWithinPartitions("key", "simhash")
-            .mapInArrow(run, "u bigint, v bigint"))
+            .mapInArrow(lean(run), "u bigint, v bigint"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paritylab.llm.common import slices, texts_of, worker_store
+from paritylab.llm.common import lean, slices, texts_of, worker_store
 
 SPACE = "▁"
 #: Longer runs take their pairs one after another from a heap, in the same order: a round
@@ -209,7 +209,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, text: str
     ``model_file`` is a sentencepiece BPE model with byte fallback, identity normalization and a leading
     space, present on every executor. A narrow pass: no shuffle, memory bounded by the Arrow slice."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
+        store = worker_store("counts")
         if ("pairs", model_file) not in store:
             store["pairs", model_file] = PairTable(model_file)
         table, memo = store["pairs", model_file], store.setdefault(("memo", model_file), {})
@@ -222,4 +222,4 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, text: str
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return (docs.selectExpr("cast(doc_id as bigint) AS doc_id", f"`{text}`")
-            .mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"))
+            .mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"))

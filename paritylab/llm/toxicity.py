@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritylab.llm.common import SENTINEL, gram_hashes, sha256_hex, slices, spread_symbols, texts_of, worker_store
+from paritylab.llm.common import (SENTINEL, gram_hashes, lean, sha256_hex, slices, spread_symbols, texts_of,
+                                  worker_store)
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -202,7 +203,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str
     tag = sha256_hex(model[0].tobytes() + str(model[1]).encode())
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
+        store = worker_store("toxicity")
         if store.get("toxicity of") != tag:
             store["toxicity of"], store["toxicity memo"] = tag, {}
         for b in slices(batches, text):
@@ -210,4 +211,4 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str
                 [*b.columns, pa.array(score_texts(shared.value, store["toxicity memo"], texts_of(b, text)), pa.float64())],
                 names=[*b.schema.names, into])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

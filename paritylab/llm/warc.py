@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paritylab.llm.common import lean
+
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
 #: Records of a file: with segments of at most SEGMENT bytes this bounds a file (24 MB and headers).
@@ -146,7 +148,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, file_rec
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    (with_revisits(pages, least_bytes).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record"))
+    (with_revisits(pages, least_bytes).mapInArrow(lean(run), "record binary").select(F.col("record").cast("string").alias("record"))
      .write.mode("errorifexists").option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", file_records).text(path))
 
@@ -201,7 +203,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(out, schema=KINDS)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, RECORD)
+    return files.select("content").mapInArrow(lean(run), RECORD)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
@@ -245,7 +247,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                     names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return reassembled(read_records(spark, path)).mapInArrow(
-        run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+        lean(run), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

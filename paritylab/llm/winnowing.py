@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import (SENTINEL, code_points, gram_hashes, order_key, partitions, sha256_hex,
+from paritylab.llm.common import (SENTINEL, code_points, gram_hashes, lean, order_key, partitions, sha256_hex,
                                   slices, spread_symbols, texts_of, window_minima)
 
 K = 20
@@ -125,7 +125,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W, text: str = "
                  pa.array([p for _, p in got], pa.list_(pa.int64()))],
                 names=[*b.schema.names, "winnow_hashes", "winnow_positions"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def edited_neighbours(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         if texts and (got := flush(True)) is not None:
             yield got
 
-    return with_next(docs).mapInArrow(run, SCHEMA)
+    return with_next(docs).mapInArrow(lean(run), SCHEMA)
 
 
 KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
