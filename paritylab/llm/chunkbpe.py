@@ -27,8 +27,8 @@ SPAN = 48
 MEAN_CHUNK = 1024
 PIECE = 1 << 21
 #: Bounds of what a worker remembers: words, and code points of chunks. A full memo starts anew.
-WORDS = 700_000
-CHUNK_CHARS = 12 << 20
+WORDS = 500_000
+CHUNK_CHARS = 8 << 20
 WORD = re.compile("[^ \n]+")
 BLANK = " \n"
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONG_MIN = -(1 << 63)
 #: Multiplier of the polynomial hash (odd, so it has an inverse modulo 2**64) and mixing constants.
@@ -67,6 +68,22 @@ def lean(run):
     return wrapped
 
 
+def add_columns(docs: DataFrame, text: str, fields: list[T.StructField], make, limit: int = 4 << 20) -> DataFrame:
+    """``docs`` with ``fields``, whose arrays ``make`` computes from a slice of texts; columns of their names are
+    replaced. Columns travel under positional names, so any name will do. A narrow pass."""
+    new = {f.name.lower() for f in fields}
+    names = [c for c in docs.columns if c.lower() not in new]
+    base = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else f"c{i}") for i, c in enumerate(names)])
+    schema = T.StructType([*base.schema.fields, *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields))])
+
+    def run(batches):
+        for b in slices(batches, "text", limit):
+            yield pa.RecordBatch.from_arrays([*b.columns, *make(texts_of(b))], names=schema.names)
+
+    done = base.mapInArrow(lean(run), schema)
+    return done.select(*[F.col(a).alias(n) for a, n in zip(base.columns, names)], *[F.col(f"n{i}").alias(f.name) for i, f in enumerate(fields)])
+
+
 def worker_store(owner: str) -> dict:
     """What a Python worker keeps from task to task for an operator (a loaded vocabulary, memos). Another
     operator's is dropped first, so that a worker holds one at a time."""

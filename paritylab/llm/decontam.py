@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import (fresh, gram_hashes, lean, order_key, prefix_hash, range_hash, slices,
-                                  spread_symbols, texts_of, worker_store)
+from paritylab.llm.common import (add_columns, fresh, gram_hashes, lean, order_key, prefix_hash, range_hash,
+                                  slices, spread_symbols, texts_of, worker_store)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -141,22 +141,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
     Null and wordless texts and items match nothing. Repeated rows are judged one by one; no row is lost
     or doubled. If the items' characters are measured at ``max_sent`` or fewer they go to every task and the
     documents are not shuffled; else documents and items meet in joins on the shingle hash, with the same result."""
-    base = docs.drop(into)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > max_sent:
-        return _find_by_join(base, items, shingle, threshold, text, into)
+        return _find_by_join(docs.drop(into), items, shingle, threshold, text, into)
     index = ItemIndex([(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").collect()], shingle, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = T.StructType([*base.schema.fields, T.StructField(into, LEAKS)])
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shared", pa.int32()), ("n_item", pa.int32())]))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shared", pa.int32()), ("n_item", pa.int32())]))
+    def make(texts: list[str]) -> list[pa.Array]:
         worker_store("decontam")
-        for b in slices(batches, text, 3 << 19):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.leaks(texts_of(b, text)), kind)],
-                                             names=[*b.schema.names, into])
+        return [pa.array(shared.value.leaks(texts), kind)]
 
-    return base.mapInArrow(lean(run), schema)
+    return add_columns(docs, text, [T.StructField(into, LEAKS)], make, 3 << 19)
 
 
 def _hashes(texts: DataFrame, shingle: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import cut_lineage, fresh, lean, partitions, slices, texts_of, worker_store
+from paritylab.llm.common import add_columns, cut_lineage, fresh, lean, partitions, worker_store
 
 SHINGLE = 4
 LIMIT = 4
@@ -55,16 +55,11 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", into: str = "simhash") -> DataFrame:
     """``docs`` with ``into`` (a long holding the 64 bits); a column of that name is replaced. Null texts are empty."""
-    base = docs.drop(into)
-    schema = T.StructType([*base.schema.fields, T.StructField(into, T.LongType())])
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
+    def make(texts: list[str]) -> list[pa.Array]:
         worker_store("simhash")
-        for b in slices(batches, text):
-            got = np.array([simhash(t, shingle) for t in texts_of(b, text)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=[*b.schema.names, into])
+        return [pa.array(np.array([simhash(t, shingle) for t in texts], np.uint64).astype(np.int64))]
 
-    return base.mapInArrow(lean(run), schema)
+    return add_columns(docs, text, [T.StructField(into, T.LongType())], make)
 
 
 def block_masks(limit: int, blocks: int) -> list[int]:

@@ -11,15 +11,13 @@ As the classifier is linear, a fitted model is one number for each n-gram bucket
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paritylab.llm.common import (SENTINEL, gram_hashes, lean, sha256_hex, slices, spread_symbols, texts_of,
-                                  worker_store)
+from paritylab.llm.common import SENTINEL, add_columns, gram_hashes, sha256_hex, spread_symbols, worker_store
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -32,7 +30,7 @@ BATCH = 128
 THRESHOLD = 0.7
 #: Bound of the labelled sample: rows of each class, those with the smallest hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
-MEMO = 400_000
+MEMO = 300_000
 MARKS = ".,;:!?\"'()[]{}<>|*%&#$@~`^_=+-/\\«»“”„‘’…–—¡¿"
 
 
@@ -195,20 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with ``into`` (0 to 1); a column of that name is replaced. Null texts are empty, and an empty
     text has the score of the bias alone. A narrow pass in bounded slices."""
-    from pyspark.sql import types as T
-
-    base = docs.drop(into)
-    schema = T.StructType([*base.schema.fields, T.StructField(into, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the input
     tag = sha256_hex(model[0].tobytes() + str(model[1]).encode())
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
+    def make(texts: list[str]) -> list[pa.Array]:
         store = worker_store("toxicity")
-        if store.get("toxicity of") != tag:
-            store["toxicity of"], store["toxicity memo"] = tag, {}
-        for b in slices(batches, text):
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(score_texts(shared.value, store["toxicity memo"], texts_of(b, text)), pa.float64())],
-                names=[*b.schema.names, into])
-
-    return base.mapInArrow(lean(run), schema)
+        if store.get("model") != tag:
+            store["model"], store["memo"] = tag, {}
+        return [pa.array(score_texts(shared.value, store["memo"], texts), pa.float64())]
+
+    return add_columns(docs, text, [T.StructField(into, T.DoubleType())], make, 2 << 20)

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paritylab.llm.common import (SENTINEL, code_points, gram_hashes, lean, order_key, partitions, sha256_hex,
-                                  slices, spread_symbols, texts_of, window_minima)
+from paritylab.llm.common import (SENTINEL, add_columns, code_points, gram_hashes, lean, order_key, partitions, sha256_hex,
+                                  slices, spread_symbols, window_minima)
 
 K = 20
 W = 32
@@ -112,20 +112,12 @@ def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W, text: str = "
     """``docs`` with ``winnow_hashes`` and ``winnow_positions`` (code points); columns of these names are replaced.
 
     No shuffle: a narrow pass in Arrow batches."""
-    keep = [c for c in docs.columns if c not in ("winnow_hashes", "winnow_positions")]
-    base = docs.select(*keep)
-    schema = T.StructType([*base.schema.fields, T.StructField("winnow_hashes", T.ArrayType(T.LongType())),
-                           T.StructField("winnow_positions", T.ArrayType(T.LongType()))])
+    def make(texts: list[str]) -> list[pa.Array]:
+        got = winnow(texts, k, w)
+        return [pa.array([h.astype(np.int64) for h, _ in got], pa.list_(pa.int64())), pa.array([p for _, p in got], pa.list_(pa.int64()))]
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            got = winnow(texts_of(b, text), k, w)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([h.astype(np.int64) for h, _ in got], pa.list_(pa.int64())),
-                 pa.array([p for _, p in got], pa.list_(pa.int64()))],
-                names=[*b.schema.names, "winnow_hashes", "winnow_positions"])
-
-    return base.mapInArrow(lean(run), schema)
+    longs = T.ArrayType(T.LongType())
+    return add_columns(docs, text, [T.StructField("winnow_hashes", longs), T.StructField("winnow_positions", longs)], make)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
