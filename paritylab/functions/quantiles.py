@@ -1,25 +1,17 @@
-"""Quantile aggregates that stay exact while that is affordable.
-
-Spark's exact ``percentile`` keeps a map of distinct values per group and
-merges it in one task, which is exact and cheap for columns with few
-distinct values but cannot hold a continuous column of a 100 TB table.
-One HyperLogLog pass (``approx_count_distinct``) decides per column: at or
-below ``EXACT_DISTINCT_LIMIT`` distinct values the exact, linearly
-interpolated percentile is used (the reference's semantics); above it the
-Greenwald-Khanna ``percentile_approx`` with a relative rank error of
-1 / ``APPROX_ACCURACY``.
+"""Exact, linearly interpolated quantiles of any number of values.
+
+Values are counted per (keys, value) with partial aggregation; running sums over the distinct values
+(``ranking.running_sums``: balanced ordered runs, no single-task sort or map) give every value the span of
+ranks it fills, and only the values at the two ranks beside each quantile are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_DISTINCT_LIMIT = 5_000_000
-APPROX_ACCURACY = 1_000_000
-
 
 def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict:
     """HyperLogLog estimate of distinct non-null values per column (one aggregate)."""
@@ -29,18 +21,42 @@ def distinct_estimates(df: DataFrame, cols: Sequence[str]) -> dict:
     return {c: row[c] for c in cols}
 
 
-def exact_flags(df: DataFrame, cols: Sequence[str]) -> dict:
-    est = distinct_estimates(df, cols)
-    return {c: est[c] <= EXACT_DISTINCT_LIMIT for c in cols}
+def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, value): the non-null values of ``cols`` as doubles, unpivoted."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
+    return df.select(*by, F.explode(F.array(*cells)).alias("_kv")).select(*by, "_kv.column", "_kv.value").where("value IS NOT NULL")
+
+
+def exact_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "value") -> DataFrame:
+    """keys..., q0, q1, ...: the quantiles of ``value`` at ``probs`` for every key; null keys are keys."""
+    from paritylab.operators.ranking import broadcast_if_small, running_sums
+
+    keys = list(keys)
+    counts = long.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(counts, "_v", ["_n"], by=keys, prefix="_c")
+    size = counts.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_size"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = cum.join(broadcast_if_small(size), same)  # one row per key
 
+    def at(rank):
+        return F.max(F.when((rank >= F.col("_c_n") - F.col("_n")) & (rank < F.col("_c_n")), F.col("_v")))
 
-def quantile(col, probs, exact: bool = True) -> Column:
-    """Aggregate: quantile(s) of ``col`` at ``probs`` (a float or a list)."""
-    c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    if isinstance(probs, (list, tuple)):
-        p = F.array(*[F.lit(float(x)) for x in probs])
-        return F.percentile(c, p) if exact else F.percentile_approx(c, [float(x) for x in probs], APPROX_ACCURACY)
-    return F.percentile(c, float(probs)) if exact else F.percentile_approx(c, float(probs), APPROX_ACCURACY)
+    def spot(p):
+        return F.lit(float(p)) * (F.col("_size") - 1)
+
+    picked = ranked.groupBy(*keys, "_size").agg(
+        *[x for i, p in enumerate(probs) for x in (at(F.floor(spot(p))).alias(f"_lo{i}"), at(F.ceil(spot(p))).alias(f"_hi{i}"))])
+    return picked.select(*keys, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot(p) - F.floor(spot(p)))).alias(f"q{i}")
+                                  for i, p in enumerate(probs)])
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Quantiles of each column, one row per column to the driver; columns without values are left out."""
+    if not cols:
+        return {}
+    return {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(long_values(df, cols), ["column"], probs).collect()}
 
 
 def distinct_at_least(df: DataFrame, cols: Sequence[str], k: int, estimates: dict | None = None) -> dict:

@@ -1,7 +1,7 @@
 """Performance metrics and curves (E1-E12) from shared aggregates.
 
-Binary labels in {0,1}. Point metrics come from the four confusion counts
-per ``by`` key (one partial aggregate); ROC AUC and precision-recall use a
+Point metrics come from the (label, prediction) counts per ``by`` key (one
+partial aggregate), for any set of classes; scores are for binary labels in {0,1}: ROC AUC and precision-recall use a
 per-score count table and distributed running sums (``ranking.running_sums``),
 never an unpartitioned window over rows.
 """
@@ -27,59 +27,35 @@ def confusion(df: DataFrame, label, pred, by: Sequence[str] = ()) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def confusion_counts(df: DataFrame, label, pred, by: Sequence[str] = ()) -> DataFrame:
-    y, p = _c(label), _c(pred)
-    return df.groupBy(*by).agg(
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"),
-    )
-
-
 def _safe(num: Column, den: Column) -> Column:
     return F.coalesce(F.when(den != 0, num.cast("double") / den.cast("double")), F.lit(0.0))
 
 
-def metrics_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """E1-E5 (weighted precision/recall/F1 with zero for undefined terms).
-
-    Computed in three narrow projections so that each intermediate (per-class
-    precision, recall, F1) is a column, not a repeated expression subtree."""
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    s1, s0 = tp + fn, tn + fp          # class supports
-    step1 = counts.select(
-        *by, "tp", "tn", (tp + tn + fp + fn).alias("n"), s1.alias("s1"), s0.alias("s0"),
-        _safe(tp, tp + fp).alias("prec1"), _safe(tn, tn + fn).alias("prec0"),
-        _safe(tp, s1).alias("rec1"), _safe(tn, s0).alias("rec0"))
-
-    def f1(p, r):
-        p, r = F.col(p), F.col(r)
-        return F.when((p + r) != 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
-
-    step2 = step1.select(
-        "*", f1("prec0", "rec0").alias("f10"), f1("prec1", "rec1").alias("f11"),
-        ((F.col("s0") > 0).cast("int") + (F.col("s1") > 0).cast("int")).alias("present"))
-
-    def weighted(x0, x1):
-        return (F.col("s0").cast("double") * F.col(x0) + F.col("s1").cast("double") * F.col(x1)) \
-            / F.col("n").cast("double")
-
-    bal = (F.when(F.col("s0") > 0, F.col("rec0")).otherwise(F.lit(0.0))
-           + F.when(F.col("s1") > 0, F.col("rec1")).otherwise(F.lit(0.0))) / F.col("present").cast("double")
-    return step2.select(
-        *by,
-        ratio(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
-        weighted("prec0", "prec1").alias("precision"),
-        weighted("rec0", "rec1").alias("recall"),
-        weighted("f10", "f11").alias("f1"),
-        F.when(F.col("present") > 0, bal).alias("balanced_accuracy"),
-        F.col("n"),
-    )
-
-
 def performance(df: DataFrame, label, pred, by: Sequence[str] = ()) -> DataFrame:
-    return metrics_from_counts(confusion_counts(df, label, pred, by), by)
+    """E1-E5 for any set of classes: accuracy; precision, recall and F1 weighted by class support, zero where
+    undefined; balanced accuracy over the classes that occur as labels. Rows without label or prediction are
+    left out. One count per (by, label, prediction), then per class."""
+    by = list(by)
+    table = df.select(*by, _c(label).alias("_y"), _c(pred).alias("_p"))
+    kinds = {t for n, t in table.dtypes if n in ("_y", "_p")}
+    kind = "string" if "string" in kinds else "double"  # labels and predictions meet in one type
+    table = table.select(*by, F.col("_y").cast(kind), F.col("_p").cast(kind)).where("_y IS NOT NULL AND _p IS NOT NULL")
+    cells = table.groupBy(*by, "_y", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    none, hit = F.lit(0).cast("long"), F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(F.lit(0).cast("long"))
+    sides = F.array(F.struct(F.col("_y").alias("c"), F.col("_n").alias("s"), none.alias("p"), hit.alias("t")),
+                    F.struct(F.col("_p").alias("c"), none.alias("s"), F.col("_n").alias("p"), none.alias("t")))
+    classes = (cells.select(*by, F.explode(sides).alias("x")).groupBy(*by, F.col("x.c").alias("_class"))
+               .agg(F.sum("x.s").alias("s"), F.sum("x.p").alias("p"), F.sum("x.t").alias("t"))
+               .withColumns({"prec": _safe(F.col("t"), F.col("p")), "rec": _safe(F.col("t"), F.col("s"))})
+               .withColumn("f1", _safe(F.lit(2.0) * F.col("prec") * F.col("rec"), F.col("prec") + F.col("rec"))))
+
+    def weighted(c):
+        return F.sum(F.col("s").cast("double") * F.col(c)) / F.sum("s").cast("double")
+
+    return classes.groupBy(*by).agg(
+        ratio(F.sum("t"), F.sum("s")).alias("accuracy"), weighted("prec").alias("precision"), weighted("rec").alias("recall"),
+        weighted("f1").alias("f1"), F.avg(F.when(F.col("s") > 0, F.col("rec"))).alias("balanced_accuracy"),
+        F.coalesce(F.sum("s"), F.lit(0)).alias("n"))
 
 
 def score_counts(df: DataFrame, label, score, by: Sequence[str] = ()) -> DataFrame:
@@ -90,11 +66,11 @@ def score_counts(df: DataFrame, label, score, by: Sequence[str] = ()) -> DataFra
                    F.count_if(_c(label) == 0).alias("neg")))
 
 
-def roc_auc(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, label, score, by: Sequence[str] = ()) -> DataFrame:
     """Exact ROC AUC with ties counted 1/2 (Mann-Whitney in integers);
     NULL unless both classes are present."""
     sc = score_counts(df, label, score, by)
-    cum = running_sums(sc, "score", ["neg"], by=by, n_buckets=n_buckets, sample_from=df, sample_col=score)
+    cum = running_sums(sc, "score", ["neg"], by=by)
     dec = "decimal(38,0)"
     term = F.col("pos").cast(dec) * (F.lit(2).cast(dec) * (F.col("cum_neg") - F.col("neg")).cast(dec)
                                      + F.col("neg").cast(dec))
@@ -106,11 +82,10 @@ def roc_auc(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int
     return agg.select(*by, auc.alias("roc_auc"))
 
 
-def pr_curve(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
+def pr_curve(df: DataFrame, label, score, by: Sequence[str] = ()) -> DataFrame:
     """One point per distinct score threshold t (score >= t predicted 1)."""
     sc = score_counts(df, label, score, by)
-    cum = running_sums(sc, "score", ["pos", "neg"], by=by, descending=True, n_buckets=n_buckets,
-                       sample_from=df, sample_col=score)
+    cum = running_sums(sc, "score", ["pos", "neg"], by=by, descending=True)
     keys = list(by) or ["_k"]
     totals = sc.groupBy(*by).agg(F.sum("pos").alias("_P"))
     if not by:
@@ -124,10 +99,9 @@ def pr_curve(df: DataFrame, label, score, by: Sequence[str] = (), n_buckets: int
         F.col("_P").alias("total_pos"))
 
 
-def average_precision(df: DataFrame, label, score, by: Sequence[str] = (),
-                      n_buckets: int = 256) -> DataFrame:
+def average_precision(df: DataFrame, label, score, by: Sequence[str] = ()) -> DataFrame:
     """AP = sum_n (R_n - R_{n-1}) P_n = (1/P) sum_t pos_t * precision_t."""
-    pts = pr_curve(df, label, score, by, n_buckets)
+    pts = pr_curve(df, label, score, by)
     return (pts.groupBy(*by)
                .agg(F.sum(F.col("pos").cast("double") * F.col("precision")).alias("_s"),
                     F.max("total_pos").alias("_P"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.functions.hashing import hash_key
-from paritylab.operators.ranking import bucket_bits, bucketed_rank, hash_rank, value_bucket
+from paritylab.operators.ranking import bucket_bits, hash_rank, range_rank
 
 # Draws of one (group, label) cell are generated in chunks of this size so no
 # single task materialises a huge quota.
@@ -96,7 +96,7 @@ def resample(df: DataFrame, target: str, sens: str, strategy: str = "undersample
 
 
 def relabel(df: DataFrame, target: str, sens: str, privileged, unprivileged: Sequence | None = None,
-            score: str = "score", key: str = "row_id", n_buckets: int = 256) -> DataFrame:
+            score: str = "score", key: str = "row_id") -> DataFrame:
     """M3: move the positive count of the unprivileged (pooled) and of the
     privileged group to ``int(n_group * r)``: flip the highest-scored 0s up or
     the lowest-scored 1s down (ties: smaller key first). Other rows untouched.
@@ -121,9 +121,7 @@ def relabel(df: DataFrame, target: str, sens: str, privileged, unprivileged: Seq
     d = d.withColumn("_cand", F.coalesce(cand, F.lit(False))).withColumn("_ord", ord_)
     cands = d.where(F.col("_cand") & F.col("_ord").isNotNull())
     rest = d.where(~(F.col("_cand") & F.col("_ord").isNotNull()))
-    cands = value_bucket(cands, "_ord", "_bkt_v", n_buckets)
-    ranked = bucketed_rank(cands, ["_role"], F.col("_bkt_v").cast("long"),
-                           [F.col("_ord"), F.col(key)], rank_col="_r")
+    ranked = range_rank(cands, ["_role"], [F.col("_ord"), F.col(key)], rank_col="_r")
     limit = F.lit(0)
     for rl, v in plan.items():
         limit = F.when(F.col("_role") == rl, F.lit(abs(v))).otherwise(limit)

@@ -185,18 +185,15 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
 
 
 def box_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = (),
-              limit: int = 12, k: float = 1.5) -> DataFrame:
+              limit: int | None = None, k: float = 1.5) -> DataFrame:
     """A2/A3: quartiles, whiskers (furthest points within k*IQR) and outlier
-    counts per numeric column (first ``limit``) and ``by`` key. Two aggregates
-    over an unpivoted (by, column, value) view."""
+    counts per numeric column (all, or the first ``limit`` that a report shows)
+    and ``by`` key, from an unpivoted (by, column, value) view."""
     cols = numeric_columns(df, cols)[:limit]
-    long = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv")) \
-        .select(*by, "kv.column", "kv.value").where(F.col("value").isNotNull())
     keys = [*by, "column"]
-    exact = all(qn.exact_flags(df, cols).values())
-    q = long.groupBy(*keys).agg(qn.quantile("value", [0.25, 0.5, 0.75], exact).alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    long = qn.long_values(df, cols, by)
+    q = qn.exact_quantiles(long, keys, [0.25, 0.5, 0.75]) \
+        .select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1")))
     j = long.join(broadcast_if_small(q), keys)  # q: one row per (by, column)
@@ -209,20 +206,20 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str
     return agg
 
 
-def correlation(df: DataFrame, cols: Sequence[str] | None = None, limit: int = 20) -> DataFrame:
-    """A4: pairwise-complete Pearson matrix (long), one aggregate."""
+def correlation(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """A4: pairwise-complete Pearson matrix (long), one aggregate over one triangle."""
     cols = numeric_columns(df, cols)[:limit]
-    pairs = [(a, b) for a in cols for b in cols]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
                     for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])).alias("kv")).select("kv.*")
+        F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"{i}").alias("corr"))
+        for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])])).alias("kv")).select("kv.*")
 
 
 def target_conditioned_counts(df: DataFrame, target: str, cats: Sequence[str] | None = None,
-                              limit: int = 9) -> DataFrame:
-    """A5: (column, value, target) counts for the first ``limit`` categorical columns."""
+                              limit: int | None = None) -> DataFrame:
+    """A5: (column, value, target) counts for all categorical columns, or the first ``limit``."""
     cats = categorical_columns(df, cats, exclude=[target])[:limit]
     long = df.select(F.col(target).alias("target"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cats])).alias("kv"))

@@ -7,18 +7,19 @@ buckets, rows are counted per (stratum, bucket) -- a small table -- whose
 prefix sums give each bucket's starting offset; the exact rank is then the
 offset plus a ``row_number`` inside the (stratum, bucket) segment, which is
 only ~1/B of the stratum. The same two-level scheme gives global running sums
-(ROC / PR curves) over a table ordered by score.
+(ROC / PR curves) over a table ordered by score; there, and for ranks by value,
+the buckets are range partitions of the whole order key, ties included.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paritylab.functions.hashing import hash_bucket, hash_key
+from paritylab.session import cut_lineage
 
 # Bits of the 60-bit hash used as the bucket when stratum sizes are unknown:
 # 2**16 segments per stratum.
@@ -91,72 +92,37 @@ def hash_rank(df: DataFrame, strata: Sequence[str], seed, key: str = "row_id",
     return out
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    """Strictly increasing Bucketizer splits from approximate quantiles.
-
-    Only the balance of the buckets depends on the cut points, never the
-    result. One aggregate pass over the (pruned) column with a
-    Greenwald-Khanna sketch; B values reach the driver, never data rows."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    if not probs:
-        return [float("-inf"), float("inf")]
-    vals = df.select(F.col(col).cast("double").alias("_q")).where(F.col("_q").isNotNull())
-    row = vals.agg(F.percentile_approx("_q", probs, 10 * n_buckets).alias("c")).first()
-    cuts = row["c"] or []
-    splits = [float("-inf")]
-    for c in sorted(set(x for x in cuts if x is not None)):
-        if c > splits[-1]:
-            splits.append(c)
-    splits.append(float("inf"))
-    return splits
-
-
-def bucketize(df: DataFrame, col: str, out: str, splits: list[float]) -> DataFrame:
-    """Order-preserving bucket index by binary search over fixed splits (JVM side)."""
-    if len(splits) <= 2:
-        return df.withColumn(out, F.lit(0.0))
-    src = df.withColumn("_bkt_src", F.col(col).cast("double"))
-    return (Bucketizer(splits=splits, inputCol="_bkt_src", outputCol=out, handleInvalid="keep")
-            .transform(src).drop("_bkt_src"))
-
-
-def value_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 256,
-                 sample_from: DataFrame | None = None, sample_col: str | None = None,
-                 sign: float = 1.0) -> DataFrame:
-    """Order-preserving bucket of a numeric column; cut points are estimated
-    from ``sample_from[sample_col] * sign`` when given (e.g. the raw rows
-    before an aggregate, so the aggregate is not computed twice)."""
-    if sample_from is not None:
-        base = sample_from.select((F.col(sample_col or col).cast("double") * F.lit(sign)).alias("_sq"))
-        splits = quantile_splits(base, "_sq", n_buckets)
-    else:
-        splits = quantile_splits(df, col, n_buckets)
-    return bucketize(df, col, out, splits)
-
-
-def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
-                 by: Sequence[str] = (), descending: bool = False,
-                 n_buckets: int = 256, prefix: str = "cum_",
-                 sample_from: DataFrame | None = None, sample_col: str | None = None) -> DataFrame:
+def ordered_runs(df: DataFrame, by: Sequence[str], order: Sequence[Column], run: str) -> DataFrame:
+    """Rows dealt into runs that follow ``(by, order)``, as many as the session has shuffle partitions.
+
+    A run is a range partition of the whole key, so it is balanced whatever the size of a stratum and, when
+    ``order`` ends in a unique key, whatever the ties. The runs are cut by a reliable checkpoint: the offsets
+    counted per run and the rows ranked in it must come from the same division."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn(run, F.spark_partition_id()))
+
+
+def range_rank(df: DataFrame, strata: Sequence[str], order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
+    """Exact 1-based rank within ``strata`` by ``order`` (its last key unique)."""
+    return bucketed_rank(ordered_runs(df, strata, order, "_run"), strata, F.col("_run"), order, rank_col).drop("_run")
+
+
+def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], by: Sequence[str] = (),
+                 descending: bool = False, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_col`` order within ``by``.
 
-    ``order_col`` must be unique within ``by`` (aggregate ties first). Uses
-    quantile buckets, bucket totals (small) and per-bucket windows.
-    """
-    by = list(by)
-    sign = -1.0 if descending else 1.0
-    d = df.withColumn("_ord", F.col(order_col).cast("double") * F.lit(sign))
-    d = value_bucket(d, "_ord", "_bkt", n_buckets, sample_from, sample_col, sign)
-    totals = d.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    wt = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bkt") \
+    ``order_col`` must be unique within ``by`` (aggregate ties first). Ordered runs, run totals (one row per
+    run and key) and a window inside each run."""
+    by, cols = list(by), df.columns
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    d = ordered_runs(df, by, [order], "_run")
+    totals = d.groupBy(*by, "_run").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wt = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_run") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}")
-                                        for c in sum_cols])
-    joined = _join_offsets(d, offs, [*by, "_bkt"])
-    w = Window.partitionBy(*by, "_bkt").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.select(*[c for c in df.columns],
-                        *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols])
-    return out
+    offs = totals.select(*by, "_run", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    w = Window.partitionBy(*by, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return _join_offsets(d, offs, [*by, "_run"]).select(
+        *cols, *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols])
 
 
 # Tables of per-group parameters (one row per group / audit key) joined back to

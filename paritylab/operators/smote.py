@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from paritylab.functions.hashing import hash_key, hash_unit
 from paritylab.functions.keys import key_string
 from paritylab.operators import prep as pp
-from paritylab.operators.ranking import bucketed_rank, value_bucket
+from paritylab.operators.ranking import range_rank
 from paritylab.session import cut_lineage
 
 # Fixed value: text written into non-numeric columns of synthetic rows.
@@ -75,9 +75,7 @@ def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None
         return df
     axis = axis or projection_axis(df, feats)
     pts = df.withColumn("_g", g).withColumn("_p", F.col(axis))
-    pts = value_bucket(pts, "_p", "_pb")
-    ranked = bucketed_rank(pts, ["_g"], F.col("_pb").cast("long"), [F.col("_p"), F.col(key)], "_pos") \
-        .drop("_pb").persist()
+    ranked = range_rank(pts, ["_g"], [F.col("_p"), F.col(key)], "_pos").persist()
     pos_tbl = ranked.select("_g", "_pos", "_p", key, *feats)
 
     # draws: (g, i) -> base position, neighbour index, step (chunked generation)
