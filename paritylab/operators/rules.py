@@ -8,8 +8,6 @@ that row; triggered rules are emitted as rows.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +21,25 @@ IDEALS = {
 ACCURACY_KEY = "Test Accuracy"
 
 # Rule categories, descriptions, confidence levels and evidence
-# formats ({name} = a worst-gap value printed with 4 decimals).
+# formats.
 RULES = {
     "gap_remaining": ("Fairness Gap Remaining",
                       "Mitigation improved parity, but a significant gap still exists.", "High",
-                      "Largest Statistical Parity Difference is {spd_a}."),
+                      "Largest Statistical Parity Difference is %.4f."),
     "low_impact": ("Low Mitigation Impact", "The current method had minimal effect on fairness.", "High",
-                   "Statistical Parity Difference remains high at {spd_a}."),
+                   "Statistical Parity Difference remains high at %.4f."),
     "beyond_parity": ("Beyond Parity", "Successfully achieved Demographic Parity.", "High",
-                      "SPD dropped to {spd_a} and DI is {di_a}."),
+                      "SPD dropped to %.4f and DI is %.4f."),
     "error_imbalance": ("Error Rate Imbalance",
                         "Model accuracy is still significantly different between groups.", "High",
-                        "Equal Opportunity Difference is {eod_a}."),
+                        "Equal Opportunity Difference is %.4f."),
     "stubborn": ("Stubborn Error Bias", "Mitigation failed to balance error rates.", "High",
-                 "Average Odds Difference is {aod_a}."),
+                 "Average Odds Difference is %.4f."),
     "odds_achieved": ("Equalized Odds Achieved", "Successfully balanced error rates across groups.", "High",
-                      "EOD dropped to {eod_a}."),
+                      "EOD dropped to %.4f."),
     "accuracy_tradeoff": ("Significant Accuracy Trade-off",
                           "Accuracy dropped significantly after mitigation.", "High",
-                          "Accuracy dropped by {acc_drop} ({acc_b} -> {acc_a})"),
+                          "Accuracy dropped by %.4f (%.4f -> %.4f)"),
     "missing_bias": ("Missing Data Bias", "Exclusion bias risk due to 'Drop' strategy.", "Medium",
                      "Rows with missing data were removed."),
     "encoding": ("Encoding Choice", "Potential ordinal bias from Label Encoding.", "Medium",
@@ -69,25 +67,27 @@ def _short(base: str) -> str:
             "Equal Opportunity Difference": "eod", "Average Odds Difference": "aod"}[base]
 
 
-def _f4(c: Column) -> Column:
-    return F.format_string("%.4f", c)
-
-
-def _evidence(template: str, values: dict) -> Column:
-    """Render an evidence format: text pieces as literals, {name} as 4-dp numbers."""
-    parts = []
-    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
-        if i % 2:
-            parts.append(_f4(values[piece]))
-        elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+# The step that each rule advises.
+ACTIONS = {
+    "gap_remaining": "Add an in-processing method, such as adversarial debiasing, to the pre-processing step.",
+    "low_impact": "Choose another mitigation method, and look for features that stand in for the sensitive attribute.",
+    "beyond_parity": "Turn to equalized odds next: compare the error rates of qualified members of the groups.",
+    "error_imbalance": "Post-process the scores, for example with calibrated equalized odds and a threshold per group.",
+    "stubborn": "Use a constrained training method, or gather better balanced data for the smaller groups.",
+    "odds_achieved": "Keep watching the error rates of the groups as new data arrives.",
+    "accuracy_tradeoff": "Weaken the mitigation, for example with smaller resampling ratios, or train a stronger model.",
+    "missing_bias": "Compare how often each group lacks values before rows are dropped; impute where it differs.",
+    "encoding": "Use one-hot encoding, so that no order is read into the categories.",
+}
 
 
-def _rec(key: str, values: dict | None = None) -> Column:
-    cat, desc, conf, template = RULES[key]
-    return F.struct(F.lit(cat).alias("category"), F.lit(desc).alias("description"),
-                    _evidence(template, values or {}).alias("evidence"), F.lit(conf).alias("confidence_level"))
+def _rec(key: str, *values: Column) -> Column:
+    """One recommendation; ``values`` fill the evidence format in order. These rules rest on no test, so p_value is null."""
+    category, description, confidence, template = RULES[key]
+    return F.struct(F.lit(category).alias("category"), F.lit(description).alias("description"),
+                    (F.format_string(template, *values) if values else F.lit(template)).alias("evidence"),
+                    F.lit(ACTIONS[key]).alias("action"), F.lit(confidence).alias("confidence_level"),
+                    F.lit(None).cast("double").alias("p_value"))
 
 
 def fairness_rules(metrics: DataFrame, audit: str = "audit_id") -> DataFrame:
@@ -102,15 +102,13 @@ def fairness_rules(metrics: DataFrame, audit: str = "audit_id") -> DataFrame:
     odds_gap_a = (F.abs(eod_a) > 0.1) | (F.abs(aod_a) > 0.1)
     odds_gap_b = (F.abs(eod_b) > 0.1) | (F.abs(aod_b) > 0.1)
     odds_better = (F.abs(eod_a) < F.abs(eod_b)) | (F.abs(aod_a) < F.abs(aod_b))
-    vals = {"spd_a": spd_a, "di_a": di_a, "eod_a": eod_a, "aod_a": aod_a, "acc_a": acc_a, "acc_b": acc_b,
-            "acc_drop": acc_b - acc_a}
-    parity = (F.when(parity_gap_a & parity_better, _rec("gap_remaining", vals))
-               .when(parity_gap_a, _rec("low_impact", vals))
-               .when(parity_gap_b, _rec("beyond_parity", vals)))
-    odds = (F.when(odds_gap_a & odds_better, _rec("error_imbalance", vals))
-             .when(odds_gap_a, _rec("stubborn", vals))
-             .when(odds_gap_b, _rec("odds_achieved", vals)))
-    accuracy = F.when((acc_b > 0) & ((acc_b - acc_a) > 0.05), _rec("accuracy_tradeoff", vals))
+    parity = (F.when(parity_gap_a & parity_better, _rec("gap_remaining", spd_a))
+               .when(parity_gap_a, _rec("low_impact", spd_a))
+               .when(parity_gap_b, _rec("beyond_parity", spd_a, di_a)))
+    odds = (F.when(odds_gap_a & odds_better, _rec("error_imbalance", eod_a))
+             .when(odds_gap_a, _rec("stubborn", aod_a))
+             .when(odds_gap_b, _rec("odds_achieved", eod_a)))
+    accuracy = F.when((acc_b > 0) & ((acc_b - acc_a) > 0.05), _rec("accuracy_tradeoff", acc_b - acc_a, acc_b, acc_a))
     recs = g.select(audit, F.explode(F.array(parity, odds, accuracy)).alias("r")).where(F.col("r").isNotNull())
     return recs.select(audit, "r.*")
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paritylab.operators import evaluate as ev
 from paritylab.operators import fairness as fm
@@ -106,6 +107,9 @@ def fit_preprocess(df: DataFrame, target: str, prep: PrepSpec, attrs: Sequence[s
     if binarize:
         priv_value = privileged
         run(lambda d: pp.binarize(d, sens, priv_value))
+    flags = [c for c in feats if c not in (target, sens) and isinstance(df.schema[c].dataType, T.BooleanType)]
+    if flags:  # Q6: booleans are numbers, not categories
+        run(lambda d: d.withColumns({c: F.col(c).cast("int") for c in flags}))
     cats = [c for c in pp.categorical_columns(df, feats) if c not in (target, sens)]
     model_feats = list(feats)
     if prep.encoding in ("one-hot", "onehot") and cats:

@@ -23,9 +23,9 @@ from paritylab.session import cut_lineage, job_pool
 
 # The grid of the reference benchmark.
 GRID_MODELS = ("logistic", "random_forest", "gbm", "svm")
-GRID_MITIGATIONS = (("Baseline", "None", None), ("Resampling", "Oversample", "oversample"),
-                    ("Resampling", "Undersample", "undersample"), ("Relabeling", "Relabeling", "relabel"),
-                    ("Synthetic", "SMOTE", "smote"), ("Synthetic", "CDA", "cda"))
+GRID_MITIGATIONS = (("none", None, None), ("resampling_over", "oversample", "oversample"),
+                    ("resampling_under", "undersample", "undersample"), ("relabeling", None, "relabel"),
+                    ("synthetic_smote", "smote", "smote"), ("synthetic_cda", "cda", "cda"))
 # Up to this many sampled rows a top-n (no full shuffle) is used.
 TOP_K_LIMIT = 10_000
 GRID_PREP = {"missing": "mode", "outliers": "iqr", "encoding": "one-hot", "mode": "combined", "metrics": "all"}
@@ -81,8 +81,8 @@ def sensitive_settings(spec: DatasetSpec) -> list[tuple[list, object]]:
 
 
 def grid_tasks(specs: Sequence[DatasetSpec], runs: int = 1) -> list[tuple]:
-    """B2: dataset x sensitive setting x run (configs run inside a task)."""
-    return [(s, attrs, priv, r) for s in specs for attrs, priv in sensitive_settings(s) for r in range(runs)]
+    """B2: dataset x sensitive setting x run from 1 (configs run inside a task)."""
+    return [(s, attrs, priv, r) for s in specs for attrs, priv in sensitive_settings(s) for r in range(1, runs + 1)]
 
 
 def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], runs: int = 1,
@@ -114,8 +114,8 @@ def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], ru
             m = {r["metric"]: r["value"] for r in metrics.collect()}  # one row per metric
             return {
                 "Dataset": spec.name, "Model Type": cfg["model"], "Mitigation Technique": cfg["technique"],
-                "Mitigation Detail": cfg["detail"], "Run Number": run + 1,
-                "Sensitive Attributes": "_".join(attrs), "Privileged Value": str(priv),
+                "Mitigation Detail": cfg["detail"], "Run Number": run,
+                "Sensitive Attributes": ", ".join(attrs), "Privileged Value": str(priv),
                 "CV Mean Accuracy": m.get("CV Mean Accuracy"), "Accuracy": m.get("Test Accuracy"),
                 "Precision": m.get("Test Precision"), "Recall": m.get("Test Recall"), "F1": m.get("Test F1"),
                 "Balanced Accuracy": m.get("Test Balanced Accuracy"), "ROC AUC": m.get("Test ROC AUC"),

@@ -174,13 +174,20 @@ def evaluate_model(fitted: FittedModel, df: DataFrame, target: str) -> dict:
 
 def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: str = "logistic",
                    k: int = 5, seed: int = 42, key: str = "row_id", parallelism: int = 5) -> tuple[float, float]:
-    """Stratified k-fold accuracy mean and population std; failure -> (0, 0).
+    """Stratified k-fold accuracy mean and population std; (0, 0) where a fold is empty or leaves a single
+    class to train on. Any other failure is raised.
 
     The k fits are independent Spark jobs submitted from k driver threads, so
     the scheduler runs them side by side (the reference uses k processes)."""
     from concurrent.futures import ThreadPoolExecutor
+    folded = stratified_folds(df, [target], k, seed, key, max_stratum_rows=df.count()).cache()
     try:
-        folded = stratified_folds(df, [target], k, seed, key, max_stratum_rows=df.count()).cache()
+        cells = folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n"))  # folds x classes
+        sides = cells.groupBy(target).agg(F.collect_set("fold").alias("folds")).collect()
+        for f in range(k):
+            classes_left = sum(any(x != f for x in r["folds"]) for r in sides)
+            if classes_left < 2 or not any(f in r["folds"] for r in sides):
+                return 0.0, 0.0
 
         def one(f: int) -> float:
             job_pool(df.sparkSession, "cv", f"cv fold {f}")
@@ -192,12 +199,10 @@ def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: s
 
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
             accs = list(pool.map(one, range(k)))
+    finally:
         folded.unpersist()
-        mean = sum(accs) / k
-        std = (sum((a - mean) ** 2 for a in accs) / k) ** 0.5
-        return mean, std
-    except Exception:  # noqa: BLE001 - the reference reports 0, 0 on any failure
-        return 0.0, 0.0
+    mean = sum(accs) / k
+    return mean, (sum((a - mean) ** 2 for a in accs) / k) ** 0.5
 
 
 @dataclass

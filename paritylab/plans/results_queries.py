@@ -98,6 +98,14 @@ def _top(spark, sf):
     return rs.results_top_table(grid(spark, sf), ["Accuracy", SPD])
 
 
+def _advised(recs: str) -> str:
+    """The rules' rows with the advised step of each category, and no p-value."""
+    steps = ", ".join("('{}', '{}')".format(rl.RULES[k][0], rl.ACTIONS[k]) for k in rl.RULES)
+    return f"""
+SELECT r.*, a.action, CAST(NULL AS DOUBLE) AS p_value FROM ({recs}) r
+JOIN (VALUES {steps}) AS a(category, action) ON r.category = a.category"""
+
+
 # ---------------------------------------------------------------- R1-R8 over one audit per region
 def _stage_metrics(df, pred: str, stage: str, by: str = "region"):
     wide = fm.fairness_metrics(df, "segment", "BUILDING", label="y", pred=pred, mode="individual",
@@ -183,7 +191,23 @@ FROM g WHERE acc_b > 0 AND (acc_b - acc_a) > 0.05"""
     src = f"src AS (SELECT *, CAST(o_totalprice >= {threshold} AS INTEGER) AS y_pred_after FROM audit_orders)"
     body = ",\n".join([src, stage("y_pred", "before"), stage("y_pred_after", "after"),
                        "lng AS (" + " UNION ALL ".join(longs) + ")", *picks, ids, g])
-    return _sql(("audit_orders",), body + recs)
+    return _sql(("audit_orders",), body + _advised(recs))
+
+
+@register("methodology_advice_orders", _sql(("audit_orders",), """s AS (SELECT DISTINCT status AS audit_id,
+  CASE WHEN status = 'O' THEN 'Drop rows' WHEN status = 'F' THEN 'Mean' END AS missing_values,
+  CASE WHEN status <> 'O' THEN 'Label Encoding' END AS encoding FROM audit_orders)""" + _advised("""
+SELECT audit_id, 'Missing Data Bias' AS category, 'Exclusion bias risk due to ''Drop'' strategy.' AS description,
+       'Rows with missing data were removed.' AS evidence, 'Medium' AS confidence_level FROM s WHERE missing_values LIKE '%Drop%'
+UNION ALL SELECT audit_id, 'Encoding Choice', 'Potential ordinal bias from Label Encoding.',
+       'Categorical features were mapped to integers.', 'Medium' FROM s WHERE encoding LIKE '%Label Encoding%'""")))
+def _methodology(spark, sf):
+    """One audit per order status with its own choices."""
+    status = F.col("status")
+    choices = view(spark, sf, "audit_orders").select(status.alias("audit_id")).distinct().withColumns({
+        "missing_values": F.when(F.col("audit_id") == "O", "Drop rows").when(F.col("audit_id") == "F", "Mean"),
+        "encoding": F.when(F.col("audit_id") != "O", "Label Encoding")})
+    return rl.methodology_rules(choices)
 
 
 register("recommendations_by_region", _recs_sql("region", 150000))(_recs_for("region", 150000))

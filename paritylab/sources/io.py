@@ -1,24 +1,28 @@
 """Table sources and sinks.
 
-Delimited text is read with Spark's CSV reader in FAILFAST mode (a malformed
-line is an error), all columns as text; the header row is taken by us so that
-duplicate names get the ``_dup_k`` suffixes instead of Spark's positional
-renaming, then numeric columns are inferred in one aggregate
+Delimited text is read with Spark's CSV reader, all columns as text (a line
+with too many fields is an error); names come from the first file's header, so
+that duplicates get the ``_dup_k`` suffixes instead of Spark's positional
+renaming, and every file's own header line is skipped, then numeric columns are inferred in one aggregate
 (``profile.infer_numeric``).
 """
 
 from __future__ import annotations
 
+import csv
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paritylab.operators.prep import dedupe_columns
 
 # Delimiters considered by the delimiter inference.
 CANDIDATE_DELIMITERS = (",", ";", "\t", "|")
+# Lines that the delimiter inference reads unless told otherwise.
+SAMPLE_LINES = 200
 
 _READERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -28,11 +32,11 @@ def register_reader(suffix: str, fn: Callable[..., DataFrame]) -> None:
     _READERS[suffix.lower()] = fn
 
 
-def infer_delimiter(spark: SparkSession, path: str, sample_lines: int = 200) -> str:
-    """Per-line counts of each candidate over the first lines (a bounded
-    ``limit``); the delimiter with a non-zero count that is most often equal
-    to its modal count wins; comma when none."""
-    lines = spark.read.text(path).limit(sample_lines)
+def infer_delimiter(spark: SparkSession, path: str, sample_lines: int | None = SAMPLE_LINES) -> str:
+    """Per-line counts of each candidate over the first ``sample_lines`` lines (None: all lines); the delimiter
+    that occurs the same number of times in most lines wins, on ties the more frequent; comma when none occurs."""
+    lines = spark.read.text(path)
+    lines = lines if sample_lines is None else lines.limit(sample_lines)
     exploded = lines.select(F.explode(F.array(*[
         F.struct(F.lit(d).alias("d"), (F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))))
                  .alias("k")) for d in CANDIDATE_DELIMITERS])).alias("x")).select("x.d", "x.k")
@@ -46,10 +50,11 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_table(spark: SparkSession, path: str, sep: str | None = None, infer_types: bool = True) -> DataFrame:
-    """Load by suffix. csv/txt/tsv: header row, one delimiter,
-    malformed line -> error; if the result has <= 1 column the delimiter is
-    inferred and the read retried. parquet/orc/json use Spark readers."""
+def read_table(spark: SparkSession, path: str, sep: str | None = None, infer_types: bool = True,
+               sample_lines: int | None = SAMPLE_LINES) -> DataFrame:
+    """Load by suffix. csv/txt/tsv: header line in each file, one delimiter, inferred from
+    ``sample_lines`` lines unless ``sep`` is given; a short line is filled with nulls, a long one is an
+    error. parquet/orc/json use Spark readers."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
     if suffix in _READERS:
         return _READERS[suffix](spark, path)
@@ -57,12 +62,9 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, infer_typ
         return strip_headers(spark.read.format(suffix).load(path))
     if suffix not in ("csv", "txt", "tsv", "data", ""):
         raise ValueError(f"Unsupported file format: .{suffix}")
-    df = _read_delimited(spark, path, sep or ("\t" if suffix == "tsv" else ","))
+    df = _read_delimited(spark, path, sep or ("\t" if suffix == "tsv" else infer_delimiter(spark, path, sample_lines)))
     if len(df.columns) <= 1:
-        guess = infer_delimiter(spark, path)
-        df = _read_delimited(spark, path, guess)
-        if len(df.columns) <= 1:
-            raise ValueError("could not split the file into columns")
+        raise ValueError("could not split the file into columns")
     if infer_types:
         from paritylab.operators.profile import infer_numeric
         df, _ = infer_numeric(df)
@@ -70,20 +72,15 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, infer_typ
 
 
 def _read_delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    raw = (spark.read.option("header", False).option("sep", sep).option("mode", "FAILFAST")
-           .option("encoding", "UTF-8").option("inferSchema", False).csv(path))
-    first = raw.first()
-    if first is None:
-        return raw
-    names = dedupe_columns([("" if v is None else str(v)).strip() for v in first])
-    header = list(first)
-    # drop the header line (every value equal to the header row, null-safe)
-    cond = None
-    for c, v in zip(raw.columns, header):
-        e = F.col(c).eqNullSafe(F.lit(v))
-        cond = e if cond is None else cond & e
-    body = raw.where(~cond) if cond is not None else raw
-    return body.toDF(*names)
+    head = spark.read.text(path).first()
+    if head is None or not head["value"]:
+        return spark.createDataFrame([], "value string")
+    names = dedupe_columns([n.strip() for n in next(csv.reader([head["value"]], delimiter=sep))])
+    cells = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)]  # the last takes what is too much
+    rows = (spark.read.schema(T.StructType(cells)).option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path))
+    over = F.raise_error(F.lit(f"a line has more than {len(names)} fields"))
+    rows = rows.withColumn("c0", F.when(F.col(cells[-1].name).isNotNull(), over.cast("string")).otherwise(F.col("c0")))
+    return rows.select(*[F.col(c.name).alias(n) for c, n in zip(cells, names)])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
