@@ -14,14 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.functions.hashing import hash_key
-from paritylab.operators.ranking import bucket_bits, hash_rank, range_rank
+from paritylab.operators.ranking import broadcast_if_small, bucket_bits, hash_rank, range_rank
+from paritylab.session import cut_lineage
 
 # Draws of one (group, label) cell are generated in chunks of this size so no
 # single task materialises a huge quota.
 DRAW_CHUNK = 1_000_000
-# Quota tables hold one row per (group, label); they are broadcast, so their
-# size is bounded here.
-MAX_GROUPS = 100_000
 # Fixed value: helper column name carrying the audited attribute through mitigation.
 EVAL_COL = "_fairness_eval_sens_attr"
 # Fixed value: text written into non-numeric columns of synthetic rows.
@@ -34,18 +32,10 @@ def _target_rate(df: DataFrame, target: str) -> float:
     return float(v) if v is not None else 0.0
 
 
-def _cell_counts(df: DataFrame, target: str, sens: str) -> list:
-    """Counts per sensitive group: a fitted table, at most ``MAX_GROUPS`` rows
-    reach the driver (more groups is an error, not a silent truncation)."""
-    rows = (df.where(F.col(sens).isNotNull())
-              .groupBy(F.col(sens).alias("g"))
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.count_if(F.col(target) == 1).alias("pos"),
-                   F.count_if(F.col(target) == 0).alias("neg"))
-              .limit(MAX_GROUPS + 1).collect())
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} sensitive groups")
-    return rows
+def _cell_counts(df: DataFrame, target: str, sens: str) -> DataFrame:
+    """(_g, n, pos, neg) per sensitive group, as a table."""
+    return cut_lineage(df.where(F.col(sens).isNotNull()).groupBy(F.col(sens).cast("string").alias("_g"))
+                       .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg")))
 
 
 def resample(df: DataFrame, target: str, sens: str, strategy: str = "undersample",
@@ -55,27 +45,21 @@ def resample(df: DataFrame, target: str, sens: str, strategy: str = "undersample
     for oversampling); undersampling keeps ``min(available, quota)`` rows
     without replacement, oversampling draws with replacement; an empty side
     stays empty; rows with target outside {0,1} or a null group vanish."""
-    spark = df.sparkSession
     r = _target_rate(df, target)
     cells = _cell_counts(df, target, sens)
-    if not cells:
+    top = cells.agg(F.max("n").alias("n"), F.max(F.greatest("pos", "neg")).alias("cell")).first()
+    if top["n"] is None:
         return df.limit(0)
-    big = max(c["n"] for c in cells)
-    quotas = []
-    for c in cells:
-        size = c["n"] if strategy == "undersample" else big
-        qp = int(size * r)
-        qn = size - qp
-        g = None if c["g"] is None else str(c["g"])
-        quotas.append((g, 1, qp, c["pos"]))
-        quotas.append((g, 0, qn, c["neg"]))
-    qdf = spark.createDataFrame(quotas, "_g string, _y int, _q long, _avail long")
+    size = F.col("n") if strategy == "undersample" else F.lit(top["n"])
+    positives = F.floor(size * F.lit(r)).cast("long")
+    qdf = cells.select("_g", F.explode(F.array(
+        F.struct(F.lit(1).alias("_y"), positives.alias("_q"), F.col("pos").alias("_avail")),
+        F.struct(F.lit(0).alias("_y"), (size - positives).alias("_q"), F.col("neg").alias("_avail")))).alias("x")).select("_g", "x.*")
     base = (df.where(F.col(sens).isNotNull() & F.col(target).isin(0, 1))
               .withColumn("_g", F.col(sens).cast("string")).withColumn("_y", F.col(target).cast("int")))
-    biggest = max(max(c["pos"], c["neg"]) for c in cells)
-    ranked = hash_rank(base, ["_g", "_y"], seed, key, rank_col="_r", bits=bucket_bits(biggest))
+    ranked = hash_rank(base, ["_g", "_y"], seed, key, rank_col="_r", bits=bucket_bits(top["cell"]))
     if strategy == "undersample":
-        kept = ranked.join(F.broadcast(qdf), ["_g", "_y"], "inner").where(F.col("_r") <= F.col("_q"))
+        kept = ranked.join(broadcast_if_small(qdf), ["_g", "_y"], "inner").where(F.col("_r") <= F.col("_q"))
         return kept.select(*df.columns)
     if strategy != "oversample":
         raise ValueError(f"unknown resampling strategy: {strategy}")

@@ -16,10 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.functions.keys import key_string
-from paritylab.operators.ranking import bucket_bits, hash_rank
-
-# Above this many strata the quota table is joined without a broadcast hint.
-MAX_STRATA = 1_000_000
+from paritylab.operators.ranking import broadcast_if_small, bucket_bits, hash_rank, range_rank
+from paritylab.session import cut_lineage
 
 
 def stratum_key(cols: Sequence[str]):
@@ -47,26 +45,43 @@ def largest_remainder(counts: dict, n_draws: int) -> dict:
     return base
 
 
-def _stratum_counts(df: DataFrame, key_col: str) -> dict:
-    rows = df.groupBy(key_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError("too many strata for a stratified split")
-    return {r[key_col]: r["n"] for r in rows}
+def allocate(counts: DataFrame, size: str, draws: int, out: str) -> DataFrame:
+    """``largest_remainder`` on a table of strata: adds ``out``, the share of ``draws`` of each row (key ``_sk``, rows ``size``)."""
+    total = counts.agg(F.coalesce(F.sum(size), F.lit(0)).alias("t")).first()["t"]
+    if not total:
+        return counts.withColumn(out, F.lit(0).cast("long"))
+    product = f"cast({size} as decimal(19,0)) * cast({draws} as decimal(19,0))"
+    base = counts.withColumns({"_base": F.expr(f"({product}) div cast({total} as decimal(19,0))"),
+                               "_left": F.expr(f"({product}) % cast({total} as decimal(19,0))")})
+    spare = draws - base.agg(F.sum("_base").alias("b")).first()["b"]
+    ranked = range_rank(base, [], [F.col("_left").desc(), F.col("_sk")], "_place")
+    return ranked.withColumn(out, F.col("_base") + (F.col("_place") <= F.lit(int(spare))).cast("long")).drop("_base", "_left", "_place")
+
+
+def _strata(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict]:
+    """(rows per stratum as a table, its number of strata, rows, smallest and largest stratum)."""
+    counts = cut_lineage(df.groupBy(stratum_key(cols).alias("_sk")).agg(F.count(F.lit(1)).alias("_n")))
+    return counts, _sizes(counts, "_n")
+
+
+def _sizes(counts: DataFrame, size: str) -> dict:
+    return counts.agg(F.count(F.lit(1)).alias("strata"), F.coalesce(F.sum(size), F.lit(0)).alias("rows"),
+                      F.min(size).alias("least"), F.max(size).alias("most")).first().asDict()
 
 
-def choose_strata(df: DataFrame, candidates: Sequence[Sequence[str]], test_size: float) -> tuple[list[str], dict]:
+def choose_strata(df: DataFrame, candidates: Sequence[Sequence[str]], test_size: float) -> tuple[list[str], DataFrame, dict]:
     """First candidate stratification that a stratified shuffle split accepts
     (every stratum >= 2 rows; both sides >= #strata); else no strata."""
     for cols in candidates:
-        key = df.withColumn("_sk", stratum_key(cols))
-        counts = _stratum_counts(key, "_sk")
-        n = sum(counts.values())
-        n_test = math.ceil(test_size * n)
-        n_train = n - n_test
-        if counts and min(counts.values()) >= 2 and n_test >= len(counts) and n_train >= len(counts):
-            return list(cols), counts
-    key = df.withColumn("_sk", stratum_key([]))
-    return [], _stratum_counts(key, "_sk")
+        counts, sizes = _strata(df, cols)
+        if _accepts(sizes, test_size):
+            return list(cols), counts, sizes
+    return [], *_strata(df, [])
+
+
+def _accepts(sizes: dict, test_size: float) -> bool:
+    n_test = math.ceil(test_size * sizes["rows"])
+    return bool(sizes["strata"]) and sizes["least"] >= 2 and min(n_test, sizes["rows"] - n_test) >= sizes["strata"]
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str], test_size: float = 0.2, seed: int = 42,
@@ -74,29 +89,17 @@ def stratified_split(df: DataFrame, strata: Sequence[str], test_size: float = 0.
                      out: str = "split", labels: tuple[str, str] = ("train", "test")) -> DataFrame:
     """Adds ``out`` in {train, test}. ``fallback`` lists coarser
     stratifications tried when ``strata`` is rejected (then: unstratified)."""
-    spark = df.sparkSession
-    cands = [list(strata)] + [list(f) for f in (fallback or [])]
-    cols, counts = choose_strata(df, cands, test_size)
-    n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    train_q = largest_remainder(counts, n - n_test)
-    quotas = spark.createDataFrame([(k, int(v)) for k, v in train_q.items()], "_sk string, _q long")
+    cols, counts, sizes = choose_strata(df, [list(strata), *[list(f) for f in (fallback or [])]], test_size)
+    quotas = allocate(counts, "_n", sizes["rows"] - math.ceil(test_size * sizes["rows"]), "_q").select("_sk", "_q")
     keyed = df.withColumn("_sk", stratum_key(cols))
     # stratum sizes are known: just enough hash bits to cut the largest stratum
     # into segments of ~131k rows (a third of 100 TB -> 2**20+ segments)
-    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r", bits=bucket_bits(max(counts.values())))
-    side = F.broadcast(quotas) if len(train_q) <= MAX_STRATA else quotas
-    res = ranked.join(side, "_sk", "left")
+    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r", bits=bucket_bits(sizes["most"] or 0))
+    res = ranked.join(broadcast_if_small(quotas), "_sk", "left")
     lab = F.when(F.col("_r") <= F.coalesce(F.col("_q"), F.lit(0)), F.lit(labels[0])).otherwise(F.lit(labels[1]))
     return res.withColumn(out, lab).drop("_sk", "_r", "_q", "_h")
 
 
-def _accepts(counts: dict, test_size: float) -> bool:
-    n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    return bool(counts) and min(counts.values()) >= 2 and n_test >= len(counts) and n - n_test >= len(counts)
-
-
 def train_val_test(df: DataFrame, target: str, test_size: float = 0.2, val_size: float = 0.25,
                    seed: int = 42, key: str = "row_id") -> DataFrame:
     """test = test_size of all rows, then val = val_size of the rest,
@@ -107,25 +110,19 @@ def train_val_test(df: DataFrame, target: str, test_size: float = 0.2, val_size:
     quotas), then ``rank <= q_train`` is train, ``q_train < rank <= q_first``
     is validation and the rest is test. When the two splits would not use the
     same stratification, two chained splits are used instead."""
-    spark = df.sparkSession
-    cols, counts = choose_strata(df, [[target]], test_size)
-    n = sum(counts.values())
-    first_q = largest_remainder(counts, n - math.ceil(test_size * n))
-    n1 = sum(first_q.values())
-    second_ok = _accepts(first_q, val_size) if cols else True
-    if cols and not second_ok:
+    cols, counts, sizes = choose_strata(df, [[target]], test_size)
+    n1 = sizes["rows"] - math.ceil(test_size * sizes["rows"])
+    first_q = allocate(counts, "_n", n1, "_q1")
+    if cols and not _accepts(_sizes(first_q, "_q1"), val_size):
         first = stratified_split(df, [target], test_size, seed, key, fallback=[], out="_s1").persist()
         rest = first.where(F.col("_s1") == "train").drop("_s1")
         test = first.where(F.col("_s1") == "test").drop("_s1").withColumn("split", F.lit("test"))
         return stratified_split(rest, [target], val_size, f"{seed}v", key, fallback=[],
                                 labels=("train", "val")).unionByName(test)
-    train_q = largest_remainder(first_q, n1 - math.ceil(val_size * n1))
-    quotas = spark.createDataFrame([(k, int(train_q[k]), int(first_q[k])) for k in counts],
-                                   "_sk string, _q2 long, _q1 long")
+    quotas = allocate(first_q, "_q1", n1 - math.ceil(val_size * n1), "_q2").select("_sk", "_q1", "_q2")
     keyed = df.withColumn("_sk", stratum_key(cols))
-    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r", bits=bucket_bits(max(counts.values())))
-    side = F.broadcast(quotas) if len(counts) <= MAX_STRATA else quotas
-    res = ranked.join(side, "_sk", "left")
+    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r", bits=bucket_bits(sizes["most"] or 0))
+    res = ranked.join(broadcast_if_small(quotas), "_sk", "left")
     lab = (F.when(F.col("_r") <= F.col("_q2"), F.lit("train"))
             .when(F.col("_r") <= F.col("_q1"), F.lit("val")).otherwise(F.lit("test")))
     return res.withColumn("split", lab).drop("_sk", "_r", "_q1", "_q2", "_h")
