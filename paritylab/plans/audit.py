@@ -22,6 +22,7 @@ from paritylab.operators import prep as pp
 from paritylab.operators import profile as pf
 from paritylab.operators.split import stratified_split
 from paritylab.plans import models as md
+from paritylab.plans.spec import require_columns
 
 
 @dataclass
@@ -68,6 +69,7 @@ def fit_preprocess(df: DataFrame, target: str, prep: PrepSpec, attrs: Sequence[s
     """Fit P25 on ``df`` step by step (each step is fitted on the output of the
     previous one, as in the reference) and return the fitted pipeline together
     with ``df`` transformed by it."""
+    require_columns(df, list(attrs), target)
     feats = list(prep.selected_features or [c for c in df.columns if c not in (target, key)])
     work = feats + [target]
     steps = []

@@ -17,6 +17,25 @@ def test_parse_attributes():
     assert metric_families("2") == "odds"
 
 
+def test_missing_columns_are_named(spark):
+    from paritylab.plans.audit import PrepSpec, fit_preprocess
+    df = spark.createDataFrame([(1, "a", 1)], "row_id int, g string, y int")
+    with pytest.raises(ValueError, match="h"):
+        fit_preprocess(df, "y", PrepSpec(), ["h"], "a")
+    with pytest.raises(ValueError, match="z"):
+        fit_preprocess(df, "z", PrepSpec(), ["g"], "a")
+
+
+def test_short_lines_are_padded_and_long_ones_fail(spark, tmp_path):
+    from paritylab.sources import io
+    (tmp_path / "a.csv").write_text("k;v\n1\n2;x\nk;v\n")
+    got = io.read_table(spark, str(tmp_path / "a.csv"), sep=";", infer_types=False).collect()
+    assert [tuple(r) for r in got] == [("1", None), ("2", "x"), ("k", "v")]
+    (tmp_path / "b.csv").write_text("k;v\n1;2;3\n")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        io.read_table(spark, str(tmp_path / "b.csv"), sep=";", infer_types=False).collect()
+
+
 def test_methodology_rules(spark):
     sel = spark.createDataFrame([(1, "Drop", "Label Encoding"), (2, "Mean/Median", "One-Hot Encoding")],
                                 "audit_id int, missing_values string, encoding string")
