@@ -84,6 +84,21 @@ def add_columns(docs: DataFrame, text: str, fields: list[T.StructField], make, l
     return done.select(*[F.col(a).alias(n) for a, n in zip(base.columns, names)], *[F.col(f"n{i}").alias(f.name) for i, f in enumerate(fields)])
 
 
+def share(spark: SparkSession, made):
+    """A broadcast of an object of this subpackage, pickled by value like its functions; call the result for the object."""
+    from pyspark import cloudpickle
+
+    sent, opened = spark.sparkContext.broadcast(cloudpickle.dumps(made)), []
+
+    def get():
+        if not opened:
+            import pickle
+            opened.append(pickle.loads(sent.value))
+        return opened[0]
+
+    return get
+
+
 def worker_store(owner: str) -> dict:
     """What a Python worker keeps from task to task for an operator (a loaded vocabulary, memos). Another
     operator's is dropped first, so that a worker holds one at a time."""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paritylab.llm.common import (add_columns, fresh, gram_hashes, lean, order_key, prefix_hash, range_hash,
-                                  slices, spread_symbols, texts_of, worker_store)
+                                  share, slices, spread_symbols, texts_of, worker_store)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -145,12 +145,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
     if size > max_sent:
         return _find_by_join(docs.drop(into), items, shingle, threshold, text, into)
     index = ItemIndex([(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").collect()], shingle, threshold)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = share(docs.sparkSession, index)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shared", pa.int32()), ("n_item", pa.int32())]))
 
     def make(texts: list[str]) -> list[pa.Array]:
         worker_store("decontam")
-        return [pa.array(shared.value.leaks(texts), kind)]
+        return [pa.array(shared().leaks(texts), kind)]
 
     return add_columns(docs, text, [T.StructField(into, LEAKS)], make, 3 << 19)
 

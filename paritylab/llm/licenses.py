@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paritylab.llm.common import gram_hashes, lean, mix64, prefix_hash, range_hash, slices, spread_symbols, texts_of
+from paritylab.llm.common import gram_hashes, lean, mix64, prefix_hash, range_hash, share, slices, spread_symbols, texts_of
 
 BUCKETS = 1 << 15
 UNKNOWN = "unknown"
@@ -272,7 +272,7 @@ def scan_documents(docs: DataFrame, model: LicenseModel | None = None, text: str
     Null and empty texts have one empty paragraph, which is unknown. The model is fitted on the driver from the
     templates alone, so it does not depend on the input. A narrow pass in bounded slices."""
     model = model or LicenseModel()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x families floats
+    shared = share(docs.sparkSession, model)  # BUCKETS x families floats
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("start", pa.int64()), ("family", pa.string()), ("probability", pa.float64()),
@@ -280,7 +280,7 @@ def scan_documents(docs: DataFrame, model: LicenseModel | None = None, text: str
         for b in slices(batches, text, 1 << 20):
             texts = texts_of(b, text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.count("\n") + 1 for t in texts], pa.int64()),
-                                              pa.array(scan_texts(shared.value, texts), kind)], names=["doc_id", "n_paragraphs", "licenses"])
+                                              pa.array(scan_texts(shared(), texts), kind)], names=["doc_id", "n_paragraphs", "licenses"])
 
     return (docs.selectExpr("cast(doc_id as bigint) AS doc_id", f"`{text}`")
             .mapInArrow(lean(run), "doc_id bigint, n_paragraphs bigint, licenses array<struct<paragraph: bigint, start: bigint, family: string, "
