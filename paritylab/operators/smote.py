@@ -13,6 +13,11 @@ is *certified* when the first points outside the window on both sides are
 at least D away along the axis (so nothing outside can be closer). Bases
 that are not certified retry with a doubled window. Only drawn bases are
 searched, and each search touches O(W) rows.
+
+``features`` are the space of the neighbour search; every other numeric column
+is imputed and interpolated as well. Text columns of a synthetic row hold
+``SYNTHETIC``; types that can hold neither (booleans, dates) are NULL. Subgroup
+sizes stay a table: any number of subgroups is balanced.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import types as T
 from paritylab.functions.hashing import hash_key, hash_unit
 from paritylab.functions.keys import key_string
 from paritylab.operators import prep as pp
-from paritylab.operators.ranking import range_rank
+from paritylab.operators.ranking import broadcast_if_small, range_rank
 from paritylab.session import cut_lineage
 
 # Fixed value: text written into non-numeric columns of synthetic rows.
@@ -35,8 +40,6 @@ EVAL_COL = "_fairness_eval_sens_attr"
 # First half-window (positions on each side) of the neighbour search.
 START_WINDOW = 16
 DRAW_CHUNK = 1_000_000
-# Subgroup tables (counts, representatives) are broadcast: bounded here.
-MAX_SUBGROUPS = 100_000
 
 
 def smote_features(df: DataFrame, target: str, sens: str, key: str,
@@ -53,33 +56,30 @@ def projection_axis(df: DataFrame, feats: Sequence[str]) -> str:
 
 def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None = None,
           seed: int = 42, key: str = "row_id", k: int = 5, axis: str | None = None) -> DataFrame:
-    spark = df.sparkSession
     feats = smote_features(df, target, sens, key, features)
     if not feats:
         return df
     original = df
-    # mean-impute the numeric features (originals are returned imputed too)
-    df = pp.Imputer("mean", feats).fit_transform(df)
-    df = df.select(*[F.col(c).cast("double").alias(c) if c in feats else F.col(c) for c in df.columns])
+    # mean-impute the numeric columns (originals are returned imputed too)
+    nums = feats + [c for c in smote_features(df, target, sens, key) if c not in feats]
+    df = pp.Imputer("mean", nums).fit_transform(df)
+    df = df.select(*[F.col(c).cast("double").alias(c) if c in nums else F.col(c) for c in df.columns])
     g = F.concat(key_string(sens), F.lit("_"), key_string(target))
-    rows = df.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SUBGROUPS + 1).collect()
-    if len(rows) > MAX_SUBGROUPS:
-        raise ValueError(f"more than {MAX_SUBGROUPS} (sensitive, target) subgroups")
-    counts = {r["g"]: r["n"] for r in rows}
-    if not counts or min(counts.values()) < 2:
+    sizes = cut_lineage(df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.first(sens).alias("_s"),
+                                                      F.first(target).alias("_t")))
+    ends = sizes.agg(F.min("_n").alias("least"), F.max("_n").alias("most")).first()
+    if ends["least"] is None or ends["least"] < 2:
         return original  # a subgroup too small to interpolate: the input, unchanged
-    kk = min(k, max(1, min(counts.values()) - 1))
-    n_max = max(counts.values())
-    need = {grp: n_max - n for grp, n in counts.items() if n < n_max}
-    if not need:
+    if ends["least"] == ends["most"]:
         return df
+    kk = min(k, max(1, ends["least"] - 1))
+    qt = sizes.where(F.col("_n") < ends["most"]).select("_g", (F.lit(ends["most"]) - F.col("_n")).alias("_m"), "_n")
     axis = axis or projection_axis(df, feats)
     pts = df.withColumn("_g", g).withColumn("_p", F.col(axis))
     ranked = range_rank(pts, ["_g"], [F.col("_p"), F.col(key)], "_pos").persist()
-    pos_tbl = ranked.select("_g", "_pos", "_p", key, *feats)
+    pos_tbl = ranked.select("_g", "_pos", "_p", key, *nums)
 
     # draws: (g, i) -> base position, neighbour index, step (chunked generation)
-    qt = spark.createDataFrame([(grp, m, counts[grp]) for grp, m in need.items()], "_g string, _m long, _n long")
     chunks = qt.select("_g", "_m", "_n", F.explode(F.sequence(F.lit(0), ((F.col("_m") - 1) / DRAW_CHUNK)
                                                                 .cast("long"))).alias("_c"))
     chunks = chunks.repartition("_g", "_c")
@@ -93,20 +93,18 @@ def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None
         hash_unit(f"{seed}|step", "_g", "_i").alias("_u")).persist()
 
     bases = draws.select("_g", "_b").distinct()
-    knn = _exact_knn(bases, pos_tbl, counts, feats, key, kk)          # (_g, _b, _j, nn key)
+    knn = _exact_knn(bases, pos_tbl.drop(*nums[len(feats):]), sizes.select("_g", "_n"), ends["most"],
+                     feats, key, kk)  # (_g, _b, _j, nn key)
     picked = draws.join(knn, ["_g", "_b", "_j"], "inner")
-    base_x = pos_tbl.select("_g", F.col("_pos").alias("_b"), *[F.col(c).alias(f"_bx_{c}") for c in feats])
-    nn_x = pos_tbl.select("_g", F.col(key).alias("_nk"), *[F.col(c).alias(f"_nx_{c}") for c in feats])
+    base_x = pos_tbl.select("_g", F.col("_pos").alias("_b"), *[F.col(c).alias(f"_bx_{c}") for c in nums])
+    nn_x = pos_tbl.select("_g", F.col(key).alias("_nk"), *[F.col(c).alias(f"_nx_{c}") for c in nums])
     syn = picked.join(base_x, ["_g", "_b"]).join(nn_x, ["_g", "_nk"])
 
-    # one representative (sens, target) per subgroup, small
-    reps = df.select(g.alias("_g"), F.col(sens).alias("_s"), F.col(target).alias("_t")) \
-        .groupBy("_g").agg(F.first("_s").alias("_s"), F.first("_t").alias("_t"))
-    syn = syn.join(F.broadcast(reps), "_g")
+    syn = syn.join(broadcast_if_small(sizes.select("_g", "_s", "_t")), "_g")
     out_cols = []
     for c in df.columns:
         dt = df.schema[c].dataType
-        if c in feats:
+        if c in nums:
             e = F.col(f"_bx_{c}") + F.col("_u") * (F.col(f"_nx_{c}") - F.col(f"_bx_{c}"))
         elif c == sens:
             e = F.col("_s")
@@ -132,16 +130,14 @@ def smote(df: DataFrame, target: str, sens: str, features: Sequence[str] | None
     return df.unionByName(synthetic)
 
 
-def _exact_knn(bases: DataFrame, pts: DataFrame, counts: dict, feats: Sequence[str], key: str,
+def _exact_knn(bases: DataFrame, pts: DataFrame, sizes: DataFrame, max_n: int, feats: Sequence[str], key: str,
                k: int) -> DataFrame:
     """(_g, _b) bases -> k rows (_g, _b, _j, _nk): the j-th nearest point of the
     same subgroup (distance, then key), certified by the projection gap."""
-    spark = bases.sparkSession
-    sizes = spark.createDataFrame(list(counts.items()), "_g string, _n long")
+    sizes = broadcast_if_small(sizes)  # one row per subgroup
     pending = bases
     done = None
     w = START_WINDOW
-    max_n = max(counts.values())
     base_rows = pts.select("_g", F.col("_pos").alias("_b"), F.col("_p").alias("_bp"),
                            F.col(key).alias("_bk"), *[F.col(c).alias(f"_b_{c}") for c in feats])
     while True:
@@ -153,12 +149,13 @@ def _exact_knn(bases: DataFrame, pts: DataFrame, counts: dict, feats: Sequence[s
         d2 = sum(((F.col(c) - F.col(f"_b_{c}")) * (F.col(c) - F.col(f"_b_{c}")) for c in feats), F.lit(0.0))
         cand = cand.select("_g", "_b", "_bp", F.col(key).alias("_nk"), d2.alias("_d2"))
         wr = Window.partitionBy("_g", "_b").orderBy("_d2", "_nk")
-        top = cand.withColumn("_j", F.row_number().over(wr) - 1).where(F.col("_j") < k)
+        # one evaluation per round: the check and the result read the same cut table
+        top = cut_lineage(cand.withColumn("_j", F.row_number().over(wr) - 1).where(F.col("_j") < k))
         # k-th distance per base, and the axis gap to the first points outside the window
         kth = top.groupBy("_g", "_b", "_bp").agg(F.max("_d2").alias("_dk"), F.count(F.lit(1)).alias("_c"))
         edge_hi = pts.select("_g", (F.col("_pos") - (w + 1)).alias("_b"), F.col("_p").alias("_hi"))
         edge_lo = pts.select("_g", (F.col("_pos") + (w + 1)).alias("_b"), F.col("_p").alias("_lo"))
-        chk = (kth.join(F.broadcast(sizes), "_g")     # one row per subgroup, bounded by MAX_SUBGROUPS
+        chk = (kth.join(sizes, "_g")
                .join(edge_hi, ["_g", "_b"], "left").join(edge_lo, ["_g", "_b"], "left"))
         gap_ok = lambda edge, sign: F.col(edge).isNull() | (
             (F.lit(sign) * (F.col(edge) - F.col("_bp"))) * (F.lit(sign) * (F.col(edge) - F.col("_bp"))) > F.col("_dk"))
@@ -166,7 +163,7 @@ def _exact_knn(bases: DataFrame, pts: DataFrame, counts: dict, feats: Sequence[s
         # reliable checkpoint per round: the loop's lineage does not grow
         status = cut_lineage(chk.select("_g", "_b", (F.lit(full) | ok).alias("_ok")))
         good = status.where("_ok").select("_g", "_b")
-        res = cut_lineage(top.join(good, ["_g", "_b"], "left_semi").select("_g", "_b", "_j", "_nk"))
+        res = top.join(good, ["_g", "_b"], "left_semi").select("_g", "_b", "_j", "_nk")
         done = res if done is None else done.unionByName(res)
         pending_next = status.where("NOT _ok").select("_g", "_b")
         if full or pending_next.isEmpty():

@@ -194,16 +194,20 @@ def _selrates(spark, sf):
 
 
 # ---------------------------------------------------------------- M5 SMOTE (oracle: brute-force kNN)
-def _smote_sql() -> str:
-    d2 = "0.0 + (o.c_acctbal - b.c_acctbal) * (o.c_acctbal - b.c_acctbal) + (o.max_price - b.max_price) * (o.max_price - b.max_price)"
-    return f"""base AS (SELECT row_id, segment, region, y, c_acctbal, max_price FROM audit_customers),
-m AS (SELECT AVG(c_acctbal) AS m1, AVG(max_price) AS m2 FROM base),
-imp AS (SELECT row_id, segment, region, y, CAST(COALESCE(c_acctbal, m1) AS DOUBLE) AS c_acctbal,
-               CAST(COALESCE(max_price, m2) AS DOUBLE) AS max_price FROM base, m),
+def _smote_sql(feats: tuple, others: tuple, axis: str) -> str:
+    """SMOTE whose neighbours are nearest over ``feats``, ranked along ``axis``; ``others`` are interpolated too."""
+    nums = (*feats, *others)
+    listed = ", ".join(nums)
+    d2 = " + ".join(["0.0", *[f"(o.{c} - b.{c}) * (o.{c} - b.{c})" for c in feats]])
+    imputed = ", ".join(f"CAST(COALESCE({c}, (SELECT AVG({c}) FROM base)) AS DOUBLE) AS {c}" for c in nums)
+    steps = ", ".join(f"b.{c} + dr._u * (o.{c} - b.{c}) AS {c}" for c in nums)
+    shown = ", ".join(f"round({c}, 6) AS {c}" for c in nums)
+    return f"""base AS (SELECT row_id, segment, region, y, {listed} FROM audit_customers),
+imp AS (SELECT row_id, segment, region, y, {imputed} FROM base),
 pts AS (SELECT *, COALESCE(CAST(segment AS VARCHAR), 'nan') || '_' || COALESCE(CAST(y AS VARCHAR), 'nan') AS _g FROM imp),
 cnt AS (SELECT _g, COUNT(*) AS n FROM pts GROUP BY _g),
 mx AS (SELECT MAX(n) AS nmax, least(5, greatest(1, MIN(n) - 1)) AS k FROM cnt),
-rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY _g ORDER BY max_price, row_id) AS _pos FROM pts),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY _g ORDER BY {axis}, row_id) AS _pos FROM pts),
 dr AS (SELECT cnt._g, i, ({h('42|base', 'cnt._g', 'i')} % n) + 1 AS _b, {h('42|nn', 'cnt._g', 'i')} % k AS _j,
               CAST({h('42|step', 'cnt._g', 'i')} AS DOUBLE) / 1152921504606846976.0 AS _u
        FROM cnt, mx, range(1, (SELECT nmax FROM mx) + 1) t(i) WHERE i <= nmax - n),
@@ -212,21 +216,25 @@ pairs AS (SELECT b._g, b._pos AS _b, o.row_id AS _nk, {d2} AS d2
           FROM rk b JOIN bs ON b._g = bs._g AND b._pos = bs._b JOIN rk o ON o._g = b._g AND o.row_id <> b.row_id),
 nn AS (SELECT _g, _b, _nk, ROW_NUMBER() OVER (PARTITION BY _g, _b ORDER BY d2, _nk) - 1 AS _j FROM pairs),
 rep AS (SELECT _g, ANY_VALUE(segment) AS segment, ANY_VALUE(y) AS y FROM pts GROUP BY _g),
-syn AS (SELECT -({h('42|key', 'dr._g', 'dr.i')}) AS row_id, rep.segment, 'SYNTHETIC' AS region, rep.y,
-               b.c_acctbal + dr._u * (o.c_acctbal - b.c_acctbal) AS c_acctbal,
-               b.max_price + dr._u * (o.max_price - b.max_price) AS max_price
+syn AS (SELECT -({h('42|key', 'dr._g', 'dr.i')}) AS row_id, rep.segment, 'SYNTHETIC' AS region, rep.y, {steps}
         FROM dr JOIN nn ON nn._g = dr._g AND nn._b = dr._b AND nn._j = dr._j
         JOIN rk b ON b._g = dr._g AND b._pos = dr._b JOIN rk o ON o._g = dr._g AND o.row_id = nn._nk
         JOIN rep ON rep._g = dr._g)
-SELECT row_id, segment, region, y, round(c_acctbal, 6) AS c_acctbal, round(max_price, 6) AS max_price FROM imp
+SELECT row_id, segment, region, y, {shown} FROM imp
 UNION ALL
-SELECT row_id, segment, region, y, round(c_acctbal, 6), round(max_price, 6) FROM syn"""
+SELECT row_id, segment, region, y, {shown} FROM syn"""
 
 
-@_q("smote_customers", ("audit_customers",), _smote_sql())
-def _smote(spark, sf):
-    from paritylab.operators.smote import smote
-    d = view(spark, sf, "audit_customers").select("row_id", "segment", "region", "y", "c_acctbal", "max_price")
-    out = smote(d, "y", "segment", ["c_acctbal", "max_price"], seed=42)
-    return out.select("row_id", "segment", "region", "y", F.round("c_acctbal", 6).alias("c_acctbal"),
-                      F.round("max_price", 6).alias("max_price"))
+def _smote_of(feats: tuple, others: tuple):
+    def run(spark, sf):
+        from paritylab.operators.smote import smote
+        nums = [*feats, *others]
+        d = view(spark, sf, "audit_customers").select("row_id", "segment", "region", "y", *nums)
+        out = smote(d, "y", "segment", list(feats), seed=42)
+        return out.select("row_id", "segment", "region", "y", *[F.round(c, 6).alias(c) for c in nums])
+    return run
+
+
+for _name, _feats, _others in (("smote_customers", ("c_acctbal", "max_price"), ()),
+                               ("smote_unlisted_customers", ("c_acctbal", "max_price"), ("n_orders",))):
+    _q(_name, ("audit_customers",), _smote_sql(_feats, _others, "max_price"))(_smote_of(_feats, _others))
