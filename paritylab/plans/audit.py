@@ -293,9 +293,22 @@ def report_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
             .orderBy("metric")
 
 
-def report_tables(base: dict, mitig: dict | None = None) -> dict:
-    """Every report table of one audit (lazy DataFrames)."""
+def _stage_tables(stage: str, audit: dict, target: str) -> dict:
+    """Confusion tables, overall and per group, and score densities of one audit's test predictions, and the
+    (group, target) counts of its table."""
+    sens, pred = audit["sensitive"], audit["predictions"]
+    return {f"{stage}_confusion": ev.confusion(pred, target, "prediction"),
+            f"{stage}_subgroup_confusion": ev.confusion(pred, target, "prediction", [sens]),
+            f"{stage}_score_density": pf.score_density(pred, "probability", sens),
+            f"{stage}_subgroup_counts": pf.crosstab(audit["table"], sens, target)}
+
+
+def report_tables(base: dict, mitig: dict | None = None, target: str | None = None) -> dict:
+    """Every report table of one audit (lazy DataFrames). The tables of predictions and of rows are added when
+    ``target`` names the label."""
     out = {"baseline_metrics": base["metrics"], "baseline_stats": base["stats"]}
+    if target:
+        out.update(_stage_tables("baseline", base, target))
     if mitig:
         staged = base["metrics"].withColumn("stage", F.lit("Baseline")).unionByName(
             mitig["metrics"].withColumn("stage", F.lit("Mitigated")))
@@ -307,4 +320,11 @@ def report_tables(base: dict, mitig: dict | None = None) -> dict:
             "stats_table": report_stats(base["stats"].select("stat", "value"),
                                         mitig["stats"].select("stat", "value")),
         })
+    if mitig and target:
+        before, after, sens = base["table"], mitig["table"], base["sensitive"]
+        out.update(_stage_tables("mitigated", mitig, target))
+        out.update({"class_distribution": pf.compare_distribution(before, after, target),
+                    "sensitive_distribution": pf.compare_distribution(before, after, sens),
+                    "selection_rates": pf.selection_rates(before, after, sens, target),
+                    "positive_rate": pf.positive_rate(after, sens, target)})
     return out

@@ -12,7 +12,8 @@ Logistic regression with C = 1 maps to ``regParam = 1/n`` with
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -29,31 +30,48 @@ from paritylab.operators import prep as pp
 from paritylab.operators.split import stratified_folds, stratified_split, train_val_test
 from paritylab.session import job_pool
 
-# Model names accepted by the registry (svm is an alias).
-MODEL_NAMES = ("logistic", "random_forest", "gbm", "svm", "linear_svc")
+# Boosting: rounds at most, rounds without a lower holdout loss after which it stops, share of rows held out, and
+# the rounds of the first attempt.
+GBM_ROUNDS = 1000
+GBM_PATIENCE = 20
+GBM_HOLDOUT = 0.1
+GBM_FIRST = 32
+CALIBRATION_FOLDS = 5
 LABEL = "_label"
 FEATURES = "_features"
+_INPUT = {"featuresCol": FEATURES, "labelCol": LABEL}
+
+# T5: constructors (rows, seed) -> Spark ML estimator on the scaled features.
+_MODELS: dict[str, Callable] = {}
+
+
+def register_model(name: str, constructor: Callable) -> None:
+    """T5: make ``constructor(n_rows, seed)`` known as ``name``; it returns a classifier of (``FEATURES``, ``LABEL``)."""
+    _MODELS[name] = constructor
+
+
+def model_names() -> list[str]:
+    return sorted(_MODELS)
 
 
 def classifier(name: str, n_rows: int, seed: int = 42):
     """The estimator for a model name (unknown name -> error)."""
-    if name == "logistic":
-        return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0 / max(n_rows, 1),
-                                  elasticNetParam=0.0, standardization=False, maxIter=10000, tol=1e-8)
-    if name == "random_forest":
-        # sqrt feature subsets (Spark's "auto" for classification), bootstrap rows;
-        # finer split candidates than Spark's default 32 bins
-        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=100, maxDepth=8,
-                                      minInstancesPerNode=2, maxBins=256, seed=seed)
-    if name == "gbm":
-        # histogram boosting of the reference: 255 bins, leaves of >= 20 rows
-        gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, stepSize=0.05, maxDepth=4, maxIter=50,
-                            maxBins=255, minInstancesPerNode=20, seed=seed)
-        return gbt.setValidationIndicatorCol("_is_val") if n_rows > 10000 else gbt
-    if name in ("svm", "linear_svc"):
-        return LinearSVC(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0 / (0.8 * max(n_rows, 1)),
-                         maxIter=30000, tol=1e-4, standardization=False)
-    raise ValueError(f"Model '{name}' is not registered")
+    if name not in _MODELS:
+        raise ValueError(f"no model named {name!r}; there are {', '.join(model_names())}")
+    return _MODELS[name](n_rows, seed)
+
+
+register_model("logistic", lambda n, seed: LogisticRegression(
+    **_INPUT, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=10000, tol=1e-8))
+# sqrt feature subsets (Spark's "auto" for classification), bootstrap rows; finer split candidates than 32 bins
+register_model("random_forest", lambda n, seed: RandomForestClassifier(
+    **_INPUT, numTrees=100, maxDepth=8, minInstancesPerNode=2, maxBins=256, seed=seed))
+# histogram boosting: 255 bins, leaves of >= 20 rows
+register_model("gbm", lambda n, seed: GBTClassifier(
+    **_INPUT, stepSize=0.05, maxDepth=4, maxIter=GBM_ROUNDS, maxBins=255, minInstancesPerNode=20, seed=seed))
+for _name in ("svm", "linear_svc"):
+    register_model(_name, lambda n, seed: LinearSVC(
+        **_INPUT, regParam=1.0 / (0.8 * max(n, 1)), maxIter=30000, tol=1e-4, standardization=False))
 
 
 def feature_stages(features: Sequence[str]) -> list:
@@ -62,101 +80,144 @@ def feature_stages(features: Sequence[str]) -> list:
             Normalizer(inputCol="_scaled", outputCol=FEATURES, p=2.0)]
 
 
+def fit_scaler(df: DataFrame, features: Sequence[str]) -> PipelineModel:
+    """The fitted assembler, z-score and L2 stages: fitted once per training table and shared by the model, its
+    calibration members and every cross-validation fold."""
+    return Pipeline(stages=feature_stages(features)).fit(df)
+
+
 @dataclass
 class FittedModel:
+    """``members`` are (classifier, sigmoid or None); P(1) is their mean. ``scaler`` is None for rows that hold
+    ``FEATURES`` already."""
+
     name: str
-    pipeline: PipelineModel | None
-    platt: PipelineModel | None = None
+    scaler: PipelineModel | None
+    members: list
     features: list = field(default_factory=list)
-    members: list = field(default_factory=list)   # calibrated (svc, platt) pairs, one per fold
+
+    @property
+    def pipeline(self) -> PipelineModel:
+        """Scaling and the classifier of a model with one uncalibrated member."""
+        return PipelineModel(stages=[*self.scaler.stages, self.members[0][0]])
 
     def predict(self, df: DataFrame, target: str | None = None) -> DataFrame:
-        """Adds ``prediction`` (int) and ``probability`` (P(1), double)."""
+        """Adds ``prediction`` (int) and ``probability`` (P(1), double); with several members class 1 is a mean
+        probability over 0.5."""
         d = df if target is None or LABEL in df.columns else df.withColumn(LABEL, F.col(target).cast("double"))
-        if self.members:
-            return _predict_calibrated(self.members, d)
-        out = self.pipeline.transform(d)
-        if self.platt is not None:
-            out = self.platt.transform(out.withColumn("_margin", vector_to_array("rawPrediction")[1])
-                                       .drop("probability", "prediction", "rawPrediction"))
-        prob = vector_to_array("probability")[1]
-        drop = [c for c in ("_raw", "_scaled", FEATURES, "rawPrediction", "probability", "prediction",
-                            "_margin_vec", "_margin") if c in out.columns]
-        return out.withColumn("_p1", prob).withColumn("_yhat", F.col("prediction").cast("int")) \
-                  .drop(*drop).withColumnRenamed("_p1", "probability").withColumnRenamed("_yhat", "prediction")
-
-
-def _member_stages(features: Sequence[str], f: int, n_rows: int) -> list:
-    return [VectorAssembler(inputCols=list(features), outputCol=f"_raw{f}", handleInvalid="keep"),
-            StandardScaler(inputCol=f"_raw{f}", outputCol=f"_scaled{f}", withMean=True, withStd=True),
-            Normalizer(inputCol=f"_scaled{f}", outputCol=f"_feat{f}", p=2.0),
-            LinearSVC(featuresCol=f"_feat{f}", labelCol=LABEL, rawPredictionCol=f"_rp{f}",
-                      predictionCol=f"_svp{f}", regParam=1.0 / (0.8 * max(n_rows, 1)), maxIter=30000,
-                      tol=1e-4, standardization=False)]
-
-
-def _platt_stages(f: int) -> list:
-    return [VectorAssembler(inputCols=[f"_m{f}"], outputCol=f"_mv{f}"),
-            LogisticRegression(featuresCol=f"_mv{f}", labelCol=LABEL, regParam=0.0,
-                               probabilityCol=f"_pp{f}", rawPredictionCol=f"_lr{f}", predictionCol=f"_lp{f}")]
-
-
-def _predict_calibrated(members: list, d: DataFrame) -> DataFrame:
-    """Average of the members' sigmoid-calibrated P(1); class 1 when it is > 0.5."""
-    out = d
-    probs = []
-    for f, (svc, platt) in enumerate(members):
-        out = svc.transform(out).withColumn(f"_m{f}", vector_to_array(f"_rp{f}")[1])
-        out = platt.transform(out).withColumn(f"_p{f}", vector_to_array(f"_pp{f}")[1])
-        out = out.drop(f"_raw{f}", f"_scaled{f}", f"_feat{f}", f"_rp{f}", f"_svp{f}", f"_m{f}", f"_mv{f}",
-                       f"_pp{f}", f"_lr{f}", f"_lp{f}")
-        probs.append(F.col(f"_p{f}"))
-    avg = sum(probs[1:], probs[0]) / F.lit(float(len(probs)))
-    out = out.withColumn("probability", avg).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
-    return out.drop(*[f"_p{f}" for f in range(len(members))])
-
-
-def _fit_calibrated_svm(d: DataFrame, features: Sequence[str], n: int, seed: int, key: str,
-                        k: int = 5) -> FittedModel:
-    """T4: linear SVM with sigmoid calibration by k-fold cross-validation: each
-    fold's SVM is fitted on the other folds and calibrated on its own held-out
-    margins; predictions average the k calibrated members."""
-    from concurrent.futures import ThreadPoolExecutor
-    folded = stratified_folds(d, [LABEL], k, seed, key, max_stratum_rows=n).persist()
+        out = self.scaler.transform(d) if self.scaler is not None else d
+        probs = []
+        for i, member in enumerate(self.members):
+            out = _score(out, *member, f"_p{i}", f"_y{i}")
+            probs.append(F.col(f"_p{i}"))
+        mean = sum(probs[1:], probs[0]) / F.lit(float(len(probs)))
+        label = F.col("_y0") if len(probs) == 1 else (mean > 0.5)
+        scratch = ["_raw", "_scaled", FEATURES] if self.scaler is not None else []
+        return out.withColumns({"probability": mean, "prediction": label.cast("int")}) \
+                  .drop(*scratch, *[f"_p{i}" for i in range(len(probs))], *[f"_y{i}" for i in range(len(probs))])
+
+
+def _score(df: DataFrame, model, sigmoid, prob: str, label: str) -> DataFrame:
+    """``df`` with P(1) and the class of one member."""
+    out = model.transform(df)
+    if sigmoid is not None:
+        out = sigmoid.transform(out.withColumn("_margin", vector_to_array("rawPrediction")[1])
+                                .drop("probability", "prediction", "rawPrediction"))
+    return out.withColumns({prob: vector_to_array("probability")[1], label: F.col("prediction")}) \
+              .drop("rawPrediction", "probability", "prediction", "_margin", "_margin_vec")
+
+
+def _fit_sigmoid(margins: DataFrame) -> PipelineModel:
+    """Unpenalised logistic regression of the label on the margin of scored rows."""
+    m = margins.withColumn("_margin", vector_to_array("rawPrediction")[1]).drop("probability", "prediction", "rawPrediction")
+    return Pipeline(stages=[VectorAssembler(inputCols=["_margin"], outputCol="_margin_vec"),
+                            LogisticRegression(featuresCol="_margin_vec", labelCol=LABEL, regParam=0.0)]).fit(m)
+
+
+def _fit_calibrated(x: DataFrame, name: str, n: int, seed: int, key: str) -> list:
+    """T4: sigmoid calibration by cross-validation: each member is fitted on the other folds and calibrated on its
+    own held-out margins."""
+    if key not in x.columns:  # no row key to build folds from: the margins of the training rows
+        model = classifier(name, n, seed).fit(x)
+        return [(model, _fit_sigmoid(model.transform(x)))]
+    folded = stratified_folds(x, [LABEL], CALIBRATION_FOLDS, seed, key, max_stratum_rows=n).persist()
 
     def member(f: int):
-        job_pool(d.sparkSession, "calibration", f"svm calibration fold {f}")
-        tr = folded.where(F.col("fold") != f)
-        held = folded.where(F.col("fold") == f)
-        svc = Pipeline(stages=_member_stages(features, f, n)).fit(tr)
-        margins = svc.transform(held).withColumn(f"_m{f}", vector_to_array(f"_rp{f}")[1])
-        return svc, Pipeline(stages=_platt_stages(f)).fit(margins)
+        job_pool(x.sparkSession, "calibration", f"{name} calibration fold {f}")
+        model = classifier(name, n, seed).fit(folded.where(F.col("fold") != f))
+        return model, _fit_sigmoid(model.transform(folded.where(F.col("fold") == f)))
+
+    try:
+        with ThreadPoolExecutor(max_workers=CALIBRATION_FOLDS) as pool:
+            return list(pool.map(member, range(CALIBRATION_FOLDS)))
+    finally:
+        folded.unpersist()
+
+
+def stop_round(losses: Sequence[float], patience: int) -> int | None:
+    """The round at which ``patience`` rounds have passed without a new lowest loss; None if that does not happen."""
+    best, best_at = float("inf"), 0
+    for at, loss in enumerate(losses, 1):
+        if loss < best:
+            best, best_at = loss, at
+        elif at - best_at >= patience:
+            return at
+    return None
+
+
+def _fit_boosted(x: DataFrame, n: int, seed: int, key: str, rounds: int, patience: int | None):
+    """Boosting that ends ``patience`` rounds after the lowest loss on a holdout drawn from the row key (stable
+    on retry). Spark stops at the first round that does not improve, so rounds are doubled until the losses
+    show the end, and the fit is repeated up to there: its first trees are the same. ``patience=None``, or no row of the
+    holdout (or no row key): all rounds on all rows."""
+    est = classifier("gbm", n, seed)
+    if patience is None or key not in x.columns:
+        return est.setMaxIter(rounds).fit(x)
+    held = hash_unit(f"{seed}|gbm", key) < GBM_HOLDOUT
+    rest, holdout = x.where(~held).persist(), x.where(held).persist()
+    try:
+        if holdout.isEmpty() or rest.isEmpty():
+            return est.setMaxIter(rounds).fit(x)
+        at = min(GBM_FIRST, rounds)
+        while True:
+            model = est.setMaxIter(at).fit(rest)
+            end = stop_round(model.evaluateEachIteration(holdout), patience)
+            if end is None and at < rounds:
+                at = min(2 * at, rounds)
+            elif end is None or end == at:
+                return model
+            else:
+                return est.setMaxIter(end).fit(rest)
+    finally:
+        rest.unpersist()
+        holdout.unpersist()
 
-    with ThreadPoolExecutor(max_workers=k) as pool:
-        members = list(pool.map(member, range(k)))
-    return FittedModel("svm", None, None, list(features), members)
+
+def _fit_scaled(x: DataFrame, name: str, n: int, seed: int, key: str, rounds: int, patience: int | None) -> list:
+    """The members of a model on rows that hold ``FEATURES`` and ``LABEL``."""
+    if name in ("svm", "linear_svc"):
+        return _fit_calibrated(x, name, n, seed, key)
+    if name == "gbm":
+        return [(_fit_boosted(x, n, seed, key, rounds, patience), None)]
+    return [(classifier(name, n, seed).fit(x), None)]
+
+
+def _scaled(df: DataFrame, target: str, scaler: PipelineModel, key: str) -> DataFrame:
+    x = scaler.transform(df.withColumn(LABEL, F.col(target).cast("double")))
+    return x.select(LABEL, FEATURES, *[k for k in [key] if k in df.columns])
 
 
 def fit(df: DataFrame, target: str, features: Sequence[str], model: str = "logistic",
-        seed: int = 42, n_rows: int | None = None, key: str = "row_id") -> FittedModel:
-    d = df.withColumn(LABEL, F.col(target).cast("double"))
-    n = n_rows if n_rows is not None else d.count()
-    if model in ("svm", "linear_svc") and key in d.columns:
-        return _fit_calibrated_svm(d, features, n, seed, key)
-    if model == "gbm" and n > 10000:
-        # 10 % early-stopping holdout, drawn from the row key (stable on retry)
-        d = d.withColumn("_is_val", hash_unit(f"{seed}|gbm", key) < 0.1)
-    est = classifier(model, n, seed)
-    pipe = Pipeline(stages=[*feature_stages(features), est]).fit(d)
-    platt = None
-    if model in ("svm", "linear_svc"):
-        # no row key to build folds from: sigmoid calibration on the in-sample margin
-        m = pipe.transform(d).withColumn("_margin", vector_to_array("rawPrediction")[1]) \
-            .drop("probability", "prediction", "rawPrediction")
-        platt = Pipeline(stages=[
-            VectorAssembler(inputCols=["_margin"], outputCol="_margin_vec"),
-            LogisticRegression(featuresCol="_margin_vec", labelCol=LABEL, regParam=0.0)]).fit(m)
-    return FittedModel(model, pipe, platt, list(features))
+        seed: int = 42, n_rows: int | None = None, key: str = "row_id", scaler: PipelineModel | None = None,
+        rounds: int = GBM_ROUNDS, patience: int | None = GBM_PATIENCE) -> FittedModel:
+    """Scale (unless ``scaler`` is given) and fit; ``rounds`` and ``patience`` are those of boosting."""
+    scaler = scaler or fit_scaler(df, features)
+    x = _scaled(df, target, scaler, key).persist()
+    try:
+        n = n_rows if n_rows is not None else x.count()
+        return FittedModel(model, scaler, _fit_scaled(x, model, n, seed, key, rounds, patience), list(features))
+    finally:
+        x.unpersist()
 
 
 def evaluate_model(fitted: FittedModel, df: DataFrame, target: str) -> dict:
@@ -173,29 +234,28 @@ def evaluate_model(fitted: FittedModel, df: DataFrame, target: str) -> dict:
 
 
 def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: str = "logistic",
-                   k: int = 5, seed: int = 42, key: str = "row_id", parallelism: int = 5) -> tuple[float, float]:
+                   k: int = 5, seed: int = 42, key: str = "row_id", parallelism: int = 5,
+                   scaler: PipelineModel | None = None, rounds: int = GBM_ROUNDS,
+                   patience: int | None = GBM_PATIENCE) -> tuple[float, float]:
     """Stratified k-fold accuracy mean and population std; (0, 0) where a fold is empty or leaves a single
-    class to train on. Any other failure is raised.
+    class to train on. Any other failure is raised. Rows are scaled once, before they are dealt into folds.
 
     The k fits are independent Spark jobs submitted from k driver threads, so
     the scheduler runs them side by side (the reference uses k processes)."""
-    from concurrent.futures import ThreadPoolExecutor
-    folded = stratified_folds(df, [target], k, seed, key, max_stratum_rows=df.count()).cache()
+    x = _scaled(df, target, scaler or fit_scaler(df, features), key)
+    folded = stratified_folds(x, [LABEL], k, seed, key).persist()
     try:
-        cells = folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n"))  # folds x classes
-        sides = cells.groupBy(target).agg(F.collect_set("fold").alias("folds")).collect()
+        cells = folded.groupBy("fold", LABEL).agg(F.count(F.lit(1)).alias("n")).collect()  # folds x classes
+        rows = {f: sum(r["n"] for r in cells if r["fold"] != f) for f in range(k)}
         for f in range(k):
-            classes_left = sum(any(x != f for x in r["folds"]) for r in sides)
-            if classes_left < 2 or not any(f in r["folds"] for r in sides):
+            if len({r[LABEL] for r in cells if r["fold"] != f}) < 2 or not any(r["fold"] == f for r in cells):
                 return 0.0, 0.0
 
         def one(f: int) -> float:
             job_pool(df.sparkSession, "cv", f"cv fold {f}")
-            tr = folded.where(F.col("fold") != f)
-            te = folded.where(F.col("fold") == f)
-            m = fit(tr, target, features, model, seed, key=key)
-            p = m.predict(te, target)
-            return p.agg(F.avg((F.col("prediction") == F.col(target)).cast("double"))).first()[0]
+            members = _fit_scaled(folded.where(F.col("fold") != f), model, rows[f], seed, key, rounds, patience)
+            scored = FittedModel(model, None, members).predict(folded.where(F.col("fold") == f))
+            return scored.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
 
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
             accs = list(pool.map(one, range(k)))
@@ -217,9 +277,9 @@ class TrainingResult:
 
 def train(df: DataFrame, target: str, features: Sequence[str], model: str = "logistic",
           test: DataFrame | None = None, seed: int = 42, key: str = "row_id",
-          cv_folds: int = 5) -> TrainingResult:
+          cv_folds: int = 5, rounds: int = GBM_ROUNDS, patience: int | None = GBM_PATIENCE) -> TrainingResult:
     """Split (60/20/20, or 75/25 of ``df`` when ``test`` is given), fit the
-    scaler+normalizer+model on train, cross-validate, score val/test."""
+    scaler and normalizer once on train, fit and cross-validate the model on the scaled rows, score val/test."""
     if test is None:
         parts = train_val_test(df, target, 0.2, 0.25, seed, key).cache()
         tr = parts.where(F.col("split") == "train").drop("split")
@@ -231,11 +291,12 @@ def train(df: DataFrame, target: str, features: Sequence[str], model: str = "log
         tr = parts.where(F.col("split") == "train").drop("split")
         va = parts.where(F.col("split") == "val").drop("split")
         te = test
-    tr = tr.persist()  # read by the fit, the train metrics and every CV fold
-    fitted = fit(tr, target, features, model, seed, key=key)
+    scaler = fit_scaler(tr, features)
+    fitted = fit(tr, target, features, model, seed, key=key, scaler=scaler, rounds=rounds, patience=patience)
     metrics = {f"Train {k}": v for k, v in evaluate_model(fitted, tr, target).items()}
     if cv_folds:
-        mean, std = cross_validate(tr, target, features, model, cv_folds, seed, key)
+        mean, std = cross_validate(tr, target, features, model, cv_folds, seed, key, scaler=scaler, rounds=rounds,
+                                   patience=patience)
         metrics["CV Mean Accuracy"], metrics["CV Std Accuracy"] = mean, std
     return TrainingResult(fitted, tr, va, te, metrics, fitted.predict(te, target))
 

@@ -48,12 +48,16 @@ def _grouped(spark, sf):
     return g.withColumn("Value", F.round("Value", 9))
 
 
-@_q("metric_distribution_grid", f"""c AS (SELECT 1)
-SELECT "Model Type", "Mitigation Technique", quantile_cont("{SPD}", 0.25) AS q1, quantile_cont("{SPD}", 0.5) AS median,
-       quantile_cont("{SPD}", 0.75) AS q3, MIN("{SPD}") AS min, MAX("{SPD}") AS max, COUNT(*) AS n
-FROM grid_results WHERE "{SPD}" IS NOT NULL GROUP BY 1, 2""")
+@_q("metric_distribution_grid", f"""q AS (SELECT "Model Type", "Mitigation Technique", quantile_cont("{SPD}", 0.25) AS q1,
+  quantile_cont("{SPD}", 0.5) AS median, quantile_cont("{SPD}", 0.75) AS q3, MIN("{SPD}") AS min, MAX("{SPD}") AS max, COUNT(*) AS n
+  FROM grid_results WHERE "{SPD}" IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT q.*, "{SPD}" AS x, "{SPD}" BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+  FROM q JOIN grid_results USING ("Model Type", "Mitigation Technique") WHERE "{SPD}" IS NOT NULL)
+SELECT "Model Type", "Mitigation Technique", q1, median, q3, min, max, n, MIN(CASE WHEN inside THEN x END) AS whisker_low,
+  MAX(CASE WHEN inside THEN x END) AS whisker_high, CAST(COUNT_IF(NOT inside) AS BIGINT) AS n_outliers FROM v GROUP BY ALL""")
 def _dist(spark, sf):
-    return rs.metric_distribution(grid(spark, sf), SPD, by=())
+    box = rs.metric_distribution(grid(spark, sf), SPD, by=())
+    return box.withColumn("outliers", F.size("outliers").cast("bigint")).withColumnRenamed("outliers", "n_outliers")
 
 
 @_q("metric_heatmap_grid", """c AS (SELECT 1)

@@ -48,3 +48,35 @@ def test_each_model_family_predicts(spark):
         p = fitted.predict(d, "y")
         r = p.agg(F.min("probability"), F.max("probability"), F.countDistinct("prediction")).first()
         assert 0.0 <= r[0] <= r[1] <= 1.0
+
+
+def test_boosting_stops_after_patience(spark):
+    assert md.stop_round([3.0, 2.0, 2.5, 2.5, 2.5], 3) == 5
+    assert md.stop_round([3.0, 2.0, 2.5, 1.0], 3) is None
+    assert md.stop_round([], 3) is None
+    d = load_view(spark, SMALL, "audit_customers").select("row_id", "y", *FEATS).fillna(0.0, subset=FEATS)
+    fitted = md.fit(d, "y", FEATS, "gbm", rounds=3, patience=1)
+    assert 2 <= fitted.members[0][0].getNumTrees <= 3
+    assert fitted.predict(d, "y").columns == ["row_id", "y", *FEATS, md.LABEL, "probability", "prediction"]
+
+
+def test_models_can_be_registered(spark):
+    from pyspark.ml.classification import NaiveBayes
+    import pytest
+
+    with pytest.raises(ValueError, match="no model named"):
+        md.classifier("bayes", 10)
+    md.register_model("bayes", lambda n, seed: NaiveBayes(featuresCol=md.FEATURES, labelCol=md.LABEL, modelType="gaussian"))
+    try:
+        d = load_view(spark, SMALL, "audit_customers").select("row_id", "y", *FEATS).fillna(0.0, subset=FEATS)
+        p = md.fit(d, "y", FEATS, "bayes").predict(d, "y")
+        assert p.where("probability BETWEEN 0 AND 1").count() == d.count()
+    finally:
+        md._MODELS.pop("bayes")
+
+
+def test_cross_validation_counts_rows_of_every_fold(spark):
+    d = load_view(spark, SMALL, "audit_customers").select("row_id", "y", *FEATS).fillna(0.0, subset=FEATS)
+    mean, std = md.cross_validate(d, "y", FEATS, "logistic", k=3)
+    assert 0.5 < mean <= 1.0 and 0.0 <= std < 0.5
+    assert md.cross_validate(d.where("y = 1"), "y", FEATS, "logistic", k=3) == (0.0, 0.0)
