@@ -39,20 +39,13 @@ def normal_cdf(z: Column) -> Column:
 
 
 def parity_p_value(n1, p1, n2, p2) -> Column:
-    """Two-sided pooled two-proportion z-test; SE == 0 -> 1.0."""
+    """Two-sided pooled two-proportion z-test; SE == 0 -> 1.0; NULL where a count or a rate is missing (an absent group)."""
     n1, p1, n2, p2 = [F.col(c) if isinstance(c, str) else c for c in (n1, p1, n2, p2)]
     pooled = (p1 * n1 + p2 * n2) / (n1 + n2)
     se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
     z = (p1 - p2) / se
     p = F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs(z)))
-    return F.when((se == 0) | se.isNull(), F.lit(1.0)).otherwise(p)
-
-
-def z_statistic(n1, p1, n2, p2) -> Column:
-    n1, p1, n2, p2 = [F.col(c) if isinstance(c, str) else c for c in (n1, p1, n2, p2)]
-    pooled = (p1 * n1 + p2 * n2) / (n1 + n2)
-    se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
-    return F.when(se == 0, F.lit(0.0)).otherwise((p1 - p2) / se)
+    return F.when(se == 0, F.lit(1.0)).otherwise(p)
 
 
 def is_significant(p_value, alpha: float = 0.05) -> Column:

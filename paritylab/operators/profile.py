@@ -276,14 +276,14 @@ def score_density(df: DataFrame, score: str, sens: str, grid: int = 200,
 
     Default: rows are first reduced to a per-group histogram of ``bins``
     bins (one aggregate), so the grid x bins evaluation never touches data
-    rows. ``exact=True`` evaluates every row at every grid point instead
-    (``grid`` x rows kernel terms, summed map-side per (group, point))."""
+    rows. ``exact=True`` evaluates every distinct score of a group, with its
+    count, at every grid point instead (summed map-side per (group, point))."""
     s = F.col(score).cast("double")
     base = df.where(s.isNotNull() & F.col(sens).isNotNull())
     stats = base.groupBy(F.col(sens).alias("group")).agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp(s).alias("sd"))
     if exact:
-        hist = base.select(F.col(sens).alias("group"), F.lit(1).alias("cnt"), s.alias("center"))
+        hist = base.groupBy(F.col(sens).alias("group"), s.alias("center")).agg(F.count(F.lit(1)).alias("cnt"))
     else:
         hist = base.groupBy(F.col(sens).alias("group"),
                             F.least(F.floor(s * bins), F.lit(bins - 1)).alias("bin")) \

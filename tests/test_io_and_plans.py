@@ -69,7 +69,14 @@ def test_preprocess_basic_and_report_tables(spark):
     assert basic.where(F.col("acctbal_n").isNull()).count() == 0
     g = load_view(spark, SMOKE, "grid_results")
     tables = rs.results_report(g)
-    assert set(tables) >= {"pareto", "high_performers", "top_table"}
+    assert set(tables) >= {"pareto", "high_performers", "top_table", "distribution Accuracy", "heatmap Accuracy",
+                           "tradeoff Statistical Parity Difference", "heatmap Statistical Parity Difference"}
+    eod = g.withColumn("Equal Opportunity Difference", F.lit(0.1))
+    assert "tradeoff Equal Opportunity Difference" in rs.results_report(eod)
+    runs = spark.createDataFrame([("d", "m", "t", float(v)) for v in (1, 2, 3, 4, 50)],
+                                 "`Dataset` string, `Model Type` string, `Mitigation Technique` string, Accuracy double")
+    box = rs.metric_distribution(runs, "Accuracy").first()
+    assert (box["whisker_low"], box["whisker_high"], box["outliers"]) == (1.0, 4.0, [50.0])
     assert tables["pareto"].count() >= 1
 
 
@@ -80,7 +87,11 @@ def test_mitigation_audit_report(spark):
     spec = au.AuditSpec(attrs=["segment"], privileged="BUILDING", mode="combined")
     base = au.baseline_audit(d, "y", prep, spec, cv_folds=0)
     mit = au.mitigation_audit(d, "y", prep, spec, "cda", cv_folds=0)
-    t = au.report_tables(base, mit)
+    t = au.report_tables(base, mit, "y")
+    sizes = {k: t[k].count() for k in t if k.startswith(("baseline_", "mitigated_")) or k.endswith(("distribution", "rate", "rates"))}
+    assert len(sizes) == 14 and all(sizes.values())
+    assert t["baseline_confusion"].agg(F.sum("n")).first()[0] == base["predictions"].count()
+    assert sizes["selection_rates"] == sizes["positive_rate"] * 2 + 1
     names = {r["metric"] for r in t["metrics_table"].collect()}
     assert {"Test Accuracy", "Statistical Parity Difference", "Disparate Impact"} <= names
     assert mit["table"].count() == 2 * d.count()

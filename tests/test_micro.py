@@ -169,3 +169,13 @@ def test_smote_balances_subgroups(spark):
     counts = {(r["g"], r["y"]): r["count"] for r in out.groupBy("g", "y").count().collect()}
     assert counts == {("a", 1): 6, ("a", 0): 6, ("b", 1): 6}
     assert out.where("row_id < 0").count() == 5  # 3 + 2 synthetic rows
+
+
+def test_absent_privileged_group_has_no_p_value(spark):
+    from paritylab.operators.fairness import parity_significance
+
+    df = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1)], "g string, y int")
+    rows = parity_significance(df, "g", "nobody", "y").collect()
+    assert len(rows) == 0 or all(r["p_value"] is None and r["significant"] is None for r in rows)
+    same = {r["group"]: r["p_value"] for r in parity_significance(df.where("y = 1"), "g", "a", "y").collect()}
+    assert same == {"b": 1.0}
