@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from paritylab.operators import rules as rl
 from paritylab.plans.spec import detect_sensitive, metric_families, parse_attributes
@@ -51,3 +52,15 @@ def test_unknown_model_and_strategy(spark):
     df = spark.createDataFrame([(1, "a", 1)], "row_id int, g string, y int")
     with pytest.raises(ValueError):
         mitigate(df, "nope", "y", "g", "a")
+
+
+def test_reader_and_first_name_helpers(spark):
+    from paritylab.operators.prep import pick_first
+    from paritylab.sources import io
+
+    assert pick_first(["a", "b", "a"], "a") == 0 and pick_first(["a", "b"], "b") == 1
+    io.register_reader("Probe", lambda s, path: s.range(3).withColumn("path", F.lit(path)))
+    try:
+        assert {r["path"] for r in io.read_table(spark, "rows.probe").collect()} == {"rows.probe"}
+    finally:
+        io._READERS.pop("probe")
