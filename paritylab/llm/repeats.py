@@ -34,9 +34,11 @@ from paritylab.llm.common import (LONG_MIN, fresh, gram_hashes, lean, mix64, ord
 MIN = 100
 K = 32
 PIECE = 1 << 20
-#: Contexts laid out in one suffix array; groups beyond HUGE are classed window by window instead (less memory).
+#: Contexts laid out in one suffix array; grams of over HUGE contexts are hot: their windows meet in joins instead.
 BATCH = 4096
 HUGE = 10_000
+#: Marks the contexts of a hot gram in ASK rows, above their length and the gram's place.
+HOT = 1 << 17
 LOW48 = np.uint64((1 << 48) - 1)
 DUPLICATED = np.uint32(1 << 31)
 FIRST, LATER, ASK = 1, 0, 2
@@ -221,8 +223,8 @@ def meet(blocks: DataFrame, parts: int, firsts: bool) -> DataFrame:
         group = np.cumsum(_first_of_runs(h)) - 1
         contexts = np.bincount(group, weights=first)[group]
         ask = first & (contexts > 1)
-        if ask.any():  # a context is named by its start, its length and the gram's place in it
-            yield found_batch(ASK, h[ask], d[ask], t[ask], at[ask], length[ask] + 256 * left[ask].astype(np.int64))
+        if ask.any():  # a context is named by its start, its length, the gram's place in it and whether the gram is hot
+            yield found_batch(ASK, h[ask], d[ask], t[ask], at[ask], length[ask] + 256 * left[ask].astype(np.int64) + HOT * (contexts[ask] > HUGE))
 
     return blocks.repartitionById(parts, F.col("part")).mapInArrow(lean(run), FOUND)
 
@@ -298,7 +300,7 @@ def stack_scan(common: list[int], left: list[int]) -> list[tuple[int, int, int]]
 
 
 def context_rows(docs: DataFrame, asks: DataFrame, text: str) -> DataFrame:
-    """(grp, _rd, _rt, at, gram, context) of the contexts that are asked for."""
+    """(grp, _rd, _rt, at, gram, context) of the contexts that are asked for; ``gram`` is the gram's place and, above 8 bits, the marks."""
     wanted = (asks.groupBy(F.col("_rd").alias("_ad"))
               .agg(F.collect_list(F.struct("_rt", "at", (F.col("len") % 256).alias("len"), F.floor(F.col("len") / 256).cast("int").alias("gram"), "grp")).alias("_asks")))
 
@@ -338,30 +340,62 @@ def repeats_of(rows: list[tuple], least: int, firsts: bool) -> pa.RecordBatch |
     return found_batch(*(np.concatenate(x) for x in zip(*out))) if out else None
 
 
-def windows_of(rows: list[tuple], least: int) -> pa.RecordBatch | None:
-    """The same for a huge group: for each place of the window around the gram, contexts are classed by a
-    window hash. A context's later windows all contain the gram, so their union is one run."""
-    rows = sorted(set(rows), key=lambda r: r[:4])
-    d, t, at = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-    size = np.array([len(r[5]) for r in rows])
-    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-    begin = np.cumsum(size) - size
-    p = prefix_hash(spread_symbols(np.arange(256))[data])
-    gram = np.array([r[4] for r in rows])
-    lo, hi = np.full(len(rows), -1), np.zeros(len(rows), np.int64)
-    for back in range(least - K, -1, -1):
-        s = gram - back
-        ok = np.flatnonzero((s >= 0) & (s + least <= size))
-        h = range_hash(p, begin[ok] + s[ok], begin[ok] + s[ok] + least)
-        order = np.argsort(h, kind="stable")
-        later = ok[order[~_first_of_runs(h[order])]]
-        lo[later] = np.where(lo[later] < 0, s[later], lo[later])
-        hi[later] = s[later] + least
-    f = np.flatnonzero(lo >= 0)
-    return found_batch(LATER, np.full(len(f), rows[0][0]), d[f], t[f], at[f] + lo[f], hi[f] - lo[f]) if len(f) else None
-
-
-def compare_contexts(contexts: DataFrame, parts: int, least: int, firsts: bool) -> DataFrame:
+def hot_windows(contexts: DataFrame, least: int, combined: bool) -> DataFrame:
+    """The windows of hot contexts that choose the context's gram: (grp, wh, _rd, _rt, at, start), ``wh`` a hash of the
+    window; or, ``combined``, of each window of a slice the count and the first and last place: (grp, wh, n, f, l)."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_store("repeats")
+        symbols = spread_symbols(np.arange(256))
+        for b in slices((x.filter(pc.greater_equal(x.column("gram"), HOT >> 8)) for x in batches), "context", 1 << 19):
+            data, begin = byte_column(b.column("context"))
+            if len(data) < least:
+                continue
+            grp, d, t, at, gram = (b.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "_rd", "_rt", "at", "gram"))
+            places = np.maximum(np.diff(begin) - least + 1, 0)
+            c = np.repeat(np.arange(len(places)), places)
+            offset = np.arange(len(c)) - np.repeat(np.cumsum(places) - places, places)
+            chosen = window_minima(gram_hashes(symbols[data], K), least - K + 1)
+            own = chosen[begin[c] + offset] == begin[c] + (gram[c] & 255)
+            c, offset = c[own], offset[own]
+            wh = range_hash(prefix_hash(symbols[data]), begin[c] + offset, begin[c] + offset + least).view(np.int64)
+            grp, d, t, at, start = grp[c], d[c], t[c], at[c], at[c] + offset
+            if not combined:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grp, wh, d, t, at, start)], names=["grp", "wh", "_rd", "_rt", "at", "start"])
+                continue
+            order = np.lexsort((start, t, d, wh, grp))
+            grp, wh, d, t, start = (x[order] for x in (grp, wh, d, t, start))
+            first = np.flatnonzero(_first_of_runs(grp, wh)) if len(grp) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(grp))[:len(first)] - 1
+            place = [pa.StructArray.from_arrays([pa.array(x[i]) for x in (d, t, start)], ["_rd", "_rt", "start"]) for i in (first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(grp[first]), pa.array(wh[first]), pa.array(last - first + 1), *place], names=["grp", "wh", "n", "f", "l"])
+
+    place = "struct<_rd: bigint, _rt: int, start: bigint>"
+    return contexts.mapInArrow(lean(run), f"grp bigint, wh bigint, n bigint, f {place}, l {place}" if combined else "grp bigint, wh bigint, _rd bigint, _rt int, at bigint, start bigint")
+
+
+def hot_repeats(contexts: DataFrame, least: int) -> DataFrame:
+    """The windows of hot contexts that occur in several places, with the earliest place ``f``.
+
+    Windows are counted by hash with partial sums in every task. The few that occur over BATCH times (no more than
+    one in BATCH of all) are marked by a broadcast, so no join brings more than BATCH rows of a window together."""
+    known = (hot_windows(contexts, least, True).groupBy("grp", "wh").agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.max("l").alias("l"))
+             .where("f < l").select(F.col("grp").alias("_g"), F.col("wh").alias("_w"), "n", "f"))
+    same = (F.col("grp") == F.col("_g")) & (F.col("wh") == F.col("_w"))
+    marked = hot_windows(contexts, least, False).join(F.broadcast(known.where(F.col("n") > BATCH)), same, "left")
+    rest = marked.where(F.col("f").isNull()).drop("_g", "_w", "n", "f").join(known.where(F.col("n") <= BATCH), same)
+    return marked.where(F.col("f").isNotNull()).unionByName(rest).drop("_g", "_w", "n")
+
+
+def hot_spans(contexts: DataFrame, least: int) -> DataFrame:
+    """Later windows of hot contexts. Those of one context all contain its gram, so their union is one run."""
+    later = hot_repeats(contexts, least).where(F.struct("_rd", "_rt", "start") != F.col("f"))
+    runs = later.groupBy("_rd", "_rt", "at").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    return runs.select(F.lit(LATER).alias("kind"), F.lit(0).cast("long").alias("grp"), "_rd", "_rt", F.col("a").alias("at"),
+                       (F.col("b") - F.col("a") + least).cast("int").alias("len"))
+
+
+def compare_contexts(contexts: DataFrame, least: int, firsts: bool) -> DataFrame:
+    """Repeats among the contexts of every gram that is not hot."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         worker_store("repeats")
         rows: list[tuple] = []
@@ -369,10 +403,7 @@ def compare_contexts(contexts: DataFrame, parts: int, least: int, firsts: bool)
 
         def close():
             nonlocal rows, group
-            if len(group) > HUGE:
-                if (got := windows_of(group, least)) is not None:
-                    yield got
-            elif len(group) > 1:
+            if len(group) > 1:
                 rows += group
             group = []
             if len(rows) >= BATCH:
@@ -381,7 +412,7 @@ def compare_contexts(contexts: DataFrame, parts: int, least: int, firsts: bool)
                 rows = []
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
+            for r in zip(*(c.to_pylist() for c in b.filter(pc.less(b.column("gram"), HOT >> 8)).columns)):
                 if group and group[-1][0] != r[0]:
                     yield from close()
                 group.append(r)
@@ -390,7 +421,7 @@ def compare_contexts(contexts: DataFrame, parts: int, least: int, firsts: bool)
         if rows and (got := repeats_of(rows, least, firsts)) is not None:
             yield got
 
-    return contexts.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(lean(run), FOUND)
+    return contexts.sortWithinPartitions("grp").mapInArrow(lean(run), FOUND)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -413,12 +444,24 @@ def _dealt(docs: DataFrame, text: str, parts: int) -> tuple[DataFrame, DataFrame
     return keyed, keyed.repartition(parts, "_rd")
 
 
+def met_contexts(found: DataFrame, dealt: DataFrame, parts: int) -> tuple[DataFrame, bool]:
+    """(contexts asked for, whether any gram is hot). Contexts of a gram meet, but those of a hot one stay apart. The
+    marks are read in tasks, not by filters, so that all readers share one exchange."""
+    asks = found.where(F.col("kind") == ASK)
+    hot = bool(asks.where(F.col("len") >= HOT).head(1))
+    salt = [F.when(F.col("gram") >= HOT >> 8, F.pmod(F.hash("_rd", "at"), F.lit(parts))).otherwise(F.lit(0))] if hot else []
+    return context_rows(dealt, asks, "text").repartition(parts, "grp", *salt), hot
+
+
 def occurrences(keyed: DataFrame, dealt: DataFrame, least: int = MIN, firsts: bool = True) -> DataFrame:
     """(kind, grp, _rd, _rt, at, len): repeat groups with their occurrences; kind 1 marks the earliest (left out
     unless ``firsts``), 0 the later ones."""
     parts = partitions(keyed.sparkSession)
     found = written(meet(anchor_blocks(keyed, "text", parts, least, firsts), parts, firsts))
-    more = compare_contexts(context_rows(dealt, found.where(F.col("kind") == ASK), "text"), parts, least, firsts)
+    contexts, hot = met_contexts(found, dealt, parts)
+    more = compare_contexts(contexts, least, firsts)
+    if hot:
+        more = more.unionByName(hot_spans(contexts, least))
     return found.where(F.col("kind") != ASK).unionByName(more)
 
 

@@ -7,6 +7,7 @@ from base64 import b32encode
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.odd import ROWS, empty, odd, plain
 
 from paritylab.llm import decontam, licenses, repeats, simhash, warc
@@ -66,6 +67,22 @@ def test_repeat_groups_hold_all_occurrences(spark):
         assert [r for r in rows if r.earliest] == [min(rows, key=lambda r: (r.doc_id, r.start))]
 
 
+def test_contexts_of_a_hot_gram_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HUGE", 15)
+    monkeypatch.setattr(repeats, "BATCH", 40)
+    passage = invent(300)
+    docs = [(i, invent(150) + passage + invent(150)) for i in range(120)]
+    keyed, dealt = repeats._dealt(plain(spark, docs), "text", 8)
+    found = repeats.written(repeats.meet(repeats.anchor_blocks(keyed, "text", 8, 100, False), 8, False))
+    contexts, hot = repeats.met_contexts(found, dealt, 8)
+    grams: dict = {}
+    for grp, part, n in contexts.groupBy("grp", F.spark_partition_id()).count().collect():
+        grams.setdefault(grp, []).append(n)
+    most = max(grams.values(), key=sum)
+    assert hot and sum(most) > 100 and max(most) < sum(most) / 2
+    assert {r[0]: tuple(r)[1:] for r in repeats.removal_report(plain(spark, docs)).collect()} == cut_by_hand(docs)
+
+
 def test_stack_scan_gives_every_left_diverse_interval():
     for _ in range(300):
         n = RNG.randint(2, 12)
