@@ -37,13 +37,15 @@ PIECE = 1 << 20
 #: Contexts laid out in one suffix array; grams of over HUGE contexts are hot: their windows meet in joins instead.
 BATCH = 4096
 HUGE = 10_000
-#: Marks the contexts of a hot gram in ASK rows, above their length and the gram's place.
-HOT = 1 << 17
+#: Marks, in ASK rows, contexts that occur more than once and those of a hot gram, above their length and the gram's place.
+MANY, HOT = 1 << 16, 1 << 17
 LOW48 = np.uint64((1 << 48) - 1)
 DUPLICATED = np.uint32(1 << 31)
 FIRST, LATER, ASK = 1, 0, 2
 FOUND = "kind int, grp bigint, _rd bigint, _rt int, at bigint, len int"
 NAMES = [f.split()[0] for f in FOUND.split(", ")]
+#: An occurrence of a repeat ``name``: ``shift`` bytes into the first occurrence of the context ``cid``.
+REPEATS = "name bigint, cid bigint, shift int, _rd bigint, _rt int, at bigint, len int"
 
 
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -215,16 +217,16 @@ def meet(blocks: DataFrame, parts: int, firsts: bool) -> DataFrame:
         at, grp = pos - left, mix64(h ^ (ctx << np.uint64(16)))
         if later.any():
             yield found_batch(LATER, grp[later], d[later], t[later], at[later], length[later])
-        if firsts:
+        group = np.cumsum(_first_of_runs(h)) - 1
+        contexts = np.bincount(group, weights=first)[group]
+        if firsts:  # a gram's only context is a repeat as it is
             many[lead[later]] = True
             many = np.bincount(lead, weights=many, minlength=len(h)) > 0
-            f = first & many
+            f = first & many & (contexts == 1)
             yield found_batch(FIRST, grp[f], d[f], t[f], at[f], length[f])
-        group = np.cumsum(_first_of_runs(h)) - 1
-        contexts = np.bincount(group, weights=first)[group]
         ask = first & (contexts > 1)
         if ask.any():  # a context is named by its start, its length, the gram's place in it and whether the gram is hot
-            yield found_batch(ASK, h[ask], d[ask], t[ask], at[ask], length[ask] + 256 * left[ask].astype(np.int64) + HOT * (contexts[ask] > HUGE))
+            yield found_batch(ASK, h[ask], d[ask], t[ask], at[ask], length[ask] + 256 * left[ask].astype(np.int64) + MANY * many[ask] + HOT * (contexts[ask] > HUGE))
 
     return blocks.repartitionById(parts, F.col("part")).mapInArrow(lean(run), FOUND)
 
@@ -319,25 +321,67 @@ def context_rows(docs: DataFrame, asks: DataFrame, text: str) -> DataFrame:
     return docs.join(wanted, F.col("_rd") == F.col("_ad")).mapInArrow(lean(run), "grp bigint, _rd bigint, _rt int, at bigint, gram int, context binary")
 
 
-def repeats_of(rows: list[tuple], least: int, firsts: bool) -> pa.RecordBatch | None:
-    """Occurrences of the maximal repeats among contexts (grp, d, t, at, place of the gram, bytes)."""
+def context_ids(grp: np.ndarray, gram: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The ids by which ``meet`` and the slices name contexts, from their bytes."""
+    p = prefix_hash(spread_symbols(np.arange(256))[data])
+    ctx = mix64(range_hash(p, begin[:-1], begin[1:]) + gram.astype(np.uint64)) & LOW48
+    return mix64(grp.astype(np.uint64) ^ (ctx << np.uint64(16))).astype(np.int64)
+
+
+def chosen_grams(string: bytes, least: int) -> np.ndarray:
+    """Places of the grams that the windows of a string choose: wherever the string stands, these are anchors."""
+    return np.unique(window_minima(gram_hashes(spread_symbols(np.arange(256))[np.frombuffer(string, np.uint8)], K), least - K + 1))
+
+
+def named_repeats(h: np.ndarray, length) -> np.ndarray:
+    """The id of a repeat, from the hash of its bytes."""
+    return (mix64(h + np.asarray(length).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+
+def repeats_of(rows: list[tuple], least: int, groups: bool) -> pa.RecordBatch | None:
+    """Later occurrences of the maximal repeats among contexts (grp, d, t, at, place of the gram, bytes); or, for
+    ``groups``, all occurrences in these contexts as REPEATS.
+
+    Then a context that occurs more than once is laid out twice, and a repeat is told by the contexts whose gram it
+    chooses itself: those are all that hold it. Where it does not, another gram tells it."""
     rows = sorted(set(rows), key=lambda r: r[:4])
+    if groups:
+        rows += [r for r in rows if r[4] & MANY >> 8]
     sa = SuffixArray([r[5] for r in rows], least)
-    d, t, at = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+    d, t, at, gram = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
+    if groups:
+        size = np.array([len(r[5]) for r in rows])
+        cid = context_ids(np.array([r[0] for r in rows], np.int64), gram & 255, np.frombuffer(b"".join(r[5] for r in rows), np.uint8), np.r_[0, np.cumsum(size)])
     out = []
     for length, lo, hi in sa.maximal_repeats(least):
-        c = sa.context[lo:hi + 1]
-        start = at[c] + sa.offset[lo:hi + 1]
+        c, shift = sa.context[lo:hi + 1], sa.offset[lo:hi + 1]
+        if groups:
+            string = rows[c[0]][5][shift[0]:shift[0] + length]
+            own = np.isin((gram[c] & 255) - shift, chosen_grams(string, least))
+            c, shift = c[own], shift[own]
+            if not (gram[c] & MANY >> 8).any() and len(set(zip(d[c].tolist(), t[c].tolist(), (at[c] + shift).tolist()))) < 2:
+                continue  # one place, seen in two contexts
+            p = prefix_hash(spread_symbols(np.arange(256))[np.frombuffer(string, np.uint8)])
+            name = named_repeats(range_hash(p, np.array([0]), np.array([length])), length)[0]
+            out.append((np.full(len(c), name), cid[c], shift, d[c], t[c], at[c] + shift, np.full(len(c), length)))
+            continue
+        start = at[c] + shift
         order = np.lexsort((start, t[c], d[c]))
         c, start = c[order], start[order]
         new = _first_of_runs(d[c], t[c], start)  # one place may be seen in two contexts
-        c, start = c[new], start[new]
-        if len(c) > 1:
-            name = hash((int(d[c[0]]), int(t[c[0]]), int(start[0]), length)) & ((1 << 63) - 1)
-            keep = slice(0 if firsts else 1, None)
-            kind = np.where(np.arange(len(c)) == 0, FIRST, LATER)[keep]
-            out.append((kind, np.full(len(kind), name), d[c][keep], t[c][keep], start[keep], np.full(len(kind), length)))
-    return found_batch(*(np.concatenate(x) for x in zip(*out))) if out else None
+        c, start = c[new][1:], start[new][1:]
+        if len(c):
+            out.append((np.full(len(c), LATER), np.zeros(len(c), np.int64), d[c], t[c], start, np.full(len(c), length)))
+    if not out:
+        return None
+    columns = [np.concatenate(x) for x in zip(*out)]
+    return repeat_batch(*columns) if groups else found_batch(*columns)
+
+
+def repeat_batch(name, cid, shift, d, t, at, length) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x).cast(k) for x, k in zip((name, cid, shift, d, t, at, length), kinds)],
+                                      names=[f.split()[0] for f in REPEATS.split(", ")])
 
 
 def hot_windows(contexts: DataFrame, least: int, combined: bool) -> DataFrame:
@@ -394,8 +438,14 @@ def hot_spans(contexts: DataFrame, least: int) -> DataFrame:
                        (F.col("b") - F.col("a") + least).cast("int").alias("len"))
 
 
-def compare_contexts(contexts: DataFrame, least: int, firsts: bool) -> DataFrame:
-    """Repeats among the contexts of every gram that is not hot."""
+def hot_groups(contexts: DataFrame, least: int) -> DataFrame:
+    """Windows of hot contexts as REPEATS."""
+    later = hot_repeats(contexts, least).where(F.struct("_rd", "_rt", "start") != F.col("f"))
+    return later.select(F.col("grp").alias("name"), F.lit(0).cast("long").alias("cid"), F.lit(0).alias("shift"), "_rd", "_rt", F.col("start").alias("at"), F.lit(least).alias("len"))
+
+
+def compare_contexts(contexts: DataFrame, least: int, groups: bool) -> DataFrame:
+    """Repeats among the contexts of every gram that is not hot, as ``repeats_of`` tells them."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         worker_store("repeats")
         rows: list[tuple] = []
@@ -407,7 +457,7 @@ def compare_contexts(contexts: DataFrame, least: int, firsts: bool) -> DataFrame
                 rows += group
             group = []
             if len(rows) >= BATCH:
-                if (got := repeats_of(rows, least, firsts)) is not None:
+                if (got := repeats_of(rows, least, groups)) is not None:
                     yield got
                 rows = []
 
@@ -418,10 +468,10 @@ def compare_contexts(contexts: DataFrame, least: int, firsts: bool) -> DataFrame
                 group.append(r)
         if group:
             yield from close()
-        if rows and (got := repeats_of(rows, least, firsts)) is not None:
+        if rows and (got := repeats_of(rows, least, groups)) is not None:
             yield got
 
-    return contexts.sortWithinPartitions("grp").mapInArrow(lean(run), FOUND)
+    return contexts.sortWithinPartitions("grp").mapInArrow(lean(run), REPEATS if groups else FOUND)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -453,27 +503,38 @@ def met_contexts(found: DataFrame, dealt: DataFrame, parts: int) -> tuple[DataFr
     return context_rows(dealt, asks, "text").repartition(parts, "grp", *salt), hot
 
 
-def occurrences(keyed: DataFrame, dealt: DataFrame, least: int = MIN, firsts: bool = True) -> DataFrame:
-    """(kind, grp, _rd, _rt, at, len): repeat groups with their occurrences; kind 1 marks the earliest (left out
-    unless ``firsts``), 0 the later ones."""
+def later_spans(keyed: DataFrame, dealt: DataFrame, least: int = MIN) -> DataFrame:
+    """(kind, grp, _rd, _rt, at, len): spans that cover all later occurrences."""
     parts = partitions(keyed.sparkSession)
-    found = written(meet(anchor_blocks(keyed, "text", parts, least, firsts), parts, firsts))
+    found = written(meet(anchor_blocks(keyed, "text", parts, least, False), parts, False))
     contexts, hot = met_contexts(found, dealt, parts)
-    more = compare_contexts(contexts, least, firsts)
+    more = compare_contexts(contexts, least, False)
     if hot:
         more = more.unionByName(hot_spans(contexts, least))
-    return found.where(F.col("kind") != ASK).unionByName(more)
+    return found.where(F.col("kind") == LATER).unionByName(more)
 
 
 def repeat_groups(docs: DataFrame, least: int = MIN, text: str = "text") -> DataFrame:
-    """group_id, doc_id, start, length (bytes), earliest: repeats of ``least`` bytes or more with all occurrences.
+    """group_id, doc_id, start, length (bytes), earliest: repeats of ``least`` bytes or more, each with all its occurrences.
 
-    A repeat that is longer than a context comes in overlapping pieces, each a group. Of a group of over HUGE
-    contexts only later occurrences are told."""
+    A repeat that no context holds whole comes in overlapping pieces, each a group.
+    Repeats are sought among one of each context and then carried to the context's other occurrences."""
     parts = partitions(docs.sparkSession)
-    found = occurrences(*_dealt(docs, text, parts), least, True)
-    return found.select(F.col("grp").alias("group_id"), F.nullif(F.col("_rd"), F.lit(LONG_MIN)).alias("doc_id"), F.col("at").alias("start"),
-                        F.col("len").alias("length"), (F.col("kind") == FIRST).alias("earliest")).distinct()
+    keyed, dealt = _dealt(docs, text, parts)
+    found = written(meet(anchor_blocks(keyed, "text", parts, least, True), parts, True))
+    contexts, hot = met_contexts(found, dealt, parts)
+    told = (found.where(F.col("kind") == FIRST).select(F.col("grp").alias("name"), F.col("grp").alias("cid"), F.lit(0).alias("shift"), "_rd", "_rt", "at", "len")
+            .unionByName(compare_contexts(contexts, least, True)))
+    if hot:
+        told = told.unionByName(hot_groups(contexts, least))
+    told = written(told)
+    others = found.where(F.col("kind") == LATER).select(F.col("grp").alias("cid"), "_rd", "_rt", F.col("at").alias("from"))
+    carried = others.join(told.select("name", "cid", "shift", "len"), "cid").select("name", "_rd", "_rt", (F.col("from") + F.col("shift")).alias("at"), "len")
+    every = written(told.select("name", "_rd", "_rt", "at", "len").unionByName(carried).distinct())
+    first = every.groupBy("name").agg(F.min(F.struct("_rd", "_rt", "at")).alias("f")).select("name", "f.*", F.lit(True).alias("earliest"))
+    return every.join(first, ["name", "_rd", "_rt", "at"], "left").select(
+        F.col("name").alias("group_id"), F.nullif(F.col("_rd"), F.lit(LONG_MIN)).alias("doc_id"), F.col("at").alias("start"),
+        F.col("len").alias("length"), F.coalesce("earliest", F.lit(False)).alias("earliest"))
 
 
 def joined_spans(row: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -517,7 +578,7 @@ def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into:
     names = [c for c in docs.columns if c not in into]
     docs = docs.select(*[f"`{c}`" for c in names])
     keyed, dealt = _dealt(docs, text, parts)
-    spans = (occurrences(keyed, dealt, least, False).where(F.col("kind") == LATER)
+    spans = (later_spans(keyed, dealt, least)
              .groupBy(F.col("_rd").alias("_sd")).agg(F.collect_list(F.struct("_rt", "at", "len")).alias("_spans")))
     own = keyed.columns[:len(names)]
     schema = T.StructType([*keyed.schema.fields[:len(names)],

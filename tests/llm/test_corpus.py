@@ -67,6 +67,54 @@ def test_repeat_groups_hold_all_occurrences(spark):
         assert [r for r in rows if r.earliest] == [min(rows, key=lambda r: (r.doc_id, r.start))]
 
 
+def places_by_hand(docs, string):
+    out = set()
+    for i, text in docs.items():
+        raw, at = (text or "").encode(), -1
+        while (at := raw.find(string, at + 1)) >= 0:
+            out.add((i, at))
+    return out
+
+
+def whole_groups(spark, docs, least=100):
+    """Groups by id, after a check that each is one string with every place where it stands."""
+    groups: dict = {}
+    for r in repeats.repeat_groups(plain(spark, list(docs.items()))).collect():
+        groups.setdefault(r.group_id, []).append(r)
+    covered: dict = {}
+    for rows in groups.values():
+        length = rows[0].length
+        string = docs[rows[0].doc_id].encode()[rows[0].start:rows[0].start + length]
+        assert {r.length for r in rows} == {length} and len(string) == length >= least
+        places = places_by_hand(docs, string)
+        assert sorted((r.doc_id, r.start) for r in rows) == sorted(places) and len(places) > 1
+        assert [(r.doc_id, r.start) for r in rows if r.earliest] == [min(places)]
+        for k in range(length - least + 1):
+            covered.setdefault(string[k:k + least], set()).update((i, s + k) for i, s in places)
+    windows: dict = {}
+    for i, text in docs.items():
+        raw = (text or "").encode()
+        for s in range(len(raw) - least + 1):
+            windows.setdefault(raw[s:s + least], set()).add((i, s))
+    assert covered == {w: p for w, p in windows.items() if len(p) > 1}
+    return groups
+
+
+def copied_contexts():
+    shared, a, b = invent(120), invent(60), invent(60)
+    return {1: a + shared + a, 2: a + shared + a, 3: "x" + a + shared + a, 4: b + shared + b, 5: b + shared + b, 6: shared, 7: shared, 8: invent(130)}
+
+
+def test_repeat_groups_tell_copies_of_a_context(spark):
+    docs = copied_contexts()
+    groups = whole_groups(spark, docs)
+    assert any({r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7} and rows[0].length >= 100 for rows in groups.values())
+
+
+def test_repeat_groups_equal_brute_force(spark):
+    assert len(whole_groups(spark, dict(passages()))) > 20
+
+
 def test_contexts_of_a_hot_gram_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HUGE", 15)
     monkeypatch.setattr(repeats, "BATCH", 40)
