@@ -384,9 +384,15 @@ def repeat_batch(name, cid, shift, d, t, at, length) -> pa.RecordBatch:
                                       names=[f.split()[0] for f in REPEATS.split(", ")])
 
 
+PLACE = "struct<_rd: bigint, _rt: int, start: bigint>"
+WINDOWS = "grp bigint, wh bigint, _rd bigint, _rt int, at bigint, start bigint, name bigint, cid bigint, many boolean"
+COUNTED = f"grp bigint, wh bigint, n bigint, f {PLACE}, l {PLACE}, many boolean"
+
+
 def hot_windows(contexts: DataFrame, least: int, combined: bool) -> DataFrame:
-    """The windows of hot contexts that choose the context's gram: (grp, wh, _rd, _rt, at, start), ``wh`` a hash of the
-    window; or, ``combined``, of each window of a slice the count and the first and last place: (grp, wh, n, f, l)."""
+    """The windows of hot contexts that choose the context's gram, ``wh`` a hash of the window, as WINDOWS (``many``:
+    the context occurs more than once); or, ``combined``, each window of a slice once, with the count and the first
+    and last place, as COUNTED."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         worker_store("repeats")
         symbols = spread_symbols(np.arange(256))
@@ -401,29 +407,34 @@ def hot_windows(contexts: DataFrame, least: int, combined: bool) -> DataFrame:
             chosen = window_minima(gram_hashes(symbols[data], K), least - K + 1)
             own = chosen[begin[c] + offset] == begin[c] + (gram[c] & 255)
             c, offset = c[own], offset[own]
-            wh = range_hash(prefix_hash(symbols[data]), begin[c] + offset, begin[c] + offset + least).view(np.int64)
-            grp, d, t, at, start = grp[c], d[c], t[c], at[c], at[c] + offset
+            h = range_hash(prefix_hash(symbols[data]), begin[c] + offset, begin[c] + offset + least)
+            wh, start, many = h.view(np.int64), at[c] + offset, (gram[c] & MANY >> 8) > 0
             if not combined:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grp, wh, d, t, at, start)], names=["grp", "wh", "_rd", "_rt", "at", "start"])
+                cid = context_ids(grp, gram & 255, data, begin)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grp[c], wh, d[c], t[c], at[c], start, named_repeats(h, least), cid[c], many)],
+                                                 names=[f.split()[0] for f in WINDOWS.split(", ")])
                 continue
-            order = np.lexsort((start, t, d, wh, grp))
-            grp, wh, d, t, start = (x[order] for x in (grp, wh, d, t, start))
-            first = np.flatnonzero(_first_of_runs(grp, wh)) if len(grp) else np.zeros(0, np.int64)
-            last = np.append(first[1:], len(grp))[:len(first)] - 1
-            place = [pa.StructArray.from_arrays([pa.array(x[i]) for x in (d, t, start)], ["_rd", "_rt", "start"]) for i in (first, last)]
-            yield pa.RecordBatch.from_arrays([pa.array(grp[first]), pa.array(wh[first]), pa.array(last - first + 1), *place], names=["grp", "wh", "n", "f", "l"])
+            order = np.lexsort((start, t[c], d[c], wh, grp[c]))
+            c, wh, start, many = c[order], wh[order], start[order], many[order]
+            first = np.flatnonzero(_first_of_runs(grp[c], wh)) if len(c) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(c))[:len(first)] - 1
+            place = [pa.StructArray.from_arrays([pa.array(x) for x in (d[c][i], t[c][i], start[i])], ["_rd", "_rt", "start"]) for i in (first, last)]
+            many = np.maximum.reduceat(many, first) if len(first) else many
+            yield pa.RecordBatch.from_arrays([pa.array(grp[c][first]), pa.array(wh[first]), pa.array(last - first + 1), *place, pa.array(many)],
+                                             names=["grp", "wh", "n", "f", "l", "many"])
 
-    place = "struct<_rd: bigint, _rt: int, start: bigint>"
-    return contexts.mapInArrow(lean(run), f"grp bigint, wh bigint, n bigint, f {place}, l {place}" if combined else "grp bigint, wh bigint, _rd bigint, _rt int, at bigint, start bigint")
+    return contexts.mapInArrow(lean(run), COUNTED if combined else WINDOWS)
 
 
-def hot_repeats(contexts: DataFrame, least: int) -> DataFrame:
-    """The windows of hot contexts that occur in several places, with the earliest place ``f``.
+def hot_repeats(contexts: DataFrame, least: int, groups: bool) -> DataFrame:
+    """The windows of hot contexts that occur in several places (for ``groups``, also by copies of a context), with
+    the earliest place ``f`` among these contexts.
 
     Windows are counted by hash with partial sums in every task. The few that occur over BATCH times (no more than
     one in BATCH of all) are marked by a broadcast, so no join brings more than BATCH rows of a window together."""
-    known = (hot_windows(contexts, least, True).groupBy("grp", "wh").agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.max("l").alias("l"))
-             .where("f < l").select(F.col("grp").alias("_g"), F.col("wh").alias("_w"), "n", "f"))
+    known = (hot_windows(contexts, least, True).groupBy("grp", "wh")
+             .agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.max("l").alias("l"), F.max("many").alias("many"))
+             .where((F.col("f") < F.col("l")) | (F.col("many") & F.lit(groups))).select(F.col("grp").alias("_g"), F.col("wh").alias("_w"), "n", "f"))
     same = (F.col("grp") == F.col("_g")) & (F.col("wh") == F.col("_w"))
     marked = hot_windows(contexts, least, False).join(F.broadcast(known.where(F.col("n") > BATCH)), same, "left")
     rest = marked.where(F.col("f").isNull()).drop("_g", "_w", "n", "f").join(known.where(F.col("n") <= BATCH), same)
@@ -432,16 +443,17 @@ def hot_repeats(contexts: DataFrame, least: int) -> DataFrame:
 
 def hot_spans(contexts: DataFrame, least: int) -> DataFrame:
     """Later windows of hot contexts. Those of one context all contain its gram, so their union is one run."""
-    later = hot_repeats(contexts, least).where(F.struct("_rd", "_rt", "start") != F.col("f"))
+    later = hot_repeats(contexts, least, False).where(F.struct("_rd", "_rt", "start") != F.col("f"))
     runs = later.groupBy("_rd", "_rt", "at").agg(F.min("start").alias("a"), F.max("start").alias("b"))
     return runs.select(F.lit(LATER).alias("kind"), F.lit(0).cast("long").alias("grp"), "_rd", "_rt", F.col("a").alias("at"),
                        (F.col("b") - F.col("a") + least).cast("int").alias("len"))
 
 
 def hot_groups(contexts: DataFrame, least: int) -> DataFrame:
-    """Windows of hot contexts as REPEATS."""
-    later = hot_repeats(contexts, least).where(F.struct("_rd", "_rt", "start") != F.col("f"))
-    return later.select(F.col("grp").alias("name"), F.lit(0).cast("long").alias("cid"), F.lit(0).alias("shift"), "_rd", "_rt", F.col("start").alias("at"), F.lit(least).alias("len"))
+    """Windows of hot contexts that occur in several places, each a repeat, as REPEATS. A window is told by the gram
+    that it chooses, so these contexts are all that hold it."""
+    return hot_repeats(contexts, least, True).select("name", "cid", (F.col("start") - F.col("at")).cast("int").alias("shift"), "_rd", "_rt",
+                                                     F.col("start").alias("at"), F.lit(least).alias("len"))
 
 
 def compare_contexts(contexts: DataFrame, least: int, groups: bool) -> DataFrame:
@@ -499,7 +511,7 @@ def met_contexts(found: DataFrame, dealt: DataFrame, parts: int) -> tuple[DataFr
     marks are read in tasks, not by filters, so that all readers share one exchange."""
     asks = found.where(F.col("kind") == ASK)
     hot = bool(asks.where(F.col("len") >= HOT).head(1))
-    salt = [F.when(F.col("gram") >= HOT >> 8, F.pmod(F.hash("_rd", "at"), F.lit(parts))).otherwise(F.lit(0))] if hot else []
+    salt = [F.when(F.col("gram") >= HOT >> 8, F.xxhash64("_rd", "_rt", "at")).otherwise(F.lit(0))] if hot else []
     return context_rows(dealt, asks, "text").repartition(parts, "grp", *salt), hot
 
 
@@ -517,7 +529,8 @@ def later_spans(keyed: DataFrame, dealt: DataFrame, least: int = MIN) -> DataFra
 def repeat_groups(docs: DataFrame, least: int = MIN, text: str = "text") -> DataFrame:
     """group_id, doc_id, start, length (bytes), earliest: repeats of ``least`` bytes or more, each with all its occurrences.
 
-    A repeat that no context holds whole comes in overlapping pieces, each a group.
+    A repeat that no context holds whole comes in overlapping pieces, each a group; around a gram of over HUGE contexts
+    the pieces are the windows of ``least`` bytes that occur more than once.
     Repeats are sought among one of each context and then carried to the context's other occurrences."""
     parts = partitions(docs.sparkSession)
     keyed, dealt = _dealt(docs, text, parts)

@@ -111,8 +111,12 @@ def test_repeat_groups_tell_copies_of_a_context(spark):
     assert any({r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7} and rows[0].length >= 100 for rows in groups.values())
 
 
-def test_repeat_groups_equal_brute_force(spark):
+@pytest.mark.parametrize(("huge", "batch"), [(10_000, 4096), (15, 4096), (3, 6)])
+def test_repeat_groups_equal_brute_force(spark, monkeypatch, huge, batch):
+    monkeypatch.setattr(repeats, "HUGE", huge)
+    monkeypatch.setattr(repeats, "BATCH", batch)
     assert len(whole_groups(spark, dict(passages()))) > 20
+    whole_groups(spark, copied_contexts())
 
 
 def test_contexts_of_a_hot_gram_stay_apart(spark, monkeypatch):
