@@ -140,7 +140,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
 
     Null and wordless texts and items match nothing. Repeated rows are judged one by one; no row is lost
     or doubled. If the items' characters are measured at ``max_sent`` or fewer they go to every task and the
-    documents are not shuffled; else documents and items meet in joins on the shingle hash, with the same result."""
+    documents are not shuffled; else documents and items meet in joins on the hashes of the sketches, with the same result."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > max_sent:
         return _find_by_join(docs.drop(into), items, shingle, threshold, text, into)
@@ -155,40 +155,85 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresh
     return add_columns(docs, text, [T.StructField(into, LEAKS)], make, 3 << 19)
 
 
-def _hashes(texts: DataFrame, shingle: int) -> DataFrame:
-    """(key, size, n, hash): distinct shingle hashes of every text. A text of fewer words has its sequence under
-    that size; texts also give the shorter runs under sizes below ``shingle``, for short items."""
+def _hashes(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc, size, largest, hash): distinct shingle hashes of every text in these sizes; ``largest`` is above the number
+    of shingles of every text in its size partition."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            keys = np.array(b.column("key").to_pylist(), object)
+            keys = b.column("doc").to_numpy(zero_copy_only=False)
             words = Words(texts_of(b))
-            for size in range(1, shingle + 1):
+            for size in sizes:
                 h, who = words.shingles(size)
                 pairs = np.unique(np.stack([who.astype(np.uint64), h], 1), axis=0)
                 if len(pairs):
                     who = pairs[:, 0].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[who].tolist(), pa.int64()), pa.array(np.full(len(who), size), pa.int32()),
-                         pa.array(words.count[who], pa.int64()), pa.array(pairs[:, 1].astype(np.int64))], names=["key", "size", "words", "hash"])
+                    largest = 1 << (np.floor(np.log2(words.count[who] - size + 1)).astype(np.int64) + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[who]), pa.array(np.full(len(who), size), pa.int32()), pa.array(largest),
+                                                      pa.array(pairs[:, 1].view(np.int64))], names=["doc", "size", "largest", "hash"])
+
+    return texts.mapInArrow(lean(run), "doc bigint, size int, largest bigint, hash bigint")
+
+
+def _sketches(items: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(item, size, need, hash): the sketch of every item, under the length of its shingles."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 20):
+            keys, words, rows = b.column("item").to_pylist(), Words(texts_of(b)), []
+            for size in range(1, shingle + 1):
+                h, who = words.shingles(size)
+                mine = np.flatnonzero(words.count == size if size < shingle else words.count >= size)
+                for m, lo, hi in zip(mine.tolist(), np.searchsorted(who, mine, "left").tolist(), np.searchsorted(who, mine, "right").tolist()):
+                    own = np.unique(h[lo:hi])
+                    need = need_of(len(own), threshold)
+                    rows += [(keys[m], size, need, x) for x in own[:len(own) - need + 1].view(np.int64).tolist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
+                                                 names=["item", "size", "need", "hash"])
+
+    return items.mapInArrow(lean(run), "item bigint, size int, need bigint, hash bigint")
+
 
-    return texts.mapInArrow(lean(run), "key bigint, size int, words bigint, hash bigint")
+#: Rows over which the candidates of one document are dealt; its text goes with each.
+SLOTS = 16
 
 
 def _find_by_join(docs: DataFrame, items: DataFrame, shingle: int, threshold: float, text: str, into: str) -> DataFrame:
-    """The same search where the items are too many to send: sketch rows and document shingles meet by hash,
-    candidates are counted on all shingles of the item. Documents are keyed by (doc_id, hash of the text)."""
-    key = F.xxhash64(order_key("doc_id"), F.coalesce(F.col(text), F.lit("")))
-    d = _hashes(docs.select(key.alias("key"), F.col(text).alias("text")).distinct(), shingle)
-    i = _hashes(items.selectExpr("cast(item_id as bigint) AS key", "text").distinct(), shingle)
-    i = i.where(F.col("size") == F.least(F.col("words"), F.lit(shingle)))
-    per = i.groupBy("key").agg(F.count("*").alias("n")).withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9)))
-    i = i.join(per, "key").selectExpr("key AS item_id", "size", "hash", "n", "need")
-    found = (d.selectExpr("key AS doc", "size", "hash").join(i, ["size", "hash"])
-             .groupBy("doc", "item_id").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("need").alias("need"))
-             .where("both >= need"))
-    leaks = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("item_id"), (F.col("both") / F.col("n")).alias("containment"), F.col("both").cast("int").alias("n_shared"),
-        F.col("n").cast("int").alias("n_item")))).alias("leaks"))
+    """The same search where the items are too many to send: sketch rows and document shingles meet by hash within
+    size partitions, and candidates are verified on the words of both texts.
+
+    Documents are keyed by (doc_id, hash of the text), items by a hash of id and text; a repeated item row is told
+    as often as it stands there."""
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    key = F.xxhash64(order_key("doc_id"), F.col("doc_id").isNull(), own)
+    d = docs.select(key.alias("doc"), own.alias("text")).dropDuplicates(["doc"])
+    i = (items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+         .groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+         .withColumn("item", F.xxhash64(order_key("item_id"), F.col("item_id").isNull(), F.col("text"))))
+    sketch = _sketches(i.select("item", "text"), shingle, threshold)
+    sizes = sorted(r[0] for r in sketch.select("size").distinct().collect())
+    pairs = (_hashes(d, sizes).join(sketch, ["size", "hash"]).where(F.col("need") < F.col("largest")).select("doc", "item").distinct())
+    tried = (pairs.join(i, "item").groupBy("doc", F.pmod("item", F.lit(SLOTS)).alias("slot"))
+             .agg(F.collect_list(F.struct("item_id", "copies", F.col("text").alias("words"))).alias("tried")))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 20):
+            out = []
+            for t, some in zip(texts_of(b), b.column("tried").to_pylist()):
+                ws, sets, found = WORD.findall(lowered(t)), {}, []
+                for item in some:
+                    wanted = shingle_set(item["words"], shingle)
+                    size = len(next(iter(wanted)))
+                    if size not in sets:
+                        sets[size] = {tuple(ws[k:k + size]) for k in range(len(ws) - size + 1)}
+                    both = len(wanted & sets[size])
+                    if both >= need_of(len(wanted), threshold):
+                        found += [(item["item_id"], both / len(wanted), both, len(wanted))] * item["copies"]
+                out.append([dict(zip(("item_id", "containment", "n_shared", "n_item"), x)) for x in found])
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shared", pa.int32()), ("n_item", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, kind)], names=["doc", "leaks"])
+
+    found = d.join(tried, "doc").select("doc", "text", "tried").mapInArrow(lean(run), T.StructType([T.StructField("doc", T.LongType()), T.StructField("leaks", LEAKS)]))
+    leaks = found.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
     mine, doc, got = fresh(docs, "_key"), fresh(docs, "_doc"), fresh(docs, "_leaks")
     return (docs.withColumn(mine, key).join(leaks.select(F.col("doc").alias(doc), F.col("leaks").alias(got)), F.col(mine) == F.col(doc), "left")
             .select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(got), F.array().cast(LEAKS)).alias(into)))

@@ -299,6 +299,24 @@ def test_leaks_equal_brute_force(spark, sent):
     assert decontam.drop_contaminated(odd(spark), spark.createDataFrame([], table.schema)).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("sent", [decontam.MAX_SENT, 0])
+def test_leaks_of_repeated_and_null_item_ids(spark, sent):
+    one, two = " ".join(invent(6, "abcdefgh") for _ in range(30)), " ".join(invent(6, "abcdefgh") for _ in range(40))
+    items = [(1, one), (1, two), (1, one), (None, two), (None, one), (None, "solo"), (2, None), (2, ""), (3, "two words"), (3, "two words")]
+    docs = [(1, one), (2, f"x {two} y"), (3, f"{two} {one}"), (None, f"solo {one}"), (None, f"solo {one}"), (5, "two words, said"), (6, None), (7, "words two")]
+    got = decontam.leak_pairs(plain(spark, docs), spark.createDataFrame(items, "item_id bigint, text string").repartition(3), max_sent=sent)
+    want = []
+    for i, text in docs:
+        words = decontam.WORD.findall((text or "").lower().encode())
+        for j, item in items:
+            shingles = decontam.shingle_set(item or "")
+            size = len(next(iter(shingles), ()))
+            have = {tuple(words[k:k + size]) for k in range(len(words) - size + 1)}
+            if shingles and len(shingles & have) >= 0.8 * len(shingles):
+                want.append((i, j, len(shingles & have) / len(shingles), len(shingles & have), len(shingles)))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str) and len(want) > 12
+
+
 # --- WARC --------------------------------------------------------------------
 
 def pages_by_hand(pages):
