@@ -4,7 +4,8 @@ A paragraph is a line. Its hashed word 1- and 2-grams (and a mark for a version
 through a multinomial logistic regression over the licence families and ``unknown``, trained in numpy on
 variants of the templates below and on unrelated sentences. Logits are divided by a temperature and a
 family is named only at the probability that a held-out half of the variants calibrates; else the
-paragraph is unknown. A named family is confirmed if a template of that family resembles the paragraph.
+paragraph is unknown. A named family is confirmed if a template of that family resembles the paragraph;
+a paragraph of one or two words, if a title or tag of the family stands in it.
 """
 
 from __future__ import annotations
@@ -101,6 +102,23 @@ TEMPLATES: dict[str, list[str]] = {
         "Copyright, all rights reserved. Proprietary and confidential.",
     ],
 }
+#: Titles and metadata lines, which are templates too. Those of one or two words confirm lines of one or two words.
+TITLES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "The MIT License", "License: MIT", "MIT Licensed"],
+    "Apache-2.0": ["Apache License", "Apache License 2.0", "License: Apache-2.0", "Apache-2.0"],
+    "GPL-3.0": ["GPLv3", "GPL v3", "GNU GPLv3", "License: GPLv3", "License: GPL-3.0"],
+    "GPL-2.0": ["GPLv2", "GPL v2", "GNU GPLv2", "License: GPLv2", "License: GPL-2.0"],
+    "LGPL": ["LGPL", "GNU LGPL", "License: LGPL", "LGPLv3", "GNU Lesser General Public License"],
+    "BSD": ["BSD License", "License: BSD", "License: BSD-3-Clause"],
+    "MPL-2.0": ["MPLv2", "License: MPL-2.0", "Mozilla Public License"],
+    "ISC": ["ISC License", "License: ISC"],
+    "CC-BY-NC": ["CC BY-NC", "License: CC BY-NC 4.0"],
+    "CC-BY-SA": ["CC BY-SA", "License: CC BY-SA 4.0"],
+    "CC-BY": ["CC BY", "License: CC BY 4.0"],
+    "CC0": ["CC0", "License: CC0"],
+    "Unlicense": ["Unlicense", "The Unlicense", "License: Unlicense"],
+    "Proprietary": ["Proprietary License", "License: Proprietary"],
+}
 #: Sentences that share words with licences and are none.
 OTHERS = [
     "The driver showed a valid license at the border and was released without charge.", "Permission denied while opening the file for writing.",
@@ -111,6 +129,7 @@ OTHERS = [
     "The source of the river is subject to heavy rain.", "This library opens at nine and is free for students.",
     "Apache helicopters were seen above the mountains.", "MIT researchers published a study on sleep.", "She was granted free access to the archive.",
     "We reserve the right to change the schedule at any time.", "The restaurant is licensed to sell beer and wine.", "Commons and lords met for the first time.",
+    "License", "The license", "Driver license", "Software license", "License agreement", "License: unknown", "License: none", "General public", "Public library", "MIT", "MIT students", "Apache", "Apache server",
 ]
 FRAMES = ["{}", "{}", "This file is part of the project. {}", "{} See the file for details.", "Copyright (c) 2019 The Authors. {}", "Note: {}", "# {}", "* {}"]
 WORD = re.compile(r"[^\W_]+")
@@ -143,7 +162,7 @@ def variants(rng: np.random.Generator, each: int) -> tuple[list[bytes], np.ndarr
     syllables = ["th", "er", "on", "an", "re", "ou", "ti", "sch", "eau", "ción", "en", "de", "la", "ing", "ble"]
     invent = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
     for label, family in enumerate(FAMILIES):
-        pool = TEMPLATES.get(family, OTHERS)
+        pool = [*TEMPLATES[family], *TITLES[family]] if label else OTHERS
         for template in pool:
             for n in range(each):
                 words = template.split()
@@ -213,7 +232,7 @@ class LicenseModel:
         share = np.cumsum(right) / np.arange(1, len(right) + 1)
         enough = np.flatnonzero(share >= PRECISION)
         self.least = float(max(0.5, p.max(1)[order][enough[-1]])) if len(enough) else 1.0
-        self.templates = {f: [grams3(t) for t in ts] for f, ts in TEMPLATES.items()}
+        self.templates = {f: [grams3(t) for t in [*ts, *TITLES[f]]] for f, ts in TEMPLATES.items()}
 
     def logits(self, paragraphs: list[bytes]) -> np.ndarray:
         bucket, row, _ = features(paragraphs)
@@ -233,7 +252,13 @@ class LicenseModel:
         return np.where(top >= self.least, best, 0), top
 
     def resemblance(self, family: str, paragraph: bytes) -> float:
-        own = grams3(paragraph.decode("utf-8", "surrogatepass"))
+        """Share of 3-grams; 1 for a paragraph of one or two words in which a template of as many words or fewer stands whole."""
+        text = paragraph.decode("utf-8", "surrogatepass")
+        own = grams3(text)
+        if own and len(next(iter(own))) < 3:
+            words = WORD.findall(text)
+            runs = {tuple(words[i:j]) for j in range(1, len(words) + 1) for i in range(j)}
+            return float(any(t <= runs for t in self.templates[family]))
         return max((len(own & t) / min(len(own), len(t)) for t in self.templates[family] if own and t), default=0.0)
 
 

@@ -257,6 +257,15 @@ def test_license_paragraphs(spark):
     assert licenses.scan_documents(odd(spark)).count() == len(ROWS) and licenses.scan_documents(empty(spark)).count() == 0
 
 
+def test_titles_and_tags_of_one_or_two_words(spark):
+    lines = {"MIT License": "MIT", "License: MIT": "MIT", "# MIT License": "MIT", "Apache License": "Apache-2.0", "GPLv3": "GPL-3.0", "License: GPLv3": "GPL-3.0",
+             "GPLv2": "GPL-2.0", "LGPL": "LGPL", "BSD License": "BSD", "License: BSD": "BSD", "ISC License": "ISC", "CC0": "CC0", "Unlicense": "Unlicense"}
+    others = ["License", "The license", "MIT", "MIT researchers", "Apache helicopters", "General public", "Software license", "License: unknown", "Fishing license", "Free software"]
+    docs = list(enumerate([f"{invent(30)}\n{x}\n{invent(30)}" for x in [*lines, *others]]))
+    got = {r.doc_id: [(x.family, x.paragraph) for x in r.licenses if x.confirmed] for r in licenses.scan_documents(plain(spark, docs)).collect()}
+    assert [got[i] for i, _ in docs] == [[(f, 1)] for f in lines.values()] + [[]] * len(others)
+
+
 # --- decontamination ---------------------------------------------------------
 
 def leaks_by_hand(docs, items):
