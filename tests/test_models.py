@@ -80,3 +80,23 @@ def test_cross_validation_counts_rows_of_every_fold(spark):
     mean, std = md.cross_validate(d, "y", FEATS, "logistic", k=3)
     assert 0.5 < mean <= 1.0 and 0.0 <= std < 0.5
     assert md.cross_validate(d.where("y = 1"), "y", FEATS, "logistic", k=3) == (0.0, 0.0)
+
+
+def test_registered_grid_is_the_whole_grid(spark, monkeypatch):
+    from paritylab.plans import audit as au
+    from paritylab.plans import grid as gd
+    import __spark_entry__ as entry
+    from tests.conftest import SMOKE
+
+    folds = []
+
+    def run_experiment(*args):
+        folds.append(args[-1])
+        return spark.createDataFrame([("CV Mean Accuracy", 0.5)], "metric string, value double"), None
+
+    monkeypatch.setattr(au, "run_experiment", run_experiment)
+    rows = entry.queries()["grid_customers_logistic"](spark, SMOKE).collect()
+    assert folds == [5] * 72
+    assert {(r["Model Type"], r["Sensitive Attributes"], r["Privileged Value"]) for r in rows} == {
+        (m, *a) for m in gd.GRID_MODELS for a in (("segment", "BUILDING"), ("region", "EUROPE"), ("segment, region", "BUILDING_EUROPE"))}
+    assert all(r["CV Mean Accuracy"] == 0.5 for r in rows)
