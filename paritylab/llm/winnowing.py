@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from paritylab.llm.common import (SENTINEL, add_columns, code_points, gram_hashes, lean, order_key, partitions, sha256_hex,
                                   slices, spread_symbols, window_minima)
 
-K = 20
-W = 32
+#: A common run of 15 code points is found, so a text of 30 or more meets its edited text, which has its first half.
+K = 8
+W = 8
 CHUNK = 1 << 21
 
 

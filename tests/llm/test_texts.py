@@ -38,6 +38,11 @@ def test_winnowing_chooses_the_rightmost_minimum_of_every_window(chunk):
         assert len(hashes) == len(positions)
 
 
+def test_short_texts_share_a_selection_with_their_edited_text(spark):
+    rows = [(i, "".join(RNG.choice("abcdefgh ") for _ in range(30 + i))) for i in range(70)]
+    assert all(r.near_edited > 0 for r in winnowing.edited_neighbours(plain(spark, rows)).collect())
+
+
 def test_winnowing_guarantee():
     shared = "".join(RNG.choice("abcdefgh ") for _ in range(winnowing.K + winnowing.W - 1))
     for n in range(20):
