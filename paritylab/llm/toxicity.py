@@ -178,15 +178,16 @@ def remainder(col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[np.ndarray, float]:
     """Fit on labelled documents outside the held-out third; at most ``max_toxic`` and ``max_clean`` label rows,
     those of smallest hash, so the sample is the same wherever it is drawn. Rows with a null id, label or text
-    teach nothing. A doc_id with several labels counts as toxic if one says so."""
+    teach nothing. A doc_id with several labels counts as toxic if one says so; of several texts the least is taken,
+    so no more than these rows reach the driver."""
     rows = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(remainder() != 1)
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id")))
     some = (rows.where("toxic = 1").orderBy("h", "doc_id").limit(max_toxic)
             .unionAll(rows.where("toxic = 0").orderBy("h", "doc_id").limit(max_clean)))
     text = docs.where("text IS NOT NULL").select("doc_id", "text")
     got = (text.join(F.broadcast(some), "doc_id")  # at most max_toxic + max_clean rows of two numbers
-           .select("h", "doc_id", "text", "toxic").collect())
-    got.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
+           .groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text")).collect())
+    got.sort(key=lambda r: (r["h"], r["doc_id"]))
     return fit([r["text"] for r in got], [r["toxic"] for r in got])
 
 

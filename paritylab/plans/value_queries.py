@@ -107,6 +107,14 @@ def _deduped(spark, sf):
     return wide.toDF(*pp.dedupe_columns(["k", "k", "v", "k"]))
 
 
+@register("deduped_names_customers", "SELECT c_custkey AS k, c_name AS k_dup_1, c_custkey AS v, c_nationkey AS k_dup_2 FROM customer")
+def _deduped_customers(spark, sf):
+    """V6: the same over a table that grows."""
+    t = _table(spark, sf, "customer")
+    wide = t.select("c_custkey", "c_name", F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("b"))
+    return wide.toDF(*pp.dedupe_columns(["k", "k", "v", "k"]))
+
+
 @register("two_class_segments", "SELECT COUNT(DISTINCT CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) = 2 AS two_classes, COUNT(*) AS n FROM customer")
 def _two_classes(spark, sf):
     """The degenerate-run guard."""
@@ -115,11 +123,10 @@ def _two_classes(spark, sf):
 
 
 def _written(spark, head: str, body) -> str:
-    """A delimited file with this header line and these lines in the shared checkpoint folder."""
-    path = f"{ensure_checkpoint_dir(spark)}/nations-{uuid.uuid4().hex}.csv"
-    first = body.limit(1).select(F.lit(head).alias("value"), F.lit(0).alias("n"))
-    lines = first.unionAll(body.withColumn("n", F.lit(1)))
-    lines.repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    """Delimited files of these lines in the shared checkpoint folder, one a task, each with this header line."""
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}.csv"
+    (body.select(F.col("value").alias(head)).write.option("header", True).option("sep", "\u0001").option("quote", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -136,6 +143,19 @@ def _delimited(spark, sf):
     return got.select(F.col("id").cast(kinds["n_nationkey"]).alias("id"), "place, note", F.col("region").cast(kinds["n_regionkey"]).alias("region"))
 
 
+@register("delimited_customers", """SELECT c_custkey AS id, c_name || ', N' AS "place, note",
+CASE WHEN c_nationkey > 12 THEN c_nationkey END AS region FROM customer UNION ALL SELECT NULL, 'place, note', NULL""")
+def _delimited_customers(spark, sf):
+    """The same over a table that grows, in as many files as tasks."""
+    t = _table(spark, sf, "customer")
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat("c_name", F.lit(", N")),
+                       F.when(F.col("c_nationkey") > 12, F.col("c_nationkey").cast("string")))
+    body = t.select(line.alias("value")).unionAll(t.limit(1).select(F.lit(";place, note;")))
+    got = io.read_table(spark, _written(spark, " id ;place, note; region", body), sep=";", infer_types=False)
+    kinds = dict(t.dtypes)
+    return got.select(F.col("id").cast(kinds["c_custkey"]).alias("id"), "place, note", F.col("region").cast(kinds["c_nationkey"]).alias("region"))
+
+
 @register("sniffed_nations", """SELECT CAST(n_nationkey AS VARCHAR) AS name, n_name || ', N' AS "city, state", CAST(n_regionkey AS VARCHAR) AS age FROM nation
 UNION ALL SELECT 'name', 'city, state', 'age'""")
 def _sniffed(spark, sf):

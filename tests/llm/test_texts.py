@@ -201,3 +201,12 @@ def test_toxicity_of_odd_rows(spark):
     assert none[1] == 0.0 and toxicity.score_documents(empty(spark), none).count() == 0
     odd_labels = spark.createDataFrame([(None, 1, 1), (3, 1, None), (99999, 1, 1), (3, 0, 7)], labels.schema)
     assert toxicity.train(docs, odd_labels)[1] == 0.0
+
+
+def test_one_text_of_a_repeated_doc_id_reaches_the_driver(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: taught.extend(zip(texts, labels)))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, f"text {i} {n:03d}") for i in ids for n in range(300 if i == ids[0] else 1)]
+    toxicity.train(plain(spark, docs), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int"))
+    assert sorted(taught) == sorted((f"text {i} 000", i % 2) for i in ids)

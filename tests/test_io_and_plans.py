@@ -119,3 +119,16 @@ def test_malformed_line_is_an_error(spark):
     bad.unionByName(lines).coalesce(1).write.text(path)
     with pytest.raises(Exception):
         io.read_table(spark, path).collect()
+
+
+def test_written_lines_have_a_header_in_each_file(spark):
+    from paritylab.plans.value_queries import _written
+    from paritylab.sources import io
+
+    body = spark.range(100).selectExpr("concat(id, ';x, ', id) AS value").repartition(4)
+    path = _written(spark, " id ;a, b; c", body)
+    heads = spark.read.text(path).where("value = ' id ;a, b; c'")
+    assert heads.count() == heads.selectExpr("input_file_name() AS f").distinct().count() == 4
+    got = io.read_table(spark, path, sep=";", infer_types=False)
+    assert got.columns == ["id", "a, b", "c"]
+    assert sorted(map(tuple, got.collect())) == sorted((str(i), f"x, {i}", None) for i in range(100))
