@@ -102,3 +102,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("licenses", lambda x: x.confirmed)).cast("long").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("licenses", lambda x: x.confirmed), lambda x: x.family))), ",").alias("families"),
         F.array_max(F.transform("licenses", lambda x: x.probability)).alias("top_probability"))
+
+
+@register
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritylab.llm.resampling import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
