@@ -108,3 +108,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paritylab.llm.resampling import resample
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritylab.llm.alignment import align
+    return align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
