@@ -114,3 +114,9 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paritylab.llm.alignment import align
     return align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@register
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritylab.llm.secretscan import secret_report
+    return secret_report(table(spark, sf_dir, "documents"))
