@@ -110,6 +110,32 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: CRC-32 by its table, which the polynomial gives; words are hashed once each.
+ORACLE["op12_importance_resampling"] = r"""
+WITH tbl AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(0, 8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d), qw AS (SELECT unnest(ws) AS w FROM q),
+sw AS (SELECT w, count(*) AS n FROM dw GROUP BY w), tw AS (SELECT w, count(*) AS n FROM qw GROUP BY w),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM sw UNION SELECT w FROM tw)),
+b AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      [CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) FOR i IN range(0, length(h) // 2)]),
+    lambda c, y: xor(c >> 8, t[CAST((xor(c, y) & 255) + 1 AS BIGINT)])), 4294967295) % 10000 AS k FROM v, tbl),
+s AS (SELECT k, sum(n) AS n FROM sw JOIN b USING (w) GROUP BY k), t AS (SELECT k, sum(n) AS n FROM tw JOIN b USING (w) GROUP BY k),
+g AS (SELECT b.w, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM b LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+x AS (SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM dw JOIN g USING (w) GROUP BY doc_id),
+y AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN x USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM r"""
+
+
 @register
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paritylab.llm.alignment import align
