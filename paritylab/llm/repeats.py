@@ -37,6 +37,10 @@ PIECE = 1 << 20
 #: Contexts laid out in one suffix array; grams of over HUGE contexts are hot: their windows meet in joins instead.
 BATCH = 4096
 HUGE = 10_000
+#: Bytes of suffixes that are sorted at a time.
+SUFFIX_BYTES = 16 << 20
+#: Bound of the windows that are sent to all tasks; beyond, they are spread over this many keys each.
+SENT, SALTS = 100_000, 64
 #: Marks, in ASK rows, contexts that occur more than once and those of a hot gram, above their length and the gram's place.
 MANY, HOT = 1 << 16, 1 << 17
 LOW48 = np.uint64((1 << 48) - 1)
@@ -91,7 +95,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = MIN, k: int = K)
         doc = np.searchsorted(offsets, pos, side="right") - 1
         lo, hi = np.maximum(offsets[doc], pos - side), np.minimum(offsets[doc + 1], pos + k + side)
         context = mix64(range_hash(p, lo - a, hi - a) + (pos - lo).astype(np.uint64))
-        parts.append((pos, doc, grams[chosen] & LOW48, context & LOW48, lo, hi))
+        parts.append((pos, doc, grams[chosen] & LOW48, context, lo, hi))
     if not parts:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*parts))
@@ -109,24 +113,29 @@ def from_six(data: bytes, n: int) -> np.ndarray:
 
 
 def pack(h, ctx, doc, pos, left, length, d, t) -> bytes:
-    """Anchors as one packed block: per anchor 20 bytes (a slice has under 2**16 documents of MIN bytes), and the ids of the documents they stand in."""
+    """Anchors as one packed block: per anchor 22 bytes (a slice has under 2**16 documents of MIN bytes), and the ids of the documents they stand in."""
     used, doc = np.unique(doc, return_inverse=True)
-    return b"".join([np.array([len(h), len(used)], "<i8").tobytes(), six(h), six(ctx), doc.astype("<u2").tobytes(), pos.astype("<u4").tobytes(),
+    return b"".join([np.array([len(h), len(used)], "<i8").tobytes(), six(h), ctx.astype("<u8").tobytes(), doc.astype("<u2").tobytes(), pos.astype("<u4").tobytes(),
                      left.astype(np.uint8).tobytes(), length.astype(np.uint8).tobytes(), d[used].astype("<i8").tobytes(), t[used].astype("<i4").tobytes()])
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     n, m = np.frombuffer(block, "<i8", 2)
     at, out = 16, []
-    for width in (6, 6, 2, 4, 1, 1):
+    for width in (6, 8, 2, 4, 1, 1):
         out.append(block[at:at + width * n])
         at += width * n
     doc = np.frombuffer(out[2], "<u2")
     d, t = np.frombuffer(block, "<i8", m, at), np.frombuffer(block, "<i4", m, at + 8 * m)
-    return (from_six(out[0], n), from_six(out[1], n), d[doc], t[doc], np.frombuffer(out[3], "<u4"),
+    return (from_six(out[0], n), np.frombuffer(out[1], "<u8"), d[doc], t[doc], np.frombuffer(out[3], "<u4"),
             np.frombuffer(out[4], np.uint8), np.frombuffer(out[5], np.uint8))
 
 
+def context_name(h: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """The id of a context, from the hashes of its gram and of its bytes."""
+    return mix64(h ^ mix64(ctx))
+
+
 def found_batch(kind, grp, d, t, at, length) -> pa.RecordBatch:
     n = len(d)
     return pa.RecordBatch.from_arrays(
@@ -166,7 +175,7 @@ def anchor_blocks(docs: DataFrame, text: str, parts: int, least: int, groups: bo
             many[lead[later]] = True
             left, length = pos - lo, hi - lo
             if later.any():
-                grp, who, at, size = mix64(h[later] ^ (ctx[later] << np.uint64(16))), doc[later], lo[later] - offsets[doc[later]], length[later]
+                grp, who, at, size = context_name(h[later], ctx[later]), doc[later], lo[later] - offsets[doc[later]], length[later]
                 if not groups:  # only their union is wanted
                     who, at, end = joined_spans(who, at, at + size)
                     grp, size = np.zeros(len(who), np.int64), end - at
@@ -214,7 +223,7 @@ def meet(blocks: DataFrame, parts: int, firsts: bool) -> DataFrame:
         first = _first_of_runs(h, ctx)
         lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
         later = ~first & ((d != d[lead]) | (t != t[lead]) | (pos != pos[lead]))
-        at, grp = pos - left, mix64(h ^ (ctx << np.uint64(16)))
+        at, grp = pos - left, context_name(h, ctx)
         if later.any():
             yield found_batch(LATER, grp[later], d[later], t[later], at[later], length[later])
         group = np.cumsum(_first_of_runs(h)) - 1
@@ -256,19 +265,32 @@ class SuffixArray:
             ordered = left[order]
             mixed = np.minimum.reduceat(ordered, cut) != np.maximum.reduceat(ordered, cut)
             order = order[np.repeat(mixed, np.diff(np.append(cut, len(order))))]
-        owner, offset, at = owner[order], offset[order], at[order]
+        owner, offset, at, window = owner[order], offset[order], at[order], window[order]
+        self.context, self.offset, self.common = self._sorted(data, size, owner, offset, at, window, least)
+        self.left = np.where(self.offset > 0, data[np.maximum(start[self.context] + self.offset - 1, 0)].astype(np.int64), -1 - self.context)
+
+    @staticmethod
+    def _sorted(data, size, owner, offset, at, window, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes sorted byte by byte (contexts and offsets) and their common-prefix lengths. Classes follow one another and
+        share no interval of depth ``least``, so some are laid out at a time: SUFFIX_BYTES of suffixes, one class at least."""
         room = size[owner] - offset
         width = -(-int(room.max(initial=8)) // 8) * 8
-        reach = at[:, None] + np.arange(width)
-        rows = np.where(np.arange(width) < room[:, None], data[np.minimum(reach, len(data) - 1)] if len(data) else 0, 255).astype(np.uint8)
-        words = rows.view(">u8").astype(np.uint64)  # 255 ends a context: UTF-8 never has it, and it sorts last
-        order = np.lexsort(words.T[::-1]) if len(rows) else np.zeros(0, np.int64)
-        rows, room = rows[order], room[order]
-        self.context, self.offset = owner[order], offset[order]
-        differs = rows[1:] != rows[:-1]
-        common = np.where(differs.any(1), differs.argmax(1), width)
-        self.common = np.minimum(common, np.minimum(room[1:], room[:-1]))
-        self.left = np.where(self.offset > 0, data[np.maximum(start[self.context] + self.offset - 1, 0)].astype(np.int64), -1 - self.context)
+        padded = np.concatenate([data, np.full(width, 255, np.uint8)])
+        edges = np.append(np.flatnonzero(_first_of_runs(window)) if len(window) else np.zeros(0, np.int64), len(window))
+        done, common, lo = [], [], 0
+        while lo < len(window):
+            hi = int(edges[max(np.searchsorted(edges, lo + SUFFIX_BYTES // width, "right") - 1, np.searchsorted(edges, lo, "right"))])
+            rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at[lo:hi]]
+            rows[np.arange(width) >= room[lo:hi, None]] = 255  # ends a context: UTF-8 never has it, and it sorts last
+            order = np.lexsort(rows.view(">u8").T[::-1])
+            rows, left = rows[order], room[lo:hi][order]
+            differs = rows[1:] != rows[:-1]
+            same = np.where(differs.any(1), differs.argmax(1), width)
+            done.append(lo + order)
+            common += [np.minimum(np.minimum(same, left[1:]), left[:-1]), np.zeros(1, same.dtype)]
+            lo = hi
+        order = np.concatenate(done) if done else np.zeros(0, np.int64)
+        return owner[order], offset[order], np.concatenate(common)[:-1] if common else np.zeros(0, np.int64)
 
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, int, int]]:
         """(length, first, last) of the intervals of depth ``least`` or more with different left neighbours."""
@@ -303,8 +325,8 @@ def stack_scan(common: list[int], left: list[int]) -> list[tuple[int, int, int]]
 
 def context_rows(docs: DataFrame, asks: DataFrame, text: str) -> DataFrame:
     """(grp, _rd, _rt, at, gram, context) of the contexts that are asked for; ``gram`` is the gram's place and, above 8 bits, the marks."""
-    wanted = (asks.groupBy(F.col("_rd").alias("_ad"))
-              .agg(F.collect_list(F.struct("_rt", "at", (F.col("len") % 256).alias("len"), F.floor(F.col("len") / 256).cast("int").alias("gram"), "grp")).alias("_asks")))
+    wanted = (asks.groupBy(F.col("_rd").alias("_ad"), F.col("_rt").alias("_at"))
+              .agg(F.collect_list(F.struct("at", (F.col("len") % 256).alias("len"), F.floor(F.col("len") / 256).cast("int").alias("gram"), "grp")).alias("_asks")))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         worker_store("repeats")
@@ -312,20 +334,20 @@ def context_rows(docs: DataFrame, asks: DataFrame, text: str) -> DataFrame:
             rows = []
             for raw, d, t, asked in zip(b.column(text).cast(pa.binary()).to_pylist(), b.column("_rd").to_pylist(), b.column("_rt").to_pylist(),
                                         b.column("_asks").to_pylist()):
-                rows += [(a["grp"], d, t, a["at"], a["gram"], raw[a["at"]:a["at"] + a["len"]]) for a in asked if a["_rt"] == t]
+                rows += [(a["grp"], d, t, a["at"], a["gram"], raw[a["at"]:a["at"] + a["len"]]) for a in asked]
             for lo in range(0, len(rows), 1 << 15):
                 cols = zip(*rows[lo:lo + (1 << 15)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
                                                  names=["grp", "_rd", "_rt", "at", "gram", "context"])
 
-    return docs.join(wanted, F.col("_rd") == F.col("_ad")).mapInArrow(lean(run), "grp bigint, _rd bigint, _rt int, at bigint, gram int, context binary")
+    return docs.join(wanted, (F.col("_rd") == F.col("_ad")) & (F.col("_rt") == F.col("_at"))).mapInArrow(lean(run), "grp bigint, _rd bigint, _rt int, at bigint, gram int, context binary")
 
 
 def context_ids(grp: np.ndarray, gram: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The ids by which ``meet`` and the slices name contexts, from their bytes."""
     p = prefix_hash(spread_symbols(np.arange(256))[data])
-    ctx = mix64(range_hash(p, begin[:-1], begin[1:]) + gram.astype(np.uint64)) & LOW48
-    return mix64(grp.astype(np.uint64) ^ (ctx << np.uint64(16))).astype(np.int64)
+    ctx = mix64(range_hash(p, begin[:-1], begin[1:]) + gram.astype(np.uint64))
+    return context_name(grp.astype(np.uint64), ctx).astype(np.int64)
 
 
 def chosen_grams(string: bytes, least: int) -> np.ndarray:
@@ -426,33 +448,40 @@ def hot_windows(contexts: DataFrame, least: int, combined: bool) -> DataFrame:
     return contexts.mapInArrow(lean(run), COUNTED if combined else WINDOWS)
 
 
-def hot_repeats(contexts: DataFrame, least: int, groups: bool) -> DataFrame:
+def hot_repeats(contexts: DataFrame, least: int, groups: bool, hot: int) -> DataFrame:
     """The windows of hot contexts that occur in several places (for ``groups``, also by copies of a context), with
     the earliest place ``f`` among these contexts.
 
-    Windows are counted by hash with partial sums in every task. The few that occur over BATCH times (no more than
-    one in BATCH of all) are marked by a broadcast, so no join brings more than BATCH rows of a window together."""
+    Windows are counted by hash with partial sums in every task. Those that occur over BATCH times are at most the windows of the
+    ``hot`` contexts divided by BATCH: where that is below SENT they are sent to all tasks; beyond, each is repeated for SALTS keys,
+    over which its places are spread. So no task gets a window whole."""
     known = (hot_windows(contexts, least, True).groupBy("grp", "wh")
              .agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.max("l").alias("l"), F.max("many").alias("many"))
              .where((F.col("f") < F.col("l")) | (F.col("many") & F.lit(groups))).select(F.col("grp").alias("_g"), F.col("wh").alias("_w"), "n", "f"))
     same = (F.col("grp") == F.col("_g")) & (F.col("wh") == F.col("_w"))
-    marked = hot_windows(contexts, least, False).join(F.broadcast(known.where(F.col("n") > BATCH)), same, "left")
+    windows, frequent = hot_windows(contexts, least, False), known.where(F.col("n") > BATCH)
+    if hot * (least - K + 1) // BATCH < SENT:
+        marked = windows.join(F.broadcast(frequent), same, "left")
+    else:
+        spread = frequent.withColumn("_ks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = windows.withColumn("_salt", F.pmod(F.xxhash64("_rd", "_rt", "start"), F.lit(SALTS))).join(
+            spread, same & (F.col("_salt") == F.col("_ks")), "left").drop("_salt", "_ks")
     rest = marked.where(F.col("f").isNull()).drop("_g", "_w", "n", "f").join(known.where(F.col("n") <= BATCH), same)
     return marked.where(F.col("f").isNotNull()).unionByName(rest).drop("_g", "_w", "n")
 
 
-def hot_spans(contexts: DataFrame, least: int) -> DataFrame:
+def hot_spans(contexts: DataFrame, least: int, hot: int) -> DataFrame:
     """Later windows of hot contexts. Those of one context all contain its gram, so their union is one run."""
-    later = hot_repeats(contexts, least, False).where(F.struct("_rd", "_rt", "start") != F.col("f"))
+    later = hot_repeats(contexts, least, False, hot).where(F.struct("_rd", "_rt", "start") != F.col("f"))
     runs = later.groupBy("_rd", "_rt", "at").agg(F.min("start").alias("a"), F.max("start").alias("b"))
     return runs.select(F.lit(LATER).alias("kind"), F.lit(0).cast("long").alias("grp"), "_rd", "_rt", F.col("a").alias("at"),
                        (F.col("b") - F.col("a") + least).cast("int").alias("len"))
 
 
-def hot_groups(contexts: DataFrame, least: int) -> DataFrame:
+def hot_groups(contexts: DataFrame, least: int, hot: int) -> DataFrame:
     """Windows of hot contexts that occur in several places, each a repeat, as REPEATS. A window is told by the gram
     that it chooses, so these contexts are all that hold it."""
-    return hot_repeats(contexts, least, True).select("name", "cid", (F.col("start") - F.col("at")).cast("int").alias("shift"), "_rd", "_rt",
+    return hot_repeats(contexts, least, True, hot).select("name", "cid", (F.col("start") - F.col("at")).cast("int").alias("shift"), "_rd", "_rt",
                                                      F.col("start").alias("at"), F.lit(least).alias("len"))
 
 
@@ -503,14 +532,14 @@ def _dealt(docs: DataFrame, text: str, parts: int) -> tuple[DataFrame, DataFrame
     ids = {"_rd": order_key() if "doc_id" in docs.columns else F.lit(0).cast("long"),
            "_rt": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")}
     keyed = docs.select(*cols, *[c.alias(n) for n, c in ids.items()])
-    return keyed, keyed.repartition(parts, "_rd")
+    return keyed, keyed.repartition(parts, "_rd", "_rt")
 
 
-def met_contexts(found: DataFrame, dealt: DataFrame, parts: int) -> tuple[DataFrame, bool]:
-    """(contexts asked for, whether any gram is hot). Contexts of a gram meet, but those of a hot one stay apart. The
+def met_contexts(found: DataFrame, dealt: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """(contexts asked for, how many of them are of a hot gram). Contexts of a gram meet, but those of a hot one stay apart. The
     marks are read in tasks, not by filters, so that all readers share one exchange."""
     asks = found.where(F.col("kind") == ASK)
-    hot = bool(asks.where(F.col("len") >= HOT).head(1))
+    hot = asks.where(F.col("len") >= HOT).count()
     salt = [F.when(F.col("gram") >= HOT >> 8, F.xxhash64("_rd", "_rt", "at")).otherwise(F.lit(0))] if hot else []
     return context_rows(dealt, asks, "text").repartition(parts, "grp", *salt), hot
 
@@ -522,7 +551,7 @@ def later_spans(keyed: DataFrame, dealt: DataFrame, least: int = MIN) -> DataFra
     contexts, hot = met_contexts(found, dealt, parts)
     more = compare_contexts(contexts, least, False)
     if hot:
-        more = more.unionByName(hot_spans(contexts, least))
+        more = more.unionByName(hot_spans(contexts, least, hot))
     return found.where(F.col("kind") == LATER).unionByName(more)
 
 
@@ -539,7 +568,7 @@ def repeat_groups(docs: DataFrame, least: int = MIN, text: str = "text") -> Data
     told = (found.where(F.col("kind") == FIRST).select(F.col("grp").alias("name"), F.col("grp").alias("cid"), F.lit(0).alias("shift"), "_rd", "_rt", "at", "len")
             .unionByName(compare_contexts(contexts, least, True)))
     if hot:
-        told = told.unionByName(hot_groups(contexts, least))
+        told = told.unionByName(hot_groups(contexts, least, hot))
     told = written(told)
     others = found.where(F.col("kind") == LATER).select(F.col("grp").alias("cid"), "_rd", "_rt", F.col("at").alias("from"))
     carried = others.join(told.select("name", "cid", "shift", "len"), "cid").select("name", "_rd", "_rt", (F.col("from") + F.col("shift")).alias("at"), "len")
@@ -563,13 +592,12 @@ def joined_spans(row: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.n
     return row[first], at[first], (reach[last] - (row[first].astype(np.int64) << 32) if len(first) else end)
 
 
-def merged_spans(column: pa.Array, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The joined spans of each row of a column of lists (_rt, at, len), of the row's own document only."""
+def merged_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The joined spans of each row of a column of lists (at, len)."""
     row = pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten()
-    t, at, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_rt", "at", "len"))
-    own = t == ties[row] if len(row) else np.zeros(0, bool)
-    return joined_spans(row[own], at[own], at[own] + size[own])
+    at, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "len"))
+    return joined_spans(row, at, at + size)
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -592,7 +620,7 @@ def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into:
     docs = docs.select(*[f"`{c}`" for c in names])
     keyed, dealt = _dealt(docs, text, parts)
     spans = (later_spans(keyed, dealt, least)
-             .groupBy(F.col("_rd").alias("_sd")).agg(F.collect_list(F.struct("_rt", "at", "len")).alias("_spans")))
+             .groupBy(F.col("_rd").alias("_sd"), F.col("_rt").alias("_st")).agg(F.collect_list(F.struct("at", "len")).alias("_spans")))
     own = keyed.columns[:len(names)]
     schema = T.StructType([*keyed.schema.fields[:len(names)],
                            T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -601,7 +629,7 @@ def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into:
     def run(batches) -> Iterator[pa.RecordBatch]:
         worker_store("repeats")
         for b in slices(batches, "text"):
-            row, at, end = merged_spans(b.column("_spans"), b.column("_rt").to_numpy(zero_copy_only=False))
+            row, at, end = merged_spans(b.column("_spans"))
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
             kept = []
             for raw, lo, hi in zip(b.column("text").cast(pa.binary()).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
@@ -611,7 +639,7 @@ def remove_repeats(docs: DataFrame, least: int = MIN, text: str = "text", into:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), removed, pa.array(kept, pa.string() if as_text else pa.binary())],
                                              names=[*own, "removed", "kept"])
 
-    done = dealt.join(spans, F.col("_rd") == F.col("_sd"), "left").mapInArrow(lean(run), schema)
+    done = dealt.join(spans, (F.col("_rd") == F.col("_sd")) & (F.col("_rt") == F.col("_st")), "left").mapInArrow(lean(run), schema)
     return done.select(*[F.col(c).alias(n) for c, n in zip(own, names)], F.col("removed").alias(into[0]), F.col("kept").alias(into[1]))
 
 

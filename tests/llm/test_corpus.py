@@ -55,6 +55,25 @@ def test_removal_equals_brute_force(spark, monkeypatch, huge, piece):
     assert {r[0]: tuple(r)[1:] for r in repeats.removal_report(plain(spark, docs)).collect()} == cut_by_hand(docs)
 
 
+@pytest.mark.parametrize(("huge", "batch"), [(10_000, 4096), (15, 10)])
+def test_small_slices_of_suffixes_and_salted_windows_give_the_same(spark, monkeypatch, huge, batch):
+    monkeypatch.setattr(repeats, "HUGE", huge)
+    monkeypatch.setattr(repeats, "BATCH", batch)
+    monkeypatch.setattr(repeats, "SUFFIX_BYTES", 3000)
+    monkeypatch.setattr(repeats, "SENT", 0)
+    docs = passages()
+    assert {r[0]: tuple(r)[1:] for r in repeats.removal_report(plain(spark, docs)).collect()} == cut_by_hand(docs)
+
+
+def test_rows_without_an_id_and_of_one_id_go_by_their_texts(spark):
+    texts = list({t for _, t in passages() if t})
+    for number in (None, 7):
+        table = plain(spark, [(number, t) for t in texts])
+        order = [r.text for r in table.orderBy(F.xxhash64("text").bitwiseAND(0x7FFFFFFF)).collect()]
+        got = sorted(tuple(r)[1:] for r in repeats.removal_report(table).collect())
+        assert got == sorted(cut_by_hand(list(enumerate(order))).values())
+
+
 def test_repeat_groups_hold_all_occurrences(spark):
     docs = dict(passages())
     groups: dict = {}
