@@ -92,6 +92,19 @@ def hash_rank(df: DataFrame, strata: Sequence[str], seed, key: str = "row_id",
     return out
 
 
+def hash_dense_rank(df: DataFrame, strata: Sequence[str], seed, key: str = "row_id", rank_col: str = "rank",
+                    bits: int = HASH_BUCKET_BITS) -> DataFrame:
+    """As ``hash_rank``, but rows of one key share a rank and the next key has the next one. Rows of a key have one hash,
+    so they stand in one bucket, and distinct hashes are counted per bucket."""
+    strata = list(strata)
+    b = df.withColumn("_h", hash_key(seed, key)).withColumn("_bkt", hash_bucket(F.col("_h"), bits))
+    keys = b.select(*strata, "_bkt", "_h").distinct()
+    offs = _offsets(keys, strata, "_bkt").fillna(0, subset=["_off"])
+    w = Window.partitionBy(*strata, "_bkt").orderBy("_h")
+    return _join_offsets(b, offs, [*strata, "_bkt"]).withColumn(rank_col, F.col("_off") + F.dense_rank().over(w)) \
+        .drop("_bkt", "_off", "_bn", "_stratum_n")
+
+
 def ordered_runs(df: DataFrame, by: Sequence[str], order: Sequence[Column], run: str) -> DataFrame:
     """Rows dealt into runs that follow ``(by, order)``, as many as the session has shuffle partitions.
 

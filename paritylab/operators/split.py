@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylab.functions.keys import key_string
-from paritylab.operators.ranking import broadcast_if_small, bucket_bits, hash_rank, range_rank
+from paritylab.operators.ranking import broadcast_if_small, bucket_bits, hash_dense_rank, hash_rank, range_rank
 from paritylab.session import cut_lineage
 
 
@@ -130,12 +130,12 @@ def train_val_test(df: DataFrame, target: str, test_size: float = 0.2, val_size:
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], k: int = 5, seed: int = 42,
                      key: str = "row_id", out: str = "fold", max_stratum_rows: int | None = None) -> DataFrame:
-    """fold = (rank - 1) mod k inside each stratum -> per-stratum fold
-    sizes differ by at most one. ``max_stratum_rows`` (an upper bound, e.g.
-    the row count) sizes the hash buckets; ranks are exact either way."""
+    """fold = (rank - 1) mod k inside each stratum, where the distinct keys are ranked: copies of a row (oversampling,
+    counterfactuals) share a fold, and the fold sizes of a stratum differ by at most one key. ``max_stratum_rows`` (an upper
+    bound, e.g. the row count) sizes the hash buckets; ranks are exact either way."""
     keyed = df.withColumn("_sk", stratum_key(list(strata)))
     bits = bucket_bits(max_stratum_rows) if max_stratum_rows is not None else None
-    ranked = hash_rank(keyed, ["_sk"], seed, key, rank_col="_r", **({"bits": bits} if bits is not None else {}))
+    ranked = hash_dense_rank(keyed, ["_sk"], seed, key, rank_col="_r", **({"bits": bits} if bits is not None else {}))
     return ranked.withColumn(out, F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_sk", "_r", "_h")
 
 

@@ -1,24 +1,30 @@
 """Experiment grid (B1-B3, S6, S8-S10, F11/F12 settings, J2, J5).
 
-The driver enumerates the (small) task list; each task is a set of Spark jobs
-over a preprocessed, split table that is computed and checkpointed ONCE per
-(dataset, sensitive setting, run) and reused by all model x mitigation
-configurations (the reference redoes it for each of them).
+The driver enumerates the (small) task list. A preprocessed, split table is computed and checkpointed once per
+(dataset, sensitive setting, run), a mitigated training table once per technique, shared by the models. All
+training tables of a dataset form one fleet, so each model family is fitted, folds included, for all of them in the
+same passes; the test rows are scored by all models and measured with one aggregate a metric family.
 """
 
 from __future__ import annotations
 
 import itertools
-from concurrent.futures import ThreadPoolExecutor
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paritylab.operators import evaluate as ev
+from paritylab.operators import fairness as fm
+from paritylab.operators import mitigate as mt
+from paritylab.operators import prep as pp
 from paritylab.operators.split import has_two_classes, stratified_split
 from paritylab.plans import audit as au
+from paritylab.plans import models as md
 from paritylab.session import cut_lineage, job_pool
 
 # The grid of the reference benchmark.
@@ -85,52 +91,41 @@ def grid_tasks(specs: Sequence[DatasetSpec], runs: int = 1) -> list[tuple]:
     return [(s, attrs, priv, r) for s in specs for attrs, priv in sensitive_settings(s) for r in range(1, runs + 1)]
 
 
+def _prepared(df: DataFrame, spec: DatasetSpec, attrs: list, run: int, key: str) -> tuple[DataFrame, list[str], str]:
+    """The preprocessed rows of a task with their ``split``, the model features and the binary sensitive column.
+
+    One reliable checkpoint: every configuration reads it, and a lost executor does not replay preprocessing."""
+    prep = au.PrepSpec(missing=GRID_PREP["missing"], outliers=GRID_PREP["outliers"], encoding=GRID_PREP["encoding"])
+    processed, features, sens, _ = au.preprocess(df, spec.target, prep, attrs, {a: spec.privileged[a] for a in attrs}, binarize=True, key=key)
+    processed = processed.persist()
+    split = cut_lineage(stratified_split(processed, [spec.target], 0.2, 42 + run, key, fallback=[]))
+    processed.unpersist()
+    return split, features, sens
+
+
+def _measured(scored: DataFrame) -> dict[int, dict]:
+    """Metrics of every configuration from (config, sens, y, prediction, probability)."""
+    out: dict = {}
+    names = {"accuracy": "Accuracy", "precision": "Precision", "recall": "Recall", "f1": "F1", "balanced_accuracy": "Balanced Accuracy", "roc_auc": "ROC AUC",
+             "spd": "Statistical Parity Difference", "di": "Disparate Impact", "eod": "Equal Opportunity Difference", "aod": "Average Odds Difference"}
+    for table in (ev.performance(scored, "y", "prediction", ["config"]), ev.roc_auc(scored, "y", "probability", ["config"]),
+                  fm.fairness_metrics(scored, "sens", 1, label="y", pred="prediction", unprivileged=[0], by=["config"])):
+        for r in table.collect():  # one row a configuration
+            out.setdefault(r["config"], {}).update({names[c]: v for c, v in r.asDict().items() if c in names})
+    return out
+
+
 def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], runs: int = 1,
              configs: Sequence[dict] | None = None, key: str = "row_id", cv_folds: int = 5,
-             parallelism: int = 4) -> DataFrame:
-    """One record per (dataset, setting, run, config); metrics of both
-    families. Preprocessing and the split run once per (dataset, setting, run)."""
+             parallelism: int = 8, rounds: int = md.GBM_ROUNDS, patience: int | None = md.GBM_PATIENCE) -> DataFrame:
+    """One record per (dataset, setting, run, config); metrics of both families. A model that is not one of the lockstep
+    families runs by itself (``audit.run_experiment``). ``Seconds`` is the dataset's time, spread over its records."""
     configs = list(configs or grid_configs())
     records = []
-    for spec, attrs, priv, run in grid_tasks(specs, runs):
-        df = tables[spec.name]
-        prep = au.PrepSpec(missing=GRID_PREP["missing"], outliers=GRID_PREP["outliers"],
-                           encoding=GRID_PREP["encoding"])
-        processed, feats, sens, _ = au.preprocess(df, spec.target, prep, attrs,
-                                                  {a: spec.privileged[a] for a in attrs}, binarize=True, key=key)
-        # one reliable checkpoint per (dataset, setting, run): every config of
-        # the task reads it, and a lost executor does not replay preprocessing
-        split = cut_lineage(stratified_split(processed.persist(), [spec.target], 0.2, 42 + run, key,
-                                             fallback=[]))
-        train = split.where(F.col("split") == "train").drop("split")
-        test = split.where(F.col("split") == "test").drop("split")
-        if not has_two_classes(train, spec.target):
-            continue  # J5
-        def one(cfg, spec=spec, attrs=attrs, priv=priv, run=run, train=train, test=test, sens=sens, feats=feats):
-            t0 = time.time()
-            job_pool(spark, "grid", f"grid {spec.name} {'_'.join(attrs)} run {run} {cfg['model']} {cfg['detail']}")
-            metrics, _ = au.run_experiment(train, test, spec.target, sens, 1, [0], feats, cfg["model"],
-                                           cfg["strategy"], "combined", "all", 42 + run, key, cv_folds)
-            m = {r["metric"]: r["value"] for r in metrics.collect()}  # one row per metric
-            return {
-                "Dataset": spec.name, "Model Type": cfg["model"], "Mitigation Technique": cfg["technique"],
-                "Mitigation Detail": cfg["detail"], "Run Number": run,
-                "Sensitive Attributes": ", ".join(attrs), "Privileged Value": str(priv),
-                "CV Mean Accuracy": m.get("CV Mean Accuracy"), "Accuracy": m.get("Test Accuracy"),
-                "Precision": m.get("Test Precision"), "Recall": m.get("Test Recall"), "F1": m.get("Test F1"),
-                "Balanced Accuracy": m.get("Test Balanced Accuracy"), "ROC AUC": m.get("Test ROC AUC"),
-                "Statistical Parity Difference": m.get("Statistical Parity Difference"),
-                "Disparate Impact": m.get("Disparate Impact"),
-                "Equal Opportunity Difference": m.get("Equal Opportunity Difference"),
-                "Average Odds Difference": m.get("Average Odds Difference"),
-                "Seconds": time.time() - t0,
-            }
-
-        # configurations are independent Spark jobs: submit them from driver
-        # threads so the scheduler interleaves them (the reference uses a
-        # process pool over runs)
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            records.extend(pool.map(one, configs))
+    for spec in specs:
+        t0 = time.time()
+        mine = _run_dataset(spark, tables[spec.name], spec, [t for t in grid_tasks([spec], runs)], configs, key, cv_folds, parallelism, rounds, patience)
+        records += [r | {"Seconds": (time.time() - t0) / len(mine)} for r in mine]
     schema = ("`Dataset` string, `Model Type` string, `Mitigation Technique` string, `Mitigation Detail` string, "
               "`Run Number` int, `Sensitive Attributes` string, `Privileged Value` string, "
               "`CV Mean Accuracy` double, `Accuracy` double, `Precision` double, `Recall` double, `F1` double, "
@@ -138,7 +133,69 @@ def run_grid(spark: SparkSession, tables: dict, specs: Sequence[DatasetSpec], ru
               "`Disparate Impact` double, `Equal Opportunity Difference` double, "
               "`Average Odds Difference` double, `Seconds` double")
     cols = [c.split("`")[1] for c in schema.split(", ") if "`" in c]
-    return spark.createDataFrame([tuple(r[c] for c in cols) for r in records], schema)
+    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in records], schema)
+
+
+def _run_dataset(spark, df, spec: DatasetSpec, tasks: list, configs: list[dict], key: str, cv_folds: int, parallelism: int, rounds, patience) -> list[dict]:
+    def prepare(task):
+        _, attrs, _, run = task
+        job_pool(spark, "grid", f"grid {spec.name} {'_'.join(attrs)} run {run}")
+        return _prepared(df, spec, attrs, run, key)
+
+    # tasks and mitigations are independent Spark jobs: submitted from driver threads, the scheduler interleaves them
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        ready = list(pool.map(prepare, tasks))
+        strategies = list(dict.fromkeys(c["strategy"] for c in configs))
+        usable = [i for i, (split, _, _) in enumerate(ready) if has_two_classes(split.where("split = 'train'"), spec.target)]  # J5
+
+        def mitigated(pair):
+            i, strategy = pair
+            split, features, sens = ready[i]
+            job_pool(spark, "grid", f"grid {spec.name} task {i} {strategy}")
+            rows = mt.mitigate(split.where(F.col("split") == "train").drop("split"), strategy, spec.target, sens, 1, [0], 42 + tasks[i][3], key, features=features)
+            return pp.model_matrix(rows, features, spec.target, extra=[key, sens])
+
+        pairs = [(i, s) for i in usable for s in strategies]
+        training = dict(zip(pairs, pool.map(mitigated, pairs)))
+    cells = {pair: n for n, pair in enumerate(pairs)}
+    together = [m for m in dict.fromkeys(c["model"] for c in configs) if md.lockstep(m)]
+    fitted = md.fit_fleet([(cells[pair], *training[pair]) for pair in pairs], spec.target, together, key, 42, cv_folds, rounds, patience) if pairs and together else {}
+
+    scored, records, metrics = [], {}, {}
+    for i in usable:
+        (_, attrs, privileged, run), (split, features, sens) = tasks[i], ready[i]
+        test = split.where(F.col("split") == "test").drop("split")
+        own = [(n, c) for n, c in enumerate(configs)]
+        for n, c in own:
+            records[i * len(configs) + n] = {
+                "Dataset": spec.name, "Model Type": c["model"], "Mitigation Technique": c["technique"], "Mitigation Detail": c["detail"], "Run Number": run,
+                "Sensitive Attributes": ", ".join(attrs), "Privileged Value": str(privileged)}
+        matrix, _ = pp.model_matrix(test, features, spec.target, extra=[key, sens])
+        chances = []
+        for n, c in own:
+            at = i * len(configs) + n
+            if (cells[i, c["strategy"]], c["model"]) not in fitted:
+                metrics[at] = _alone(split, test, spec, sens, features, c, 42 + run, key, cv_folds)
+                continue
+            model, mean, _ = fitted[cells[i, c["strategy"]], c["model"]]
+            missing = [f for f in model.features if f not in matrix.columns]
+            matrix = matrix.withColumns({f: F.lit(0.0) for f in missing}) if missing else matrix
+            chances.append((at, model.members[0][0].probability()))
+            records[at]["CV Mean Accuracy"] = mean if cv_folds else None
+        if chances:
+            wide = matrix.select(F.col(sens).alias("sens"), F.col(spec.target).alias("y"), F.array(*[F.struct(F.lit(at).alias("config"), p.alias("probability")) for at, p in chances]).alias("all"))
+            scored.append(wide.select("sens", "y", F.explode("all").alias("one")).select("one.config", "sens", "y", "one.probability", (F.col("one.probability") > 0.5).cast("int").alias("prediction")))
+    if scored:
+        metrics |= _measured(cut_lineage(reduce(DataFrame.unionByName, scored)))
+    return [r | metrics.get(at, {}) for at, r in sorted(records.items())]
+
+
+def _alone(split, test, spec, sens, features, c: dict, seed: int, key: str, cv_folds: int) -> dict:
+    """Metrics of a configuration whose model is a registered estimator."""
+    train = split.where(F.col("split") == "train").drop("split")
+    table, _ = au.run_experiment(train, test, spec.target, sens, 1, [0], features, c["model"], c["strategy"], "combined", "all", seed, key, cv_folds)
+    found = {r["metric"]: r["value"] for r in table.collect()}  # one row a metric
+    return {k.removeprefix("Test "): v for k, v in found.items() if not k.startswith("Train ")}
 
 
 def write_results(df: DataFrame, directory: str, fmt: str = "csv") -> str:

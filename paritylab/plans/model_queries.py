@@ -1,6 +1,6 @@
 """Registered dataset-spec, sampling, training, audit and grid queries.
 
-Spark ML results (T*, M4, B3) have no SQL twin: they are rows-only checks.
+Fitted models (T*, M4, B3) have no SQL twin: they are rows-only checks, and tests hold them against plain versions.
 """
 
 from __future__ import annotations
@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paritylab.plans import audit as au
+from paritylab.plans import fleet as fl
 from paritylab.plans import grid as gd
 from paritylab.plans import models as md
+from paritylab.plans import newton as nw
 from paritylab.plans.mitigation_queries import h
 from paritylab.plans.registry import register, view, with_views
 from paritylab.sources.fixtures import load_table
@@ -50,6 +52,21 @@ def _train(spark, sf):
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+# The lockstep solutions are optima, those of every fold and every calibration member, and folds are stratified
+@register("newton_optima_customers", with_views("", "audit_customers").rstrip() + """,
+p AS (SELECT y, ROW_NUMBER() OVER (PARTITION BY y ORDER BY row_id) - 1 AS place FROM audit_customers WHERE y IS NOT NULL),
+m AS (SELECT range AS m FROM range(0, 6)), j AS (SELECT range AS j FROM range(0, 5))
+SELECT 'logistic' AS family, CAST(m AS INTEGER) AS model, (SELECT COUNT(*) FROM p WHERE place % 5 <> m) AS n_rows, TRUE AS at_optimum FROM m
+UNION ALL SELECT 'svm', CAST(m * 5 + j AS INTEGER), (SELECT COUNT(*) FROM p WHERE place % 5 <> m AND (place // 5) % 5 <> j), TRUE FROM m, j""")
+def _optima(spark, sf):
+    d = view(spark, sf, "audit_customers").select("row_id", "y", *_CUST_FEATURES).fillna(0.0, subset=_CUST_FEATURES)
+    fleet = fl.build([(0, d, _CUST_FEATURES)], "y")
+    rows = [(f, m, n, g < 1e-6) for f, found in (("logistic", nw.logistic_coefficients(fleet)), ("svm", nw.svm_weights(fleet)))
+            for _, m, n, g in nw.optimality(fleet, found, f)]
+    fleet.release()
+    return spark.createDataFrame(rows, "family string, model int, n_rows bigint, at_optimum boolean")
+
+
 _SPEC = au.AuditSpec(attrs=["segment"], privileged="BUILDING", mode="individual", model="logistic")
 _PREP = au.PrepSpec(missing="mean", outliers="iqr", encoding="one-hot",
                     selected_features=["region", "c_acctbal", "n_orders", "max_price", "segment"])

@@ -1,13 +1,11 @@
-"""Model training as Spark ML jobs.
+"""Model training.
 
-Features are assembled into one vector column, z-scored (``StandardScaler``
-with mean) and L2-normalised per row (``Normalizer``), then fed to a Spark ML
-classifier. The sample-vs-population std difference between Spark's scaler
-and the reference's is one common factor per row, which the L2 normalisation
-removes, so the model input is identical.
+The four families train in lockstep on a fleet (``fleet.py``, ``newton.py``, ``trees.py``): the model on all rows and those of the
+cross-validation folds take their passes together. Features are z-scored and rows brought to length 1 once per
+training table. A model that a user registers is a Spark ML estimator on the same scaled features, fitted fold by fold.
 
-Logistic regression with C = 1 maps to ``regParam = 1/n`` with
-``standardization=False`` (Spark averages the loss over rows).
+``fit`` of a logistic model and the ranker use Spark ML's logistic regression: C = 1 maps to ``regParam = 1/n`` with
+``standardization=False`` (Spark averages the loss over rows); the lockstep trainer finds the same coefficients.
 """
 
 from __future__ import annotations
@@ -17,30 +15,32 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritylab.functions.hashing import hash_unit
 from paritylab.operators import evaluate as ev
 from paritylab.operators import prep as pp
 from paritylab.operators.split import stratified_folds, stratified_split, train_val_test
+from paritylab.plans import fleet as fl
+from paritylab.plans import newton, trees
+from paritylab.plans.trees import stop_round  # noqa: F401
 from paritylab.session import job_pool
 
-# Boosting: rounds at most, rounds without a lower holdout loss after which it stops, share of rows held out, and
-# the rounds of the first attempt.
-GBM_ROUNDS = 1000
-GBM_PATIENCE = 20
-GBM_HOLDOUT = 0.1
-GBM_FIRST = 32
-CALIBRATION_FOLDS = 5
+GBM_ROUNDS, GBM_PATIENCE = trees.ROUNDS, trees.PATIENCE
 LABEL = "_label"
 FEATURES = "_features"
 _INPUT = {"featuresCol": FEATURES, "labelCol": LABEL}
 
+# The lockstep trainers: (fleet, rounds, patience) -> {cell: (model, (mean, spread) of the cross-validated accuracy)}.
+_LOCKSTEP: dict[str, Callable] = {
+    "logistic": lambda fleet, rounds, patience: newton.fit_logistic(fleet),
+    "random_forest": lambda fleet, rounds, patience: trees.fit_forest(fleet),
+    "gbm": trees.fit_boosting,
+    "svm": lambda fleet, rounds, patience: newton.fit_svm(fleet),
+    "linear_svc": lambda fleet, rounds, patience: newton.fit_svm(fleet)}
 # T5: constructors (rows, seed) -> Spark ML estimator on the scaled features.
 _MODELS: dict[str, Callable] = {}
 
@@ -51,27 +51,21 @@ def register_model(name: str, constructor: Callable) -> None:
 
 
 def model_names() -> list[str]:
-    return sorted(_MODELS)
+    return sorted({*_MODELS, *_LOCKSTEP})
 
 
-def classifier(name: str, n_rows: int, seed: int = 42):
-    """The estimator for a model name (unknown name -> error)."""
-    if name not in _MODELS:
-        raise ValueError(f"no model named {name!r}; there are {', '.join(model_names())}")
-    return _MODELS[name](n_rows, seed)
+def lockstep(name: str) -> bool:
+    """Whether ``name`` is one of the lockstep families and no user has put an estimator in its place."""
+    return name in _LOCKSTEP and name not in _MODELS
 
 
-register_model("logistic", lambda n, seed: LogisticRegression(
-    **_INPUT, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=10000, tol=1e-8))
-# sqrt feature subsets (Spark's "auto" for classification), bootstrap rows; finer split candidates than 32 bins
-register_model("random_forest", lambda n, seed: RandomForestClassifier(
-    **_INPUT, numTrees=100, maxDepth=8, minInstancesPerNode=2, maxBins=256, seed=seed))
-# histogram boosting: 255 bins, leaves of >= 20 rows
-register_model("gbm", lambda n, seed: GBTClassifier(
-    **_INPUT, stepSize=0.05, maxDepth=4, maxIter=GBM_ROUNDS, maxBins=255, minInstancesPerNode=20, seed=seed))
-for _name in ("svm", "linear_svc"):
-    register_model(_name, lambda n, seed: LinearSVC(
-        **_INPUT, regParam=1.0 / (0.8 * max(n, 1)), maxIter=30000, tol=1e-4, standardization=False))
+def classifier(name: str, n_rows: int, seed: int = 42):
+    """The estimator of a registered model (unknown name -> error)."""
+    if name in _MODELS:
+        return _MODELS[name](n_rows, seed)
+    if name == "logistic":
+        return LogisticRegression(**_INPUT, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=10000, tol=1e-8)
+    raise ValueError(f"no model named {name!r} in Spark ML; there are {', '.join(model_names())}")
 
 
 def feature_stages(features: Sequence[str]) -> list:
@@ -127,79 +121,37 @@ def _score(df: DataFrame, model, sigmoid, prob: str, label: str) -> DataFrame:
               .drop("rawPrediction", "probability", "prediction", "_margin", "_margin_vec")
 
 
-def _fit_sigmoid(margins: DataFrame) -> PipelineModel:
-    """Unpenalised logistic regression of the label on the margin of scored rows."""
-    m = margins.withColumn("_margin", vector_to_array("rawPrediction")[1]).drop("probability", "prediction", "rawPrediction")
-    return Pipeline(stages=[VectorAssembler(inputCols=["_margin"], outputCol="_margin_vec"),
-                            LogisticRegression(featuresCol="_margin_vec", labelCol=LABEL, regParam=0.0)]).fit(m)
-
-
-def _fit_calibrated(x: DataFrame, name: str, n: int, seed: int, key: str) -> list:
-    """T4: sigmoid calibration by cross-validation: each member is fitted on the other folds and calibrated on its
-    own held-out margins."""
-    if key not in x.columns:  # no row key to build folds from: the margins of the training rows
-        model = classifier(name, n, seed).fit(x)
-        return [(model, _fit_sigmoid(model.transform(x)))]
-    folded = stratified_folds(x, [LABEL], CALIBRATION_FOLDS, seed, key, max_stratum_rows=n).persist()
-
-    def member(f: int):
-        job_pool(x.sparkSession, "calibration", f"{name} calibration fold {f}")
-        model = classifier(name, n, seed).fit(folded.where(F.col("fold") != f))
-        return model, _fit_sigmoid(model.transform(folded.where(F.col("fold") == f)))
-
-    try:
-        with ThreadPoolExecutor(max_workers=CALIBRATION_FOLDS) as pool:
-            return list(pool.map(member, range(CALIBRATION_FOLDS)))
-    finally:
-        folded.unpersist()
+@dataclass
+class FleetModel:
+    """A model of a fleet. ``members`` holds it as (model, None)."""
 
+    name: str
+    members: list
+    features: list = field(default_factory=list)
 
-def stop_round(losses: Sequence[float], patience: int) -> int | None:
-    """The round at which ``patience`` rounds have passed without a new lowest loss; None if that does not happen."""
-    best, best_at = float("inf"), 0
-    for at, loss in enumerate(losses, 1):
-        if loss < best:
-            best, best_at = loss, at
-        elif at - best_at >= patience:
-            return at
-    return None
-
-
-def _fit_boosted(x: DataFrame, n: int, seed: int, key: str, rounds: int, patience: int | None):
-    """Boosting that ends ``patience`` rounds after the lowest loss on a holdout drawn from the row key (stable
-    on retry). Spark stops at the first round that does not improve, so rounds are doubled until the losses
-    show the end, and the fit is repeated up to there: its first trees are the same. ``patience=None``, or no row of the
-    holdout (or no row key): all rounds on all rows."""
-    est = classifier("gbm", n, seed)
-    if patience is None or key not in x.columns:
-        return est.setMaxIter(rounds).fit(x)
-    held = hash_unit(f"{seed}|gbm", key) < GBM_HOLDOUT
-    rest, holdout = x.where(~held).persist(), x.where(held).persist()
+    def predict(self, df: DataFrame, target: str | None = None) -> DataFrame:
+        """Adds ``probability`` (P(1), double) and ``prediction`` (int): class 1 is a probability over 0.5."""
+        d = df if target is None or LABEL in df.columns else df.withColumn(LABEL, F.col(target).cast("double"))
+        d = d.withColumn("probability", self.members[0][0].probability())
+        return d.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+
+
+def fit_fleet(tables: Sequence[tuple[int, DataFrame, Sequence[str]]], target: str, names: Sequence[str], key: str = "row_id", seed: int = 42,
+              folds: int = 5, rounds: int = GBM_ROUNDS, patience: int | None = GBM_PATIENCE) -> dict[tuple[int, str], tuple[FleetModel, float, float]]:
+    """Every lockstep family in ``names`` on every table (number, rows, features): (model on all rows, mean and spread of the
+    cross-validated accuracy; 0 and 0 where a fold is empty or leaves a single class, or ``folds`` is 0)."""
+    names = list(dict.fromkeys(names))
+    if wrong := [n for n in names if not lockstep(n)]:
+        raise ValueError(f"no lockstep model named {wrong[0]!r}; there are {', '.join(sorted(_LOCKSTEP))}")
+    fleet = fl.build(tables, target, key, seed, folds)
     try:
-        if holdout.isEmpty() or rest.isEmpty():
-            return est.setMaxIter(rounds).fit(x)
-        at = min(GBM_FIRST, rounds)
-        while True:
-            model = est.setMaxIter(at).fit(rest)
-            end = stop_round(model.evaluateEachIteration(holdout), patience)
-            if end is None and at < rounds:
-                at = min(2 * at, rounds)
-            elif end is None or end == at:
-                return model
-            else:
-                return est.setMaxIter(end).fit(rest)
+        # a pass is short and waits for its job: the families' passes run side by side
+        with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
+            fitted = dict(zip(names, pool.map(lambda n: _LOCKSTEP[n](fleet, rounds, patience), names)))
     finally:
-        rest.unpersist()
-        holdout.unpersist()
-
-
-def _fit_scaled(x: DataFrame, name: str, n: int, seed: int, key: str, rounds: int, patience: int | None) -> list:
-    """The members of a model on rows that hold ``FEATURES`` and ``LABEL``."""
-    if name in ("svm", "linear_svc"):
-        return _fit_calibrated(x, name, n, seed, key)
-    if name == "gbm":
-        return [(_fit_boosted(x, n, seed, key, rounds, patience), None)]
-    return [(classifier(name, n, seed).fit(x), None)]
+        fleet.release()
+    return {(cell, name): (FleetModel(name, [(model, None)], list(fleet.cells[cell].features)), mean, spread)
+            for name, own in fitted.items() for cell, (model, (mean, spread)) in own.items()}
 
 
 def _scaled(df: DataFrame, target: str, scaler: PipelineModel, key: str) -> DataFrame:
@@ -209,18 +161,20 @@ def _scaled(df: DataFrame, target: str, scaler: PipelineModel, key: str) -> Data
 
 def fit(df: DataFrame, target: str, features: Sequence[str], model: str = "logistic",
         seed: int = 42, n_rows: int | None = None, key: str = "row_id", scaler: PipelineModel | None = None,
-        rounds: int = GBM_ROUNDS, patience: int | None = GBM_PATIENCE) -> FittedModel:
+        rounds: int = GBM_ROUNDS, patience: int | None = GBM_PATIENCE) -> FittedModel | FleetModel:
     """Scale (unless ``scaler`` is given) and fit; ``rounds`` and ``patience`` are those of boosting."""
+    if lockstep(model) and model != "logistic":
+        return fit_fleet([(0, df, features)], target, [model], key, seed, 0, rounds, patience)[0, model][0]
     scaler = scaler or fit_scaler(df, features)
     x = _scaled(df, target, scaler, key).persist()
     try:
         n = n_rows if n_rows is not None else x.count()
-        return FittedModel(model, scaler, _fit_scaled(x, model, n, seed, key, rounds, patience), list(features))
+        return FittedModel(model, scaler, [(classifier(model, n, seed).fit(x), None)], list(features))
     finally:
         x.unpersist()
 
 
-def evaluate_model(fitted: FittedModel, df: DataFrame, target: str) -> dict:
+def evaluate_model(fitted: FittedModel | FleetModel, df: DataFrame, target: str) -> dict:
     """Predict and compute E1-E6 (one confusion aggregate + exact AUC)."""
     pred = fitted.predict(df, target).select(target, "prediction", "probability").cache()
     perf = ev.performance(pred, target, "prediction").first().asDict()
@@ -238,10 +192,12 @@ def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: s
                    scaler: PipelineModel | None = None, rounds: int = GBM_ROUNDS,
                    patience: int | None = GBM_PATIENCE) -> tuple[float, float]:
     """Stratified k-fold accuracy mean and population std; (0, 0) where a fold is empty or leaves a single
-    class to train on. Any other failure is raised. Rows are scaled once, before they are dealt into folds.
+    class to train on. Any other failure is raised. Rows are scaled once, before they are dealt into folds, and copies of
+    a row share a fold.
 
-    The k fits are independent Spark jobs submitted from k driver threads, so
-    the scheduler runs them side by side (the reference uses k processes)."""
+    The lockstep families fit all folds together; a registered estimator's k fits are Spark jobs from k driver threads."""
+    if lockstep(model):
+        return fit_fleet([(0, df, features)], target, [model], key, seed, k, rounds, patience)[0, model][1:]
     x = _scaled(df, target, scaler or fit_scaler(df, features), key)
     folded = stratified_folds(x, [LABEL], k, seed, key).persist()
     try:
@@ -253,8 +209,8 @@ def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: s
 
         def one(f: int) -> float:
             job_pool(df.sparkSession, "cv", f"cv fold {f}")
-            members = _fit_scaled(folded.where(F.col("fold") != f), model, rows[f], seed, key, rounds, patience)
-            scored = FittedModel(model, None, members).predict(folded.where(F.col("fold") == f))
+            fitted = classifier(model, rows[f], seed).fit(folded.where(F.col("fold") != f))
+            scored = FittedModel(model, None, [(fitted, None)]).predict(folded.where(F.col("fold") == f))
             return scored.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
 
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
@@ -267,7 +223,7 @@ def cross_validate(df: DataFrame, target: str, features: Sequence[str], model: s
 
 @dataclass
 class TrainingResult:
-    model: FittedModel
+    model: FittedModel | FleetModel
     train: DataFrame
     val: DataFrame
     test: DataFrame
@@ -278,8 +234,8 @@ class TrainingResult:
 def train(df: DataFrame, target: str, features: Sequence[str], model: str = "logistic",
           test: DataFrame | None = None, seed: int = 42, key: str = "row_id",
           cv_folds: int = 5, rounds: int = GBM_ROUNDS, patience: int | None = GBM_PATIENCE) -> TrainingResult:
-    """Split (60/20/20, or 75/25 of ``df`` when ``test`` is given), fit the
-    scaler and normalizer once on train, fit and cross-validate the model on the scaled rows, score val/test."""
+    """Split (60/20/20, or 75/25 of ``df`` when ``test`` is given), scale once on train, fit and cross-validate the
+    model on the scaled rows, score val/test."""
     if test is None:
         parts = train_val_test(df, target, 0.2, 0.25, seed, key).cache()
         tr = parts.where(F.col("split") == "train").drop("split")
@@ -291,12 +247,14 @@ def train(df: DataFrame, target: str, features: Sequence[str], model: str = "log
         tr = parts.where(F.col("split") == "train").drop("split")
         va = parts.where(F.col("split") == "val").drop("split")
         te = test
-    scaler = fit_scaler(tr, features)
-    fitted = fit(tr, target, features, model, seed, key=key, scaler=scaler, rounds=rounds, patience=patience)
+    if lockstep(model):
+        fitted, mean, std = fit_fleet([(0, tr, features)], target, [model], key, seed, cv_folds, rounds, patience)[0, model]
+    else:
+        scaler = fit_scaler(tr, features)
+        fitted = fit(tr, target, features, model, seed, key=key, scaler=scaler)
+        mean, std = cross_validate(tr, target, features, model, cv_folds, seed, key, scaler=scaler) if cv_folds else (0.0, 0.0)
     metrics = {f"Train {k}": v for k, v in evaluate_model(fitted, tr, target).items()}
     if cv_folds:
-        mean, std = cross_validate(tr, target, features, model, cv_folds, seed, key, scaler=scaler, rounds=rounds,
-                                   patience=patience)
         metrics["CV Mean Accuracy"], metrics["CV Std Accuracy"] = mean, std
     return TrainingResult(fitted, tr, va, te, metrics, fitted.predict(te, target))
 

@@ -164,3 +164,23 @@ def _sniffed(spark, sf):
     line = F.concat_ws(";", F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit(", N")), F.col("n_regionkey").cast("string"))
     body = t.select(line.alias("value")).unionAll(t.limit(1).select(F.lit("name;city, state;age")))
     return io.read_table(spark, _written(spark, "name;city, state;age", body), infer_types=False)
+
+
+@register("quoted_breaks_customers", """SELECT c_custkey AS id, c_name || chr(10) || 'says "hi", ' || chr(10) || c_mktsegment AS "note, place",
+CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer""")
+def _quoted_breaks(spark, sf):
+    """Quoted fields with line breaks, delimiters and quotes, written and read back; the column's name is quoted, too."""
+    t = _table(spark, sf, "customer")
+    note = F.concat(F.col("c_name"), F.lit('\nsays "hi", \n'), F.col("c_mktsegment"))
+    body = t.select(F.col("c_custkey").alias("id"), note.alias("note, place"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment"))
+    path = io.write_table(body, f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}.csv")
+    got = io.read_table(spark, path, sep=",", infer_types=False)
+    return got.select(F.col("id").cast(dict(t.dtypes)["c_custkey"]).alias("id"), "note, place", "segment")
+
+
+@register("sniffed_customers", """SELECT CAST(c_custkey AS VARCHAR) AS name, c_name || ', a, b, c' AS "city, state", c_mktsegment || ';' AS age FROM customer""")
+def _sniffed_customers(spark, sf):
+    """The delimiter is counted outside quotes, over all lines of a table that grows."""
+    t = _table(spark, sf, "customer")
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), F.col("c_name"), F.lit(', a, b, c"')), F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit(';"')))
+    return io.read_table(spark, _written(spark, "name;city, state;age", t.select(line.alias("value"))), infer_types=False, sample_lines=None)

@@ -132,3 +132,27 @@ def test_written_lines_have_a_header_in_each_file(spark):
     got = io.read_table(spark, path, sep=";", infer_types=False)
     assert got.columns == ["id", "a, b", "c"]
     assert sorted(map(tuple, got.collect())) == sorted((str(i), f"x, {i}", None) for i in range(100))
+
+
+def test_files_with_quoted_breaks_are_read_by_record(spark, tmp_path):
+    from paritylab.sources import io
+
+    (tmp_path / "t.csv").mkdir()
+    (tmp_path / "t.csv" / "a.csv").write_text('id,"a\nb",c\n1,"two\nlines",3\n2,"say ""hi"", x",4\n3,5" pipe\n')
+    (tmp_path / "t.csv" / "b.csv").write_text('id,"a\nb",c\n7,"plain",8\n')
+    (tmp_path / "t.csv" / "c.csv").write_text('id,ab,c\n9,"one, line",10\n')
+    got = io.read_table(spark, str(tmp_path / "t.csv"), sep=",", infer_types=False)
+    assert got.columns == ["id", "a\nb", "c"]
+    assert sorted(map(tuple, got.collect())) == [("1", "two\nlines", "3"), ("2", 'say "hi", x', "4"), ("3", '5" pipe', None), ("7", "plain", "8"), ("9", "one, line", "10")]
+    by_line, by_record = io.files_with_breaks(spark, str(tmp_path / "t.csv"), ",")
+    assert [p[-5:] for p in by_line] == ["c.csv"] and [p[-5:] for p in by_record] == ["a.csv", "b.csv"]
+    (tmp_path / "open.csv").write_text('id,a\n1,"never closed\n2,x\n')
+    with pytest.raises(ValueError, match="never closed"):
+        io.read_table(spark, str(tmp_path / "open.csv"), sep=",")
+
+
+def test_delimiters_inside_quotes_do_not_count(spark, tmp_path):
+    from paritylab.sources import io
+
+    (tmp_path / "q.csv").write_text('a;b\n"x, y, z";1\n"p, q, r, s";2\n"t, u, v";3\n')
+    assert io.infer_delimiter(spark, str(tmp_path / "q.csv"), None) == ";"

@@ -83,20 +83,39 @@ def test_cross_validation_counts_rows_of_every_fold(spark):
 
 
 def test_registered_grid_is_the_whole_grid(spark, monkeypatch):
-    from paritylab.plans import audit as au
     from paritylab.plans import grid as gd
     import __spark_entry__ as entry
     from tests.conftest import SMOKE
 
-    folds = []
+    asked = []
 
-    def run_experiment(*args):
-        folds.append(args[-1])
-        return spark.createDataFrame([("CV Mean Accuracy", 0.5)], "metric string, value double"), None
+    class Fixed:
+        @staticmethod
+        def probability():
+            return F.lit(0.6)
 
-    monkeypatch.setattr(au, "run_experiment", run_experiment)
+    def fit_fleet(tables, target, names, key, seed, folds, rounds, patience):
+        asked.append((len(tables), list(names), folds, rounds, patience))
+        return {(i, n): (md.FleetModel(n, [(Fixed, None)], list(f)), 0.5, 0.1) for i, _, f in tables for n in names}
+
+    monkeypatch.setattr(md, "fit_fleet", fit_fleet)
     rows = entry.queries()["grid_customers_logistic"](spark, SMOKE).collect()
-    assert folds == [5] * 72
+    assert asked == [(18, list(gd.GRID_MODELS), 5, 1000, 20)] and len(rows) == 72
     assert {(r["Model Type"], r["Sensitive Attributes"], r["Privileged Value"]) for r in rows} == {
         (m, *a) for m in gd.GRID_MODELS for a in (("segment", "BUILDING"), ("region", "EUROPE"), ("segment, region", "BUILDING_EUROPE"))}
-    assert all(r["CV Mean Accuracy"] == 0.5 for r in rows)
+    assert all(r["CV Mean Accuracy"] == 0.5 and r["Recall"] is not None for r in rows)
+
+
+def test_grid_mixes_lockstep_and_registered_models(spark):
+    from pyspark.ml.classification import NaiveBayes
+    from paritylab.plans import grid as gd
+
+    md.register_model("bayes", lambda n, seed: NaiveBayes(featuresCol=md.FEATURES, labelCol=md.LABEL, modelType="gaussian"))
+    try:
+        d = load_view(spark, SMALL, "audit_customers").select("row_id", "y", "segment", *FEATS).persist()
+        spec = gd.DatasetSpec("customers", "y", 1, ("segment",), {"segment": "BUILDING"})
+        rows = gd.run_grid(spark, {"customers": d}, [spec], configs=gd.grid_configs(("logistic", "bayes"), gd.GRID_MITIGATIONS[:1]), cv_folds=2).collect()
+        assert [r["Model Type"] for r in rows] == ["logistic", "bayes"]
+        assert all(0.4 < r["Accuracy"] <= 1 and 0.4 < r["CV Mean Accuracy"] <= 1 and r["Disparate Impact"] is not None for r in rows)
+    finally:
+        md._MODELS.pop("bayes")
