@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paritylab.functions.quantiles import exact_quantiles, long_values
 from paritylab.operators import evaluate as ev
 from paritylab.operators import prep as pp
+from paritylab.operators import profile as pf
 from paritylab.operators import ranking as rk
 from paritylab.operators import split as sp
 from paritylab.plans import grid as gr
@@ -184,3 +185,58 @@ def _sniffed_customers(spark, sf):
     t = _table(spark, sf, "customer")
     line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), F.col("c_name"), F.lit(', a, b, c"')), F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit(';"')))
     return io.read_table(spark, _written(spark, "name;city, state;age", t.select(line.alias("value"))), infer_types=False, sample_lines=None)
+
+
+@register("validated_customers", "SELECT COUNT(*) > 0 AS valid, COUNT(*) AS n FROM customer")
+def _validated(spark, sf):
+    """V1: at least one row and two columns."""
+    t = _table(spark, sf, "customer")
+    return t.agg(F.lit(pf.validate_dataset(t)[0]).alias("valid"), F.count(F.lit(1)).alias("n"))
+
+
+@register("selected_customers", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
+def _selected(spark, sf):
+    """A keep list with an unknown name; the target stays, last."""
+    return pp.select_features(_table(spark, sf, "customer"), "c_mktsegment", keep=["c_custkey", "no_such_column", "c_mktsegment", "c_acctbal"])
+
+
+@register("encoded_target_customers", "SELECT c_custkey, DENSE_RANK() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment FROM customer")
+def _encoded_target(spark, sf):
+    """A text target as codes in text order."""
+    out = pp.encode_target(_table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
+    return out.select("c_custkey", F.col("c_mktsegment").cast("long").alias("c_mktsegment"))
+
+
+@register("remaining_customers", "SELECT c_custkey, DENSE_RANK() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment FROM customer")
+def _remaining(spark, sf):
+    """The categorical columns that are left, as codes."""
+    out = pp.handle_remaining(_table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey", "c_mktsegment"])
+    return out.select("c_custkey", F.col("c_mktsegment").cast("long").alias("c_mktsegment"))
+
+
+@register("aligned_matrix_customers", """SELECT c_custkey, COALESCE(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0.0)::DOUBLE AS c_acctbal,
+(c_acctbal > 5000)::INTEGER::DOUBLE AS rich, 0 AS unseen, c_nationkey FROM customer""")
+def _aligned(spark, sf):
+    """The numeric matrix of some features (nulls 0, booleans 0 / 1), in the columns of another one."""
+    t = _table(spark, sf, "customer")
+    t = t.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"), (F.col("c_acctbal") > 5000).alias("rich"), "c_mktsegment", "c_nationkey")
+    matrix, _ = pp.model_matrix(t, ["c_acctbal", "rich", "c_mktsegment", "no_such_column"], "c_nationkey", extra=["c_custkey"])
+    return pp.align_columns(matrix, ["c_custkey", "c_acctbal", "rich", "unseen", "c_nationkey"])
+
+
+@register("reordered_customers", "SELECT c_custkey, c_name, c_acctbal, c_acctbal * 2 AS twice FROM customer")
+def _reordered(spark, sf):
+    """Original columns first, new ones last."""
+    t = _table(spark, sf, "customer")
+    mixed = t.select((F.col("c_acctbal") * 2).alias("twice"), "c_acctbal", "c_custkey", "c_name")
+    return pp.reorder(mixed, [c for c in t.columns if c in mixed.columns])
+
+
+@register("read_results_grid", with_views('SELECT "Dataset", "Model Type", "Mitigation Technique", "Accuracy" FROM grid_results', "grid_results"))
+def _read_results(spark, sf):
+    """A result table written, read back and checked for its required columns."""
+    from paritylab.operators import results as rs
+
+    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    view(spark, sf, "grid_results").write.option("header", True).csv(path)
+    return rs.read_results(spark, path).select("Dataset", "Model Type", "Mitigation Technique", "Accuracy")
