@@ -139,17 +139,21 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], by: Seq
 
 
 # Tables of per-group parameters (one row per group / audit key) joined back to
-# data rows are broadcast when their checked size is at most this many rows.
+# data rows are broadcast when their checked size is at most this many rows and bytes.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(small: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(small: DataFrame, bound: int = MAX_BROADCAST_ROWS, most_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast a per-group parameter table after checking its size.
 
     Such tables are joined to data rows on a few distinct keys (a group, an
     audit key); a shuffle join would send every row of a hot group to one
     task, a broadcast join keeps the data rows where they are. The table is
-    persisted (it is small) so the size check does not recompute it. Above
-    ``bound`` rows it is left to the planner (AQE skew-join handling)."""
+    persisted (it is small) so the size check does not recompute it: rows, and bytes (16 a cell and the
+    lengths of its texts). Above either bound it is left to the planner (AQE skew-join handling)."""
     small = small.persist()
-    return F.broadcast(small) if small.count() <= bound else small
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c, kind in small.dtypes if kind in ("string", "binary")]
+    row = small.agg(F.count(F.lit(1)).alias("n"), *[t.alias(f"b{i}") for i, t in enumerate(texts)]).first()
+    size = 16 * row["n"] * len(small.columns) + sum(row[f"b{i}"] for i in range(len(texts)))
+    return F.broadcast(small) if row["n"] <= bound and size <= most_bytes else small

@@ -57,3 +57,13 @@ def test_oracle_types_match():
         s = {f.name: m.get(f.dataType.simpleString()) for f in entry.queries()[name](spark, SMOKE).schema.fields}
         rel = con.sql(entry.oracle_sql()[name])
         assert s == dict(zip(rel.columns, [str(t) for t in rel.types])), name
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+    from paritylab.operators.ranking import broadcast_if_small
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("name"))
+    rows = spark.range(1000)
+    for most, sent in ((1 << 20, True), (10_000, False)):
+        hints = rows.join(broadcast_if_small(wide, most_bytes=most), "id")._jdf.queryExecution().analyzed().toString()
+        assert ("broadcast" in hints) == sent
