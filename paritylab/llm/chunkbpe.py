@@ -30,9 +30,9 @@ from paritylab.llm.common import (code_points, gram_hashes, lean, sha256_hex, sl
 SPAN = 48
 MEAN_CHUNK = 1024
 PIECE = 1 << 21
-#: Bounds of what a worker remembers: words, and code points of chunks. A full memo starts anew.
-WORDS = 500_000
-CHUNK_CHARS = 8 << 20
+#: Bounds of what a worker remembers: words (and as many parts), and code points of chunks. A full memo starts anew.
+WORDS = 220_000
+CHUNK_CHARS = 4 << 20
 WORD = re.compile("[^ \n]+")
 #: Words that fall into PARTS once lowered; a sign that opens a special token sends the word to the library whole.
 SIMPLE = re.compile(r"(?:(?!<\|)[!-~])+")
@@ -239,7 +239,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, text: str = "text", w
         if ("chunks", tokenizer_file) not in store:
             store["chunks", tokenizer_file] = ChunkEncoder(tokenizer_file)
         coder = store["chunks", tokenizer_file]
-        for b in slices(batches, text, 2 << 20):
+        for b in slices(batches, text, 1 << 20):
             got = coder.encode(texts_of(b, text))
             cols = [b.column("doc_id"), pa.array([len(i) // 4 for i, _, _, _ in got], pa.int64()),
                     pa.array([sha256_hex(i) for i, _, _, _ in got], pa.string()),

@@ -33,7 +33,7 @@ from paritylab.llm.common import (LONG_MIN, fresh, gram_hashes, lean, mix64, ord
 
 MIN = 100
 K = 32
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Contexts laid out in one suffix array; grams of over HUGE contexts are hot: their windows meet in joins instead.
 BATCH = 4096
 HUGE = 10_000
