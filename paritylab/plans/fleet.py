@@ -4,7 +4,7 @@ A cell is a training table (of a grid, or the only one); its models are the one
 cross-validation fold left out. The rows of all cells stand in one checkpointed table; an iteration is one pass in
 which every task adds up what all models that are still open need from its rows (gradients, Hessians, histograms). The
 sums of one key meet in one task; for many partitions they meet in two steps, and where every cell stands whole in one partition they
-need not be shuffled at all. Only sums of bounded size, or the splits
+need not be shuffled at all. Trees of models of a million rows at most grow in one task a model, without passes. Only sums of bounded size, or the splits
 found from them, reach the driver: nothing there grows with the rows.
 
 Rows are dealt into folds by the distinct keys, so copies of a row share a fold. Without a key, or with a null one, the row's content
@@ -32,9 +32,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Folds of the calibration inside a training table.
 INNER = 5
-#: Rows that a task adds up at least, and partitions above which sums meet in two steps.
-TASK_ROWS, TWO_STEPS = 20_000, 64
+#: Rows that a task adds up at least, partitions above which sums meet in two steps, and the slices of a cell up to which one
+#: task may hold a model's binned rows (a million rows at most).
+TASK_ROWS, TWO_STEPS, UNIT_SLICES = 200_000, 64, 5
 FORMS = {"x": np.float64, "bins": np.uint8, "f": np.float64}
+#: The columns of blocks: rows of one cell, packed column by column (bins feature by feature, scores model by model).
+BLOCK_FORMS = {"y": np.float64, "bins": np.uint8, "fold": np.int32, "tie": np.int64, "out": np.bool_, "f": np.float64}
 
 
 @dataclass
@@ -57,6 +60,7 @@ class Fleet:
     folds: int
     parts: int
     whole: bool  # whether every cell's rows stand in one partition
+    units: bool = False  # whether a task may hold the binned rows of any one model
 
     def models(self, cell: int) -> list[int]:
         """The folds that can be left out, then ``folds`` for the model on all rows. Either all folds or none: a fold that is empty
@@ -96,7 +100,8 @@ def build(tables: Sequence[tuple[int, DataFrame, Sequence[str]]], target: str, k
         cells[r["cell"]].counts[r["fold"], r["inner"], r["y"]] = r["n"]
     slices = {i: max(1, -(-sizes.get(i, 0) // task_rows)) for i in cells}
     placed, parts = deal(dealt, slices)
-    return Fleet(_scaled(placed, {i: (c.mean, c.spread) for i, c in cells.items()}).persist(), cells, folds, parts, max(slices.values()) == 1)
+    return Fleet(_scaled(placed, {i: (c.mean, c.spread) for i, c in cells.items()}).persist(), cells, folds, parts, max(slices.values()) == 1,
+                 max(slices.values()) <= UNIT_SLICES)
 
 
 def deal(rows: DataFrame, slices: dict[int, int]) -> tuple[DataFrame, int]:
@@ -133,7 +138,10 @@ def _scaled(placed: DataFrame, scales: dict) -> DataFrame:
 
 
 def columns_of(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """(cell, arrays of its rows) for each run of a cell; packed columns are matrices."""
+    """(cell, arrays of its rows) for each run of a cell, or block; packed columns are matrices."""
+    if "n" in batch.schema.names:
+        yield from _blocks(batch)
+        return
     cells = batch.column("cell").to_numpy(zero_copy_only=False)
     edges = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1, append=cells[-1:] + 1)) if len(cells) else []
     for lo, hi in zip(edges[:-1], edges[1:]):
@@ -147,6 +155,13 @@ def columns_of(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarra
         yield int(cells[lo]), out
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    sizes, names = batch.column("n").to_pylist(), [c for c in batch.schema.names if c not in ("cell", "n")]
+    for i, (cell, n) in enumerate(zip(batch.column("cell").to_pylist(), sizes)):
+        out = {c: np.frombuffer(batch.column(c)[i].as_buffer(), BLOCK_FORMS[c]) for c in names}
+        yield cell, {c: v.reshape(-1, n).T if c in FORMS else v for c, v in out.items()}
+
+
 def add(sums: dict[int, np.ndarray], key: int, values: np.ndarray) -> None:
     if key in sums:
         sums[key] += values
@@ -168,19 +183,19 @@ def summed(fleet: Fleet, names: Sequence[str], local: Callable, finish: Callable
                 local(sums, cell, columns)
         if fleet_whole and finish is not None:
             sums = {k: finish(k, v) for k, v in sums.items()}
-        yield from _packed(sums)
+        yield from packed(sums)
 
     def merge(batches) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for key, data in zip(b.column("key").to_pylist(), b.column("data")):
                 add(sums, key, np.frombuffer(data.as_buffer(), np.float64))
-        yield from _packed(sums)
+        yield from packed(sums)
 
     def close(batches) -> Iterator[pa.RecordBatch]:
         for b in merge(batches):
             done = {k: finish(k, np.frombuffer(v.as_buffer(), np.float64)) for k, v in zip(b.column("key").to_pylist(), b.column("data"))}
-            yield from _packed(done)
+            yield from packed(done)
 
     out = rows.select("cell", *names).mapInArrow(collect, "key bigint, data binary")
     if not fleet_whole:
@@ -191,7 +206,7 @@ def summed(fleet: Fleet, names: Sequence[str], local: Callable, finish: Callable
     return {r["key"]: np.frombuffer(r["data"], np.float64) for r in out.collect()}
 
 
-def _packed(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def packed(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for k, v in sums.items():  # one row a batch: arrays may be large
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.ascontiguousarray(v, np.float64).tobytes()], pa.binary())], names=["key", "data"])
 

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritylab.plans.fleet import Cell, Fleet, add, columns_of, deal, fold_accuracy, scaled, summed
+from paritylab.plans.fleet import Cell, Fleet, add, columns_of, fold_accuracy, packed, scaled, summed
 from paritylab.plans.newton import expit
 from paritylab.session import cut_lineage
 
@@ -32,11 +32,11 @@ BINS = 255
 ROUNDS, PATIENCE, HOLDOUT = 1000, 20, 0.1
 RATE, L2, BOOST_DEPTH, BOOST_LEAF, BOOST_CURVE = 0.05, 0.5, 4, 20, 1e-3
 #: Rounds whose trees every pass applies anew, before the scores of the rows are written.
-KEEP = 16
+KEEP = 8
 #: Forest, and the histogram numbers that a pass adds up at most (open nodes beyond wait for the next pass).
 TREES, FOREST_DEPTH, FOREST_SPLIT, FOREST_LEAF, FOREST_BINS, PASS_NUMBERS = 100, 8, 5, 2, 64, 12_000_000
-#: Rows times trees times models of a task of a forest pass.
-TASK_PATHS = 2_000_000
+#: Rows times trees of a model up to which one task grows its forest.
+TASK_PATHS = 100_000_000
 HELD_OUT_SALT, SEED = np.uint64(0x5851F42D4C957F2D), 42
 
 
@@ -76,20 +76,53 @@ def bin_edges(fleet: Fleet, most: int) -> dict[int, list[np.ndarray]]:
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, x[:, j], side="left").astype(np.uint8) for j, e in enumerate(edges)], 1) if edges else np.zeros((len(x), 0), np.uint8)
+    """Bins (rows x features); a feature's are contiguous."""
+    return np.stack([np.searchsorted(e, x[:, j], side="left").astype(np.uint8) for j, e in enumerate(edges)]).T if edges else np.zeros((len(x), 0), np.uint8)
 
 
-def binned_rows(fleet: Fleet, edges: dict[int, list[np.ndarray]]) -> DataFrame:
-    """The fleet's rows, where they stand, with bins instead of features."""
+BLOCK = "cell int, n int, y binary, bins binary, fold binary, tie binary, out binary"
+
+
+def block(cell: int, n: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row with the packed columns of ``n`` rows."""
+    data = [pa.array([np.ascontiguousarray(v.T if v.ndim == 2 else v).tobytes()], pa.binary()) for v in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([n], pa.int32()), *data], names=["cell", "n", *columns])
+
+
+def binned_rows(fleet: Fleet, edges: dict[int, list[np.ndarray]], share: float = 0.0) -> DataFrame:
+    """The fleet's rows, where they stand, with bins instead of features, as blocks of an Arrow batch at most; ``out`` marks the holdout."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cell, c in columns_of(b):
-                n = len(c["y"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, cell, np.int32)), pa.array(c["y"]), pa.array([r.tobytes() for r in binned(c["x"], edges[cell])], pa.binary()),
-                     pa.array(c["fold"]), pa.array(c["tie"])], names=["cell", "y", "bins", "fold", "tie"])
+                yield block(cell, len(c["y"]), {"y": c["y"].astype(np.float64), "bins": binned(c["x"], edges[cell]), "fold": c["fold"].astype(np.int32),
+                                                "tie": c["tie"].astype(np.int64), "out": held_out(c["tie"], share)})
+
+    return fleet.rows.select("cell", "y", "x", "fold", "tie").mapInArrow(run, BLOCK)
 
-    return fleet.rows.select("cell", "y", "x", "fold", "tie").mapInArrow(run, "cell int, y double, bins binary, fold int, tie bigint")
+
+def grown_by_units(fleet: Fleet, key: dict[tuple, int], names: list[str], grow: Callable) -> dict[int, np.ndarray]:
+    """``grow(cell, model, columns)`` of every model, each in a task that holds the blocks of its cell (UNIT_SLICES slices of
+    rows at most); one array a model comes back."""
+    unit = {i: cm for cm, i in key.items()}
+    own = {cell: [i for (c, _), i in key.items() if c == cell] for cell in fleet.cells}
+    own = {cell: units for cell, units in own.items() if units}
+    if not own:
+        return {}
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        parts: dict = {}
+        for b in batches:
+            at = b.schema.get_field_index("unit")
+            for i, (_, c) in zip(b.column(at).to_pylist(), columns_of(b.select(["cell", "n", *names]))):
+                parts.setdefault(i, []).append(c)
+        while parts:
+            i, some = parts.popitem()
+            c = {name: np.concatenate([x[name].T for x in some], 1).T if some[0][name].ndim == 2 else np.concatenate([x[name] for x in some]) for name in names}
+            yield from packed({i: grow(*unit[i], c)})
+
+    units = F.create_map(*[x for cell, found in own.items() for x in (F.lit(cell), F.array(*[F.lit(i) for i in found]))])
+    rows = fleet.rows.select("cell", "n", *names).withColumn("unit", F.explode(units[F.col("cell")]))
+    return {r["key"]: np.frombuffer(r["data"], np.float64) for r in rows.repartitionById(len(unit), F.col("unit").cast("int")).mapInArrow(run, "key bigint, data binary").collect()}
 
 
 @dataclass
@@ -104,19 +137,51 @@ class Tree:
         return cls(np.full(n, -1, np.int16), np.zeros(n, np.uint8), np.zeros(n))
 
 
+#: Levels that rows descend by comparing whole columns, all nodes of a level alike; deeper ones look up each row's node.
+WIDE_LEVELS = 4
+
+
+def _either(a, b, right):
+    """``b`` where ``right``, else ``a``; None is False everywhere."""
+    if right is None or (a is None and b is None):
+        return a
+    return b & right if a is None else a & ~right if b is None else a ^ ((a ^ b) & right)
+
+
 def places(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
-    """Node of every row in every tree (rows x trees), ``feature`` and ``cut`` trees x nodes."""
-    n, t = len(bins), np.arange(len(feature))[None, :]
-    at, row = np.zeros((n, len(feature)), np.int32), np.arange(n)[:, None]
-    for _ in range(depth):
-        f = feature[t, at]
-        inner = f >= 0
-        if not inner.any():
-            break
-        at = np.where(inner, 2 * at + 1 + (bins[row, np.maximum(f, 0)] > cut[t, at]), at)
+    """Place of every row among a tree's 2 ** depth nodes of that depth; a row that stops above stands at the leftmost below."""
+    n, at, turns = len(bins), np.zeros(len(bins), np.uint8 if depth <= 8 else np.int32), []
+    for level in range(min(depth, WIDE_LEVELS)):
+        first = 2 ** level - 1
+        go = [bins[:, f] > c if f >= 0 else None for f, c in zip(feature[first:2 * first + 1].tolist(), cut[first:2 * first + 1])]
+        for right in turns:
+            half = len(go) // 2
+            go = [_either(a, b, right) for a, b in zip(go[:half], go[half:])]
+        turns.append(go[0])
+        at = at << 1
+        if go[0] is not None:
+            at |= go[0]
+    if depth > WIDE_LEVELS:
+        inner = feature >= 0
+        if not inner[2 ** WIDE_LEVELS - 1:2 ** depth - 1].any():
+            return at << (depth - WIDE_LEVELS)
+        flat, row = bins.T.ravel(), np.arange(n)
+        start, last = np.where(inner, feature, 0).astype(np.int64) * n, np.where(inner, cut, 255).astype(np.uint8)
+        for level in range(WIDE_LEVELS, depth):
+            here = slice(2 ** level - 1, 2 ** (level + 1) - 1)
+            at = (at << 1) | (flat[start[here][at] + row] > last[here][at])
     return at
 
 
+def bottom_values(feature: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
+    """Of each place at the bottom the value of the leaf that its rows stopped at."""
+    value = value.copy()
+    for p in range(2 ** depth - 1):
+        if feature[p] < 0:
+            value[2 * p + 1] = value[p]
+    return value[2 ** depth - 1:2 ** (depth + 1) - 1]
+
+
 # ---------------------------------------------------------------- boosting
 def best_splits(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each node (nodes x features x bins: gradient, curvature, rows) the feature, bin and gain of its best split, gradient,
@@ -132,13 +197,15 @@ def best_splits(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.where(best > 0, f, -1), b, best, gl[i, f, b], hl[i, f, b], nl[i, f, b], gt[:, 0, 0], ht[:, 0, 0], nt[:, 0, 0]], 1)
 
 
-def node_histograms(bins: np.ndarray, node: np.ndarray, nodes: int, weights: list[np.ndarray], width: int) -> np.ndarray:
-    """Sums of each weight by (node, feature, bin); rows with node -1 are left out."""
-    use = node >= 0
-    bins, node = bins[use], node[use]
-    d = bins.shape[1]
-    at = ((node[:, None] * d + np.arange(d)) * width + bins).ravel()
-    return np.stack([np.bincount(at, None if w is None else np.repeat(w[use], d), nodes * d * width) for w in weights]).reshape(len(weights), nodes, d, width)
+def node_histograms(bins: np.ndarray, node: np.ndarray, nodes: int, weights: list[np.ndarray | None], width: int) -> np.ndarray:
+    """Sums of each weight by (node, feature, bin); None counts rows. Rows with node ``nodes`` are left out."""
+    out = np.empty((len(weights), nodes, bins.shape[1], width))
+    start = node * np.int64(width)
+    for j in range(bins.shape[1]):
+        at = start + bins[:, j]
+        for k, w in enumerate(weights):
+            out[k, :, j] = np.bincount(at, w, (nodes + 1) * width)[:nodes * width].reshape(nodes, width)
+    return out
 
 
 #: Base score, and the features, bins and values of some trees (trees x nodes).
@@ -148,10 +215,10 @@ Packed = tuple[float, np.ndarray, np.ndarray, np.ndarray]
 def raw_scores(packed: Packed, bins: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """``start`` (the base score) and the values of the trees."""
     base, feature, cut, value = packed
-    out = np.full(len(bins), base) if start is None else start
-    if len(feature):
-        at = places(feature, cut, bins, int(np.log2(feature.shape[1] + 1)) - 1)
-        out = out + value[np.arange(len(feature))[None, :], at].sum(1)
+    out = np.full(len(bins), base) if start is None else start.copy()
+    depth = int(np.log2(feature.shape[1] + 1)) - 1
+    for f, c, v in zip(feature, cut, value):
+        out += bottom_values(f, v, depth)[places(f, c, bins, depth)]
     return out
 
 
@@ -204,30 +271,30 @@ def fit_boosting(fleet: Fleet, rounds: int = ROUNDS, patience: int | None = PATI
     level of the next tree, so a model stops ``patience`` rounds after its lowest loss without a further pass. ``patience=None``:
     all rows, all rounds."""
     edges = bin_edges(fleet, BINS)
-    rows = binned_rows(fleet, edges).persist()
+    share = HOLDOUT if patience is not None else 0.0
+    rows = binned_rows(fleet, edges, share).persist()
     fleet = replace(fleet, rows=rows)
     models = {(cell, m): Boosted(fleet.cells[cell], edges[cell], 0.0) for cell in fleet.cells for m in fleet.models(cell)}
     key = {cm: i for i, cm in enumerate(models)}
-    share = HOLDOUT if patience is not None else 0.0
 
     def local_counts(sums, cell, c):
         for m in fleet_models[cell]:
-            train = (c["fold"] != m) & ~held_out(c["tie"], share)
+            train = (c["fold"] != m) & ~c["out"]
             add(sums, key[cell, m], np.array([train.sum(), (c["y"] * train).sum()]))
 
     fleet_models = {cell: fleet.models(cell) for cell in fleet.cells}
-    counts = summed(fleet, ["y", "fold", "tie"], local_counts)
+    counts = summed(fleet, ["n", "y", "fold", "out"], local_counts)
     for cm, b in models.items():
         n, n1 = counts.get(key[cm], np.zeros(2))
         b.base = float(np.log(max(n1, 0.5) / max(n - n1, 0.5))) if n else 0.0
     open_ = [cm for cm in models if counts.get(key[cm], np.zeros(2))[0] > 0]
-    growth = Growth({cm: models[cm] for cm in open_}, {cm: key[cm] for cm in open_}, share, rounds, patience)
-    if fleet.whole:
+    growth = Growth({cm: models[cm] for cm in open_}, {cm: key[cm] for cm in open_}, rounds, patience)
+    if fleet.units:
         _grow_in_place(fleet, growth)
     else:
         _grow_by_passes(fleet, growth)
     held = {cell: [models[cell, m].packed() for m in range(fleet.folds)] for cell in fleet.cells if len(fleet.models(cell)) > 1}
-    scores = fold_accuracy(fleet, ["bins"], lambda cell, c: np.stack([raw_scores(b, c["bins"]) > 0 for b in held[cell]], 1)) if held else {}
+    scores = fold_accuracy(fleet, ["n", "bins"], lambda cell, c: np.stack([raw_scores(b, c["bins"]) > 0 for b in held[cell]], 1)) if held else {}
     rows.unpersist()
     return {cell: (models[cell, fleet.folds], scores.get(cell, (0.0, 0.0))) for cell in fleet.cells}
 
@@ -235,8 +302,8 @@ def fit_boosting(fleet: Fleet, rounds: int = ROUNDS, patience: int | None = PATI
 class Growth:
     """Boosted models that grow a level at a time from the splits of their open nodes."""
 
-    def __init__(self, models: dict[tuple, Boosted], key: dict[tuple, int], share: float, rounds: int, patience: int | None):
-        self.models, self.key, self.share, self.rounds, self.patience = models, key, share, rounds, patience
+    def __init__(self, models: dict[tuple, Boosted], key: dict[tuple, int], rounds: int, patience: int | None):
+        self.models, self.key, self.rounds, self.patience = models, key, rounds, patience
         self.still = list(models)
         self.written_to, self.slots = 0, {}  # the written scores hold the trees up to written_to; place of a model in them
         self.trees: dict = {}
@@ -246,19 +313,23 @@ class Growth:
         """Of each open model the trees that are not in the written scores, and its place in those."""
         return {cm: (self.models[cm].packed(self.written_to if cm in self.slots else 0), self.slots.get(cm)) for cm in self.still}
 
-    def ask(self, level: int, state: dict) -> tuple[Callable, Callable] | None:
-        """What tasks add up for the open nodes of a level, and how splits are found from it; None if there is none."""
+    def open(self, level: int) -> dict[tuple, list[int]]:
+        """The open nodes of a level by model."""
         if level == 0:
             self.trees, self.totals = {cm: Tree.of(BOOST_DEPTH) for cm in self.still}, {cm: {0: None} for cm in self.still}
         nodes = {cm: [p for p in range(2 ** level - 1, 2 ** (level + 1) - 1) if p in self.totals[cm]] for cm in self.still}
         self.opened = {cm: own for cm, own in nodes.items() if own}
-        if not self.opened:
+        return self.opened
+
+    def ask(self, level: int, state: dict) -> tuple[Callable, Callable] | None:
+        """What tasks add up for the open nodes of a level, and how splits are found from it; None if there is none."""
+        if not self.open(level):
             return None
         sent: dict = {}
         for (cell, m), own in self.opened.items():
             sent.setdefault(cell, []).append((m, own, self.trees[cell, m]))
         shapes = {self.key[cm]: (len(own), len(self.models[cm].edges)) for cm, own in self.opened.items()}
-        return _boost_local(sent, state, self.key, self.share, level, BINS + 1), _boost_finish(shapes, BINS + 1)
+        return _boost_local(sent, state, self.key, level, BINS + 1), _boost_finish(shapes, BINS + 1)
 
     def take(self, level: int, got: dict[int, np.ndarray]) -> None:
         for cm, nodes in self.opened.items():
@@ -303,7 +374,7 @@ def _grow_by_passes(fleet: Fleet, growth: Growth) -> None:
             asked = growth.ask(level, state)
             if asked is None:
                 break
-            growth.take(level, summed(fleet, ["y", "bins", "fold", "tie", *(["f"] if written is not None else [])], *asked, rows))
+            growth.take(level, summed(fleet, ["n", "y", "bins", "fold", "out", *(["f"] if written is not None else [])], *asked, rows))
         growth.end_round()
         if growth.still and len(growth.models[growth.still[0]].trees) - growth.written_to >= KEEP:
             fresh = cut_lineage(_with_scores(rows, growth.state(), written is not None)).persist()
@@ -316,50 +387,50 @@ def _grow_by_passes(fleet: Fleet, growth: Growth) -> None:
 
 
 def _grow_in_place(fleet: Fleet, growth: Growth) -> None:
-    """The same rounds where every cell stands whole in one partition (TASK_ROWS rows at most): a task's sums are then the whole
-    sums, so it goes from level to level, and from round to round, without a pass for each. Cells grow side by side."""
-    by_cell: dict = {}
-    for cm in growth.still:
-        by_cell.setdefault(cm[0], []).append(cm)
-    size = 2 ** (BOOST_DEPTH + 1) - 1
-    key, share, rounds, patience, models = growth.key, growth.share, growth.rounds, growth.patience, growth.models
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        parts: dict = {}
-        for b in batches:
-            for cell, c in columns_of(b):
-                parts.setdefault(cell, []).append(c)
-        for cell, some in parts.items():
-            c = {name: np.concatenate([x[name] for x in some]) for name in some[0]}
-            own = Growth({cm: models[cm] for cm in by_cell.get(cell, [])}, key, share, rounds, patience)
-            while own.still:
-                state = own.state()
-                for level in range(BOOST_DEPTH):
-                    asked = own.ask(level, state)
-                    if asked is None:
-                        break
-                    sums: dict[int, np.ndarray] = {}
-                    asked[0](sums, cell, c)
-                    own.take(level, {k: asked[1](k, v) for k, v in sums.items()})
-                own.end_round()
-                if own.still:
-                    c["f"] = np.stack([_scores(x, c) for x in own.state().values()], 1)
-                    own.wrote()
-            for cm, b in own.models.items():
-                _, feature, cut, value = b.packed()
-                data = np.concatenate([[len(b.losses), len(feature)], b.losses, feature.ravel(), cut.ravel(), value.ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array([key[cm]], pa.int64()), pa.array([data.astype(np.float64).tobytes()], pa.binary())], names=["key", "data"])
-
-    names = {i: cm for cm, i in key.items()}
-    for r in fleet.rows.select("cell", "y", "bins", "fold", "tie").mapInArrow(run, "key bigint, data binary").collect():  # one row a model
-        data = np.frombuffer(r["data"], np.float64)
+    """The same rounds where a task may hold a model's rows: its sums are then the whole sums, so it goes from level to level, and
+    from round to round, without a pass for each. Models grow side by side."""
+    size, width = 2 ** (BOOST_DEPTH + 1) - 1, BINS + 1
+    rounds, patience, models = growth.rounds, growth.patience, growth.models
+
+    def grow(cell: int, m: int, c: dict) -> np.ndarray:
+        cm, inside = (cell, m), c["fold"] != m
+        own = Growth({cm: models[cm]}, {cm: 0}, rounds, patience)
+        b = own.models[cm]
+        (y, bins), (y_out, bins_out) = ((c["y"][use], np.compress(use, c["bins"].T, 1).T) for use in (inside & ~c["out"], inside & c["out"]))
+        raw, raw_out = np.full(len(y), b.base), np.full(len(y_out), b.base)
+        while own.still:
+            p = expit(raw)
+            weights = [p - y, p * (1 - p), None]
+            loss = np.array([(np.logaddexp(0.0, raw_out) - y_out * raw_out).sum(), len(y_out)])
+            for level in range(BOOST_DEPTH):
+                nodes = own.open(level).get(cm)
+                if not nodes:
+                    break
+                hist = node_histograms(bins, _node_numbers(own.trees[cm], nodes, bins, level), len(nodes), weights, width)
+                own.take(level, {0: _boost_finish({0: (len(nodes), bins.shape[1])}, width)(0, np.concatenate([loss, hist.ravel()]))})
+            own.end_round()
+            if own.still:
+                last = b.packed(len(b.trees) - 1)
+                raw, raw_out = raw_scores(last, bins, raw), raw_scores(last, bins_out, raw_out)
+        _, feature, cut, value = b.packed()
+        return np.concatenate([[len(b.losses), len(feature)], b.losses, feature.ravel(), cut.ravel(), value.ravel()]).astype(np.float64)
+
+    names = {i: cm for cm, i in growth.key.items()}
+    for i, data in grown_by_units(fleet, growth.key, ["y", "bins", "fold", "out"], grow).items():
         n_losses, n = int(data[0]), int(data[1])
-        model = models[names[r["key"]]]
+        model = models[names[i]]
         model.losses = data[2:2 + n_losses].tolist()
         feature, cut, value = data[2 + n_losses:].reshape(3, n, size)
         model.trees = [Tree(f.astype(np.int16), b.astype(np.uint8), v) for f, b, v in zip(feature, cut, value)]
 
 
+def _node_numbers(tree: Tree, nodes: list[int], bins: np.ndarray, level: int) -> np.ndarray:
+    """For each row the number of its node in ``nodes``, which are of one level; len(nodes) for none of them."""
+    number = np.full(2 ** level, len(nodes), np.int64)
+    number[np.array(nodes) - (2 ** level - 1)] = np.arange(len(nodes))
+    return number[places(tree.feature, tree.bin, bins, level)]
+
+
 def stop_round(losses: list[float], patience: int) -> int | None:
     """The round at which ``patience`` rounds have passed without a new lowest loss; None if that does not happen."""
     best, best_at = float("inf"), 0
@@ -377,20 +448,16 @@ def _scores(state: tuple[Packed, int | None], c: dict) -> np.ndarray:
     return raw_scores(packed, c["bins"], None if slot is None else c["f"][:, slot])
 
 
-def _boost_local(sent: dict, state: dict, key: dict, share: float, level: int, width: int) -> Callable:
+def _boost_local(sent: dict, state: dict, key: dict, level: int, width: int) -> Callable:
     def local(sums, cell, c):
         for m, nodes, tree in sent.get(cell, []):
             cm = (cell, m)
             raw, inside = _scores(state[cm], c), c["fold"] != m
-            out = held_out(c["tie"], share) & inside
-            train = inside & ~out
+            out = c["out"] & inside
             p = expit(raw)
-            at = places(tree.feature[None, :], tree.bin[None, :], c["bins"], level)[:, 0]
-            number = np.full(2 ** (level + 1), -1, np.int64)
-            number[nodes] = np.arange(len(nodes))
-            node = np.where(train, number[at], -1)
+            node = np.where(inside & ~out, _node_numbers(tree, nodes, c["bins"], level), len(nodes))
             hist = node_histograms(c["bins"], node, len(nodes), [p - c["y"], p * (1 - p), None], width)
-            loss = [float((np.logaddexp(0.0, raw) - c["y"] * raw)[out].sum()), float(out.sum())] if level == 0 else [0.0, 0.0]
+            loss = [float((np.logaddexp(0.0, raw[out]) - c["y"][out] * raw[out]).sum()), float(out.sum())] if level == 0 else [0.0, 0.0]
             add(sums, key[cm], np.concatenate([loss, hist.ravel()]))
     return local
 
@@ -414,12 +481,11 @@ def _with_scores(rows: DataFrame, state: dict, has: bool) -> DataFrame:
             for cell, c in columns_of(b):
                 n = len(c["y"])
                 own = by_cell.get(cell, [])
-                f = np.stack([_scores(state[cm], c) for cm in own], 1) if own else np.zeros((n, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, cell, np.int32)), pa.array(c["y"]), pa.array([r.tobytes() for r in c["bins"]], pa.binary()), pa.array(c["fold"]),
-                                                  pa.array(c["tie"]), pa.array([r.tobytes() for r in f], pa.binary())], names=["cell", "y", "bins", "fold", "tie", "f"])
+                c["f"] = np.stack([_scores(state[cm], c) for cm in own]).T if own else np.zeros((n, 0))
+                yield block(cell, n, c)
 
-    names = ["cell", "y", "bins", "fold", "tie", *(["f"] if has else [])]
-    return rows.select(*names).mapInArrow(run, "cell int, y double, bins binary, fold int, tie bigint, f binary")
+    names = ["cell", "n", "y", "bins", "fold", "tie", "out", *(["f"] if has else [])]
+    return rows.select(*names).mapInArrow(run, BLOCK + ", f binary")
 
 
 # ---------------------------------------------------------------- forest
@@ -427,9 +493,9 @@ def _with_scores(rows: DataFrame, state: dict, has: bool) -> DataFrame:
 DRAWS = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 
 
-def bag(tie: np.ndarray, model: int, trees: int, seed: int = SEED) -> np.ndarray:
-    """How often each row is drawn for each tree (rows x trees), from the row key."""
-    salt = mixed(np.arange(trees, dtype=np.uint64) + np.uint64((model + 1) << 20) + np.uint64(seed << 40))
+def bag(tie: np.ndarray, model: int, trees: int, seed: int = SEED, first: int = 0) -> np.ndarray:
+    """How often each row is drawn for each tree from ``first`` on (rows x trees), from the row key."""
+    salt = mixed(np.arange(first, first + trees, dtype=np.uint64) + np.uint64((model + 1) << 20) + np.uint64(seed << 40))
     return np.searchsorted(DRAWS, unit(tie.astype(np.uint64)[:, None] ^ salt[None, :]), side="right").astype(np.float64)
 
 
@@ -469,10 +535,9 @@ class Forest:
 
     def chance(self, bins: np.ndarray) -> np.ndarray:
         out = np.zeros(len(bins))
-        for lo in range(0, len(bins), 4096):
-            at = places(self.feature, self.bin, bins[lo:lo + 4096], FOREST_DEPTH)
-            out[lo:lo + 4096] = self.value[np.arange(len(self.feature))[None, :], at].mean(1)
-        return out
+        for f, c, v in zip(self.feature, self.bin, self.value):
+            out += bottom_values(f, v, FOREST_DEPTH)[places(f, c, bins, FOREST_DEPTH)]
+        return out / len(self.feature)
 
     def probability(self) -> Column:
         return arrow_probability(self)
@@ -485,45 +550,100 @@ def fit_forest(fleet: Fleet, trees: int = TREES, seed: int = SEED) -> dict[int,
     sides of FOREST_LEAF rows. Bags and feature subsets are hashes, so a repeated task gives the same trees."""
     edges = bin_edges(fleet, FOREST_BINS)
     models = [(cell, m) for cell in fleet.cells for m in fleet.models(cell)]
-    sizes = {cell: c.rows() for cell, c in fleet.cells.items()}
-    slices = {cell: max(1, -(-n * trees * len(fleet.models(cell)) // TASK_PATHS)) for cell, n in sizes.items()}
-    placed, parts = deal(binned_rows(fleet, edges), slices)
-    fleet = replace(fleet, rows=placed.persist(), parts=parts, whole=max(slices.values()) == 1)
+    rows = binned_rows(fleet, edges).persist()
+    fleet = replace(fleet, rows=rows)
     width, size = FOREST_BINS + 1, 2 ** (FOREST_DEPTH + 1) - 1
     grown = {cm: Forest(fleet.cells[cm[0]], edges[cm[0]], np.full((trees, size), -1, np.int16), np.zeros((trees, size), np.uint8), np.zeros((trees, size))) for cm in models}
     key = {cm: i for i, cm in enumerate(models)}
-    # A root's numbers come with the first split; the others are known from their parents'.
-    opened = {cm: (np.arange(trees), np.zeros(trees, np.int64)) for cm in models if fleet.cells[cm[0]].features}
     base = {cm: [fleet.cells[cm[0]].rows(y, lambda f, i, m=cm[1]: f != m) for y in (0.0, 1.0)] for cm in models}
     for cm, (n0, n1) in base.items():
         grown[cm].value[:] = n1 / max(n0 + n1, 1)
+    some = {cm: f for cm, f in grown.items() if f.cell.features}
+    if fleet.units and max((fleet.cells[cell].rows() for cell, _ in some), default=0) * trees <= TASK_PATHS:
+        _forest_in_place(fleet, some, key, width, trees, seed)
+    else:
+        _forest_by_passes(fleet, some, key, width, trees, seed)
+    held = {cell: [grown[cell, m] for m in range(fleet.folds)] for cell in fleet.cells if len(fleet.models(cell)) > 1}
+    scores = fold_accuracy(fleet, ["n", "bins"], lambda cell, c: np.stack([g.chance(c["bins"]) > 0.5 for g in held[cell]], 1)) if held else {}
+    rows.unpersist()
+    return {cell: (grown[cell, fleet.folds], scores.get(cell, (0.0, 0.0))) for cell in fleet.cells}
+
+
+def _split(g: Forest, level: int, t: np.ndarray, p: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write the splits found of nodes ``p`` of trees ``t`` into the forest; (tree, node) of the children that may split again."""
+    f, b, nl, wl, l1, n, w, w1 = found.reshape(-1, 8).T
+    if level == 0:  # a root's numbers come with the first split; the others are known from their parents'
+        g.value[t, p] = np.where(w > 0, w1 / np.maximum(w, 1), g.value[t, p])
+    split = (f >= 0) & (n >= FOREST_SPLIT) & (w1 > 0) & (w1 < w)
+    t, p, f, b, nl, wl, l1, n, w, w1 = (v[split] for v in (t, p, f, b, nl, wl, l1, n, w, w1))
+    g.feature[t, p], g.bin[t, p] = f, b
+    after = []
+    for child, cn, cw, c1 in ((2 * p + 1, nl, wl, l1), (2 * p + 2, n - nl, w - wl, w1 - l1)):
+        g.value[t, child] = c1 / cw
+        more = (cn >= FOREST_SPLIT) & (c1 > 0) & (c1 < cw)
+        after.append((t[more], child[more]))
+    return tuple(np.concatenate(x) for x in zip(*after))
+
+
+def _forest_by_passes(fleet: Fleet, grown: dict, key: dict, width: int, trees: int, seed: int) -> None:
+    """A level of all trees of all models a pass, or several passes where its histograms are over PASS_NUMBERS."""
+    opened = {cm: (np.arange(trees), np.zeros(trees, np.int64)) for cm in grown}
     for level in range(FOREST_DEPTH):
         after: dict = {}
         for some in _portions(opened, fleet, width):
             local, finish = _forest_pass(some, grown, key, level, width, trees, seed)
-            got = summed(fleet, ["y", "bins", "fold", "tie"], local, finish)
+            got = summed(fleet, ["n", "y", "bins", "fold", "tie"], local, finish)
             for cm, (t, p) in some.items():
-                if key[cm] not in got:
-                    continue
-                f, b, nl, wl, l1, n, w, w1 = got[key[cm]].reshape(-1, 8).T
-                g = grown[cm]
-                if level == 0:
-                    g.value[t, p] = np.where(w > 0, w1 / np.maximum(w, 1), g.value[t, p])
-                split = (f >= 0) & (n >= FOREST_SPLIT) & (w1 > 0) & (w1 < w)
-                t, p, f, b, nl, wl, l1, n, w, w1 = (v[split] for v in (t, p, f, b, nl, wl, l1, n, w, w1))
-                g.feature[t, p], g.bin[t, p] = f, b
-                for child, cn, cw, c1 in ((2 * p + 1, nl, wl, l1), (2 * p + 2, n - nl, w - wl, w1 - l1)):
-                    g.value[t, child] = c1 / cw
-                    more = (cn >= FOREST_SPLIT) & (c1 > 0) & (c1 < cw)
-                    after.setdefault(cm, []).append((t[more], child[more]))
+                if key[cm] in got:
+                    after.setdefault(cm, []).append(_split(grown[cm], level, t, p, got[key[cm]]))
         opened = {cm: tuple(np.concatenate(x) for x in zip(*v)) for cm, v in after.items()}
         opened = {cm: v for cm, v in opened.items() if len(v[0])}
         if not opened:
             break
-    held = {cell: [grown[cell, m] for m in range(fleet.folds)] for cell in fleet.cells if len(fleet.models(cell)) > 1}
-    scores = fold_accuracy(fleet, ["bins"], lambda cell, c: np.stack([g.chance(c["bins"]) > 0.5 for g in held[cell]], 1)) if held else {}
-    fleet.rows.unpersist()
-    return {cell: (grown[cell, fleet.folds], scores.get(cell, (0.0, 0.0))) for cell in fleet.cells}
+
+
+def _forest_in_place(fleet: Fleet, grown: dict, key: dict, width: int, trees: int, seed: int) -> None:
+    """The same where a task may hold a model's rows: it grows tree after tree. Models grow side by side."""
+    def grow(cell: int, m: int, c: dict) -> np.ndarray:
+        g, inside = grown[cell, m], c["fold"] != m
+        y, tie, bins = c["y"][inside], c["tie"][inside], np.compress(inside, c["bins"].T, 1).T
+        for tree in range(trees):
+            draws = bag(tie, m, 1, seed, tree)[:, 0]
+            use = draws > 0
+            w, own = draws[use], np.compress(use, bins.T, 1).T
+            t, p, w1 = np.array([tree]), np.zeros(1, np.int64), w * y[use]
+            for level in range(FOREST_DEPTH):
+                if not len(p) or not len(w):
+                    break
+                features = chosen_features(m, t, p, bins.shape[1], seed)
+                hist = _tree_histograms(own, w, w1, g.feature[tree], g.bin[tree], level, p, features, width)
+                t, p = _split(g, level, t, p, _forest_finish({0: (features, width)})(0, hist.ravel()))
+        return np.stack([v[:] for v in (g.feature, g.bin, g.value)]).astype(np.float64).ravel()
+
+    names = {i: cm for cm, i in key.items()}
+    for i, data in grown_by_units(fleet, {cm: key[cm] for cm in grown}, ["y", "bins", "fold", "tie"], grow).items():
+        g = grown[names[i]]
+        feature, cut, value = data.reshape(3, *g.value.shape)
+        g.feature, g.bin, g.value = feature.astype(np.int16), cut.astype(np.uint8), value
+
+
+def _tree_histograms(bins: np.ndarray, w: np.ndarray, w1: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int, nodes: np.ndarray, tried: np.ndarray, width: int) -> np.ndarray:
+    """Rows, draws and draws of class 1 by (node, feature tried, bin) of one tree's ``nodes``, which are of one level."""
+    number = np.full(2 ** level, -1, np.int64)
+    number[nodes - (2 ** level - 1)] = np.arange(len(nodes))
+    node = number[places(feature, cut, bins, level)]
+    if (number < 0).any():
+        row = np.flatnonzero(node >= 0)
+        node, w, w1 = node[row], w[row], w1[row]
+    else:
+        row = np.arange(len(node))
+    flat, one = bins.T.ravel(), np.flatnonzero(w1)
+    out = np.empty((3, len(nodes), tried.shape[1], width))
+    for k in range(tried.shape[1]):
+        at = node * width + flat[(tried[:, k] * len(bins))[node] + row]
+        for i, (x, by) in enumerate(((at, None), (at, w), (at[one], w1[one]))):
+            out[i, :, k] = np.bincount(x, by, len(nodes) * width).reshape(len(nodes), width)
+    return out
 
 
 def _portions(opened: dict, fleet: Fleet, width: int) -> Iterator[dict]:
@@ -544,30 +664,30 @@ def _portions(opened: dict, fleet: Fleet, width: int) -> Iterator[dict]:
 
 
 def _forest_pass(some: dict, grown: dict, key: dict, level: int, width: int, trees: int, seed: int) -> tuple[Callable, Callable]:
-    top = 2 ** level - 1  # the nodes above this level
     sent, shape = {}, {}
     for (cell, m), (t, p) in some.items():
         g = grown[cell, m]
         features = chosen_features(m, t, p, len(g.cell.features), seed)
-        number = np.full((trees, 2 ** (level + 1) - 1), -1, np.int32)
-        number[t, p] = np.arange(len(t))
-        sent.setdefault(cell, []).append((m, g.feature[:, :max(top, 1)], g.bin[:, :max(top, 1)], number, features))
+        own = [(tree, np.flatnonzero(t == tree)) for tree in np.unique(t).tolist()]
+        top = max(2 ** level - 1, 1)  # the nodes above this level
+        sent.setdefault(cell, []).append((m, g.feature[:, :top], g.bin[:, :top], p, features, own))
         shape[key[cell, m]] = (features, width)
 
     def local(sums, cell, c):
-        for m, feature, cut, number, features in sent.get(cell, []):
-            n, s = len(c["y"]), features.shape[1]
-            draws = bag(c["tie"], m, trees, seed) * (c["fold"] != m)[:, None]
-            at = places(np.pad(feature, ((0, 0), (0, number.shape[1] - feature.shape[1])), constant_values=-1),
-                        np.pad(cut, ((0, 0), (0, number.shape[1] - cut.shape[1]))), c["bins"], level)
-            node = np.where(draws > 0, number[np.arange(trees)[None, :], at], -1)
-            row, tree = np.nonzero(node >= 0)
-            node, w = node[row, tree], draws[row, tree]
-            place = ((node[:, None] * s + np.arange(s)) * width + c["bins"][row[:, None], features[node]]).ravel()
-            total = len(features) * s * width
-            w1 = w * c["y"][row]
-            add(sums, key[cell, m], np.concatenate([np.bincount(place, minlength=total), np.bincount(place, np.repeat(w, s), total), np.bincount(place, np.repeat(w1, s), total)]))
+        for m, feature, cut, p, features, own in sent.get(cell, []):
+            total = sums.setdefault(key[cell, m], np.zeros(3 * features.size * width)).reshape(3, *features.shape, width)
+            inside = c["fold"] != m
+            y, tie, bins = c["y"][inside], c["tie"][inside], np.compress(inside, c["bins"].T, 1).T
+            for tree, at in own:
+                draws = bag(tie, m, 1, seed, tree)[:, 0]
+                use = draws > 0
+                w = draws[use]
+                total[:, at] += _tree_histograms(np.compress(use, bins.T, 1).T, w, w * y[use], feature[tree], cut[tree], level, p[at], features[at], width)
 
+    return local, _forest_finish(shape)
+
+
+def _forest_finish(shape: dict) -> Callable:
     def finish(k, data):
         features, width = shape[k]
         n, w, w1 = data.reshape(3, len(features), -1, width)
@@ -576,4 +696,4 @@ def _forest_pass(some: dict, grown: dict, key: dict, level: int, width: int, tre
         out[found, 0] = features[found, out[found, 0].astype(int)]
         return np.concatenate([out, np.stack([v[:, 0].sum(1) for v in (n, w, w1)], 1)], 1).ravel()
 
-    return local, finish
+    return finish

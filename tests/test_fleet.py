@@ -229,3 +229,41 @@ def test_degenerate_tables(spark, customers):
             p = customers.select(model.probability().alias("p")).agg(F.min("p"), F.max("p"), F.count("p")).first()
             assert 0 <= p[0] <= p[1] <= 1 and p[2] == customers.count()
     f.release()
+
+
+def counted_passes(monkeypatch):
+    calls, real = [], trees.summed
+    monkeypatch.setattr(trees, "summed", lambda *a, **k: calls.append(1) or real(*a, **k))
+    return calls
+
+
+def by_passes(customers):
+    f = fl.build([(0, customers, FEATS), (3, customers.where("row_id % 2 = 0"), FEATS[:2])], "y", folds=3, task_rows=100)
+    assert not f.units
+    return f
+
+
+def test_boosting_of_cells_in_several_slices_needs_no_pass_a_level(fleet, customers, monkeypatch):
+    calls, sliced = counted_passes(monkeypatch), by_passes(customers)
+    here = trees.fit_boosting(fleet, rounds=4, patience=2)
+    assert fleet.parts > 1 and len(calls) == 1  # the base scores
+    there = trees.fit_boosting(sliced, rounds=4, patience=2)
+    assert len(calls) > 8
+    for cell in (0, 3):
+        a, b = here[cell][0], there[cell][0]
+        assert np.allclose(a.losses, b.losses) and len(a.trees) == len(b.trees)
+        for t, u in zip(a.trees, b.trees):
+            assert (t.feature == u.feature).all() and (t.bin == u.bin).all() and np.allclose(t.value, u.value, atol=1e-9)
+    sliced.release()
+
+
+def test_forest_of_cells_in_several_slices_needs_no_pass_a_level(fleet, customers, monkeypatch):
+    calls, sliced = counted_passes(monkeypatch), by_passes(customers)
+    here = trees.fit_forest(fleet, trees=4)
+    assert not calls
+    there = trees.fit_forest(sliced, trees=4)
+    assert len(calls) >= trees.FOREST_DEPTH - 1
+    for cell in (0, 3):
+        a, b = here[cell][0], there[cell][0]
+        assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and np.array_equal(a.value, b.value)
+    sliced.release()
