@@ -267,3 +267,12 @@ def test_forest_of_cells_in_several_slices_needs_no_pass_a_level(fleet, customer
         a, b = here[cell][0], there[cell][0]
         assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and np.array_equal(a.value, b.value)
     sliced.release()
+
+
+def test_boosting_of_grid_sized_cells_needs_no_pass_a_level(spark, monkeypatch):
+    calls = counted_passes(monkeypatch)
+    d = spark.range(25_000).selectExpr("id AS row_id", "CAST(id % 97 AS DOUBLE) AS a", "CAST(pmod(hash(id), 100) AS DOUBLE) AS b", "CAST(id % 97 > pmod(hash(id), 100) AS INT) AS y")
+    f = fl.build([(0, d, ["a", "b"])], "y", folds=2)
+    model, (mean, _) = trees.fit_boosting(f, rounds=3, patience=2)[0]
+    assert len(calls) == 1 and len(model.trees) == 3 and mean > 0.8
+    f.release()
