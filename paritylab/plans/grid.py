@@ -15,7 +15,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritylab.operators import evaluate as ev
@@ -103,6 +105,26 @@ def _prepared(df: DataFrame, spec: DatasetSpec, attrs: list, run: int, key: str)
     return split, features, sens
 
 
+def _chances(models: list[tuple[int, object, list[str]]]) -> Column:
+    """The (config, probability) pairs of a row under the models (config, model, features). Those that score arrays do so in one function: their
+    expressions side by side are more code than one generated method may have."""
+    arrays = [(at, model, features) for at, model, features in models if hasattr(model, "chances")]
+    alone = [F.struct(F.lit(at).alias("config"), model.probability().alias("probability")) for at, model, _ in models if not hasattr(model, "chances")]
+    if not arrays:
+        return F.array(*alone)
+    names = list(dict.fromkeys(f for _, _, features in arrays for f in features))
+    place = {f: i for i, f in enumerate(names)}
+    own = [(model.chances, [place[f] for f in features]) for _, model, features in arrays]
+
+    def score(rows: pd.Series) -> pd.Series:
+        x = np.stack(rows.to_numpy())
+        return pd.Series(list(np.stack([chances(x[:, at]) for chances, at in own], 1))) if len(x) else pd.Series([], dtype=object)
+
+    found = F.pandas_udf(score, "array<double>")(F.array(*[F.col(f"`{f}`").cast("double") for f in names], F.lit(0.0)))
+    pairs = F.zip_with(F.array(*[F.lit(at) for at, _, _ in arrays]), found, lambda at, p: F.struct(at.alias("config"), p.alias("probability")))
+    return F.concat(pairs, F.array(*alone)) if alone else pairs
+
+
 def _measured(scored: DataFrame) -> dict[int, dict]:
     """Metrics of every configuration from (config, sens, y, prediction, probability)."""
     out: dict = {}
@@ -180,10 +202,10 @@ def _run_dataset(spark, df, spec: DatasetSpec, tasks: list, configs: list[dict],
             model, mean, _ = fitted[cells[i, c["strategy"]], c["model"]]
             missing = [f for f in model.features if f not in matrix.columns]
             matrix = matrix.withColumns({f: F.lit(0.0) for f in missing}) if missing else matrix
-            chances.append((at, model.members[0][0].probability()))
+            chances.append((at, model.members[0][0], list(model.features)))
             records[at]["CV Mean Accuracy"] = mean if cv_folds else None
         if chances:
-            wide = matrix.select(F.col(sens).alias("sens"), F.col(spec.target).alias("y"), F.array(*[F.struct(F.lit(at).alias("config"), p.alias("probability")) for at, p in chances]).alias("all"))
+            wide = matrix.select(F.col(sens).alias("sens"), F.col(spec.target).alias("y"), _chances(chances).alias("all"))
             scored.append(wide.select("sens", "y", F.explode("all").alias("one")).select("one.config", "sens", "y", "one.probability", (F.col("one.probability") > 0.5).cast("int").alias("prediction")))
     if scored:
         metrics |= _measured(cut_lineage(reduce(DataFrame.unionByName, scored)))

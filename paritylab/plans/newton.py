@@ -1,6 +1,6 @@
 """Lockstep Newton trainers (T1, T4, M4, E7): logistic regression, squared-hinge linear SVM, sigmoid calibration.
 
-All models of all cells of a fleet take their steps together. A pass sums loss, gradient and Hessian of every model
+All models of all cells of a fleet take their steps together, or, where a cell's rows stand in one partition, all steps of a cell are taken there. A pass sums loss, gradient and Hessian of every model
 that is still open: (d + 1) squared numbers each. The driver solves the small systems; a step that does not lower the loss enough is
 halved in the next pass. A model leaves when its Newton decrement is negligible.
 
@@ -13,15 +13,16 @@ has not seen, with targets (n1 + 1) / (n1 + 2) and 1 / (n0 + 2).
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paritylab.plans.fleet import INNER, Cell, Fleet, add, fold_accuracy, summed
+from paritylab.plans.fleet import INNER, Cell, Fleet, add, columns_of, fold_accuracy, packed, scaled, summed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -91,8 +92,43 @@ class Path:
 
 def minimise(fleet: Fleet, models: dict[int, list[int]], size: Callable[[int], int], names: list[str], terms: Callable, penalty: Callable, c: float) -> dict[int, dict[int, np.ndarray]]:
     """Coefficients of each cell's models. ``terms(cell, columns, models, coefficients)`` gives (x, loss, slope, bend); ``penalty(p)`` is 1 where
-    a coefficient is penalised."""
+    a coefficient is penalised. Where every cell stands whole in one partition, its task takes all its steps, without a pass for each."""
     paths = {(cell, m): Path(np.zeros(size(cell))) for cell, own in models.items() for m in own}
+    if fleet.whole:
+        _descend_in_place(fleet, models, paths, names, terms, penalty, c)
+    else:
+        _descend(models, paths, lambda local: summed(fleet, names, local), terms, penalty, c)
+    return {cell: {m: paths[cell, m].trial for m in own} for cell, own in models.items()}
+
+
+def _descend_in_place(fleet: Fleet, models: dict[int, list[int]], paths: dict[tuple, Path], names: list[str], terms: Callable, penalty: Callable, c: float) -> None:
+    key = {cm: i for i, cm in enumerate(paths)}
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            for cell, columns in columns_of(b):
+                held.setdefault(cell, []).append(columns)
+        for cell, some in held.items():
+            own = {(cell, m): paths[cell, m] for m in models.get(cell, [])}
+
+            def total(local, some=some):
+                sums: dict = {}
+                for columns in some:
+                    local(sums, cell, columns)
+                return sums
+
+            _descend({cell: models.get(cell, [])}, own, total, terms, penalty, c)
+            yield from packed({key[cm]: path.trial for cm, path in own.items()})
+
+    found = {r["key"]: np.frombuffer(r["data"], np.float64) for r in fleet.rows.select("cell", *names).mapInArrow(run, "key bigint, data binary").collect()}
+    for cm, i in key.items():
+        if i in found:
+            paths[cm].trial = found[i]
+
+
+def _descend(models: dict[int, list[int]], paths: dict[tuple, Path], total: Callable, terms: Callable, penalty: Callable, c: float) -> None:
+    """Newton's steps until every model is done; ``total`` adds up a cell's sums over all of its rows."""
     for _ in range(PASSES):
         still = {cell: [m for m in own if not paths[cell, m].done] for cell, own in models.items()}
         sent = {cell: (own, np.stack([paths[cell, m].trial for m in own])) for cell, own in still.items() if own}
@@ -103,7 +139,7 @@ def minimise(fleet: Fleet, models: dict[int, list[int]], size: Callable[[int], i
             if cell in sent:
                 add(sums, cell, weighted_sums(*terms(cell, columns, *sent[cell])).ravel())
 
-        for cell, data in summed(fleet, names, local).items():
+        for cell, data in total(local).items():
             own, trial = sent[cell]
             p = trial.shape[1]
             weight = penalty(p)
@@ -114,7 +150,6 @@ def minimise(fleet: Fleet, models: dict[int, list[int]], size: Callable[[int], i
             for m in own[0]:
                 if paths[cell, m].point is None:
                     paths[cell, m].done = True
-    return {cell: {m: paths[cell, m].trial for m in own} for cell, own in models.items()}
 
 
 def _free_intercept(p: int) -> np.ndarray:
@@ -142,6 +177,15 @@ class Linear:
         return _sum(out) / F.lit(float(len(out)))
 
 
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """P(1) of rows of raw features."""
+        own, out = with_one(scaled(x, self.cell.mean, self.cell.spread)), 0.0
+        for w, sigmoid in self.members:
+            a, b = (1.0, 0.0) if sigmoid is None else map(float, sigmoid)
+            out = out + 1.0 / (1.0 + np.exp(-(a * (own @ w) + b)))
+        return out / len(self.members)
+
+
 def _sum(terms: list[Column]) -> Column:
     """A balanced sum, so that many terms make no deep expression."""
     if not terms:

@@ -188,8 +188,9 @@ def best_splits(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     curvature and rows of the left side, and those of the node; feature -1: none."""
     gl, hl, nl = (np.cumsum(v, 2)[:, :, :-1] for v in (g, h, n))
     gt, ht, nt = (v[:, :1].sum(2)[:, :, None] for v in (g, h, n))
-    gain = gl * gl / (hl + L2) + (gt - gl) ** 2 / (ht - hl + L2) - gt * gt / (ht + L2)
-    ok = (nl >= BOOST_LEAF) & (nt - nl >= BOOST_LEAF) & (hl >= BOOST_CURVE) & (ht - hl >= BOOST_CURVE)
+    gr, hr = gt - gl, ht - hl
+    gain = gl * gl / (hl + L2) + gr * gr / (hr + L2) - gt * gt / (ht + L2)
+    ok = (nl >= BOOST_LEAF) & (nl <= nt - BOOST_LEAF) & (hl >= BOOST_CURVE) & (hr >= BOOST_CURVE)
     gain = np.where(ok, np.round(gain, 9), -1.0)  # sums differ in their last digits from run to run
     flat, i = gain.reshape(len(gain), -1), np.arange(len(gain))
     f, b = np.divmod(flat.argmax(1), gain.shape[2])
@@ -208,6 +209,37 @@ def node_histograms(bins: np.ndarray, node: np.ndarray, nodes: int, weights: lis
     return out
 
 
+def paired_histograms(bins: np.ndarray, node: np.ndarray, nodes: int, pair: np.ndarray, width: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the real and the imaginary parts of ``pair``, taken in one go, and rows (``counts``, if known) by (node, feature, bin)."""
+    out, start = np.empty((3, nodes, bins.shape[1], width)), node * np.int64(width)
+    for j in range(bins.shape[1]):
+        at, sums = start + bins[:, j], np.zeros(nodes * width, np.complex128)
+        np.add.at(sums, at, pair)
+        out[0, :, j], out[1, :, j] = (v.reshape(nodes, width) for v in (sums.real, sums.imag))
+        out[2, :, j] = np.bincount(at, None, nodes * width).reshape(nodes, width) if counts is None else counts[:, j]
+    return out
+
+
+def level_histograms(bins: np.ndarray, pair: np.ndarray, counts: np.ndarray, tree: Tree, nodes: list[int], level: int, above: dict[int, np.ndarray],
+                     width: int) -> dict[int, np.ndarray]:
+    """Histograms (gradient, curvature, rows by feature and bin) of the ``nodes`` of one level. Of two siblings only the rows of the one with
+    fewer are added up; the other is what remains of their parent, which ``above`` has. ``pair`` has a row's gradient and, as its imaginary
+    part, its curvature; ``counts`` are the rows of the root."""
+    if level == 0:
+        return {0: paired_histograms(bins, np.zeros(len(bins), np.int64), 1, pair, width, counts)[:, 0]}
+    at, first = places(tree.feature, tree.bin, bins, level), 2 ** level - 1
+    sizes = np.bincount(at, minlength=2 ** level)
+    other = {p: p + 1 if p % 2 else p - 1 for p in nodes}
+    some = sorted({min(pair, key=lambda p: (sizes[p - first], p)) for pair in other.items()})
+    number = np.full(2 ** level, len(some), np.int64)
+    number[np.array(some) - first] = np.arange(len(some))
+    node = number[at]
+    use = np.flatnonzero(node < len(some))
+    sums = paired_histograms(np.take(bins.T, use, 1).T, node[use], len(some), pair[use], width)
+    found = {p: sums[:, i] for i, p in enumerate(some)}
+    return {p: found[p] if p in found else above[(p - 1) // 2] - found[other[p]] for p in nodes}
+
+
 #: Base score, and the features, bins and values of some trees (trees x nodes).
 Packed = tuple[float, np.ndarray, np.ndarray, np.ndarray]
 
@@ -248,17 +280,24 @@ class Boosted:
     def chance(self, bins: np.ndarray) -> np.ndarray:
         return expit(self.raw(bins))
 
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        return raw_chances(self, x)
+
     def probability(self) -> Column:
         return arrow_probability(self)
 
 
+def raw_chances(model, x: np.ndarray) -> np.ndarray:
+    """P(1) of a tree model for rows of raw features."""
+    return model.chance(binned(scaled(x, model.cell.mean, model.cell.spread), model.edges))
+
+
 def arrow_probability(model) -> Column:
     """P(1) of a tree model as an Arrow-batched function of the raw features."""
-    cell, edges, chance = model.cell, model.edges, model.chance
+    cell = model.cell
 
     def score(columns: pd.DataFrame) -> pd.Series:
-        x = columns.to_numpy(np.float64, na_value=np.nan)[:, :len(cell.features)]
-        return pd.Series(chance(binned(scaled(x, cell.mean, cell.spread), edges)))
+        return pd.Series(raw_chances(model, columns.to_numpy(np.float64, na_value=np.nan)[:, :len(cell.features)]))
 
     fields = [F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(cell.features)]
     return F.pandas_udf(score, "double")(F.struct(*fields, F.lit(0.0).alias("none")))
@@ -398,16 +437,19 @@ def _grow_in_place(fleet: Fleet, growth: Growth) -> None:
         b = own.models[cm]
         (y, bins), (y_out, bins_out) = ((c["y"][use], np.compress(use, c["bins"].T, 1).T) for use in (inside & ~c["out"], inside & c["out"]))
         raw, raw_out = np.full(len(y), b.base), np.full(len(y_out), b.base)
+        counts, hist = node_histograms(bins, np.zeros(len(y), np.int64), 1, [None], width)[0], {}
         while own.still:
             p = expit(raw)
-            weights = [p - y, p * (1 - p), None]
+            pair = np.empty(len(y), np.complex128)
+            pair.real, pair.imag = p - y, p * (1 - p)
             loss = np.array([(np.logaddexp(0.0, raw_out) - y_out * raw_out).sum(), len(y_out)])
             for level in range(BOOST_DEPTH):
                 nodes = own.open(level).get(cm)
                 if not nodes:
                     break
-                hist = node_histograms(bins, _node_numbers(own.trees[cm], nodes, bins, level), len(nodes), weights, width)
-                own.take(level, {0: _boost_finish({0: (len(nodes), bins.shape[1])}, width)(0, np.concatenate([loss, hist.ravel()]))})
+                hist = level_histograms(bins, pair, counts, own.trees[cm], nodes, level, hist, width)
+                sums = np.stack([hist[q] for q in nodes], 1)
+                own.take(level, {0: _boost_finish({0: (len(nodes), bins.shape[1])}, width)(0, np.concatenate([loss, sums.ravel()]))})
             own.end_round()
             if own.still:
                 last = b.packed(len(b.trees) - 1)
@@ -496,7 +538,11 @@ DRAWS = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40
 def bag(tie: np.ndarray, model: int, trees: int, seed: int = SEED, first: int = 0) -> np.ndarray:
     """How often each row is drawn for each tree from ``first`` on (rows x trees), from the row key."""
     salt = mixed(np.arange(first, first + trees, dtype=np.uint64) + np.uint64((model + 1) << 20) + np.uint64(seed << 40))
-    return np.searchsorted(DRAWS, unit(tie.astype(np.uint64)[:, None] ^ salt[None, :]), side="right").astype(np.float64)
+    chance = unit(tie.astype(np.uint64)[:, None] ^ salt[None, :])
+    out = np.zeros(chance.shape, np.uint8)
+    for most in DRAWS:  # as a binary search would, without its branches
+        out += chance >= most
+    return out.astype(np.float64)
 
 
 def chosen_features(model: int, tree: np.ndarray, node: np.ndarray, d: int, seed: int = SEED) -> np.ndarray:
@@ -539,6 +585,9 @@ class Forest:
             out += bottom_values(f, v, FOREST_DEPTH)[places(f, c, bins, FOREST_DEPTH)]
         return out / len(self.feature)
 
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        return raw_chances(self, x)
+
     def probability(self) -> Column:
         return arrow_probability(self)
 
@@ -609,15 +658,29 @@ def _forest_in_place(fleet: Fleet, grown: dict, key: dict, width: int, trees: in
         y, tie, bins = c["y"][inside], c["tie"][inside], np.compress(inside, c["bins"].T, 1).T
         for tree in range(trees):
             draws = bag(tie, m, 1, seed, tree)[:, 0]
-            use = draws > 0
-            w, own = draws[use], np.compress(use, bins.T, 1).T
-            t, p, w1 = np.array([tree]), np.zeros(1, np.int64), w * y[use]
+            use = np.flatnonzero(draws > 0)
+            w, flat = draws[use], np.take(bins.T, use, 1).ravel()
+            n, t, p, counts = len(w), np.array([tree]), np.zeros(1, np.int64), Counts(w, w * y[use])
+            row, node = np.arange(n), np.zeros(n, np.int64)  # rows that stand at a node of ``p``, and which
             for level in range(FOREST_DEPTH):
-                if not len(p) or not len(w):
+                if not len(p) or not n:
                     break
                 features = chosen_features(m, t, p, bins.shape[1], seed)
-                hist = _tree_histograms(own, w, w1, g.feature[tree], g.bin[tree], level, p, features, width)
+                hist = np.empty((3, len(p), features.shape[1], width))
+                for k in range(features.shape[1]):
+                    hist[:, :, k] = counts.by(node * width + flat[(features[:, k] * n)[node] + row], row, len(p) * width).reshape(3, len(p), width)
+                parents = p
                 t, p = _split(g, level, t, p, _forest_finish({0: (features, width)})(0, hist.ravel()))
+                if len(p):
+                    first = 2 ** (level + 1) - 1
+                    number = np.full(2 ** (level + 1), -1, np.int64)
+                    number[p - first] = np.arange(len(p))
+                    f, cut = g.feature[tree, parents].astype(np.int64), g.bin[tree, parents]
+                    right = flat[(np.maximum(f, 0) * n)[node] + row] > cut[node]
+                    node = number[(2 * parents + 1 - first)[node] + right]
+                    stay = np.flatnonzero(node >= 0)
+                    if len(stay) < len(node):
+                        row, node = row[stay], node[stay]
         return np.stack([v[:] for v in (g.feature, g.bin, g.value)]).astype(np.float64).ravel()
 
     names = {i: cm for cm, i in key.items()}
@@ -627,6 +690,32 @@ def _forest_in_place(fleet: Fleet, grown: dict, key: dict, width: int, trees: in
         g.feature, g.bin, g.value = feature.astype(np.int16), cut.astype(np.uint8), value
 
 
+class Counts:
+    """Adds up rows, draws and draws of class 1. They are whole numbers, so they are added as one where all three fit into the digits of
+    a double, else as two or three."""
+
+    def __init__(self, w: np.ndarray, w1: np.ndarray):
+        self.n, self.all = len(w) + 1, int(w.sum()) + 1
+        self.w, self.w1 = w, w1
+        self.one = self.n * self.all * (int(w1.sum()) + 1) <= 1 << 53
+        self.two = self.n * self.all <= 1 << 53
+        if self.one:
+            self.w = 1 + self.n * (w + self.all * w1)
+        elif self.two:
+            self.w = 1 + self.n * w
+
+    def by(self, at: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+        """The three sums of the rows ``row`` by ``at``."""
+        sums = np.bincount(at, self.w[row], size)
+        if not self.two:
+            return np.stack([np.bincount(at, None, size), sums, np.bincount(at, self.w1[row], size)])
+        rest, n = np.divmod(sums.astype(np.int64), self.n)
+        if not self.one:
+            return np.stack([n, rest, np.bincount(at, self.w1[row], size)])
+        w1, w = np.divmod(rest, self.all)
+        return np.stack([n, w, w1])
+
+
 def _tree_histograms(bins: np.ndarray, w: np.ndarray, w1: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int, nodes: np.ndarray, tried: np.ndarray, width: int) -> np.ndarray:
     """Rows, draws and draws of class 1 by (node, feature tried, bin) of one tree's ``nodes``, which are of one level."""
     number = np.full(2 ** level, -1, np.int64)

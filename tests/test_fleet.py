@@ -276,3 +276,40 @@ def test_boosting_of_grid_sized_cells_needs_no_pass_a_level(spark, monkeypatch):
     model, (mean, _) = trees.fit_boosting(f, rounds=3, patience=2)[0]
     assert len(calls) == 1 and len(model.trees) == 3 and mean > 0.8
     f.release()
+
+
+def test_cells_that_stand_in_one_partition_take_newtons_steps_there(fleet, customers, monkeypatch):
+    calls, real = [], newton.summed
+    monkeypatch.setattr(newton, "summed", lambda *a, **k: calls.append(1) or real(*a, **k))
+    whole = fl.build([(0, customers, FEATS), (3, customers.where("row_id % 2 = 0"), FEATS[:2])], "y", folds=3)
+    assert whole.whole and not fleet.whole
+    for fit in (newton.logistic_coefficients, newton.svm_weights):
+        here, n = fit(whole), len(calls)
+        there = fit(fleet)
+        assert n == 0 and len(calls) > 3
+        assert all(np.allclose(here[cell][m], there[cell][m], atol=1e-8) for cell in (0, 3) for m in there[cell])
+        calls.clear()
+    whole.release()
+
+
+def test_level_histograms_equal_sums_over_all_rows():
+    rng, width = np.random.default_rng(0), 16
+    bins = np.asfortranarray(rng.integers(0, width, (500, 3)).astype(np.uint8))
+    slope, bend = rng.normal(size=500), rng.random(500)
+    pair, tree, found = slope + 1j * bend, trees.Tree.of(4), {}
+    counts = trees.node_histograms(bins, np.zeros(500, np.int64), 1, [None], width)[0]
+    tree.feature[:7], tree.bin[:7] = [0, 1, -1, 2, 0, -1, -1], [9, 5, 0, 3, 11, 0, 0]  # node 2 is a leaf
+    for level, nodes in enumerate(([0], [1, 2], [3, 4], [7, 8, 10])):
+        found = trees.level_histograms(bins, pair, counts, tree, nodes, level, found, width)
+        want = trees.node_histograms(bins, trees._node_numbers(tree, nodes, bins, level), len(nodes), [slope, bend, None], width)
+        assert list(found) == nodes and np.allclose(np.stack([found[p] for p in nodes], 1), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("more", [0, 2 ** 24, 2 ** 50])
+def test_counts_are_exact_as_one_two_or_three_sums(more):
+    w = np.append(np.arange(1.0, 50.0), more + 1.0)
+    w1, at, row = w * (np.arange(50) % 3 == 1), np.arange(50) % 7, np.arange(5, 50)
+    counts = trees.Counts(w, w1)
+    assert (counts.one, counts.two) == (more == 0, more < 2 ** 50)
+    got = counts.by(at[row], row, 9)
+    assert np.array_equal(got, np.stack([np.bincount(at[row], v, 9) for v in (None, w[row], w1[row])]))

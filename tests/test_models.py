@@ -119,3 +119,21 @@ def test_grid_mixes_lockstep_and_registered_models(spark):
         assert all(0.4 < r["Accuracy"] <= 1 and 0.4 < r["CV Mean Accuracy"] <= 1 and r["Disparate Impact"] is not None for r in rows)
     finally:
         md._MODELS.pop("bayes")
+
+
+def test_grid_scores_all_models_of_a_task_in_one_function(spark):
+    from paritylab.plans import grid as gd
+
+    names = list(gd.GRID_MODELS)
+    d = load_view(spark, SMALL, "audit_customers").select("row_id", "y", *FEATS).fillna(0.0, subset=FEATS).persist()
+    tables = [(0, d, FEATS), (1, d.where("row_id % 2 = 0"), [FEATS[2], FEATS[0]])]
+    fitted = md.fit_fleet(tables, "y", names, folds=0, rounds=3, patience=2)
+    own = [(10 * cell + i, fitted[cell, n][0].members[0][0], features) for cell, _, features in tables for i, n in enumerate(names)]
+    scores = d.select("row_id", F.explode(gd._chances(own)).alias("one")).select("row_id", "one.*")
+    got = {(r["row_id"], r["config"]): r["probability"] for r in scores.collect()}
+    want = d.select("row_id", *[m.probability().alias(str(at)) for at, m, _ in own]).collect()
+    assert len(got) == len(want) * len(own)
+    assert max(abs(got[r["row_id"], at] - r[str(at)]) for r in want for at, _, _ in own) < 1e-12
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "exp(" not in plan.lower()
+    d.unpersist()
