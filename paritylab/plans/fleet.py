@@ -4,8 +4,8 @@ A cell is a training table (of a grid, or the only one); its models are the one
 cross-validation fold left out. The rows of all cells stand in one checkpointed table; an iteration is one pass in
 which every task adds up what all models that are still open need from its rows (gradients, Hessians, histograms). The
 sums of one key meet in one task; for many partitions they meet in two steps, and where every cell stands whole in one partition they
-need not be shuffled at all. Trees of models of a million rows at most grow in one task a model, without passes. Only sums of bounded size, or the splits
-found from them, reach the driver: nothing there grows with the rows.
+need not be shuffled at all. Trees of models of two million rows at most grow in one task a model, without passes. Only sums of bounded size, or the splits
+found from them, reach the driver: nothing there grows with the rows. The rows stand in blocks of an Arrow batch at most, packed column by column.
 
 Rows are dealt into folds by the distinct keys, so copies of a row share a fold. Without a key, or with a null one, the row's content
 is its key. Rows without a label are left out. Features are z-scored per cell (a constant one is 0) and rows brought to length 1.
@@ -14,9 +14,10 @@ is its key. Rows without a label are left out. Features are z-scored per cell (a
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Folds of the calibration inside a training table.
 INNER = 5
 #: Rows that a task adds up at least, partitions above which sums meet in two steps, and the slices of a cell up to which one
-#: task may hold a model's binned rows (a million rows at most).
-TASK_ROWS, TWO_STEPS, UNIT_SLICES = 200_000, 64, 5
-FORMS = {"x": np.float64, "bins": np.uint8, "f": np.float64}
-#: The columns of blocks: rows of one cell, packed column by column (bins feature by feature, scores model by model).
-BLOCK_FORMS = {"y": np.float64, "bins": np.uint8, "fold": np.int32, "tie": np.int64, "out": np.bool_, "f": np.float64}
+#: task may hold a model's binned rows (two million rows at most).
+TASK_ROWS, TWO_STEPS, UNIT_SLICES = 200_000, 64, 10
+#: The columns of blocks: rows of one cell, packed column by column (features and bins feature by feature, scores model by model).
+BLOCK_FORMS = {"y": np.float64, "x": np.float64, "bins": np.uint8, "fold": np.int32, "inner": np.int32, "tie": np.int64, "out": np.bool_, "f": np.float64}
+MATRICES = ("x", "bins", "f")
 
 
 @dataclass
@@ -55,7 +56,7 @@ class Cell:
 
 @dataclass
 class Fleet:
-    rows: DataFrame
+    blocks: DataFrame
     cells: dict[int, Cell]
     folds: int
     parts: int
@@ -69,8 +70,20 @@ class Fleet:
         good = all(c.rows(keep=lambda f, i: f == m) and all(c.rows(y, lambda f, i: f != m) for y in (0.0, 1.0)) for m in range(self.folds))
         return [*(range(self.folds) if good else []), self.folds]
 
+    @property
+    def rows(self) -> DataFrame:
+        """The rows one by one, x packed."""
+        def run(batches) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for cell, c in columns_of(b):
+                    x = pa.array([row.tobytes() for row in np.ascontiguousarray(c["x"])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), cell, np.int32)), pa.array(c["y"]), x, *[pa.array(c[k]) for k in ("fold", "inner", "tie")]],
+                                                     names=["cell", "y", "x", "fold", "inner", "tie"])
+
+        return self.blocks.mapInArrow(run, "cell int, y double, x binary, fold int, inner int, tie bigint")
+
     def release(self) -> None:
-        self.rows.unpersist()
+        self.blocks.unpersist()
 
 
 def _training_rows(cell: int, df: DataFrame, features: Sequence[str], target: str, key: str) -> DataFrame:
@@ -100,7 +113,7 @@ def build(tables: Sequence[tuple[int, DataFrame, Sequence[str]]], target: str, k
         cells[r["cell"]].counts[r["fold"], r["inner"], r["y"]] = r["n"]
     slices = {i: max(1, -(-sizes.get(i, 0) // task_rows)) for i in cells}
     placed, parts = deal(dealt, slices)
-    return Fleet(_scaled(placed, {i: (c.mean, c.spread) for i, c in cells.items()}).persist(), cells, folds, parts, max(slices.values()) == 1,
+    return Fleet(_blocked(placed, {i: (c.mean, c.spread) for i, c in cells.items()}).persist(), cells, folds, parts, max(slices.values()) == 1,
                  max(slices.values()) <= UNIT_SLICES)
 
 
@@ -121,45 +134,42 @@ def scaled(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return z / np.where(size > 0, size, 1.0)
 
 
-def _scaled(placed: DataFrame, scales: dict) -> DataFrame:
+def block(cell: int, n: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row with the packed columns of ``n`` rows."""
+    data = [pa.array([np.ascontiguousarray(v.T if v.ndim == 2 else v).tobytes()], pa.binary()) for v in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([n], pa.int32()), *data], names=["cell", "n", *columns])
+
+
+def _blocked(placed: DataFrame, scales: dict) -> DataFrame:
+    """The rows, where they stand, with scaled features, as blocks: a run of one cell in an Arrow batch each."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cells = b.column("cell").to_numpy(zero_copy_only=False)
-            out: list = [b""] * b.num_rows
-            for cell in np.unique(cells).tolist():
-                at = np.flatnonzero(cells == cell)
-                x = np.array(b.column("x").take(pa.array(at)).to_pylist(), np.float64).reshape(len(at), -1)
-                for i, row in zip(at.tolist(), scaled(x, *scales[cell])):
-                    out[i] = row.tobytes()
-            cols = [b.column(c) for c in ("cell", "y")] + [pa.array(out, pa.binary())] + [b.column(c) for c in ("fold", "inner", "tie")]
-            yield pa.RecordBatch.from_arrays(cols, names=["cell", "y", "x", "fold", "inner", "tie"])
+            edges = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1, append=cells[-1:] + 1)) if len(cells) else []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                cell, part = int(cells[lo]), b.slice(lo, hi - lo)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, -1)
+                own = {c: part.column(c).to_numpy(zero_copy_only=False).astype(BLOCK_FORMS[c]) for c in ("y", "fold", "inner", "tie")}
+                yield block(cell, hi - lo, {"y": own.pop("y"), "x": scaled(x, *scales[cell]), **own})
 
-    return placed.mapInArrow(run, "cell int, y double, x binary, fold int, inner int, tie bigint")
+    return placed.mapInArrow(run, "cell int, n int, y binary, x binary, fold binary, inner binary, tie binary")
 
 
 def columns_of(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """(cell, arrays of its rows) for each run of a cell, or block; packed columns are matrices."""
-    if "n" in batch.schema.names:
-        yield from _blocks(batch)
-        return
-    cells = batch.column("cell").to_numpy(zero_copy_only=False)
-    edges = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1, append=cells[-1:] + 1)) if len(cells) else []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        out = {}
-        for name in batch.schema.names:
-            column = batch.column(name).slice(lo, hi - lo)
-            if name in FORMS:
-                out[name] = np.frombuffer(b"".join(column.to_pylist()), FORMS[name]).reshape(hi - lo, -1)
-            elif name != "cell":
-                out[name] = column.to_numpy(zero_copy_only=False)
-        yield int(cells[lo]), out
-
-
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(cell, arrays of its rows) for each block."""
     sizes, names = batch.column("n").to_pylist(), [c for c in batch.schema.names if c not in ("cell", "n")]
     for i, (cell, n) in enumerate(zip(batch.column("cell").to_pylist(), sizes)):
         out = {c: np.frombuffer(batch.column(c)[i].as_buffer(), BLOCK_FORMS[c]) for c in names}
-        yield cell, {c: v.reshape(-1, n).T if c in FORMS else v for c, v in out.items()}
+        yield cell, {c: v.reshape(-1, n).T if c in MATRICES else v for c, v in out.items()}
+
+
+def joined(some: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The columns of several blocks as one."""
+    return {c: np.concatenate([x[c].T for x in some], 1).T if c in MATRICES else np.concatenate([x[c] for x in some]) for c in some[0]}
+
+
+def taken(columns: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: np.take(v.T, rows, 1).T if c in MATRICES else v[rows] for c, v in columns.items()}
 
 
 def add(sums: dict[int, np.ndarray], key: int, values: np.ndarray) -> None:
@@ -169,18 +179,22 @@ def add(sums: dict[int, np.ndarray], key: int, values: np.ndarray) -> None:
         sums[key] = values.astype(np.float64)
 
 
-def summed(fleet: Fleet, names: Sequence[str], local: Callable, finish: Callable | None = None, rows: DataFrame | None = None) -> dict[int, np.ndarray]:
-    """One pass over the fleet's rows (or ``rows``, which stand alike): ``local(sums, cell, columns)`` adds arrays under keys that are
-    those of one cell, the arrays of a key are added, and ``finish(key, array)`` of each comes back."""
-    rows, parts = rows if rows is not None else fleet.rows, fleet.parts
+def summed(fleet: Fleet, names: Sequence[str], local: Callable, finish: Callable | None = None, rows: DataFrame | None = None,
+           together: bool = False) -> dict[int, np.ndarray]:
+    """One pass over the fleet's blocks (or ``rows``, which stand alike): ``local(sums, cell, columns)`` adds arrays under keys that are
+    those of one cell, the arrays of a key are added, and ``finish(key, array)`` of each comes back. ``together``: a task's rows of a cell
+    (TASK_ROWS or so) come as one."""
+    rows, parts = rows if rows is not None else fleet.blocks, fleet.parts
 
     fleet_whole = fleet.whole  # not the fleet itself, which does not travel
 
     def collect(batches) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for cell, columns in columns_of(b):
-                local(sums, cell, columns)
+        found: Iterable = (block for b in batches for block in columns_of(b))
+        if together:
+            found = ((cell, joined([c for _, c in some])) for cell, some in groupby(found, lambda block: block[0]))
+        for cell, columns in found:
+            local(sums, cell, columns)
         if fleet_whole and finish is not None:
             sums = {k: finish(k, v) for k, v in sums.items()}
         yield from packed(sums)
@@ -197,7 +211,7 @@ def summed(fleet: Fleet, names: Sequence[str], local: Callable, finish: Callable
             done = {k: finish(k, np.frombuffer(v.as_buffer(), np.float64)) for k, v in zip(b.column("key").to_pylist(), b.column("data"))}
             yield from packed(done)
 
-    out = rows.select("cell", *names).mapInArrow(collect, "key bigint, data binary")
+    out = rows.select("cell", "n", *names).mapInArrow(collect, "key bigint, data binary")
     if not fleet_whole:
         if parts > TWO_STEPS:
             step = int(parts ** 0.5)
@@ -214,17 +228,17 @@ def packed(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
 def fold_accuracy(fleet: Fleet, names: Sequence[str], predict: Callable) -> dict[int, tuple[float, float]]:
     """Mean and population spread of the accuracy on the folds left out; (0, 0) for a cell without cross-validation.
 
-    ``predict(cell, columns)`` gives the classes (rows x folds) of the models that leave a fold out."""
+    ``predict(cell, columns, fold)`` gives the classes of the fold's rows by the model that leaves it out."""
     use = {c for c in fleet.cells if len(fleet.models(c)) > 1}
     folds = fleet.folds
 
     def local(sums, cell, c):
         if cell in use:
-            own = c["fold"][:, None] == np.arange(folds)
-            right = (predict(cell, c) == c["y"][:, None]) & own
-            add(sums, cell, np.stack([right.sum(0), own.sum(0)]).ravel())
+            own = [np.flatnonzero(c["fold"] == m) for m in range(folds)]
+            right = [(predict(cell, some := taken(c, at), m) == some["y"]).sum() if len(at) else 0 for m, at in enumerate(own)]
+            add(sums, cell, np.array([*right, *map(len, own)]))
 
-    got = summed(fleet, [*dict.fromkeys(["y", "fold", *names])], local) if use else {}
+    got = summed(fleet, [*dict.fromkeys(["y", "fold", *names])], local, together=True) if use else {}
     out = {c: (0.0, 0.0) for c in fleet.cells}
     for cell, data in got.items():
         share = data[:folds] / data[folds:]

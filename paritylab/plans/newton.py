@@ -29,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LOGISTIC_C, SVM_C = 1.0, 0.8
 #: Passes at most, and the Newton decrement (relative to the loss) at which a model is done.
 PASSES, NEGLIGIBLE = 200, 1e-15
+#: Rows whose products of features are held at a time.
+OUTER_ROWS = 1024
 
 
 def with_one(x: np.ndarray) -> np.ndarray:
@@ -39,10 +41,15 @@ def expit(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
+def softplus(z: np.ndarray) -> np.ndarray:
+    """log(1 + exp(z)) in vectorised steps."""
+    return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
+
+
 def logistic_terms(z: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Loss, its derivative and curvature in the margin z, for labels (or targets) y."""
     p = expit(z)
-    return (np.logaddexp(0.0, z) - y * z) * mask, (p - y) * mask, p * (1.0 - p) * mask
+    return (softplus(z) - y * z) * mask, (p - y) * mask, p * (1.0 - p) * mask
 
 
 def hinge_terms(z: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,12 +60,15 @@ def hinge_terms(z: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndar
 
 def weighted_sums(x: np.ndarray, loss: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
     """A row for each model: loss, gradient, Hessian. ``x`` is rows x d, or rows x models x d."""
+    d = x.shape[-1]
     if x.ndim == 2:
-        gradient = slope.T @ x
-        hessian = np.stack([x.T @ (x * bend[:, m:m + 1]) for m in range(bend.shape[1])])
+        gradient, hessian = slope.T @ x, np.zeros((bend.shape[1], d * d))
+        for lo in range(0, len(x), OUTER_ROWS):  # a row's products are made once for all models
+            some = np.ascontiguousarray(x[lo:lo + OUTER_ROWS])
+            hessian += bend[lo:lo + OUTER_ROWS].T @ (some[:, :, None] * some[:, None, :]).reshape(len(some), d * d)
     else:
-        gradient = np.einsum("nm,nmd->md", slope, x)
-        hessian = np.einsum("nm,nmd,nme->mde", bend, x, x)
+        gradient = np.stack([(slope * x[:, :, a]).sum(0) for a in range(d)], 1)
+        hessian = np.stack([(bend * x[:, :, a] * x[:, :, b]).sum(0) for a in range(d) for b in range(d)], 1)
     return np.concatenate([loss.sum(0)[:, None], gradient, hessian.reshape(len(gradient), -1)], 1)
 
 
@@ -121,7 +131,7 @@ def _descend_in_place(fleet: Fleet, models: dict[int, list[int]], paths: dict[tu
             _descend({cell: models.get(cell, [])}, own, total, terms, penalty, c)
             yield from packed({key[cm]: path.trial for cm, path in own.items()})
 
-    found = {r["key"]: np.frombuffer(r["data"], np.float64) for r in fleet.rows.select("cell", *names).mapInArrow(run, "key bigint, data binary").collect()}
+    found = {r["key"]: np.frombuffer(r["data"], np.float64) for r in fleet.blocks.select("cell", "n", *names).mapInArrow(run, "key bigint, data binary").collect()}
     for cm, i in key.items():
         if i in found:
             paths[cm].trial = found[i]
@@ -237,7 +247,7 @@ def fit_logistic(fleet: Fleet, c: float = LOGISTIC_C) -> dict[int, tuple[Linear,
     """For every cell the model on all rows, and mean and spread of the cross-validated accuracy."""
     found, folds = logistic_coefficients(fleet, c), fleet.folds
     held = {cell: np.stack([own[m] for m in range(folds)]) for cell, own in found.items() if len(own) > 1}
-    scores = fold_accuracy(fleet, ["x"], lambda cell, columns: with_one(columns["x"]) @ held[cell].T > 0) if held else {}
+    scores = fold_accuracy(fleet, ["x"], lambda cell, columns, m: with_one(columns["x"]) @ held[cell][m] > 0) if held else {}
     return {cell: (Linear(fleet.cells[cell], [(own[folds], None)]), scores.get(cell, (0.0, 0.0))) for cell, own in found.items()}
 
 
@@ -276,13 +286,10 @@ def fit_svm(fleet: Fleet, c: float = SVM_C) -> dict[int, tuple[Linear, tuple[flo
 
     sigmoids = minimise(fleet, models, lambda cell: 2, names, sigmoid_terms, np.zeros, 1.0)
 
-    def classes(cell, columns):
-        x, out = with_one(columns["x"]), []
-        for m in range(folds):
-            own = [m * INNER + j for j in range(INNER)]
-            ab = np.stack([sigmoids[cell][s] for s in own])
-            out.append(expit((x @ np.stack([weights[cell][s] for s in own]).T) * ab[:, 0] + ab[:, 1]).mean(1) > 0.5)
-        return np.stack(out, 1)
+    def classes(cell, columns, m):
+        own = [m * INNER + j for j in range(INNER)]
+        ab = np.stack([sigmoids[cell][s] for s in own])
+        return expit((with_one(columns["x"]) @ np.stack([weights[cell][s] for s in own]).T) * ab[:, 0] + ab[:, 1]).mean(1) > 0.5
 
     scores = fold_accuracy(fleet, ["x"], classes) if folds else {}
     return {cell: (Linear(fleet.cells[cell], [(weights[cell][s], sigmoids[cell][s]) for s in own[-INNER:]]), scores.get(cell, (0.0, 0.0))) for cell, own in models.items()}

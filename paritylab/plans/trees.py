@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritylab.plans.fleet import Cell, Fleet, add, columns_of, fold_accuracy, packed, scaled, summed
-from paritylab.plans.newton import expit
+from paritylab.plans.fleet import Cell, Fleet, add, block, columns_of, fold_accuracy, joined, packed, scaled, summed
+from paritylab.plans.newton import expit, softplus
 from paritylab.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,8 +36,10 @@ RATE, L2, BOOST_DEPTH, BOOST_LEAF, BOOST_CURVE = 0.05, 0.5, 4, 20, 1e-3
 KEEP = 8
 #: Forest, and the histogram numbers that a pass adds up at most (open nodes beyond wait for the next pass).
 TREES, FOREST_DEPTH, FOREST_SPLIT, FOREST_LEAF, FOREST_BINS, PASS_NUMBERS = 100, 8, 5, 2, 64, 12_000_000
-#: Rows times trees of a model up to which one task grows its forest.
-TASK_PATHS = 100_000_000
+#: Rows times trees of a model up to which one task grows its forest, and rows that it takes at a time.
+TASK_PATHS, FOREST_ROWS = 200_000_000, 1 << 16
+#: Rows that boosting in a task takes at a time: their columns stay in a core's cache.
+BOOST_ROWS = 1 << 14
 HELD_OUT_SALT, SEED = np.uint64(0x5851F42D4C957F2D), 42
 
 
@@ -62,11 +65,11 @@ def bin_edges(fleet: Fleet, most: int) -> dict[int, list[np.ndarray]]:
         for b in batches:
             for cell, c in columns_of(b):
                 n, d = c["x"].shape
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * d, cell, np.int32)), pa.array(np.tile(np.arange(d, dtype=np.int32), n)), pa.array(c["x"].ravel())],
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * d, cell, np.int32)), pa.array(np.repeat(np.arange(d, dtype=np.int32), n)), pa.array(c["x"].T.ravel())],
                                                  names=["cell", "i", "v"])
 
     share = [q / most for q in range(1, most)]
-    found = (fleet.rows.select("cell", "x").mapInArrow(unpack, "cell int, i int, v double").groupBy("cell", "i")
+    found = (fleet.blocks.select("cell", "n", "x").mapInArrow(unpack, "cell int, i int, v double").groupBy("cell", "i")
              .agg(F.percentile_approx("v", share, 20_000).alias("q"), F.max("v").alias("top")).collect())  # BINS numbers a feature
     out = {cell: [np.zeros(0)] * len(c.features) for cell, c in fleet.cells.items()}
     for r in found:
@@ -83,21 +86,14 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 BLOCK = "cell int, n int, y binary, bins binary, fold binary, tie binary, out binary"
 
 
-def block(cell: int, n: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row with the packed columns of ``n`` rows."""
-    data = [pa.array([np.ascontiguousarray(v.T if v.ndim == 2 else v).tobytes()], pa.binary()) for v in columns.values()]
-    return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([n], pa.int32()), *data], names=["cell", "n", *columns])
-
-
 def binned_rows(fleet: Fleet, edges: dict[int, list[np.ndarray]], share: float = 0.0) -> DataFrame:
-    """The fleet's rows, where they stand, with bins instead of features, as blocks of an Arrow batch at most; ``out`` marks the holdout."""
+    """The fleet's blocks, where they stand, with bins instead of features; ``out`` marks the holdout."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cell, c in columns_of(b):
-                yield block(cell, len(c["y"]), {"y": c["y"].astype(np.float64), "bins": binned(c["x"], edges[cell]), "fold": c["fold"].astype(np.int32),
-                                                "tie": c["tie"].astype(np.int64), "out": held_out(c["tie"], share)})
+                yield block(cell, len(c["y"]), {"y": c["y"], "bins": binned(c["x"], edges[cell]), "fold": c["fold"], "tie": c["tie"], "out": held_out(c["tie"], share)})
 
-    return fleet.rows.select("cell", "y", "x", "fold", "tie").mapInArrow(run, BLOCK)
+    return fleet.blocks.select("cell", "n", "y", "x", "fold", "tie").mapInArrow(run, BLOCK)
 
 
 def grown_by_units(fleet: Fleet, key: dict[tuple, int], names: list[str], grow: Callable) -> dict[int, np.ndarray]:
@@ -117,11 +113,10 @@ def grown_by_units(fleet: Fleet, key: dict[tuple, int], names: list[str], grow:
                 parts.setdefault(i, []).append(c)
         while parts:
             i, some = parts.popitem()
-            c = {name: np.concatenate([x[name].T for x in some], 1).T if some[0][name].ndim == 2 else np.concatenate([x[name] for x in some]) for name in names}
-            yield from packed({i: grow(*unit[i], c)})
+            yield from packed({i: grow(*unit[i], joined(some))})
 
     units = F.create_map(*[x for cell, found in own.items() for x in (F.lit(cell), F.array(*[F.lit(i) for i in found]))])
-    rows = fleet.rows.select("cell", "n", *names).withColumn("unit", F.explode(units[F.col("cell")]))
+    rows = fleet.blocks.select("cell", "n", *names).withColumn("unit", F.explode(units[F.col("cell")]))
     return {r["key"]: np.frombuffer(r["data"], np.float64) for r in rows.repartitionById(len(unit), F.col("unit").cast("int")).mapInArrow(run, "key bigint, data binary").collect()}
 
 
@@ -209,34 +204,39 @@ def node_histograms(bins: np.ndarray, node: np.ndarray, nodes: int, weights: lis
     return out
 
 
-def paired_histograms(bins: np.ndarray, node: np.ndarray, nodes: int, pair: np.ndarray, width: int, counts: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the real and the imaginary parts of ``pair``, taken in one go, and rows (``counts``, if known) by (node, feature, bin)."""
-    out, start = np.empty((3, nodes, bins.shape[1], width)), node * np.int64(width)
-    for j in range(bins.shape[1]):
-        at, sums = start + bins[:, j], np.zeros(nodes * width, np.complex128)
-        np.add.at(sums, at, pair)
-        out[0, :, j], out[1, :, j] = (v.reshape(nodes, width) for v in (sums.real, sums.imag))
-        out[2, :, j] = np.bincount(at, None, nodes * width).reshape(nodes, width) if counts is None else counts[:, j]
-    return out
-
-
 def level_histograms(bins: np.ndarray, pair: np.ndarray, counts: np.ndarray, tree: Tree, nodes: list[int], level: int, above: dict[int, np.ndarray],
                      width: int) -> dict[int, np.ndarray]:
     """Histograms (gradient, curvature, rows by feature and bin) of the ``nodes`` of one level. Of two siblings only the rows of the one with
-    fewer are added up; the other is what remains of their parent, which ``above`` has. ``pair`` has a row's gradient and, as its imaginary
-    part, its curvature; ``counts`` are the rows of the root."""
+    fewer are added up, BOOST_ROWS at a time; the other is what remains of their parent, which ``above`` has. ``pair`` has a row's gradient
+    and, as its imaginary part, its curvature; ``counts`` are the rows of the root."""
+    first, d = 2 ** level - 1, bins.shape[1]
+    other = {p: p + 1 if p % 2 else p - 1 for p in nodes} if level else {0: 0}
+
+    def size(p: int) -> float:
+        up = (p - 1) // 2
+        rows, cut = above[up][2, tree.feature[up]], int(tree.bin[up]) + 1
+        return (rows[:cut] if p % 2 else rows[cut:]).sum()
+
+    some = sorted({min(pair, key=lambda p: (size(p), p)) for pair in other.items()}) if level and d else list(other)
+    number = np.full(2 ** level, -1, np.int64)
+    number[np.array(some) - first] = np.arange(len(some)) * width
+    sums, rows = np.zeros((d, len(some) * width), np.complex128), np.zeros((d, len(some) * width))
+    for lo in range(0, len(bins), BOOST_ROWS):
+        part, own = bins[lo:lo + BOOST_ROWS], pair[lo:lo + BOOST_ROWS]
+        if level == 0:
+            for j in range(d):
+                np.add.at(sums[j], part[:, j].astype(np.int64), own)
+            continue
+        start = np.take(number, places(tree.feature, tree.bin, part, level))
+        use = np.flatnonzero(start >= 0)
+        own, at = np.take(own, use), np.take(part.T, use, 1) + np.take(start, use)
+        for j in range(d):
+            np.add.at(sums[j], at[j], own)
+            np.add.at(rows[j], at[j], 1.0)
     if level == 0:
-        return {0: paired_histograms(bins, np.zeros(len(bins), np.int64), 1, pair, width, counts)[:, 0]}
-    at, first = places(tree.feature, tree.bin, bins, level), 2 ** level - 1
-    sizes = np.bincount(at, minlength=2 ** level)
-    other = {p: p + 1 if p % 2 else p - 1 for p in nodes}
-    some = sorted({min(pair, key=lambda p: (sizes[p - first], p)) for pair in other.items()})
-    number = np.full(2 ** level, len(some), np.int64)
-    number[np.array(some) - first] = np.arange(len(some))
-    node = number[at]
-    use = np.flatnonzero(node < len(some))
-    sums = paired_histograms(np.take(bins.T, use, 1).T, node[use], len(some), pair[use], width)
-    found = {p: sums[:, i] for i, p in enumerate(some)}
+        rows = counts.reshape(d, width)
+    sums = np.stack([sums.real, sums.imag, rows]).reshape(3, d, len(some), width)
+    found = {p: sums[:, :, i] for i, p in enumerate(some)}
     return {p: found[p] if p in found else above[(p - 1) // 2] - found[other[p]] for p in nodes}
 
 
@@ -312,8 +312,8 @@ def fit_boosting(fleet: Fleet, rounds: int = ROUNDS, patience: int | None = PATI
     edges = bin_edges(fleet, BINS)
     share = HOLDOUT if patience is not None else 0.0
     rows = binned_rows(fleet, edges, share).persist()
-    fleet = replace(fleet, rows=rows)
-    models = {(cell, m): Boosted(fleet.cells[cell], edges[cell], 0.0) for cell in fleet.cells for m in fleet.models(cell)}
+    fleet = replace(fleet, blocks=rows)
+    models = {cm: Boosted(fleet.cells[cm[0]], edges[cm[0]], 0.0) for cm in by_work(fleet)}
     key = {cm: i for i, cm in enumerate(models)}
 
     def local_counts(sums, cell, c):
@@ -322,7 +322,7 @@ def fit_boosting(fleet: Fleet, rounds: int = ROUNDS, patience: int | None = PATI
             add(sums, key[cell, m], np.array([train.sum(), (c["y"] * train).sum()]))
 
     fleet_models = {cell: fleet.models(cell) for cell in fleet.cells}
-    counts = summed(fleet, ["n", "y", "fold", "out"], local_counts)
+    counts = summed(fleet, ["y", "fold", "out"], local_counts)
     for cm, b in models.items():
         n, n1 = counts.get(key[cm], np.zeros(2))
         b.base = float(np.log(max(n1, 0.5) / max(n - n1, 0.5))) if n else 0.0
@@ -333,11 +333,17 @@ def fit_boosting(fleet: Fleet, rounds: int = ROUNDS, patience: int | None = PATI
     else:
         _grow_by_passes(fleet, growth)
     held = {cell: [models[cell, m].packed() for m in range(fleet.folds)] for cell in fleet.cells if len(fleet.models(cell)) > 1}
-    scores = fold_accuracy(fleet, ["n", "bins"], lambda cell, c: np.stack([raw_scores(b, c["bins"]) > 0 for b in held[cell]], 1)) if held else {}
+    scores = fold_accuracy(fleet, ["bins"], lambda cell, c, m: raw_scores(held[cell][m], c["bins"]) > 0) if held else {}
     rows.unpersist()
     return {cell: (models[cell, fleet.folds], scores.get(cell, (0.0, 0.0))) for cell in fleet.cells}
 
 
+def by_work(fleet: Fleet) -> list[tuple[int, int]]:
+    """(cell, model), those with the most rows and features first: a long task that begins last would run alone."""
+    size = {(cell, m): c.rows(keep=lambda f, i: f != m) * len(c.features) for cell, c in fleet.cells.items() for m in fleet.models(cell)}
+    return sorted(size, key=lambda cm: -size[cm])
+
+
 class Growth:
     """Boosted models that grow a level at a time from the splits of their open nodes."""
 
@@ -406,14 +412,14 @@ class Growth:
 
 def _grow_by_passes(fleet: Fleet, growth: Growth) -> None:
     """A pass a level; every KEEP rounds the rows are written anew with their scores, so that passes apply few trees."""
-    rows, written = fleet.rows, None
+    rows, written = fleet.blocks, None
     while growth.still:
         state = growth.state()
         for level in range(BOOST_DEPTH):
             asked = growth.ask(level, state)
             if asked is None:
                 break
-            growth.take(level, summed(fleet, ["n", "y", "bins", "fold", "out", *(["f"] if written is not None else [])], *asked, rows))
+            growth.take(level, summed(fleet, ["y", "bins", "fold", "out", *(["f"] if written is not None else [])], *asked, rows))
         growth.end_round()
         if growth.still and len(growth.models[growth.still[0]].trees) - growth.written_to >= KEEP:
             fresh = cut_lineage(_with_scores(rows, growth.state(), written is not None)).persist()
@@ -438,11 +444,15 @@ def _grow_in_place(fleet: Fleet, growth: Growth) -> None:
         (y, bins), (y_out, bins_out) = ((c["y"][use], np.compress(use, c["bins"].T, 1).T) for use in (inside & ~c["out"], inside & c["out"]))
         raw, raw_out = np.full(len(y), b.base), np.full(len(y_out), b.base)
         counts, hist = node_histograms(bins, np.zeros(len(y), np.int64), 1, [None], width)[0], {}
+        pair, last = np.empty(len(y), np.complex128), None
         while own.still:
-            p = expit(raw)
-            pair = np.empty(len(y), np.complex128)
-            pair.real, pair.imag = p - y, p * (1 - p)
-            loss = np.array([(np.logaddexp(0.0, raw_out) - y_out * raw_out).sum(), len(y_out)])
+            for lo in range(0, len(y), BOOST_ROWS):
+                some = slice(lo, lo + BOOST_ROWS)
+                if last is not None:
+                    raw[some] = raw_scores(last, bins[some], raw[some])
+                p = expit(raw[some])
+                pair.real[some], pair.imag[some] = p - y[some], p * (1 - p)
+            loss = np.array([(softplus(raw_out) - y_out * raw_out).sum(), len(y_out)])
             for level in range(BOOST_DEPTH):
                 nodes = own.open(level).get(cm)
                 if not nodes:
@@ -453,7 +463,7 @@ def _grow_in_place(fleet: Fleet, growth: Growth) -> None:
             own.end_round()
             if own.still:
                 last = b.packed(len(b.trees) - 1)
-                raw, raw_out = raw_scores(last, bins, raw), raw_scores(last, bins_out, raw_out)
+                raw_out = raw_scores(last, bins_out, raw_out)
         _, feature, cut, value = b.packed()
         return np.concatenate([[len(b.losses), len(feature)], b.losses, feature.ravel(), cut.ravel(), value.ravel()]).astype(np.float64)
 
@@ -598,9 +608,9 @@ def fit_forest(fleet: Fleet, trees: int = TREES, seed: int = SEED) -> dict[int,
     All trees of all models grow a level at a time. A node is split if it has FOREST_SPLIT rows and both classes, into
     sides of FOREST_LEAF rows. Bags and feature subsets are hashes, so a repeated task gives the same trees."""
     edges = bin_edges(fleet, FOREST_BINS)
-    models = [(cell, m) for cell in fleet.cells for m in fleet.models(cell)]
+    models = by_work(fleet)
     rows = binned_rows(fleet, edges).persist()
-    fleet = replace(fleet, rows=rows)
+    fleet = replace(fleet, blocks=rows)
     width, size = FOREST_BINS + 1, 2 ** (FOREST_DEPTH + 1) - 1
     grown = {cm: Forest(fleet.cells[cm[0]], edges[cm[0]], np.full((trees, size), -1, np.int16), np.zeros((trees, size), np.uint8), np.zeros((trees, size))) for cm in models}
     key = {cm: i for i, cm in enumerate(models)}
@@ -613,7 +623,7 @@ def fit_forest(fleet: Fleet, trees: int = TREES, seed: int = SEED) -> dict[int,
     else:
         _forest_by_passes(fleet, some, key, width, trees, seed)
     held = {cell: [grown[cell, m] for m in range(fleet.folds)] for cell in fleet.cells if len(fleet.models(cell)) > 1}
-    scores = fold_accuracy(fleet, ["n", "bins"], lambda cell, c: np.stack([g.chance(c["bins"]) > 0.5 for g in held[cell]], 1)) if held else {}
+    scores = fold_accuracy(fleet, ["bins"], lambda cell, c, m: held[cell][m].chance(c["bins"]) > 0.5) if held else {}
     rows.unpersist()
     return {cell: (grown[cell, fleet.folds], scores.get(cell, (0.0, 0.0))) for cell in fleet.cells}
 
@@ -641,7 +651,7 @@ def _forest_by_passes(fleet: Fleet, grown: dict, key: dict, width: int, trees: i
         after: dict = {}
         for some in _portions(opened, fleet, width):
             local, finish = _forest_pass(some, grown, key, level, width, trees, seed)
-            got = summed(fleet, ["n", "y", "bins", "fold", "tie"], local, finish)
+            got = summed(fleet, ["y", "bins", "fold", "tie"], local, finish)
             for cm, (t, p) in some.items():
                 if key[cm] in got:
                     after.setdefault(cm, []).append(_split(grown[cm], level, t, p, got[key[cm]]))
@@ -657,30 +667,26 @@ def _forest_in_place(fleet: Fleet, grown: dict, key: dict, width: int, trees: in
         g, inside = grown[cell, m], c["fold"] != m
         y, tie, bins = c["y"][inside], c["tie"][inside], np.compress(inside, c["bins"].T, 1).T
         for tree in range(trees):
-            draws = bag(tie, m, 1, seed, tree)[:, 0]
-            use = np.flatnonzero(draws > 0)
-            w, flat = draws[use], np.take(bins.T, use, 1).ravel()
-            n, t, p, counts = len(w), np.array([tree]), np.zeros(1, np.int64), Counts(w, w * y[use])
-            row, node = np.arange(n), np.zeros(n, np.int64)  # rows that stand at a node of ``p``, and which
+            t, p = np.array([tree]), np.zeros(1, np.int64)
+            parts = [Drawn(w, y[lo + use], np.take(bins.T[:, lo:lo + FOREST_ROWS], use, 1)) for lo in range(0, len(y), FOREST_ROWS)
+                     for draws in [bag(tie[lo:lo + FOREST_ROWS], m, 1, seed, tree)[:, 0]] for use in [np.flatnonzero(draws)] for w in [draws[use]]]
             for level in range(FOREST_DEPTH):
-                if not len(p) or not n:
+                parts = [x for x in parts if len(x.row)]
+                if not len(p) or not parts:
                     break
                 features = chosen_features(m, t, p, bins.shape[1], seed)
-                hist = np.empty((3, len(p), features.shape[1], width))
-                for k in range(features.shape[1]):
-                    hist[:, :, k] = counts.by(node * width + flat[(features[:, k] * n)[node] + row], row, len(p) * width).reshape(3, len(p), width)
-                parents = p
+                sums = np.zeros((features.shape[1], 3, len(p) * width))
+                for x in parts:
+                    x.add(sums, features, width)
+                parents, hist = p, sums.reshape(-1, 3, len(p), width).transpose(1, 2, 0, 3)
                 t, p = _split(g, level, t, p, _forest_finish({0: (features, width)})(0, hist.ravel()))
                 if len(p):
                     first = 2 ** (level + 1) - 1
                     number = np.full(2 ** (level + 1), -1, np.int64)
                     number[p - first] = np.arange(len(p))
-                    f, cut = g.feature[tree, parents].astype(np.int64), g.bin[tree, parents]
-                    right = flat[(np.maximum(f, 0) * n)[node] + row] > cut[node]
-                    node = number[(2 * parents + 1 - first)[node] + right]
-                    stay = np.flatnonzero(node >= 0)
-                    if len(stay) < len(node):
-                        row, node = row[stay], node[stay]
+                    below = number[(2 * parents + 1 - first)[:, None] + np.arange(2)]
+                    for x in parts:
+                        x.descend(g.feature[tree, parents], g.bin[tree, parents], below)
         return np.stack([v[:] for v in (g.feature, g.bin, g.value)]).astype(np.float64).ravel()
 
     names = {i: cm for cm, i in key.items()}
@@ -690,30 +696,66 @@ def _forest_in_place(fleet: Fleet, grown: dict, key: dict, width: int, trees: in
         g.feature, g.bin, g.value = feature.astype(np.int16), cut.astype(np.uint8), value
 
 
+class Drawn:
+    """Drawn rows of a tree, with the places of their nodes among the open ones; those that have reached a leaf are dropped."""
+
+    def __init__(self, w: np.ndarray, y: np.ndarray, bins: np.ndarray):
+        self.n, self.flat, self.counts = len(w), bins.ravel(), Counts(w, w * y)
+        self.row, self.node = np.arange(len(w)), np.zeros(len(w), np.int64)
+
+    def bins_of(self, feature: np.ndarray) -> np.ndarray:
+        """Each row's bin of the feature of its node."""
+        return np.take(self.flat, np.take(feature.astype(np.int64) * self.n, self.node) + self.row)
+
+    def add(self, sums: np.ndarray, features: np.ndarray, width: int) -> None:
+        """Adds rows, draws and draws of class 1 by node and bin to ``sums`` of each feature tried."""
+        start = self.node * width
+        for k in range(features.shape[1]):
+            sums[k] += self.counts.sums(start + self.bins_of(features[:, k]), sums.shape[2])
+
+    def descend(self, feature: np.ndarray, cut: np.ndarray, below: np.ndarray) -> None:
+        """``below`` has the places of a node's children; -1: a leaf."""
+        right = self.bins_of(np.maximum(feature, 0)) > np.take(cut, self.node)
+        self.node = np.take(below.ravel(), 2 * self.node + right)
+        stay = np.flatnonzero(self.node >= 0)
+        if len(stay) < len(self.node):
+            self.row, self.node, self.counts = self.row[stay], self.node[stay], self.counts.of(stay)
+
+
 class Counts:
     """Adds up rows, draws and draws of class 1. They are whole numbers, so they are added as one where all three fit into the digits of
     a double, else as two or three."""
 
     def __init__(self, w: np.ndarray, w1: np.ndarray):
-        self.n, self.all = len(w) + 1, int(w.sum()) + 1
+        self.n, self.all = len(w).bit_length(), int(w.sum()).bit_length()
         self.w, self.w1 = w, w1
-        self.one = self.n * self.all * (int(w1.sum()) + 1) <= 1 << 53
-        self.two = self.n * self.all <= 1 << 53
+        self.one = self.n + self.all + int(w1.sum()).bit_length() <= 53
+        self.two = self.n + self.all <= 53
         if self.one:
-            self.w = 1 + self.n * (w + self.all * w1)
+            self.w = 1 + 2.0 ** self.n * (w + 2.0 ** self.all * w1)
         elif self.two:
-            self.w = 1 + self.n * w
+            self.w = 1 + 2.0 ** self.n * w
 
-    def by(self, at: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
-        """The three sums of the rows ``row`` by ``at``."""
-        sums = np.bincount(at, self.w[row], size)
+    def of(self, row: np.ndarray) -> Counts:
+        """Those of some rows."""
+        out = copy(self)
+        out.w, out.w1 = self.w[row], self.w1[row]
+        return out
+
+    def sums(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The three sums of the rows by ``at``."""
+        sums = np.bincount(at, self.w, size)
         if not self.two:
-            return np.stack([np.bincount(at, None, size), sums, np.bincount(at, self.w1[row], size)])
-        rest, n = np.divmod(sums.astype(np.int64), self.n)
+            return np.stack([np.bincount(at, None, size), sums, np.bincount(at, self.w1, size)])
+        whole = sums.astype(np.int64)
+        n, rest = whole & ((1 << self.n) - 1), whole >> self.n
         if not self.one:
-            return np.stack([n, rest, np.bincount(at, self.w1[row], size)])
-        w1, w = np.divmod(rest, self.all)
-        return np.stack([n, w, w1])
+            return np.stack([n, rest, np.bincount(at, self.w1, size)])
+        return np.stack([n, rest & ((1 << self.all) - 1), rest >> self.all])
+
+    def by(self, at: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+        """The three sums of the rows ``row`` by ``at``."""
+        return self.of(row).sums(at, size)
 
 
 def _tree_histograms(bins: np.ndarray, w: np.ndarray, w1: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int, nodes: np.ndarray, tried: np.ndarray, width: int) -> np.ndarray:

@@ -313,3 +313,67 @@ def test_counts_are_exact_as_one_two_or_three_sums(more):
     assert (counts.one, counts.two) == (more == 0, more < 2 ** 50)
     got = counts.by(at[row], row, 9)
     assert np.array_equal(got, np.stack([np.bincount(at[row], v, 9) for v in (None, w[row], w1[row])]))
+
+
+def test_models_of_more_than_a_million_rows_grow_in_a_task(customers, monkeypatch):
+    calls = counted_passes(monkeypatch)
+    f = fl.build([(0, customers, FEATS)], "y", folds=2, task_rows=200)  # eight slices, as 1.6 million rows have
+    assert f.units and not f.whole
+    assert len(trees.fit_boosting(f, rounds=2, patience=2)[0][0].trees) == 2 and len(calls) == 1
+    f.release()
+
+
+def test_level_histograms_in_portions_of_rows_equal_those_at_once(monkeypatch):
+    rng, width = np.random.default_rng(0), 16
+    bins, pair = np.asfortranarray(rng.integers(0, width, (500, 3)).astype(np.uint8)), rng.normal(size=500) + 1j * rng.random(500)
+    tree, counts = trees.Tree.of(4), trees.node_histograms(bins, np.zeros(500, np.int64), 1, [None], width)[0]
+    tree.feature[:3], tree.bin[:3] = [0, 1, 2], [9, 5, 3]
+
+    def levels():
+        found, out = {}, []
+        for level, nodes in enumerate(([0], [1, 2], [3, 4, 5, 6])):
+            found = trees.level_histograms(bins, pair, counts, tree, nodes, level, found, width)
+            out.append(np.stack([found[p] for p in nodes]))
+        return out
+
+    once = levels()
+    monkeypatch.setattr(trees, "BOOST_ROWS", 64)
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(once, levels()))
+
+
+def test_forest_and_boosting_in_portions_of_rows_are_the_same(fleet, monkeypatch):
+    def models():
+        return trees.fit_forest(fleet, trees=3)[0], trees.fit_boosting(fleet, rounds=3, patience=2)[0]
+
+    (forest, cv), (boosted, cv_boosted) = models()
+    monkeypatch.setattr(trees, "FOREST_ROWS", 64)
+    monkeypatch.setattr(trees, "BOOST_ROWS", 64)
+    (other, other_cv), (other_boosted, other_cv_boosted) = models()
+    assert (forest.feature == other.feature).all() and (forest.bin == other.bin).all() and np.array_equal(forest.value, other.value)
+    assert cv == other_cv and cv_boosted == other_cv_boosted and np.allclose(boosted.losses, other_boosted.losses)
+    for t, u in zip(boosted.trees, other_boosted.trees, strict=True):
+        assert (t.feature == u.feature).all() and (t.bin == u.bin).all() and np.allclose(t.value, u.value, atol=1e-9)
+
+
+def test_a_row_is_scored_by_the_model_that_leaves_it_out_alone(fleet):
+    def predict(cell, columns, m):
+        assert (columns["fold"] == m).all() and len(columns["x"]) == len(columns["y"])
+        return np.full(len(columns["y"]), m == 1)
+
+    got = fl.fold_accuracy(fleet, ["x"], predict)
+    for cell in (0, 3):
+        _, y, fold, _, _ = matrix(fleet, cell)
+        right = [((m == 1) == y[fold == m]).mean() for m in range(3)]
+        assert np.allclose(got[cell], (np.mean(right), np.std(right)))
+
+
+def test_newton_sums_equal_plain_ones():
+    rng = np.random.default_rng(0)
+    slope, bend = rng.normal(size=(3000, 4)), rng.random((3000, 4))
+    for x in (np.asfortranarray(rng.normal(size=(3000, 3))), rng.normal(size=(3000, 4, 2))):
+        wide = np.broadcast_to(x[:, None, :], (3000, 4, 3)) if x.ndim == 2 else x
+        got = newton.weighted_sums(x, bend, slope, bend)
+        want = [bend.sum(0)[:, None], np.einsum("nm,nmd->md", slope, wide), np.einsum("nm,nmd,nme->mde", bend, wide, wide).reshape(4, -1)]
+        assert np.allclose(got, np.concatenate(want, 1))
+    z = np.array([-800.0, -30.0, -1e-9, 0.0, 2.0, 800.0])
+    assert np.allclose(newton.softplus(z), np.logaddexp(0.0, z), rtol=1e-14, atol=0)
