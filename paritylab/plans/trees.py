@@ -14,6 +14,7 @@ import sys
 from collections.abc import Callable, Iterator
 from copy import copy
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,9 +38,9 @@ KEEP = 8
 #: Forest, and the histogram numbers that a pass adds up at most (open nodes beyond wait for the next pass).
 TREES, FOREST_DEPTH, FOREST_SPLIT, FOREST_LEAF, FOREST_BINS, PASS_NUMBERS = 100, 8, 5, 2, 64, 12_000_000
 #: Rows times trees of a model up to which one task grows its forest, and rows that it takes at a time.
-TASK_PATHS, FOREST_ROWS = 200_000_000, 1 << 16
+TASK_PATHS, FOREST_ROWS = 200_000_000, 1 << 15
 #: Rows that boosting in a task takes at a time: their columns stay in a core's cache.
-BOOST_ROWS = 1 << 14
+BOOST_ROWS = 1 << 15
 HELD_OUT_SALT, SEED = np.uint64(0x5851F42D4C957F2D), 42
 
 
@@ -168,6 +169,19 @@ def places(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, depth: int) -
     return at
 
 
+def step_down(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, level: int, at: np.ndarray) -> np.ndarray:
+    """``places`` of depth ``level`` + 1 for rows that stand at the places ``at`` of depth ``level``."""
+    first = 2 ** level - 1
+    go = [bins[:, f] > c if f >= 0 else None for f, c in zip(feature[first:2 * first + 1].tolist(), cut[first:2 * first + 1])]
+    for bit in range(level - 1, -1, -1):
+        half, right = len(go) // 2, (at & (1 << bit)) != 0
+        go = [_either(a, b, right) for a, b in zip(go[:half], go[half:])]
+    at = at << 1
+    if go[0] is not None:
+        at |= go[0]
+    return at
+
+
 def bottom_values(feature: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
     """Of each place at the bottom the value of the leaf that its rows stopped at."""
     value = value.copy()
@@ -204,11 +218,18 @@ def node_histograms(bins: np.ndarray, node: np.ndarray, nodes: int, weights: lis
     return out
 
 
+def add_root(sums: np.ndarray, bins: np.ndarray, pair: np.ndarray) -> None:
+    """Adds ``pair`` by feature and bin."""
+    for j in range(len(sums)):
+        np.add.at(sums[j], bins[:, j].astype(np.int64), pair)
+
+
 def level_histograms(bins: np.ndarray, pair: np.ndarray, counts: np.ndarray, tree: Tree, nodes: list[int], level: int, above: dict[int, np.ndarray],
-                     width: int) -> dict[int, np.ndarray]:
+                     width: int, at: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """Histograms (gradient, curvature, rows by feature and bin) of the ``nodes`` of one level. Of two siblings only the rows of the one with
     fewer are added up, BOOST_ROWS at a time; the other is what remains of their parent, which ``above`` has. ``pair`` has a row's gradient
-    and, as its imaginary part, its curvature; ``counts`` are the rows of the root."""
+    and, as its imaginary part, its curvature; ``counts`` are the rows of the root; ``at`` has the rows' places of the level above and takes
+    those of this one."""
     first, d = 2 ** level - 1, bins.shape[1]
     other = {p: p + 1 if p % 2 else p - 1 for p in nodes} if level else {0: 0}
 
@@ -218,21 +239,24 @@ def level_histograms(bins: np.ndarray, pair: np.ndarray, counts: np.ndarray, tre
         return (rows[:cut] if p % 2 else rows[cut:]).sum()
 
     some = sorted({min(pair, key=lambda p: (size(p), p)) for pair in other.items()}) if level and d else list(other)
-    number = np.full(2 ** level, -1, np.int64)
+    number = np.zeros(2 ** level, np.int64)
     number[np.array(some) - first] = np.arange(len(some)) * width
     sums, rows = np.zeros((d, len(some) * width), np.complex128), np.zeros((d, len(some) * width))
     for lo in range(0, len(bins), BOOST_ROWS):
         part, own = bins[lo:lo + BOOST_ROWS], pair[lo:lo + BOOST_ROWS]
         if level == 0:
-            for j in range(d):
-                np.add.at(sums[j], part[:, j].astype(np.int64), own)
+            add_root(sums, part, own)
             continue
-        start = np.take(number, places(tree.feature, tree.bin, part, level))
-        use = np.flatnonzero(start >= 0)
-        own, at = np.take(own, use), np.take(part.T, use, 1) + np.take(start, use)
+        if at is None:
+            here = places(tree.feature, tree.bin, part, level)
+        else:
+            here = at[lo:lo + BOOST_ROWS] = step_down(tree.feature, tree.bin, part, level - 1, at[lo:lo + BOOST_ROWS])
+        use = np.flatnonzero(reduce(np.logical_or, [here == p - first for p in some]))
+        own, bin_ = np.take(own, use), np.take(part.T, use, 1)
+        bin_ = bin_ + np.take(number, here[use]) if len(some) > 1 else bin_.astype(np.int64)
         for j in range(d):
-            np.add.at(sums[j], at[j], own)
-            np.add.at(rows[j], at[j], 1.0)
+            np.add.at(sums[j], bin_[j], own)
+            np.add.at(rows[j], bin_[j], 1.0)
     if level == 0:
         rows = counts.reshape(d, width)
     sums = np.stack([sums.real, sums.imag, rows]).reshape(3, d, len(some), width)
@@ -444,26 +468,35 @@ def _grow_in_place(fleet: Fleet, growth: Growth) -> None:
         (y, bins), (y_out, bins_out) = ((c["y"][use], np.compress(use, c["bins"].T, 1).T) for use in (inside & ~c["out"], inside & c["out"]))
         raw, raw_out = np.full(len(y), b.base), np.full(len(y_out), b.base)
         counts, hist = node_histograms(bins, np.zeros(len(y), np.int64), 1, [None], width)[0], {}
-        pair, last = np.empty(len(y), np.complex128), None
+        pair, at, last, deep = np.empty(len(y), np.complex128), np.zeros(len(y), np.uint8), None, 0
         while own.still:
-            for lo in range(0, len(y), BOOST_ROWS):
+            root = np.zeros((bins.shape[1], width), np.complex128)
+            for lo in range(0, len(y), BOOST_ROWS):  # the last tree, the next gradients and the sums of the root while a portion is at hand
                 some = slice(lo, lo + BOOST_ROWS)
                 if last is not None:
-                    raw[some] = raw_scores(last, bins[some], raw[some])
+                    here = at[some]
+                    for level in range(deep, BOOST_DEPTH):
+                        here = step_down(last.feature, last.bin, bins[some], level, here)
+                    raw[some] += np.take(bottom_values(last.feature, last.value, BOOST_DEPTH), here)
                 p = expit(raw[some])
                 pair.real[some], pair.imag[some] = p - y[some], p * (1 - p)
+                add_root(root, bins[some], pair[some])
             loss = np.array([(softplus(raw_out) - y_out * raw_out).sum(), len(y_out)])
+            at[:], deep = 0, 0
             for level in range(BOOST_DEPTH):
                 nodes = own.open(level).get(cm)
                 if not nodes:
                     break
-                hist = level_histograms(bins, pair, counts, own.trees[cm], nodes, level, hist, width)
+                if level == 0:
+                    hist = {0: np.stack([root.real, root.imag, counts[0]])}
+                else:
+                    hist, deep = level_histograms(bins, pair, counts, own.trees[cm], nodes, level, hist, width, at), level
                 sums = np.stack([hist[q] for q in nodes], 1)
                 own.take(level, {0: _boost_finish({0: (len(nodes), bins.shape[1])}, width)(0, np.concatenate([loss, sums.ravel()]))})
             own.end_round()
             if own.still:
-                last = b.packed(len(b.trees) - 1)
-                raw_out = raw_scores(last, bins_out, raw_out)
+                last = b.trees[-1]
+                raw_out = raw_scores(b.packed(len(b.trees) - 1), bins_out, raw_out)
         _, feature, cut, value = b.packed()
         return np.concatenate([[len(b.losses), len(feature)], b.losses, feature.ravel(), cut.ravel(), value.ravel()]).astype(np.float64)
 
